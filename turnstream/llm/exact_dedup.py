@@ -34,7 +34,8 @@ def heavy_digests(rows: DataFrame) -> DataFrame:
         rows.groupBy((F.spark_partition_id() % FAN_IN).alias("part"))
         .agg(F.expr(f"approx_top_k_accumulate(xxhash64(digest), {COUNTERS})").alias("summary"), F.count(F.lit(1)).alias("n"))
     )
-    merged = parts.agg(
+    # grouped by a constant, as the sketch's merge fails on the empty buffers of tasks without rows
+    merged = parts.groupBy(F.lit("all")).agg(
         F.expr(f"approx_top_k_estimate(approx_top_k_combine(summary, {COUNTERS}), {COUNTERS})").alias("top"), F.sum("n").alias("n")
     )
     frequent = merged.select(F.explode("top").alias("x"), "n").where(F.col("x.count") * SHARE > F.col("n")).select(F.col("x.item").alias("short"), "n")
