@@ -48,6 +48,43 @@ def lower_ascii(c: Column | str) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, _UPPER, _LOWER))
 
 
+#: Cells of the filters below: what is broadcast is a row of one integer for each cell at most.
+CELLS = 1 << 20
+
+
+def _cell(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(CELLS)).cast("int").alias("__cell")
+
+
+def possibly_in(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str, how: str = "left_semi") -> DataFrame:
+    """Rows of df whose key shares a cell with a wanted key (or, with left_anti, those that do not).
+
+    All rows with a wanted key are among the former, and so few others, where few keys are wanted, that the
+    join that follows need not shuffle the table.
+    """
+    cells = wanted.select(_cell(F.col(wanted_key))).distinct()
+    return df.withColumn("__cell", _cell(F.col(key))).join(F.broadcast(cells), "__cell", how).drop("__cell")
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A document's id and text as one value that is never null; rows that repeat both share it."""
+    return F.concat_ws(":", docs["doc_id"].cast("string"), F.xxhash64(docs["text"]).cast("string"))
+
+
+def without(docs: DataFrame, gone: DataFrame, once: DataFrame | None = None) -> DataFrame:
+    """docs without the rows whose row_key is in gone.__key, and with one row for each key in once.__key.
+
+    Only rows that share a cell with such a key are shuffled.
+    """
+    keyed = docs.withColumn("__key", row_key(docs))
+    odd = gone if once is None else gone.unionByName(once)
+    rest = possibly_in(keyed, "__key", odd, "__key", "left_anti")
+    some = possibly_in(keyed, "__key", odd, "__key").join(gone, "__key", "left_anti")
+    if once is not None:
+        some = some.dropDuplicates(["__key"])
+    return rest.unionByName(some).select(*docs.columns)
+
+
 # ---------------------------------------------------------------- byte-level words
 
 _FOLD = np.zeros(256, np.uint8)

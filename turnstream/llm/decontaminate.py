@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, lower_ascii, materialize
+from .common import SEPARATORS, lower_ascii, materialize, row_key, without
 
 ITEM_WORDS = 10
 #: Most window rows that are broadcast; a larger benchmark is joined by shuffle.
@@ -23,11 +23,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), SEPARATORS), lambda w: w != "")
 
 
-def row_key(docs: DataFrame) -> Column:
-    """A document's id and text as one value that is never null; rows that repeat both share it."""
-    return F.concat_ws(":", docs["doc_id"].cast("string"), F.xxhash64(docs["text"]).cast("string"))
-
-
 def item_windows(benchmark: DataFrame, size: int = ITEM_WORDS) -> DataFrame:
     """One row per different window: words, item_ids (strings)."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).where("size(w) > 0")
@@ -95,4 +90,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = ITEM_WORDS)
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no window of the benchmark, with their columns."""
     _, hits = contained(docs, benchmark)
-    return docs.withColumn("__doc", row_key(docs)).join(hits.select(F.col("doc").alias("__doc")).distinct(), "__doc", "left_anti").select(*docs.columns)
+    return without(docs, materialize(hits.select(F.col("doc").alias("__key")).distinct(), "contaminated"))

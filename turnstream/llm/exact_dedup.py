@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialize
+from .common import lower_ascii, materialize, row_key, without
 
 #: A digest is heavy if it holds more than one in SHARE rows; so at most SHARE digests are.
 SHARE = 4096
@@ -22,9 +22,9 @@ FAN_IN = 64
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, digest: SHA-256 of the text with A-Z lower-cased; a null text counts as empty."""
+    """doc_id, __key (see row_key), digest: SHA-256 of the text with A-Z lower-cased; a null text counts as empty."""
     text = lower_ascii(F.coalesce(F.col("text"), F.lit("")))
-    return docs.select("doc_id", F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
+    return docs.select("doc_id", row_key(docs).alias("__key"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
 
 
 def heavy_digests(rows: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def heavy_digests(rows: DataFrame) -> DataFrame:
     )
 
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
+def exact_dedup(docs: DataFrame, keys: bool = False) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     docs: doc_id, text and any other columns.  Texts are equal if identical after lower-casing A-Z; of equal
@@ -68,16 +68,12 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        *(["__key"] if keys else []),
     )
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs that exact_dedup keeps, with their columns; of rows that repeat a doc_id and its text, one."""
-    keep = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    text = lower_ascii(F.coalesce(docs["text"], F.lit("")))
-    marked = docs.withColumn("__digest", F.sha2(text.cast("binary"), 256))
-    return (
-        marked.join(keep, marked["doc_id"].eqNullSafe(keep["__id"]) & (marked["__digest"] == keep["__sha"]))
-        .dropDuplicates(["doc_id", "__digest"])
-        .select(*[marked[c] for c in docs.columns])
-    )
+    found = materialize(exact_dedup(docs, keys=True).select("__key", "kept"), "exact")
+    gone = found.where("not kept").select("__key").distinct()
+    return without(docs, gone, found.where("kept").groupBy("__key").count().where("count > 1").select("__key"))

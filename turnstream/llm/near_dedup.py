@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, row_slices, text_buffer, word_hashes
+from .common import materialize, mix, possibly_in, row_key, row_slices, text_buffer, without, word_hashes
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -161,7 +161,7 @@ def _signer(idf):
                     signs[full] = sample(hashes, counts * idf.value[_cells(hashes)], np.append(bounds[:-1][full], len(hashes)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(1), batch.column(2), pa.array(n, pa.int64()), pa.array([d.tobytes() for d in digest], pa.binary()), pa.array([s.tobytes() if k else None for s, k in zip(signs, n, strict=True)], pa.binary())],
-                    ["doc_id", "text_hash", "n_words", "node", "signature"],
+                    ["doc_id", "key", "n_words", "node", "signature"],
                 )
 
     return sign
@@ -240,23 +240,23 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, class_id, class_size, keep_id, kept, n_words, text_hash.
+    """One row per document: doc_id, class_id, class_size, keep_id, kept, n_words, key (see row_key).
 
     docs: doc_id, text and any other columns.  A class holds documents linked by chains of pairs of weighted
     similarity SIMILARITY or more, and documents of the same words; class_id and keep_id are its least doc_id.
     Documents without words - null and empty ones too - are classes of their own, of size 1.  Texts of one to
-    four words are alike if their words are.  Null ids keep no other row.  Rows that repeat a doc_id and its
+    four words are alike if their words are.  Null ids sort before all others; one row of each class stays.  Rows that repeat a doc_id and its
     text stay or go together.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
     idf = spark.sparkContext.broadcast(inverse_frequencies(docs))
     text = F.coalesce(F.col("text"), F.lit("")).alias("text")
     rows = materialize(
-        docs.select(text, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")).mapInArrow(_signer(idf), "doc_id long, text_hash long, n_words long, node binary, signature binary"),
+        docs.select(text, F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("key")).mapInArrow(_signer(idf), "doc_id long, key string, n_words long, node binary, signature binary"),
         "signatures",
     )
     full = rows.where("n_words > 0")
-    nodes = materialize(full.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("signature").alias("signature")), "nodes")
+    nodes = materialize(full.groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.first("signature").alias("signature")), "nodes")
     signs = nodes.select("node", "signature")
     bands = materialize(signs.mapInArrow(_bands, "node binary, band long"), "bands")
 
@@ -264,11 +264,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         """The pairs a, b that are similar; b is the side that repeats."""
         close = pairs.join(signs.toDF("a", "sa"), "a").join(signs.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(_agreeing, "a binary, b binary")
         close = materialize(close, f"{name}-close")
-        wanted = close.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first.doc_id", "first.text_hash"), "node")
-        source = docs.select(F.col("doc_id").cast("long").alias("id"), text, F.xxhash64("text").alias("hash"))
-        texts = materialize(
-            source.join(wanted, source["id"].eqNullSafe(wanted["doc_id"]) & (source["hash"] == wanted["text_hash"])).select("node", "text").dropDuplicates(["node"]), f"{name}-texts"
-        )
+        wanted = close.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first.key"), "node")
+        wanted = materialize(wanted, f"{name}-wanted")
+        source = possibly_in(docs.select(row_key(docs).alias("key"), text), "key", wanted, "key")
+        texts = materialize(source.join(wanted, "key").select("node", "text").dropDuplicates(["node"]), f"{name}-texts")
         both = close.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
         found = both.mapInArrow(_verifier(idf), "a binary, b binary, similarity double").where(F.col("similarity") >= SIMILARITY)
         return materialize(found, f"{name}-verified")
@@ -291,17 +290,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = nodes.select("node", F.col("first.doc_id").alias("doc_id"))
     ids = classes.join(least, "node").groupBy("class").agg(F.min("doc_id").alias("class_id"))
     named = least.join(classes, "node", "left").join(ids, "class", "left").select("node", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class", "node").alias("class"))
-    members = full.select("doc_id", "text_hash", "n_words", "node").join(named, "node")
+    members = full.select("doc_id", "key", "n_words", "node").join(named, "node")
     sizes = members.groupBy("class").agg(F.count(F.lit(1)).alias("class_size"))
-    some = members.join(sizes, "class").select("doc_id", "class_id", "class_size", "n_words", "text_hash")
-    none = rows.where("n_words = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), "n_words", "text_hash")
-    return some.unionByName(none).select("doc_id", "class_id", "class_size", F.col("class_id").alias("keep_id"), F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "n_words", "text_hash")
+    some = members.join(sizes, "class").select("doc_id", "class_id", "class_size", "n_words", "key")
+    none = rows.where("n_words = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), "n_words", "key")
+    return some.unionByName(none).select("doc_id", "class_id", "class_size", F.col("class_id").alias("keep_id"), F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "n_words", "key")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of docs for each class of near_duplicates, with its columns; documents without words all stay."""
-    keep = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__keep"), (F.col("n_words") > 0).alias("__words")).distinct()
-    marked = docs.withColumn("__hash", F.xxhash64("text"))
-    kept = marked.join(keep, marked["doc_id"].eqNullSafe(keep["__id"]) & (marked["__hash"] == keep["__keep"]))
-    once = kept.where("__words").dropDuplicates(["doc_id"])
-    return once.unionByName(kept.where("not __words")).select(*docs.columns)
+    found = materialize(near_duplicates(docs).where("n_words > 0").select("key", "kept", "doc_id"), "near")
+    key = F.col("key").alias("__key")
+    gone = found.where("not kept").select(key).distinct()
+    return without(docs, gone, found.where("kept").groupBy("key").count().where("count > 1").select(key))

@@ -40,7 +40,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents")).drop("text_hash")
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents")).drop("key")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_slices, text_buffer, word_hashes
+from .common import materialize, row_key, row_slices, text_buffer, without, word_hashes
 
 #: Most labelled rows that examples and terms are learnt from: those with the least hash of the id.
 EXAMPLES = 8192
@@ -256,6 +256,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] =
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are not predicted toxic, with their columns."""
-    marked = docs.withColumn("__hash", F.xxhash64("text"))
-    bad = score_toxicity(marked, labels, ("__hash",)).where("predicted = 1").select(F.col("doc_id").alias("__id"), F.col("__hash").alias("__bad")).distinct()
-    return marked.join(bad, marked["doc_id"].eqNullSafe(bad["__id"]) & (marked["__hash"] == bad["__bad"]), "left_anti").select(*docs.columns)
+    scored = score_toxicity(docs.withColumn("__key", row_key(docs)), labels, ("__key",))
+    return without(docs, materialize(scored.where("predicted = 1").select("__key").distinct(), "toxic"))
