@@ -1 +1,102 @@
-QUERIES, ORACLE = {}, {}
+"""The engine's own queries and the SQL that checks them."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .functions import text, timecode
+from .operators import compare, quality, timeline
+from .sources.fixtures import segments, table, words
+from .streaming import events
+
+_seg = lambda f: lambda s, d: f(segments(s, d))
+_log = lambda f: lambda s, d: f(events.log(table(s, d, "events")))
+
+
+def _texts(name, f):
+    return lambda s, d: table(s, d, "conversations").select("conv_id", "turn", f(F.col("text")).alias(name))
+
+
+QUERIES = {
+    "q_quality_scorecard": _seg(quality.scorecard),
+    "q_duration_estimate": _seg(quality.duration_estimate),
+    "q_boundary_analysis": _seg(quality.boundary_analysis),
+    "q_timecode_roundtrip": _seg(lambda x: x.select("recording_id", "seg_idx", "timestamp", timecode.parse_timestamp(F.col("timestamp")).alias("seconds"))),
+    "q_segment_end": _seg(timeline.segment_ends),
+    "q_timeline_lanes": _seg(timeline.timeline_lanes),
+    "q_speaker_first_seen": _seg(timeline.speakers_by_first),
+    "q_speaker_recency": _seg(timeline.speakers_by_recency),
+    "q_unique_speakers": _seg(timeline.unique_speakers),
+    "q_chunk_plan_fixed": _seg(timeline.chunk_plan),
+    "q_cut_points": _seg(lambda x: timeline.cut_points(timeline.chunk_plan(x))),
+    "q_keep_window": _seg(lambda x: timeline.keep_window(words(x), timeline.cut_points(timeline.chunk_plan(x)))),
+    "q_reading_turns": _seg(timeline.reading_turns),
+    "q_candidate_diff": _seg(lambda x: compare.candidate_diff(*compare.candidates(x))),
+    "q_word_similarity": _seg(lambda x: compare.word_similarity(*compare.candidates(x))),
+    "q_collapse_spaces": _texts("clean", text.collapse_spaces),
+    "q_fix_punctuation": _texts("clean", text.fix_punctuation),
+    "q_export_markdown": _texts("markdown", text.escape_markdown),
+    "q_export_csv_rows": _texts("cell", text.csv_safe),
+    "q_pause_sessions": _log(events.pause_sessions),
+    "q_latest_event": _log(events.latest_event),
+    "q_idempotent_events": _log(events.idempotent),
+    "q_budget_ledger": _log(events.budget_ledger),
+    "q_event_state_audit": _log(events.state_audit),
+}
+
+_SEG = """seg AS (SELECT recording_id, seg_idx, speaker, text, start, round(start + dur, 3) AS "end",
+  format('[{:02d}:{:02d}:{:02d}]', (floor(start)::BIGINT // 3600), (floor(start)::BIGINT // 60) % 60, floor(start)::BIGINT % 60) AS timestamp
+  FROM (SELECT conv_id AS recording_id, turn AS seg_idx, role AS speaker, text, greatest(1.0::DOUBLE, length(text) / 15) AS dur,
+        round(coalesce(sum(greatest(1.0::DOUBLE, length(text) / 15)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 3) AS start FROM conversations))"""
+_T = "(floor(start)::BIGINT)"
+_IV = f"iv AS (SELECT recording_id, seg_idx, {_T} AS t, \"end\" AS e, {_T} - lag({_T}) OVER (PARTITION BY recording_id ORDER BY seg_idx) AS gap FROM seg)"
+_LOG = "log AS (SELECT user_id AS job_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS id, event_type AS name, props AS data, value, epoch_us(ts) AS t FROM events)"
+_NORM = r"trim(regexp_replace(regexp_replace(lower(text), '[^A-Za-z0-9_\t\n\f\r '']', '', 'g'), '[\t\n\f\r ]+', ' ', 'g'))"
+_WS = r"list_filter(string_split_regex({}, '[\t-\r ]+'), lambda w: w <> '')"
+_PLAN = """tot AS (SELECT recording_id, round(max("end") * 1000)::BIGINT AS total FROM seg GROUP BY 1),
+plan AS (SELECT recording_id, k AS chunk_idx, k * 15000 AS start_ms, least(k * 15000 + 20000, total) AS end_ms, CASE WHEN k * 15000 + 20000 > total THEN 'final' ELSE 'fixed' END AS boundary_type
+  FROM (SELECT recording_id, total, unnest(range(0, CASE WHEN total <= 20000 THEN 1 ELSE 1 + ceil((total - 20000) / 15000)::BIGINT END)) AS k FROM tot))"""
+_CUT = """cut AS (SELECT recording_id, chunk_idx, (start_ms + lag(end_ms) OVER w) // 2 AS keep_from_ms, (lead(start_ms) OVER w + end_ms) // 2 AS keep_until_ms FROM plan WINDOW w AS (PARTITION BY recording_id ORDER BY chunk_idx))"""
+_PER_TEXT = "SELECT conv_id, turn, {} FROM conversations"
+
+ORACLE = {
+    "q_quality_scorecard": f"""WITH {_SEG}, {_IV},
+f AS (SELECT recording_id, string_agg(text, ' ' ORDER BY seg_idx) AS text, count(*) AS n_segments, count(DISTINCT speaker) AS n_speakers FROM seg GROUP BY 1),
+b AS (SELECT recording_id, n_segments, n_speakers, {_WS.format("lower(text)")} AS ws, list_filter(string_split_regex(text, '[.!?]+'), lambda s: NOT regexp_full_match(s, '[\\t-\\r ]*')) AS ss,
+  len(regexp_extract_all(text, '[.,;:!?]')) / greatest(strlen(text), 1) AS density FROM f),
+sp AS (SELECT recording_id, coalesce(stddev_samp(len({_WS.format("s")})), 0) AS sd FROM (SELECT recording_id, unnest(ss) AS s FROM b) GROUP BY 1),
+i AS (SELECT recording_id, max_by(t, seg_idx) AS last, max(e) AS dur, coalesce(median(gap) FILTER (gap > 0), 0) AS mid, count(*) AS n FROM iv GROUP BY 1),
+p AS (SELECT recording_id, coalesce(stddev_samp(c), 0) / avg(c) AS cv, count(*) AS u FROM (SELECT recording_id, speaker, count(*) AS c FROM seg GROUP BY 1, 2) GROUP BY 1),
+m AS (SELECT b.recording_id, n_segments, n_speakers, len(ws)::BIGINT AS n_words, len(ss)::BIGINT AS n_sentences, density,
+  least(greatest(100 - 3 * abs(len(ws) / greatest(len(ss), 1) - 15), 0), 100) AS readability,
+  CASE WHEN len(ss) > 1 THEN least(100, 10 * sd) WHEN len(ss) = 1 THEN 50 ELSE 0 END AS variety,
+  least(100, 200 * len(list_distinct(ws)) / greatest(len(ws), 1)) AS vocabulary,
+  CASE WHEN n = 1 AND last = 0 THEN 100 ELSE least(greatest((last + mid) / dur * 100, 0), 100) END AS coverage,
+  CASE WHEN u > 10 THEN greatest(0, 100 - 10 * (u - 10)) ELSE least(100, CASE WHEN u > 1 THEN greatest(0, 100 - 50 * cv) ELSE 100 END + greatest(0, 5 * (10 - u))) END AS consistency
+  FROM b JOIN i USING (recording_id) JOIN p USING (recording_id) LEFT JOIN sp USING (recording_id)),
+o AS (SELECT *, round(0.25::DOUBLE * readability + 0.15::DOUBLE * greatest(0, 100 - 100 * density) + 0.15::DOUBLE * variety + 0.1::DOUBLE * vocabulary + 0.1::DOUBLE * consistency + 0.25::DOUBLE * coverage, 4) AS overall FROM m)
+SELECT recording_id, n_segments, n_speakers, n_words, n_sentences, round(density, 4) AS density, round(readability, 4) AS readability, round(variety, 4) AS variety, round(vocabulary, 4) AS vocabulary,
+  round(coverage, 4) AS coverage, round(consistency, 4) AS consistency, overall, CASE WHEN overall >= 80 THEN 'Excellent' WHEN overall >= 60 THEN 'Good' WHEN overall >= 40 THEN 'Fair' ELSE 'Poor' END AS assessment FROM o""",
+    "q_duration_estimate": f"WITH {_SEG}, {_IV} SELECT recording_id, round(CASE WHEN avg(gap) FILTER (gap > 0) IS NULL THEN greatest(max_by(t, seg_idx) + 30, 30) ELSE greatest(max_by(t, seg_idx) + avg(gap) FILTER (gap > 0), 1) END, 4)::DOUBLE AS seconds FROM iv GROUP BY 1",
+    "q_boundary_analysis": f"WITH {_SEG}, r AS (SELECT recording_id, seg_idx, speaker, {_NORM} AS norm, {_T} AS t FROM seg), l AS (SELECT *, lag(norm) OVER w AS pn, lag(t) OVER w AS pt, lag(speaker) OVER w AS ps FROM r WINDOW w AS (PARTITION BY recording_id ORDER BY seg_idx)) SELECT recording_id, count(*) FILTER (norm <> '' AND norm = pn) AS duplicates, count(*) FILTER (t < pt) AS back_steps, count(*) FILTER (t - pt > 30) AS long_gaps, count(*) FILTER (speaker <> ps) AS speaker_changes FROM l GROUP BY 1",
+    "q_timecode_roundtrip": f"WITH {_SEG} SELECT recording_id, seg_idx, timestamp, {_T} AS seconds FROM seg",
+    "q_segment_end": f"WITH {_SEG}, n AS (SELECT recording_id, seg_idx, start, CASE WHEN \"end\" > start THEN \"end\" ELSE start + greatest(1, length(text) / 15) END AS e, lead(start) OVER (PARTITION BY recording_id ORDER BY seg_idx) AS nx FROM seg) SELECT recording_id, seg_idx, round(CASE WHEN nx > start AND nx < e THEN nx ELSE e END, 3) AS cue_end FROM n",
+    "q_timeline_lanes": f"WITH {_SEG}, m AS (SELECT *, greatest(max(\"end\") OVER (PARTITION BY recording_id), 1.0::DOUBLE) AS total FROM seg) SELECT recording_id, seg_idx, speaker, round(start / total * 100, 4) AS left_pct, round(greatest(\"end\" - start, 0.2::DOUBLE) / total * 100, 4) AS width_pct FROM m",
+    "q_speaker_first_seen": f"WITH {_SEG}, f AS (SELECT recording_id, speaker, min(seg_idx) AS first_idx, count(*) AS n FROM seg GROUP BY 1, 2) SELECT *, 'Speaker ' || row_number() OVER (PARTITION BY recording_id ORDER BY first_idx) AS label FROM f",
+    "q_speaker_recency": f"WITH {_SEG}, f AS (SELECT recording_id, speaker, max(start) AS last_start FROM seg GROUP BY 1, 2) SELECT *, (row_number() OVER (PARTITION BY recording_id ORDER BY last_start DESC, speaker))::INT AS rank FROM f",
+    "q_unique_speakers": f"WITH {_SEG}, f AS (SELECT recording_id, speaker, min(seg_idx) AS i FROM seg GROUP BY 1, 2) SELECT recording_id, string_agg(speaker, ',' ORDER BY i) AS by_first, string_agg(speaker, ',' ORDER BY speaker) AS by_name FROM f GROUP BY 1",
+    "q_chunk_plan_fixed": f"WITH {_SEG}, {_PLAN} SELECT * FROM plan",
+    "q_cut_points": f"WITH {_SEG}, {_PLAN}, {_CUT} SELECT * FROM cut",
+    "q_keep_window": f"WITH {_SEG}, {_PLAN}, {_CUT}, w AS (SELECT recording_id, round(start * 1000)::BIGINT + 300 * (unnest(range(1, len({_WS.format('text')}) + 1)) - 1) AS start_ms FROM seg) SELECT w.recording_id, chunk_idx, count(*) AS n_units, min(start_ms) AS first_ms, max(start_ms) + 250 AS last_ms FROM w JOIN cut ON w.recording_id = cut.recording_id AND start_ms >= coalesce(keep_from_ms, 0) AND (keep_until_ms IS NULL OR start_ms < keep_until_ms) GROUP BY 1, 2",
+    "q_candidate_diff": f"WITH {_SEG}, a AS (SELECT recording_id, {_NORM} AS x, count(*) AS na, count(*) FILTER ((recording_id + seg_idx) % 7 <> 0) AS nb FROM seg WHERE {_NORM} <> '' GROUP BY 1, 2) SELECT recording_id, sum(least(na, nb))::BIGINT AS shared, sum(na)::BIGINT AS n_a, sum(nb)::BIGINT AS n_b, round(sum(least(na, nb)) / greatest(sum(na), sum(nb)), 6) AS ratio FROM a GROUP BY 1",
+    "q_word_similarity": f"WITH {_SEG}, e AS (SELECT recording_id, seg_idx, unnest(string_split_regex(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9 ]', ' ', 'g'), ' +')) AS w FROM seg), a AS (SELECT recording_id, w, count(*) AS na, count(*) FILTER ((recording_id + seg_idx) % 7 <> 0) AS nb FROM e WHERE w <> '' GROUP BY 1, 2) SELECT recording_id, round(sum(least(na, nb)) / (sum(na) + sum(nb) - sum(least(na, nb))), 6) AS similarity FROM a GROUP BY 1",
+    "q_collapse_spaces": _PER_TEXT.format(r"trim(regexp_replace(text, '[\t\n\f\r ]+', ' ', 'g')) AS clean"),
+    "q_fix_punctuation": _PER_TEXT.format(r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\t\n\f\r ]+([,.!?;:])', '\1', 'g'), '([,!?;:])([A-Za-z])', '\1 \2', 'g'), '!!+', '!', 'g'), '\?\?+', '?', 'g'), '\.\.+', '...', 'g') AS clean"),
+    "q_export_markdown": _PER_TEXT.format(r"regexp_replace(text, '([\\`*_\[\]<>#|])', '\\\1', 'g') AS markdown"),
+    "q_export_csv_rows": _PER_TEXT.format(r"CASE WHEN regexp_matches(text, '^[=+\-@\t\r]') THEN '''' || text ELSE text END AS cell"),
+    "q_pause_sessions": f"WITH {_LOG}, f AS (SELECT *, coalesce((t - lag(t) OVER (PARTITION BY job_id ORDER BY id) > 1800000000)::INT, 1) AS fresh FROM log), s AS (SELECT *, sum(fresh) OVER (PARTITION BY job_id ORDER BY id)::BIGINT AS session FROM f) SELECT job_id, session, count(*) AS n, min(t) AS first_t, max(t) AS last_t FROM s GROUP BY 1, 2",
+    "q_latest_event": f"WITH {_LOG} SELECT job_id, name, max(id) AS id, max_by(data, id) AS data FROM log GROUP BY 1, 2",
+    "q_idempotent_events": f"WITH {_LOG} SELECT job_id, sha256(trim(concat_ws('|', name, data))) AS idempotency_key, min(id) AS owner_id, count(*) AS attempts FROM log GROUP BY 1, 2",
+    "q_budget_ledger": f"WITH {_LOG}, c AS (SELECT job_id, id, floor(abs(value))::BIGINT AS charge FROM log), s AS (SELECT *, sum(charge) OVER (PARTITION BY job_id ORDER BY id)::BIGINT AS spent FROM c) SELECT *, spent <= 500 AS allowed FROM s",
+    "q_event_state_audit": f"WITH {_LOG}, p AS (SELECT lag(name) OVER (PARTITION BY job_id ORDER BY id) AS before, name AS after FROM log) SELECT before, after, count(*) AS n FROM p WHERE before IS NOT NULL GROUP BY 1, 2",
+}
