@@ -38,7 +38,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("packing", packing)]
 
-#: SQL can express neither nearest neighbours with calibrated votes nor consistent sampling; tests hold run() against brute force.
+#: SQL can express neither nearest neighbours with calibrated votes nor consistent sampling; the stages' operators are tested by themselves.
 ORACLE_SQL = None
 
 

@@ -8,7 +8,8 @@ their exact weighted Jaccard similarity.
 Frequencies are counted over all documents in a fixed table of 2^18 cells by shingle hash, and smoothed by a
 quarter of the documents, so that a cell's strangers, a few in 10,000 documents, do not matter.  In a band,
 every document is compared with the band's least document first; only documents that this leaves in different
-groups are compared with each other, so that a group of n near copies costs n comparisons, not n^2.
+groups are compared with each other, so that a group of n near copies costs n comparisons, not n^2.  Known
+limit: n documents of one band that are almost, but not quite, similar still cost n^2 (see the README).
 """
 
 from __future__ import annotations
