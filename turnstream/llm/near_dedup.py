@@ -6,10 +6,16 @@ similarity; samples are banded, documents that share a band are candidates, and
 their exact weighted Jaccard similarity.
 
 Frequencies are counted over all documents in a fixed table of 2^18 cells by shingle hash, and smoothed by a
-quarter of the documents, so that a cell's strangers, a few in 10,000 documents, do not matter.  In a band,
-every document is compared with the band's least document first; only documents that this leaves in different
-groups are compared with each other, so that a group of n near copies costs n comparisons, not n^2.  Known
-limit: n documents of one band that are almost, but not quite, similar still cost n^2 (see the README).
+quarter of the documents, so that a cell's strangers, a few in 10,000 documents, do not matter.
+
+Not all pairs of a band are compared.  First, every document is compared with the band's most central one,
+that with most documents in its bands, so that n near copies of a document cost n comparisons.  Of bands that
+this leaves with several groups, an exact bound then removes what cannot link: of a document in another group,
+a document shares at most the weight c of its shingles that some other group of these bands has too, so that
+documents of weights s and t link only if min(c1, c2) (1 + SIMILARITY) / SIMILARITY >= s + t.  The document with
+the greatest share of such weight is compared with the others, the bound is taken anew with the groups that
+result, and only pairs within it, each once, remain.  Known limit: n documents of one band that are almost
+similar and share their differences too still cost n^2 (see the README).
 """
 
 from __future__ import annotations
@@ -18,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, mix, possibly_in, row_key, row_slices, text_buffer, without, word_hashes
@@ -216,6 +222,44 @@ def _verifier(idf):
     return verify
 
 
+def _exploder(idf):
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each different shingle of each document, with its weight."""
+        for whole in batches:
+            _, offsets = text_buffer(whole.column(1))
+            for lo, hi in row_slices(offsets):
+                batch = whole.slice(lo, hi - lo)
+                hashes, counts, bounds, _, _ = shingles(batch.column(1))
+                nodes = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), np.diff(bounds))))
+                weights = (counts * idf.value[_cells(hashes)]).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([nodes, pa.array(hashes.astype(np.int64)), pa.array(weights)], ["node", "shingle", "weight"])
+
+    return explode
+
+
+def linkable(rows: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The rows (band, node, class and any others) that may link to another class in their band, with c and t.
+
+    tokens: node, shingle, weight of all nodes.  t is a node's weight, c the weight of its shingles that a node
+    of another class in rows has too.  Bands in which one class remains go.
+    """
+    classes = rows.select("node", "class").distinct()
+    named = tokens.join(classes, "node")
+    cross = named.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("shingle")
+    common = named.join(cross, "shingle").groupBy("node").agg(F.sum("weight").alias("c"))
+    weights = tokens.groupBy("node").agg(F.sum("weight").alias("t")).join(common, "node")
+    known = materialize(rows.join(weights, "node"), "weights")
+    least = known.groupBy("band").agg(F.min("t").alias("least"))
+    some = known.join(least, "band").where(_bound(F.col("c"), F.col("t"), F.col("least"))).drop("least")
+    left = some.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("band")
+    return some.join(left, "band")
+
+
+def _bound(c: Column, s: Column, t: Column) -> Column:
+    """Whether documents of weights s and t may be similar if they share a weight of c at most."""
+    return c * ((1 + SIMILARITY) / SIMILARITY) >= (s + t) * (1 - 1e-9)
+
+
 def _weighted(column: pa.Array, idf) -> list[tuple[np.ndarray, np.ndarray]]:
     hashes, counts, bounds, _, _ = shingles(column)
     weights = (counts * idf.value[_cells(hashes)]).astype(np.float64)
@@ -261,32 +305,52 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signs = nodes.select("node", "signature")
     bands = materialize(signs.mapInArrow(_bands, "node binary, band long"), "bands")
 
+    def texts_of(wanted: DataFrame, name: str) -> DataFrame:
+        """node, text of the wanted nodes."""
+        wanted = materialize(wanted.distinct().join(nodes.select("node", "first.key"), "node"), f"{name}-wanted")
+        source = possibly_in(docs.select(row_key(docs).alias("key"), text), "key", wanted, "key")
+        return source.join(wanted, "key").select("node", "text").dropDuplicates(["node"])
+
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs a, b that are similar; b is the side that repeats."""
         close = pairs.join(signs.toDF("a", "sa"), "a").join(signs.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(_agreeing, "a binary, b binary")
         close = materialize(close, f"{name}-close")
-        wanted = close.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first.key"), "node")
-        wanted = materialize(wanted, f"{name}-wanted")
-        source = possibly_in(docs.select(row_key(docs).alias("key"), text), "key", wanted, "key")
-        texts = materialize(source.join(wanted, "key").select("node", "text").dropDuplicates(["node"]), f"{name}-texts")
+        texts = materialize(texts_of(close.select(F.explode(F.array("a", "b")).alias("node")), name), f"{name}-texts")
         both = close.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
         found = both.mapInArrow(_verifier(idf), "a binary, b binary, similarity double").where(F.col("similarity") >= SIMILARITY)
-        return materialize(found, f"{name}-verified")
+        return materialize(found.select("a", "b"), f"{name}-verified")
 
-    leaders = bands.groupBy("band").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "b")
-    stars = bands.join(leaders, "band").where("node != b").select(F.col("node").alias("a"), "b").distinct()
+    sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = materialize(bands.join(sizes, "band"), "shared")
+    central = shared.groupBy("node").agg(F.sum("n").alias("near"))
+    leaders = shared.join(central, "node").groupBy("band").agg(F.max(F.struct("near", "node"))["node"].alias("b"))
+    stars = materialize(shared.join(leaders, "band").where("node != b").select(F.col("node").alias("a"), "b").distinct(), "stars")
     edges = verified(stars, "stars")
     groups = components(edges)
 
-    # bands that still hold more than one group: their documents are compared across groups, in blocks
-    grouped = bands.join(groups, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    mixed = grouped.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("n")).where("n > 2 and low != high").select("band", F.expr(f"cast(ceil(n / {BLOCK}) as int)").alias("blocks"))
+    # bands that still hold several groups, without the documents that cannot link
+    grouped = shared.where("n > 2").select("band", "node").join(groups, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    mixed = grouped.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("band")
     left = materialize(grouped.join(mixed, "band"), "mixed")
-    near = left.select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("b"), F.col("class").alias("cb"))
-    far = left.select("band", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("a"), F.col("class").alias("ca"))
-    across = far.join(near, ["band", "block"]).where("ca < cb").select("a", "b").distinct()
-    more = verified(across.join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti").join(stars, ["a", "b"], "left_anti"), "across")
-    classes = components(edges.select("a", "b").unionByName(more.select("a", "b")))
+    tokens = materialize(texts_of(left.select("node"), "tokens").mapInArrow(_exploder(idf), "node binary, shingle long, weight double"), "tokens")
+    left = materialize(linkable(left, tokens), "linkable")
+    hubs = left.groupBy("band").agg(F.max(F.struct(F.col("c") / F.col("t"), "node", "class", "c", "t")).alias("hub"))
+    spokes = left.join(hubs, "band").where((F.col("class") != F.col("hub.class")) & _bound(F.least("c", "hub.c"), F.col("t"), F.col("hub.t")))
+    edges = edges.unionByName(verified(spokes.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct(), "hubs"))
+    groups = components(edges)
+
+    # what remains is compared across groups, in blocks, each pair in the first band that both have
+    left = left.select("band", "node").join(groups, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    left = materialize(linkable(left, tokens), "remaining")
+    blocks = left.groupBy("band").agg(F.expr(f"cast(ceil(count(1) / {BLOCK}) as int)").alias("blocks"))
+    left = left.join(left.groupBy("node").agg(F.collect_set("band").alias("all")), "node").join(blocks, "band")
+    near = left.select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.struct("node", "class", "c", "t", "all").alias("y"))
+    far = left.select("band", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.struct("node", "class", "c", "t", "all").alias("x"))
+    may = _bound(F.least("x.c", "y.c"), F.col("x.t"), F.col("y.t"))
+    first = F.array_min(F.array_intersect("x.all", "y.all")) == far["band"]
+    met = (far["band"] == near["band"]) & (far["block"] == near["block"]) & (F.col("x.class") < F.col("y.class")) & may & first
+    more = verified(far.join(near, met).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), "across")
+    classes = components(edges.unionByName(more))
 
     least = nodes.select("node", F.col("first.doc_id").alias("doc_id"))
     ids = classes.join(least, "node").groupBy("class").agg(F.min("doc_id").alias("class_id"))
