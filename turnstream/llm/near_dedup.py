@@ -284,6 +284,15 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def joined(groups: DataFrame, pairs: DataFrame) -> DataFrame:
+    """components of the pairs that made groups and of pairs (a, b), from the classes of groups and pairs alone."""
+    of = lambda side: groups.toDF(side, f"{side}_class")
+    links = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_class", "a").alias("a"), F.coalesce("b_class", "b").alias("b"))
+    roots = components(links.where("a != b"))
+    moved = groups.join(roots.toDF("class", "root"), "class", "left").select("node", F.coalesce("root", "class").alias("class"))
+    return materialize(moved.unionByName(roots.join(groups.select("node"), "node", "left_anti")), "classes")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, class_id, class_size, keep_id, kept, n_words, key (see row_key).
 
@@ -325,8 +334,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     central = shared.groupBy("node").agg(F.sum("n").alias("near"))
     leaders = shared.join(central, "node").groupBy("band").agg(F.max(F.struct("near", "node"))["node"].alias("b"))
     stars = materialize(shared.join(leaders, "band").where("node != b").select(F.col("node").alias("a"), "b").distinct(), "stars")
-    edges = verified(stars, "stars")
-    groups = components(edges)
+    groups = components(verified(stars, "stars"))
 
     # bands that still hold several groups, without the documents that cannot link
     grouped = shared.where("n > 2").select("band", "node").join(groups, "node", "left").withColumn("class", F.coalesce("class", "node"))
@@ -336,8 +344,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     left = materialize(linkable(left, tokens), "linkable")
     hubs = left.groupBy("band").agg(F.max(F.struct(F.col("c") / F.col("t"), "node", "class", "c", "t")).alias("hub"))
     spokes = left.join(hubs, "band").where((F.col("class") != F.col("hub.class")) & _bound(F.least("c", "hub.c"), F.col("t"), F.col("hub.t")))
-    edges = edges.unionByName(verified(spokes.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct(), "hubs"))
-    groups = components(edges)
+    groups = joined(groups, verified(spokes.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct(), "hubs"))
 
     # what remains is compared across groups, in blocks, each pair in the first band that both have
     left = left.select("band", "node").join(groups, "node", "left").withColumn("class", F.coalesce("class", "node"))
@@ -349,8 +356,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     may = _bound(F.least("x.c", "y.c"), F.col("x.t"), F.col("y.t"))
     first = F.array_min(F.array_intersect("x.all", "y.all")) == far["band"]
     met = (far["band"] == near["band"]) & (far["block"] == near["block"]) & (F.col("x.class") < F.col("y.class")) & may & first
-    more = verified(far.join(near, met).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), "across")
-    classes = components(edges.unionByName(more))
+    classes = joined(groups, verified(far.join(near, met).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), "across"))
 
     least = nodes.select("node", F.col("first.doc_id").alias("doc_id"))
     ids = classes.join(least, "node").groupBy("class").agg(F.min("doc_id").alias("class_id"))
