@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,3 +31,21 @@ def escape_markdown(c: Column) -> Column:
 def csv_safe(c: Column) -> Column:
     """A leading formula character is neutralised by an apostrophe."""
     return F.when(c.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), c)).otherwise(c)
+
+
+def remove_fillers(c: Column, fillers: tuple[str, ...]) -> Column:
+    """The text without the listed words, in list order where they overlap; spaces are tidied after."""
+    if not fillers:
+        return c
+    listed = "|".join(re.escape(x) for x in fillers)
+    # ASCII word bounds
+    c = F.regexp_replace(c, rf"(?i)(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))(?:{listed})(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))", "")
+    return F.regexp_replace(collapse_spaces(c), r"[\t\n\f\r ]+([,.!?;:])", "$1")
+
+
+def count_matches(c: Column, query: str) -> Column:
+    """How often the query occurs, without overlaps and regardless of case; 0 for an empty query."""
+    q = query.lower()
+    if not q:
+        return F.lit(0).cast("long")
+    return ((F.char_length(F.lower(c)) - F.char_length(F.replace(F.lower(c), F.lit(q), F.lit("")))) / len(q)).cast("long")

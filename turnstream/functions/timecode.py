@@ -7,12 +7,31 @@ from pyspark.sql import functions as F
 
 
 def format_timestamp(seconds: Column) -> Column:
-    """[HH:MM:SS] of whole seconds, 0 at least; hours grow past two digits."""
+    """[HH:MM:SS] of whole seconds, 0 at least; hours grow past two digits; null stays null."""
     s = F.greatest(F.floor(seconds), F.lit(0))
-    return F.format_string("[%02d:%02d:%02d]", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
+    return F.when(seconds.isNotNull(), F.format_string("[%02d:%02d:%02d]", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60))
 
 
 def parse_timestamp(ts: Column) -> Column:
     """Seconds of a strict [HH:MM:SS], else null; minutes and seconds are not range-checked."""
     part = lambda k: F.regexp_extract(ts, r"^\[(\d{2,}):(\d{2}):(\d{2})\]$", k)
     return F.when(ts.rlike(r"^\[\d{2,}:\d{2}:\d{2}\]$"), part(1).cast("long") * 3600 + part(2).cast("long") * 60 + part(3).cast("long"))
+
+
+def clock(seconds: Column) -> Column:
+    """H:MM:SS, or M:SS below an hour; whole seconds, 0 at least."""
+    s = F.greatest(F.when(seconds < 0, F.ceil(seconds)).otherwise(F.floor(seconds)), F.lit(0))
+    h, m = F.floor(s / 3600), F.floor(s / 60)
+    return F.when(h > 0, F.format_string("%d:%02d:%02d", h, m % 60, s % 60)).when(seconds.isNotNull(), F.format_string("%d:%02d", m, s % 60))
+
+
+def precise_clock(seconds: Column, separator: str) -> Column:
+    """HH:MM:SS and milliseconds after the separator, rounded, 0 at least."""
+    ms = F.greatest(F.round(seconds * 1000).cast("long"), F.lit(0))
+    s = F.floor(ms / 1000)
+    return F.when(seconds.isNotNull(), F.format_string(f"%02d:%02d:%02d{separator}%03d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60, ms % 1000))
+
+
+def shift_timestamp(ts: Column, seconds: Column) -> Column:
+    """A strict timestamp moved by whole seconds, not below 0; any other value as it is."""
+    return F.coalesce(format_timestamp(parse_timestamp(ts) + seconds), ts)
