@@ -49,3 +49,83 @@ def count_matches(c: Column, query: str) -> Column:
     if not q:
         return F.lit(0).cast("long")
     return ((F.char_length(F.lower(c)) - F.char_length(F.replace(F.lower(c), F.lit(q), F.lit("")))) / len(q)).cast("long")
+
+
+#: ASCII word bounds, whatever the engine's \b means.
+_EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
+# fixed values: proper nouns that are written with a capital
+PROPER_NOUNS = (
+    "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday",
+    "January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December",
+    "English", "Spanish", "French", "German", "Chinese", "Japanese", "America", "American", "Europe", "European", "Asia", "Asian",
+    "Google", "Microsoft", "Apple", "Amazon", "Facebook", "Twitter",
+)
+
+
+def _literal(to: str) -> str:
+    """A replacement that holds no group reference."""
+    return to.replace("\\", "\\\\").replace("$", "\\$")
+
+
+def replace_phrases(c: Column, phrases: dict[str, str]) -> Column:
+    """Whole-word phrases regardless of case, the longest first, each on the output of those before."""
+    for find in sorted((k for k in phrases if k), key=lambda k: (-len(k.encode()), k)):
+        c = F.regexp_replace(c, f"(?iu){_EDGE}{re.escape(find)}{_EDGE}", _literal(phrases[find]))
+    return c
+
+
+def find_and_replace(c: Column, find: str, to: str, case_sensitive: bool = False, whole_word: bool = False) -> tuple[Column, Column]:
+    """(text with every match replaced, number of matches); an empty query changes nothing."""
+    if not find:
+        return c, F.lit(0).cast("long")
+    edge = _EDGE if whole_word else ""
+    pattern = f"{'' if case_sensitive else '(?iu)'}{edge}{re.escape(find)}{edge}"
+    return F.regexp_replace(c, pattern, _literal(to)), F.regexp_count(c, F.lit(pattern)).cast("long")
+
+
+def proper_nouns(c: Column) -> Column:
+    for noun in PROPER_NOUNS:
+        c = F.regexp_replace(c, f"(?iu){_EDGE}{noun}{_EDGE}", noun)
+    return c
+
+
+def sentence_case(c: Column) -> Column:
+    """The first letter of each sentence in upper case and a lone i as I; white space and all else stay."""
+    first = r"(?s)^([^\p{L}]*)(\p{L})(.*)$"
+
+    def fix(part: Column) -> Column:
+        big = F.upper(F.regexp_extract(part, first, 2))
+        big = F.when(F.char_length(big) == 1, big).otherwise(F.regexp_extract(part, first, 2))
+        grown = F.when(part.rlike(first), F.concat(F.regexp_extract(part, first, 1), big, F.regexp_extract(part, first, 3))).otherwise(part)
+        return F.regexp_replace(grown, f"{_EDGE}i{_EDGE}", "I")
+
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(r"[^.!?]+|[.!?]+"), F.lit(0)), fix), "")
+
+
+def language_codes(c: Column) -> Column:
+    """Canonical BCP-47 codes of a list, without repeats; null if one is malformed or more than ten remain."""
+    tag = r"^([A-Za-z]{2,3})(?:-([A-Za-z]{4}))?(?:-([A-Za-z]{2}|[0-9]{3}))?$"
+    codes = F.transform(F.filter(F.split(c, r"[,; \t\n]+"), lambda x: x != ""), lambda x: F.replace(x, F.lit("_"), F.lit("-")))
+
+    def canon(x: Column) -> Column:
+        script, region = F.regexp_extract(x, tag, 2), F.regexp_extract(x, tag, 3)
+        return F.concat(F.lower(F.regexp_extract(x, tag, 1)), F.when(script != "", F.concat(F.lit("-"), F.initcap(script))).otherwise(""), F.when(region != "", F.concat(F.lit("-"), F.upper(region))).otherwise(""))
+
+    found = F.array_distinct(F.transform(codes, canon))
+    return F.when(F.forall(codes, lambda x: x.rlike(tag)) & (F.size(found) <= 10), found)
+
+
+def escape_xml(c: Column) -> Column:
+    for find, to in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        c = F.replace(c, F.lit(find), F.lit(to))
+    return c
+
+
+def strip_fences(c: Column) -> Column:
+    """Text without the code fence around it."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), r"^```[A-Za-z]*[\t\r ]*\n?", ""), r"\n?```$", ""))
+
+
+def safe_id(c: Column) -> Column:
+    return F.coalesce(c.rlike(r"^[A-Za-z0-9_-]{1,128}$"), F.lit(False))

@@ -35,3 +35,12 @@ def precise_clock(seconds: Column, separator: str) -> Column:
 def shift_timestamp(ts: Column, seconds: Column) -> Column:
     """A strict timestamp moved by whole seconds, not below 0; any other value as it is."""
     return F.coalesce(format_timestamp(parse_timestamp(ts) + seconds), ts)
+
+
+def normalise_timestamp(ts: Column) -> Column:
+    """Loose H:M:S, with both brackets or none, as [HH:MM:SS]; any other value trimmed."""
+    bare = F.trim(ts)
+    inner = F.regexp_replace(bare, r"^\[(.*)\]$", "$1")
+    shape = r"^([0-9]{1,9}):([0-9]{1,2}):([0-9]{1,2})$"
+    part = lambda k: F.regexp_extract(inner, shape, k).cast("int")
+    return F.when(inner.rlike(shape), F.format_string("[%02d:%02d:%02d]", part(1), part(2), part(3))).otherwise(bare)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import text, timecode
 from .operators import compare, quality, render, timeline, validate
+from .plans import extended
 from .sources.fixtures import segments, table, words
 from .streaming import events
 
@@ -154,3 +155,6 @@ SELECT recording_id, n_segments, n_speakers, n_words, n_sentences, round(density
     "q_budget_ledger": f"WITH {_LOG}, c AS (SELECT job_id, id, floor(abs(value))::BIGINT AS charge FROM log), s AS (SELECT *, sum(charge) OVER (PARTITION BY job_id ORDER BY id)::BIGINT AS spent FROM c) SELECT *, spent <= 500 AS allowed FROM s",
     "q_event_state_audit": f"WITH {_LOG}, p AS (SELECT lag(name) OVER (PARTITION BY job_id ORDER BY id) AS before, name AS after FROM log) SELECT before, after, count(*) AS n FROM p WHERE before IS NOT NULL GROUP BY 1, 2",
 }
+
+QUERIES |= extended.QUERIES
+ORACLE |= extended.oracle(_SEG, _PLAN, _CUT, _NORM, _WS, ORACLE["q_quality_scorecard"])
