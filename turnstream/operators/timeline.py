@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .subtitles import turns
+
+
 def _by_time():
     return Window.partitionBy("recording_id").orderBy("seg_idx")
 
@@ -70,14 +73,4 @@ def reading_turns(seg: DataFrame, most: float = 120.0) -> DataFrame:
 
     The rule resets at each turn's own start, so it is a fold over the recording's ordered segments.
     """
-    items = F.array_sort(F.collect_list(F.struct("seg_idx", "speaker", "start", "text")))
-    rows = seg.where(~F.col("text").rlike(r"^[\t-\r ]*$")).groupBy("recording_id").agg(items.alias("items"))
-
-    def step(acc, x):
-        same = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["speaker"] == x["speaker"]) & (x["start"] - F.try_element_at(acc, F.lit(-1))["start"] < most)
-        grown = F.struct(F.try_element_at(acc, F.lit(-1))["speaker"].alias("speaker"), F.try_element_at(acc, F.lit(-1))["start"].alias("start"), F.concat_ws(" ", F.try_element_at(acc, F.lit(-1))["text"], x["text"]).alias("text"), (F.try_element_at(acc, F.lit(-1))["n"] + 1).alias("n"))
-        fresh = F.struct(x["speaker"].alias("speaker"), x["start"].alias("start"), x["text"].alias("text"), F.lit(1).alias("n"))
-        return F.when(same, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(fresh)))
-
-    empty = F.array().cast("array<struct<speaker:string,start:double,text:string,n:int>>")
-    return rows.select("recording_id", F.posexplode(F.aggregate("items", empty, step)).alias("turn_idx", "t")).select("recording_id", "turn_idx", F.col("t.speaker").alias("speaker"), F.col("t.start").alias("start"), F.col("t.n").alias("n_segments"), F.char_length("t.text").alias("n_chars"))
+    return turns(seg, most).select("recording_id", "turn_idx", "speaker", "start", "n_segments", F.char_length("text").alias("n_chars"))
