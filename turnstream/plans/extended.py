@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, timecode
-from ..operators import evidence, folds, quality, timeline
+from ..operators import evidence, folds, quality, subtitles, timeline
+from ..sources import payloads
 from ..sources.fixtures import segments, table, words
 
 PHRASES = {"the": "THE", "the law": "$1 law", "and": "&"}
@@ -63,6 +64,25 @@ def _scores(seg):
     return evidence.best_candidate(c)
 
 
+def _payloads(seg, kind):
+    """Segments as the payloads that a provider would send: turns, or phrases with a numbered speaker."""
+    ms = lambda c: F.round(F.col(c) * 1000)
+    one = {
+        "turns": F.struct(ms("start").alias("startMs"), ms("end").alias("endMs"), "speaker", F.col("text").alias("transcript")),
+        "phrases": F.struct(ms("start").alias("offsetMilliseconds"), (ms("end") - ms("start")).alias("durationMilliseconds"), (F.col("seg_idx") % 2).cast("int").alias("speaker"), "text"),
+    }[kind]
+    rows = seg.groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("seg_idx", one.alias("x")))).alias("xs"))
+    return rows.select("recording_id", F.lit(0).alias("chunk_idx"), F.to_json(F.struct(F.transform("xs", lambda r: r["x"]).alias(kind))).alias("payload"))
+
+
+def _silence_log(seg):
+    at = F.round("start", 3)
+    return seg.select("recording_id", F.explode(F.array(F.struct((F.col("seg_idx") * 2).alias("line_no"), F.concat(F.lit("[x] silence_start: "), F.format_string("%.3f", at)).alias("line")), F.struct((F.col("seg_idx") * 2 + 1).alias("line_no"), F.when(F.col("seg_idx") % 3 != 0, F.concat(F.lit("[x] silence_end: "), F.format_string("%.3f", at + 0.5), F.lit(" | silence_duration: 0.5"))).otherwise("frame= 1").alias("line")))).alias("e")).select("recording_id", "e.*")
+
+
+_parsed = lambda kind: lambda s, d: payloads.speech_units(_payloads(segments(s, d), kind)).select("recording_id", "unit_idx", "text", "speaker", "start_ms", "end_ms", "error")
+
+
 def _replaced(c):
     return text.find_and_replace(c, "an", "AN", whole_word=False)
 
@@ -89,6 +109,16 @@ QUERIES = {
     "q_stitch_segments": _seg(lambda x: folds.segments_from_units(folds.stitch_chunks(chunk_units(x, 20), _spans(x)))),
     "q_chunk_plan_adaptive": _seg(lambda x: folds.adaptive_plan(_totals(x), _silences(x), 40_000, 5_000)),
     "q_recogniser_segments": _seg(lambda x: folds.segments_from_words(_units(x).select("recording_id", F.col("unit_idx").alias("pos"), F.col("text").alias("word"), (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end")))),
+    "q_speech_turns": _parsed("turns"),
+    "q_speech_phrases": _parsed("phrases"),
+    "q_silence_log": _seg(lambda x: payloads.silence_spans(_silence_log(x))),
+    "q_cues": _seg(subtitles.cues),
+    "q_export_txt": _seg(subtitles.render_text),
+    "q_export_turns": _seg(lambda x: subtitles.render_text(x, False)),
+    "q_export_srt": _seg(subtitles.render_srt),
+    "q_export_vtt": _seg(subtitles.render_vtt),
+    "q_export_markdown_document": _seg(lambda x: subtitles.render_markdown(x, "Transcript")),
+    "q_export_json": _seg(subtitles.render_json),
     "q_replacements": _texts(clean=lambda c: text.replace_phrases(c, PHRASES)),
     "q_find_replace": _texts(clean=lambda c: _replaced(c)[0], matches=lambda c: _replaced(c)[1]),
     "q_proper_nouns": _texts(clean=text.proper_nouns),
@@ -137,7 +167,20 @@ tr AS (SELECT *, CASE WHEN dur < 30 OR score >= 85 THEN 'skip' WHEN score >= 70
             out = f"regexp_replace({out}, '(?i)\\b{find}\\b', '{to}', 'g')"
         return out
 
+    ms = lambda c: f"round({c} * 1000)::BIGINT"
+    # an adaptive plan by recursion: the nearest silence in reach, else the target
+    cutat = """(SELECT mid FROM sil WHERE sil.recording_id = {r} AND mid > {s} + 30000 AND mid < {t} AND abs(mid - {s} - 40000) <= 10000 ORDER BY abs(mid - {s} - 40000), mid LIMIT 1)"""
+    adaptive = f"""tt AS (SELECT recording_id, {ms('max("end")')} AS total FROM seg GROUP BY 1),
+sil AS (SELECT recording_id, {ms('start')} AS mid FROM seg QUALIFY row_number() OVER (PARTITION BY recording_id ORDER BY seg_idx) > 1),
+st AS (SELECT recording_id, total, 0::BIGINT AS chunk_idx, 0::BIGINT AS start_ms, CASE WHEN total <= 40000 THEN NULL ELSE {cutat.format(r='tt.recording_id', s='0', t='total')} END AS mid, -1::BIGINT AS last_end FROM tt WHERE total > 0
+UNION ALL SELECT recording_id, total, chunk_idx + 1, nx, CASE WHEN nx + 40000 > total THEN NULL ELSE {cutat.format(r='q.recording_id', s='nx', t='total')} END, end_ms
+  FROM (SELECT *, CASE WHEN start_ms + 40000 > total THEN total ELSE coalesce(mid, start_ms + 40000) END AS end_ms, greatest(CASE WHEN mid IS NULL THEN start_ms + 35000 ELSE mid - 2500 END, 0) AS nx FROM st) q WHERE end_ms < total AND end_ms > last_end)"""
     return {
+        "q_chunk_plan_adaptive": f"WITH RECURSIVE {seg}, {adaptive}, f AS (SELECT *, CASE WHEN total <= 40000 OR start_ms + 40000 > total THEN 'final' WHEN mid IS NOT NULL THEN 'silence' ELSE 'fixed' END AS kind FROM st) SELECT recording_id, chunk_idx, start_ms, CASE kind WHEN 'final' THEN total WHEN 'silence' THEN mid ELSE start_ms + 40000 END AS end_ms, CASE kind WHEN 'final' THEN 0 WHEN 'silence' THEN 2500 ELSE 5000 END::BIGINT AS overlap_ms, kind AS boundary_type, CASE kind WHEN 'final' THEN 1.0 WHEN 'silence' THEN 0.9 ELSE 0.5 END::DOUBLE AS confidence FROM f",
+        "q_speech_turns": f"WITH {seg} SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY start, seg_idx) - 1 AS unit_idx, text, speaker, {ms('start')} AS start_ms, {ms(chr(34) + 'end' + chr(34))} AS end_ms, NULL::VARCHAR AS error FROM seg",
+        "q_speech_phrases": f"WITH {seg} SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY start, seg_idx) - 1 AS unit_idx, text, (seg_idx % 2)::VARCHAR AS speaker, {ms('start')} AS start_ms, {ms(chr(34) + 'end' + chr(34))} AS end_ms, NULL::VARCHAR AS error FROM seg",
+        "q_silence_log": f"WITH {seg} SELECT recording_id, trunc(round(start, 3) * 1000)::BIGINT AS start_ms, trunc(round(start + 0.5, 3) * 1000)::BIGINT AS end_ms FROM seg WHERE seg_idx % 3 <> 0",
+        "q_export_txt": f"WITH {seg} SELECT recording_id, string_agg(timestamp || ' ' || speaker || ': ' || text || chr(10), '' ORDER BY seg_idx) AS document FROM seg GROUP BY 1",
         "q_timestamp_quality": f"WITH {seg}, {tq} SELECT recording_id, score, back_steps, irregular, recommendation FROM tr",
         "q_score_warnings": f"WITH q AS ({card}) SELECT recording_id, concat_ws('; ', CASE WHEN readability < 70 THEN printf('Low readability score: %.1f', round(readability, 1)) END, CASE WHEN vocabulary < 30 THEN printf('Low vocabulary richness: %.1f', round(vocabulary, 1)) END, CASE WHEN density > 0.15 THEN printf('High punctuation density: %.3f', round(density, 3)) END, CASE WHEN coverage < 80 THEN printf('Low timestamp coverage: %.1f%%', round(coverage, 1)) END) AS warnings FROM q",
         "q_escalation": f"WITH q AS ({card}), {seg}, {tq}, cf AS (SELECT recording_id, count(*) AS n, count(c) AS known, count(*) FILTER (c >= 0.75) AS sure FROM (SELECT recording_id, CASE WHEN recording_id % 2 = 0 THEN seg_idx % 8 / 6 END AS c FROM seg) GROUP BY 1) SELECT recording_id, CASE WHEN overall < 78 THEN 'quality' WHEN recommendation <> 'skip' THEN 'timestamps' WHEN known * 2 >= n AND sure * 4 < known * 3 THEN 'confidence' END AS reason, round(greatest(0.0::DOUBLE, (78 - overall) / 78, (85 - score) / 85), 6) AS severity FROM q JOIN cf USING (recording_id) JOIN tr USING (recording_id)",
