@@ -3,6 +3,7 @@
 Streams have job_id, id, name, data, value and ts (timestamp).  State is keyed by job and bounded: one number or
 status for each job, keys within the watermark, or an open session.  Set spark.sql.streaming.stateStore.providerClass
 to the RocksDB provider where jobs outgrow an executor's memory, and give writeStream a checkpointLocation in shared storage.
+Ledger and states take micro-batches as they arrive: an event that comes in a later one than its successors is applied then.
 """
 
 from __future__ import annotations
