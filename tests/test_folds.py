@@ -130,3 +130,16 @@ def test_documents(spark):
     assert '"speaker":"Ada"' in one(subtitles.render_json(seg))
     with zipfile.ZipFile(io.BytesIO(one(subtitles.render_docx(seg, "T")))) as z:
         assert "A &amp; &lt;b&gt;" in z.read("word/document.xml").decode()
+
+
+def merged(spark, rows):
+    lists = spark.createDataFrame([(1, c, i, s, t, f"[00:{at // 60:02d}:{at % 60:02d}]") for i, (c, s, t, at) in enumerate(rows)], "recording_id long, chunk_idx long, seg_idx long, speaker string, text string, timestamp string")
+    return [r.text for r in folds.merge_chunks(lists).orderBy("seg_idx").collect()]
+
+
+def test_repeated_rows_of_a_seam_go(spark):
+    assert merged(spark, [(0, "A", "hello world", 0), (0, "A", "this is a test", 5), (1, "a ", "This is a test!", 6), (1, "A", "more", 9)]) == ["hello world", "this is a test", "more"]
+    assert merged(spark, [(0, "A", "x", 0), (0, "A", "y", 1), (1, "A", "x", 1), (1, "A", "y", 2), (1, "A", "y", 2), (2, "A", "z", 9)]) == ["x", "y", "y", "z"]
+    assert merged(spark, [(0, "A", "x", 0), (1, "B", "x", 0), (2, "B", "x", 3)]) == ["x", "x", "x"]
+    assert merged(spark, [(0, "A", "привет", 0), (1, "A", "пока", 1), (2, "A", "пока", 1)]) == ["привет", "пока"]
+    assert merged(spark, [(0, "A", str(i), i) for i in range(9)] + [(1, "A", str(i), i) for i in range(3, 12)]) == [str(i) for i in range(9)] + [str(i) for i in range(3, 12)]

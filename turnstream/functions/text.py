@@ -129,3 +129,17 @@ def strip_fences(c: Column) -> Column:
 
 def safe_id(c: Column) -> Column:
     return F.coalesce(c.rlike(r"^[A-Za-z0-9_-]{1,128}$"), F.lit(False))
+
+
+def clean_text(c: Column, fillers: tuple[str, ...] = (), sentences: bool = True, phrases: dict[str, str] | None = None) -> tuple[Column, Column]:
+    """(cleaned text, labels of the steps after which it differed from the original, comma-joined): spaces, punctuation, fillers, sentence case, phrases.
+
+    A text that the steps would empty stays as it was.
+    """
+    labels, now = [], c
+    for label, step in (("spaces", collapse_spaces), ("punctuation", fix_punctuation), ("fillers", lambda x: remove_fillers(x, fillers)), ("sentences", sentence_case if sentences else lambda x: x)):
+        if label == "fillers" and not fillers or label == "sentences" and not sentences:
+            continue
+        now = step(now)
+        labels.append(F.when(now != c, label))
+    return F.when(F.trim(replace_phrases(now, phrases or {})) == "", c).otherwise(replace_phrases(now, phrases or {})), F.concat_ws(",", *labels)

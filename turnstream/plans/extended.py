@@ -83,6 +83,20 @@ def _silence_log(seg):
 _parsed = lambda kind: lambda s, d: payloads.speech_units(_payloads(segments(s, d), kind)).select("recording_id", "unit_idx", "text", "speaker", "start_ms", "end_ms", "error")
 
 
+def _lists(seg):
+    """Three segments to a chunk, of which the next chunk repeats the last."""
+    k = F.col("seg_idx")
+    chunks = F.filter(F.array(F.floor(k / 2), F.floor(k / 2) - 1), lambda c: (c >= 0) & (c * 2 + 2 >= k))
+    return seg.withColumn("chunk_idx", F.explode(chunks))
+
+
+FILLERS = ("um", "of", "the")
+
+
+def _cleaned(c):
+    return text.clean_text(c, FILLERS, False)
+
+
 def _replaced(c):
     return text.find_and_replace(c, "an", "AN", whole_word=False)
 
@@ -119,6 +133,8 @@ QUERIES = {
     "q_export_vtt": _seg(subtitles.render_vtt),
     "q_export_markdown_document": _seg(lambda x: subtitles.render_markdown(x, "Transcript")),
     "q_export_json": _seg(subtitles.render_json),
+    "q_merge_overlap": _seg(lambda x: folds.merge_chunks(_lists(x)).groupBy("recording_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text")).alias("chars"))),
+    "q_clean_text": _texts(clean=lambda c: _cleaned(c)[0], steps=lambda c: _cleaned(c)[1]),
     "q_replacements": _texts(clean=lambda c: text.replace_phrases(c, PHRASES)),
     "q_find_replace": _texts(clean=lambda c: _replaced(c)[0], matches=lambda c: _replaced(c)[1]),
     "q_proper_nouns": _texts(clean=text.proper_nouns),
@@ -175,7 +191,12 @@ sil AS (SELECT recording_id, {ms('start')} AS mid FROM seg QUALIFY row_number()
 st AS (SELECT recording_id, total, 0::BIGINT AS chunk_idx, 0::BIGINT AS start_ms, CASE WHEN total <= 40000 THEN NULL ELSE {cutat.format(r='tt.recording_id', s='0', t='total')} END AS mid, -1::BIGINT AS last_end FROM tt WHERE total > 0
 UNION ALL SELECT recording_id, total, chunk_idx + 1, nx, CASE WHEN nx + 40000 > total THEN NULL ELSE {cutat.format(r='q.recording_id', s='nx', t='total')} END, end_ms
   FROM (SELECT *, CASE WHEN start_ms + 40000 > total THEN total ELSE coalesce(mid, start_ms + 40000) END AS end_ms, greatest(CASE WHEN mid IS NULL THEN start_ms + 35000 ELSE mid - 2500 END, 0) AS nx FROM st) q WHERE end_ms < total AND end_ms > last_end)"""
+    spaces = r"trim(regexp_replace({}, '[\t\n\f\r ]+', ' ', 'g'))"
+    marks = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '[\t\n\f\r ]+([,.!?;:])', '\1', 'g'), '([,!?;:])([A-Za-z])', '\1 \2', 'g'), '!!+', '!', 'g'), '\?\?+', '?', 'g'), '\.\.+', '...', 'g')"
+    plain = r"regexp_replace(trim(regexp_replace(regexp_replace({}, '(?i)\b(?:um|of|the)\b', '', 'g'), '[\t\n\f\r ]+', ' ', 'g')), '[\t\n\f\r ]+([,.!?;:])', '\1', 'g')"
     return {
+        "q_merge_overlap": f"WITH {seg} SELECT recording_id, count(*) AS n, sum(length(text))::BIGINT AS chars FROM seg GROUP BY 1",
+        "q_clean_text": f"WITH a AS (SELECT conv_id, turn, text, {spaces.format('text')} AS s FROM conversations), b AS (SELECT *, {marks.format('s')} AS p FROM a), c AS (SELECT *, {plain.format('p')} AS f FROM b) SELECT conv_id, turn, CASE WHEN trim(f) = '' THEN text ELSE f END AS clean, concat_ws(',', CASE WHEN s <> text THEN 'spaces' END, CASE WHEN p <> text THEN 'punctuation' END, CASE WHEN f <> text THEN 'fillers' END) AS steps FROM c",
         "q_chunk_plan_adaptive": f"WITH RECURSIVE {seg}, {adaptive}, f AS (SELECT *, CASE WHEN total <= 40000 OR start_ms + 40000 > total THEN 'final' WHEN mid IS NOT NULL THEN 'silence' ELSE 'fixed' END AS kind FROM st) SELECT recording_id, chunk_idx, start_ms, CASE kind WHEN 'final' THEN total WHEN 'silence' THEN mid ELSE start_ms + 40000 END AS end_ms, CASE kind WHEN 'final' THEN 0 WHEN 'silence' THEN 2500 ELSE 5000 END::BIGINT AS overlap_ms, kind AS boundary_type, CASE kind WHEN 'final' THEN 1.0 WHEN 'silence' THEN 0.9 ELSE 0.5 END::DOUBLE AS confidence FROM f",
         "q_speech_turns": f"WITH {seg} SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY start, seg_idx) - 1 AS unit_idx, text, speaker, {ms('start')} AS start_ms, {ms(chr(34) + 'end' + chr(34))} AS end_ms, NULL::VARCHAR AS error FROM seg",
         "q_speech_phrases": f"WITH {seg} SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY start, seg_idx) - 1 AS unit_idx, text, (seg_idx % 2)::VARCHAR AS speaker, {ms('start')} AS start_ms, {ms(chr(34) + 'end' + chr(34))} AS end_ms, NULL::VARCHAR AS error FROM seg",
