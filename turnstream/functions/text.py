@@ -85,9 +85,11 @@ def find_and_replace(c: Column, find: str, to: str, case_sensitive: bool = False
 
 
 def proper_nouns(c: Column) -> Column:
+    """The listed nouns, as whole words, with their capital; texts that hold none are passed by one search."""
+    fixed = c
     for noun in PROPER_NOUNS:
-        c = F.regexp_replace(c, f"(?iu){_EDGE}{noun}{_EDGE}", noun)
-    return c
+        fixed = F.regexp_replace(fixed, f"(?iu){_EDGE}{noun}{_EDGE}", noun)
+    return F.when(c.rlike(f"(?iu){'|'.join(PROPER_NOUNS)}"), fixed).otherwise(c)
 
 
 def sentence_case(c: Column) -> Column:
