@@ -157,6 +157,35 @@ def test_line_classes_against_brute_force(spark, monkeypatch, hot):
     assert line_dedup.line_classes(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("hot", [64, 2])
+def test_long_lines_against_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    r = random.Random(11)
+    base = ["".join(r.choice("abcdefé ") for _ in range(n)) + "." for n in (62, 63, 64, 80, 127, 128, 257)]
+    lines = []
+    for _ in range(60):
+        x = list(r.choice(base))
+        for _ in range(r.randint(0, len(x) // 24 + 1)):
+            k = r.randrange(len(x))
+            x[k : k + r.randint(0, 1)] = r.choice(["", "a", "zz"[: r.randint(1, 2)]])
+        lines.append("".join(x))
+    rows = list(enumerate(lines)) + [(900, "On Page 9"), (901, "On Page 8")]
+    got = {x.doc_id: x.class_doc_id for x in line_dedup.line_classes(docs(spark, rows)).collect()}
+    first = {}
+    for i, t in rows:
+        first.setdefault(t, i)
+    label, moved = dict(first), True
+    near = [(x, y) for x in first for y in first if x < y and abs(len(x) - len(y)) < 40 and levenshtein(x, y) <= max(1, min(len(x), len(y)) // 32)]
+    assert any(levenshtein(x, y) > 5 for x, y in near)
+    while moved:
+        moved = False
+        for x, y in near:
+            if label[x] != label[y]:
+                label[x] = label[y] = min(label[x], label[y])
+                moved = True
+    assert got == {first[x]: label[x] for x in first}
+
+
 def test_near_duplicates(spark):
     r = random.Random(7)
     vocabulary = ["w" + str(i) for i in range(3000)]

@@ -1,10 +1,15 @@
 """Line deduplication by a segment-partition edit join.
 
-Different lines are alike if one edit (insertion, deletion or substitution of a code point) turns one into the
-other.  A line is split into EDITS + 1 = 2 segments, of which one edit leaves one intact: lines of n code
-points are filed under n and each half, and lines of n or n + 1 probe those lists with their own first and
-last code points - for one edit the intact segment lies at the same distance from the start or from the end.
-Pairs that meet are verified by banded bit-parallel edit distance.
+Different lines are alike if k edits (insertions, deletions or substitutions of a code point) turn one into the
+other, where k is one for each SHARE code points of the shorter line, and at least one.  k edits cut a line into
+k + 1 segments or fewer that stay intact, so the longest has (n - k) / (k + 1) code points at least.
+
+Where one edit is allowed, a line is split into 2 segments: lines of n code points are filed under n and each
+half, and lines of n or n + 1 probe those lists with their own first and last code points - for one edit the
+intact segment lies at the same distance from the start or from the end.  Where more are allowed, segments of
+either line can shift; so each line is filed under the grams that are least by hash in any stretch as long as
+the longest intact segment must be.  Both lines hold that segment, so both are filed under its least gram, at
+places no further apart than k.  Pairs that meet are verified by banded edit distance.
 
 Where a list holds more than HOT lines - many variants of one long line - its entries are filed again, each
 under one half of the segment that is still open, until the lists are short or the open part is a single code
@@ -23,12 +28,21 @@ from pyspark.sql import functions as F
 from .common import CHUNK, materialize, mix, possibly_in, row_slices, text_buffer
 from .near_dedup import components
 
-EDITS = 1
+#: Code points of the shorter line for each edit that is allowed.
+SHARE = 32
 #: Shorter lines, in code points, are alike only if equal: one edit is then much of the line.
-LEAST_CHARS = 16
+LEAST_CHARS = 8
+#: Code points from which two edits or more are allowed.
+LONG = 2 * SHARE
 HOT = 64
+#: Code points in a gram of a long line.
+GRAM = 12
+#: Lengths of the shorter line from which the longest intact segment is taken to be longer.
+LEVELS = (LONG, 2 * LONG, 4 * LONG, 8 * LONG)
 
 _BASE = 0x9E3779B97F4A7C15 | 1
+_SPOTS = "key long, line long, spot long"
+_MET = "key long, line long, spot long, other long"
 _KEYS = "key long, line long, n int, longer boolean, open_from int, open_to int"
 
 
@@ -110,10 +124,169 @@ def _refile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "line", "n", "longer", "open_from", "open_to"])
 
 
-def edit_distance(a: str, b: str, most: int = EDITS) -> int:
+def edits(n: int) -> int:
+    """Edits allowed between lines of which the shorter has n code points."""
+    return max(1, n // SHARE) if n >= LEAST_CHARS else 0
+
+
+def _stretch(n: int) -> int:
+    """Length that the longest intact segment has at least where the shorter line has n code points or more."""
+    return -(-(n - edits(n)) // (edits(n) + 1))
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Long lines under their least grams, once for each level that a shorter line like them can have."""
+    for whole in batches:
+        _, offsets = text_buffer(whole.column(1))
+        for lo, hi in row_slices(offsets, CHUNK):
+            points, bounds = _code_points(whole.column(1).slice(lo, hi - lo))
+            total, down = _prefix_hashes(points)
+            names = whole.column(0).slice(lo, hi - lo).to_numpy()
+            n = np.diff(bounds)
+            begin = np.arange(max(len(points) - GRAM + 1, 0))
+            if not len(begin):
+                continue
+            hashes = _span(total, down, begin, begin + GRAM, np.uint64(7))
+            row = np.repeat(np.arange(len(n)), n)[: len(begin)]
+            keys, lines, spots = [], [], []
+            for level, least in enumerate(LEVELS):
+                above = LEVELS[level + 1] if level + 1 < len(LEVELS) else np.inf
+                here = (n >= least) & (n - n // SHARE < above)
+                width = _stretch(least) - GRAM + 1
+                # place of the least gram of the `width` that begin at each place
+                best, have = begin, 1
+                while have < width and len(best):
+                    step = min(have, width - have)
+                    a, b = best[:-step], best[step:]
+                    best = np.where(hashes[b] < hashes[a], b, a)
+                    have += step
+                first = row[: len(best)]
+                whole_in = here[first] & (begin[: len(best)] + width + GRAM - 1 <= bounds[first + 1])
+                taken = np.zeros(len(begin), bool)
+                taken[best[whole_in]] = True
+                at = np.flatnonzero(taken)
+                keys.append(mix(hashes[at] + np.uint64(level + 1)))
+                lines.append(names[row[at]])
+                spots.append(n[row[at]] << np.int64(32) | at - bounds[row[at]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(lines)), pa.array(np.concatenate(spots))], ["key", "line", "spot"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.ndarray]]:
+    """Columns of batches sorted by the first, cut only where it changes."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
+        cut = int(np.searchsorted(new[0], new[0][-1]))
+        if held and cut == 0 and held[-1][0][-1] == new[0][0]:
+            held.append(new)
+            continue
+        yield [np.concatenate([*(h[i] for h in held), new[i][:cut]]) for i in range(columns)]
+        held = [[c[cut:] for c in new]]
+    if held:
+        yield [np.concatenate([h[i] for h in held]) for i in range(columns)]
+
+
+def _near(spot: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether entries i and later j of one list can belong to lines that are alike."""
+    n, at = spot >> np.int64(32), spot & np.int64(0xFFFFFFFF)
+    most = n[i] // SHARE
+    return (n[j] - n[i] <= most) & (np.abs(at[j] - at[i]) <= most)
+
+
+def _sweep(key: np.ndarray, line: np.ndarray, spot: np.ndarray, group: np.ndarray, i: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Entries i with each later one of their list, sorted by spot, that can be alike and has another group."""
+    n, d = spot >> np.int64(32), 1
+    while len(i):
+        i = i[i + d < len(key)]
+        i = i[(key[i + d] == key[i]) & (n[i + d] - n[i] <= n[i] // SHARE)]
+        ok = i[(group[i] != group[i + d]) & _near(spot, i, i + d)]
+        yield ok, ok + d
+        d += 1
+
+
+def _unique_pairs(line: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    a = line[np.concatenate([f[0] for f in found])] if found else line[:0]
+    b = line[np.concatenate([f[1] for f in found])] if found else line[:0]
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1)
+    return pairs[0], pairs[1]
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of lists of up to HOT entries; of longer lists the entries, each with two neighbours and the middle."""
+    for key, line, spot in _runs(batches, 3):
+        if not len(key):
+            continue
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[start, len(key)])
+        of = np.repeat(np.arange(len(start)), size)
+        entry = np.arange(len(key))
+        hot = size[of] > HOT
+        found = list(_sweep(key, line, spot, line, entry[~hot & (size[of] > 1)]))
+        much = entry[hot]
+        if len(much):
+            middle = (start + size // 2)[of[much]]
+            for d in (1, 2):
+                i = much[much + d < len(key)]
+                found.append((i, i + d))
+            found.append((np.minimum(much, middle), np.maximum(much, middle)))
+            found[-3:] = [(i[ok], j[ok]) for i, j in found[-3:] for ok in [(key[i] == key[j]) & _near(spot, i, j)]]
+        x, y = _unique_pairs(line, found)
+        zero = np.zeros(len(x), np.int64)
+        other = pa.array(np.concatenate([y, np.zeros(len(much), np.int64)]), mask=np.r_[np.zeros(len(x), bool), np.ones(len(much), bool)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[zero, key[much]]), pa.array(np.r_[x, line[much]]), pa.array(np.r_[zero, spot[much]]), other], ["key", "line", "spot", "other"])
+
+
+def _meet_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of long lists that no chain of links joins yet."""
+    for key, line, spot, group in _runs(batches, 4):
+        if not len(key):
+            continue
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        mixed = np.minimum.reduceat(group, start) != np.maximum.reduceat(group, start)
+        of = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(key)]))
+        x, y = _unique_pairs(line, list(_sweep(key, line, spot, group, np.flatnonzero(mixed[of]))))
+        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
+
+
+def _alike_run(a: str, i: int, b: str, j: int) -> int:
+    """Length of the longest common start of a from i and b from j."""
+    start, step, end = i, 8, min(len(a) - i, len(b) - j) + i
+    while i < end and a[i] == b[j]:
+        if a[i : i + step] == b[j : j + step] and i + step <= end:
+            i, j, step = i + step, j + step, 2 * step
+        elif step > 1:
+            step = max(1, step // 4)
+        else:
+            i, j = i + 1, j + 1
+    return i - start
+
+
+def _by_diagonals(a: str, b: str, most: int) -> int:
+    """Edit distance up to `most`, else most + 1, by the furthest place that e edits reach on each diagonal."""
+    goal = len(b) - len(a)
+    reached = {0: _alike_run(a, 0, b, 0)}
+    for e in range(most + 1):
+        if reached.get(goal, -1) >= len(a):
+            return e
+        after = {}
+        for k in range(-e - 1, e + 2):
+            # from here on the diagonal of the ends must still be in reach
+            if abs(goal - k) > most - e - 1:
+                continue
+            i = max(reached.get(k, -2) + 1, reached.get(k - 1, -2), reached.get(k + 1, -2) + 1)
+            i = min(i, len(a), len(b) - k)
+            if i >= 0 and i + k >= 0:
+                after[k] = i + _alike_run(a, i, b, i + k)
+        reached = after
+    return most + 1
+
+
+def edit_distance(a: str, b: str, most: int = 1) -> int:
     """Edit distance if it is at most `most`, else most + 1: bit-parallel, in a band of 2 most + 1 diagonals.
 
-    Common ends are cut first.  After j characters of b, bit k of vector e says that the first j + k - most
+    More than one edit is counted by diagonals, as that costs `most` squared steps.  Common ends are cut first.  After j characters of b, bit k of vector e says that the first j + k - most
     characters of a are within e edits of them; every character of b moves all diagonals of the band at once.
     """
     if abs(len(a) - len(b)) > most:
@@ -129,6 +302,8 @@ def edit_distance(a: str, b: str, most: int = EDITS) -> int:
         a, b = b, a
     if not a:
         return len(b) if len(b) <= most else most + 1
+    if most > 1:
+        return _by_diagonals(a, b, most)
     band = (1 << (2 * most + 1)) - 1
     places: dict[str, int] = {}
     for i, c in enumerate(a):
@@ -148,8 +323,8 @@ def edit_distance(a: str, b: str, most: int = EDITS) -> int:
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = pa.array([edit_distance(x, y) <= EDITS for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1)], ["a", "b"])
+        keep = pa.array([edit_distance(x, y, k) <= k for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True) for k in [edits(min(len(x), len(y)))]], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in range(4)], ["a", "b", "x", "y"])
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -162,8 +337,38 @@ def _md5(line: Column | str) -> Column:
     return F.unhex(F.md5(F.col(line).cast("binary") if isinstance(line, str) else line))
 
 
+def _links(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The pairs x, y of lines that are alike, with their digests a, b."""
+    pairs = materialize(pairs.distinct(), "line-pairs")
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("short")).distinct()
+    texts = materialize(possibly_in(lines, "short", wanted, "short").join(wanted, "short").select("short", "node", "text"), "line-texts")
+    both = pairs.join(texts.toDF("x", "a", "ta"), "x").join(texts.toDF("y", "b", "tb"), "y")
+    return materialize(both.select("a", "b", "x", "y", "ta", "tb").mapInArrow(_verify, "a binary, b binary, x long, y long"), "line-links")
+
+
 def similar_lines(lines: DataFrame) -> DataFrame:
-    """Pairs a, b (digests) of different lines within EDITS edits.  lines: node, short, text, one row per line."""
+    """Links a, b (digests) of different lines: with their chains, they join all lines that are alike.
+
+    lines: node, short, text, n_chars, one row per line.  A line of LONG code points is like shorter lines by
+    one edit and like others by more, so it takes both ways.
+    """
+    met = short_pairs(lines.where(F.col("n_chars") <= LONG))
+    long_lines = lines.where(F.col("n_chars") >= LONG)
+    lists = long_lines.select("short", "text").mapInArrow(_grams, _SPOTS).repartition("key").sortWithinPartitions("key", "spot")
+    found = materialize(lists.mapInArrow(_meet, _MET), "long-lists")
+    links = _links(met.unionByName(found.where("other is not null").select(F.col("line").alias("x"), F.col("other").alias("y"))), lines)
+    hot = found.where("other is null")
+    if hot.isEmpty():
+        return links.select("a", "b")
+    # in long lists, lines that chains join already need not be compared
+    groups = components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("line"), F.col("class").alias("group"))
+    grouped = hot.drop("other").join(groups, "line", "left").select("key", "line", "spot", F.coalesce("group", "line").alias("group"))
+    across = grouped.repartition("key").sortWithinPartitions("key", "spot").mapInArrow(_meet_across, "x long, y long")
+    return links.unionByName(_links(across, lines)).select("a", "b")
+
+
+def short_pairs(lines: DataFrame) -> DataFrame:
+    """Candidate pairs x, y of lines one edit apart.  lines: short, text."""
     entries = materialize(lines.select("short", "text").mapInArrow(_file, _KEYS), "entries")
     pairs: DataFrame | None = None
     while True:
@@ -185,25 +390,21 @@ def similar_lines(lines: DataFrame) -> DataFrame:
             break
         texts = possibly_in(lines.select(F.col("short").alias("line"), "text"), "line", again, "line")
         entries = materialize(again.drop("size").join(texts, "line").select("key", "line", "n", "longer", "open_from", "open_to", "text").mapInArrow(_refile, _KEYS), "entries")
-    pairs = materialize(pairs.distinct(), "line-pairs")
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("short")).distinct()
-    texts = materialize(possibly_in(lines, "short", wanted, "short").join(wanted, "short").select("short", "node", "text"), "line-texts")
-    both = pairs.join(texts.toDF("x", "a", "ta"), "x").join(texts.toDF("y", "b", "tb"), "y")
-    return materialize(both.select("a", "b", "ta", "tb").mapInArrow(_verify, "a binary, b binary"), "line-links")
+    return pairs
 
 
 def line_classes(docs: DataFrame) -> DataFrame:
     """One row per different line: where it first occurs, how often, its class, and whether it stays.
 
     docs: doc_id, text and any other columns.  Columns: doc_id, line_no, line_md5, n_chars, occurrences,
-    class_doc_id, class_line_no, class_lines, kept.  A class holds lines linked by chains of single edits; it
+    class_doc_id, class_line_no, class_lines, kept.  A class holds lines linked by chains of likeness; it
     is named by, and keeps, the line that occurs first by (doc_id, line_no), null ids before all others.
     Lines of white space only are left alone and have no row; lines shorter than LEAST_CHARS form classes of
     equal lines only.  Null and empty texts have no lines.  An empty table gives an empty result.
     """
     found = lines_of(docs).groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("occurrences"))
     lines = materialize(found.select(_md5("line").alias("node"), F.xxhash64("line").alias("short"), F.col("line").alias("text"), "first", "occurrences", F.char_length("line").alias("n_chars")), "lines")
-    links = similar_lines(lines.where(F.col("n_chars") >= LEAST_CHARS).select("node", "short", "text"))
+    links = similar_lines(lines.where(F.col("n_chars") >= LEAST_CHARS).select("node", "short", "text", "n_chars"))
     groups = components(links)
     rows = lines.select("node", "first", "occurrences", "n_chars")
     linked = rows.join(groups, "node")
