@@ -107,6 +107,22 @@ def test_main_text(page, text):
     assert html_extract.main_text(page) == text
 
 
+LONG_TEXT = "A sentence of the body that goes on for quite a while, as sentences do. "
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<body><p>Short note.</p></body>", "Short note."),
+        ("<h2>News</h2><ul><li><a>x</a><li><a>y</a><li><a>z</a></ul><p>" + LONG_TEXT * 3, "News\n" + (LONG_TEXT * 3).strip()),
+        ("<div><p>" + LONG_TEXT * 5 + "</p><p><a>A link alone</a></p><p>" + LONG_TEXT * 5 + "</p></div><article><h3>Teaser</h3><p>Read on.</p></article>", f"{(LONG_TEXT * 5).strip()}\nA link alone\n{(LONG_TEXT * 5).strip()}"),
+        ("<article><p>" + LONG_TEXT * 9 + "</p><nav><p>a</p><p>b</p><p>c</p></nav><p>End.</p></article><div>Outside.</div>", (LONG_TEXT * 9).strip() + "\nEnd."),
+    ],
+)
+def test_distribution_decides_on_every_page(page, text):
+    assert html_extract.main_text(page) == text
+
+
 def levenshtein(a, b):
     p = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

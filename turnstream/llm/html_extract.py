@@ -1,10 +1,11 @@
 """Main text of HTML pages by line-block distribution.
 
 The markup is stripped to lines, one for each block element, each with the length of its text.  Lengths are
-summed over windows of neighbouring lines; where the sums rise above the threshold a region surges, where
-they fall to nothing it dives, and the text between is kept.  Stripping counts the text of links, and of
-elements whose tag, role or class names them navigation, adverts, notices, forms or comments, as length 0;
-where a page has an article or main element, text outside it has length 0 too.
+summed over windows of neighbouring lines; where the sums rise above a share of the page's own mean sum a
+region surges, where they fall to nothing or an article ends it dives, and the text between is kept.  Tags are
+weights only: the text of links outside articles, and of elements whose tag, role or class names them
+navigation, adverts, notices, forms or comments, has length 0; a line in an article or main element weighs
+more by a share of that element's text.
 """
 
 from __future__ import annotations
@@ -19,13 +20,19 @@ from pyspark.sql import DataFrame
 
 #: Lines in a window, to either side of its middle.
 REACH = 1
-#: Sum of lengths at which a region surges on a page without an article.
-SURGE = 30
+#: Share of the mean sum, each sum counted by the weight of its line, at which a region surges.
+SURGE = 0.2
+#: Share of an article's length that each of its lines weighs more.  With SURGE, no text of the one article
+#: of a page falls short, as three lines weigh at most 1 + 3 / 2 of its length.
+ARTICLE = 0.5
+#: Lines without weight between a heading below the first level and the text that it leads.
+LEAD = 5
 
 # fixed values: elements by their standard roles
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td template textarea tfoot th thead title tr ul".split())
 HIDDEN = frozenset("head title template noscript select textarea button option svg math iframe object audio video canvas datalist map noframes".split())
 BOILERPLATE = frozenset("nav header footer aside form dialog menu fieldset search".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCKS - frozenset("body button caption dd dt head html legend li optgroup option tbody td tfoot th thead title tr".split())
@@ -57,32 +64,37 @@ def _noisy(tag: str, attributes: str) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """The lines of a page, their weights - lengths, 0 for links and boilerplate - and whether an article holds them."""
-    lines: list[tuple[str, int, bool]] = []
+def lines_of(page: str) -> list[tuple[str, int, int, int, bool]]:
+    """The lines of a page: text, length - 0 for links and boilerplate -, number of the outermost article that holds
+    it or 0, level as a heading or 0, and whether it has text of links that is not boilerplate."""
+    lines: list[tuple[str, int, int, int, bool]] = []
     text: list[str] = []
     weight = 0
     stack: list[tuple[str, int]] = []  # open elements: tag; 1 noisy, 2 hidden, 4 article, 8 link
     noisy = hidden = article = link = 0
-    line_article = 0
+    line_article = articles = level = 0
+    linked = False
 
     def emit() -> None:
-        nonlocal text, weight, line_article
+        nonlocal text, weight, line_article, level, linked
         if text:
             line = _SPACE.sub(" ", entities.unescape("".join(text))).strip()
             if line:
-                lines.append((line, weight, bool(line_article)))
+                lines.append((line, weight, line_article, level, linked))
             text, weight = [], 0
-        line_article = 0
+        line_article, level, linked = 0, 0, False
 
     def put(piece: str) -> None:
-        nonlocal weight, line_article
+        nonlocal weight, line_article, level, linked
         if hidden or not piece:
             return
         text.append(piece)
         size = len(piece.strip())
         if size:
-            line_article |= article > 0
+            if article > 0:
+                line_article = articles
+            level = level or next((int(t[1]) for t, _ in reversed(stack) if t in HEADINGS), 0)
+            linked |= link > 0 and not noisy
             if not noisy and (article or not link):
                 weight += size
 
@@ -138,6 +150,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             stack.append((tag, kind))
             noisy += kind & 1
             hidden += kind >> 1 & 1
+            articles += kind >> 2 & (article == 0)
             article += kind >> 2 & 1
             link += kind >> 3 & 1
     emit()
@@ -149,19 +162,32 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     lines = lines_of(page)
-    focus = any(weight and article for _, weight, article in lines)
-    weights = [weight if article or not focus else 0 for _, weight, article in lines]
-    sums = [sum(weights[max(0, i - REACH) : i + REACH + 1]) for i in range(len(lines))]
-    kept: list[str] = []
+    inside: dict[int, int] = {}
+    for _, length, article, _, _ in lines:
+        inside[article] = inside.get(article, 0) + length
+    weights = [length + (ARTICLE * inside[article] if length and article else 0) for _, length, article, _, _ in lines]
+    n = len(lines)
+    sums = [sum(weights[k] for k in range(max(0, i - REACH), min(n, i + REACH + 1)) if lines[k][2] == lines[i][2]) for i in range(n)]
+    surge = SURGE * sum(w * x for w, x in zip(weights, sums, strict=True)) / (sum(weights) or 1)
+    kept = [False] * n
     start = 0
-    while start < len(lines):
+    while start < n:
         stop = start
-        while stop < len(lines) and sums[stop] > 0:  # up to the dive
+        while stop < n and sums[stop] > 0 and lines[stop][2] == lines[start][2]:  # up to the dive
             stop += 1
-        if stop > start and (focus or max(sums[start:stop]) >= SURGE):
-            kept += [lines[i][0] for i in range(start, stop) if weights[i]]
-        start = stop + 1
-    return "\n".join(kept)
+        if stop > start and max(sums[start:stop]) >= surge:
+            full = [i for i in range(start, stop) if weights[i]]
+            for i in range(full[0], full[-1] + 1):
+                kept[i] = weights[i] > 0 or lines[i][4]
+        start = max(stop, start + 1)
+    # a heading stays with the text that it leads
+    follows = n + LEAD + 1
+    for i in range(n - 1, -1, -1):
+        if weights[i]:
+            if not kept[i] and (lines[i][3] == 1 and follows < n or lines[i][3] and follows - i <= LEAD + 1):
+                kept[i] = True
+            follows = i if kept[i] else 2 * n + LEAD + 1
+    return "\n".join(line[0] for line, keep in zip(lines, kept, strict=True) if keep)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
