@@ -283,6 +283,37 @@ def test_plan_is_best_fit_decreasing():
         assert (plan.bins, round(plan.total_cost, 6)) == (best_fit(sizes, lengths)[0], round(best_fit(sizes, lengths)[1], 6))
 
 
+def least_cost(sizes, lengths):
+    """Cost of the best of all ways to deal a few pieces to bins."""
+    total = [sum(s for i, s in enumerate(sizes) if m >> i & 1) for m in range(1 << len(sizes))]
+    price = [packing.bin_cost(lengths[bisect.bisect_left(lengths, t)]) if t <= lengths[-1] else float("inf") for t in total]
+    best = [0.0] * len(total)
+    for m in range(1, len(total)):
+        low, part, best[m] = m & -m, m, float("inf")
+        while part:
+            if part & low:
+                best[m] = min(best[m], price[part] + best[m ^ part])
+            part = (part - 1) & m
+    return best[-1]
+
+
+def test_best_plan_against_the_optimum():
+    # one size: the optimum by the number of pieces in each bin
+    for size, n in ((600, 3000), (700, 500), (1025, 300), (2731, 200), (5000, 50)):
+        best = [0.0]
+        for m in range(1, n + 1):
+            best.append(min(best[m - j] + packing.bin_cost(packing.LENGTHS[bisect.bisect_left(packing.LENGTHS, size * j)]) for j in range(1, min(m, 8192 // size) + 1)))
+        assert packing.best_plan({size: n}).total_cost <= 1.002 * best[n]
+    # skewed sizes
+    ratios = []
+    for seed in range(30):
+        r = random.Random(seed)
+        sizes = [min(8192, int(r.paretovariate(0.8) * 300)) for _ in range(9)]
+        ratios.append(packing.best_plan(Counter(sizes)).total_cost / least_cost(sizes, packing.LENGTHS))
+        assert packing.best_plan(Counter(sizes)).total_cost <= packing.Plan(Counter(sizes)).total_cost
+    assert min(ratios) > 0.9999 and max(ratios) < 1.3 and np.mean(ratios) < 1.1, (max(ratios), np.mean(ratios))
+
+
 def test_packing_holds_every_token_once(spark):
     r = random.Random(6)
     rows = [(i, "x" * r.randint(0, 200)) for i in range(300)] + [(None, None), (7, "y" * 5000)]

@@ -1,8 +1,9 @@
 """Best-fit packing of documents into sequences of several permitted lengths.
 
 Documents are cut into pieces of at most the largest length.  Pieces are packed by best-fit decreasing: each
-goes to the open bin that it leaves fullest; if none has room, the bin size of least cost for each token that
-is still to come is opened; at the end each bin shrinks to the least permitted length that holds its contents.
+goes to the open bin that it leaves fullest; if none has room, a bin is opened; at the end each bin shrinks to the
+least permitted length that holds its contents.  What length to open is planned in several ways - by what the
+pieces that are left can fill, by a least length, and by the tokens still to come - and the cheapest plan is taken.
 
 Only the number of pieces of each size decides the plan.  So the driver plans on that histogram - as many
 entries as the largest length, whatever the number of documents - and moves whole runs of equal pieces into
@@ -32,9 +33,12 @@ def bin_cost(length: int, quadratic: float = 32768.0) -> float:
 
 
 class Plan:
-    """moves: (size, first rank, bin of that rank, pieces a bin, room taken before); lengths: of each run of bins."""
+    """moves: (size, first rank, bin of that rank, pieces a bin, room taken before); lengths: of each run of bins.
 
-    def __init__(self, histogram: dict[int, int], lengths: tuple[int, ...] = LENGTHS, cost=bin_cost):
+    least: no shorter bin is opened; look: bins are opened by what the pieces left can fill, see `looked`.
+    """
+
+    def __init__(self, histogram: dict[int, int], lengths: tuple[int, ...] = LENGTHS, cost=bin_cost, least: int = 0, look: bool = False):
         self.lengths = tuple(sorted(set(lengths)))
         self.cost = cost
         self.moves: list[tuple[int, int, int, int, int]] = []
@@ -42,6 +46,9 @@ class Plan:
         rooms: list[int] = []  # sorted rooms that have open runs
         open_: dict[int, deque] = {}  # room -> runs (first bin, bins, taken)
         ahead = sum(s * n for s, n in histogram.items())
+        self.least = least
+        self.spare = dict(histogram)  # pieces that no bin was opened for
+        self.sizes = sorted(histogram)
 
         def put_back(room: int, run: tuple[int, int, int]) -> None:
             if room not in open_:
@@ -59,9 +66,9 @@ class Plan:
                     if not open_[room]:
                         del open_[room], rooms[at]
                 else:
-                    length = self.opened(size, ahead)
+                    length, most = self.looked(size, left) if look else (self.opened(size, ahead), left)
                     room, taken, first = length, 0, self.bins
-                    count = -(-left // (room // size))
+                    count = min(most, -(-left // (room // size)))
                     self.bins += count
                 each = room // size
                 full = min(count, left // each)
@@ -88,7 +95,40 @@ class Plan:
 
     def opened(self, size: int, ahead: int) -> int:
         """The permitted length of least cost for each token that it can be filled with."""
-        return min((n for n in self.lengths if n >= size), key=lambda n: (self.cost(n) / min(n, ahead), n))
+        return min((n for n in self.lengths if n >= max(size, self.least)), key=lambda n: (self.cost(n) / min(n, ahead), n))
+
+    def looked(self, size: int, left: int) -> tuple[int, int]:
+        """The length of least cost for each token that the largest spare pieces put in it, and how many bins they fill."""
+        self.spare[size] = left
+        best = None
+        for n in self.lengths:
+            if n < size:
+                continue
+            used, room, at = {}, n, bisect.bisect_right(self.sizes, size)
+            while room and at:
+                at = min(at, bisect.bisect_right(self.sizes, room)) - 1
+                if at < 0:
+                    break
+                s = self.sizes[at]
+                k = min(self.spare[s], room // s)
+                if k:
+                    used[s] = k
+                    room -= k * s
+            fill = n - room
+            price = self.cost(self.lengths[bisect.bisect_left(self.lengths, fill)]) / fill
+            if best is None or price < best[0]:
+                best = (price, n, used)
+        _, n, used = best
+        count = min(self.spare[s] // k for s, k in used.items())
+        for s, k in used.items():
+            self.spare[s] -= k * count
+        return n, count
+
+
+def best_plan(histogram: dict[int, int], lengths: tuple[int, ...] = LENGTHS, cost=bin_cost) -> Plan:
+    """The cheapest of the plans: the one that looks at what is left, and one for each least length of a bin."""
+    plans = [Plan(histogram, lengths, cost, look=True), *(Plan(histogram, lengths, cost, least=n) for n in sorted(set(lengths)))]
+    return min(plans, key=lambda p: p.total_cost)
 
 
 def pieces_of(docs: DataFrame, length: Column, largest: int, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -125,7 +165,7 @@ def pack(docs: DataFrame, length: Column | None = None, lengths: tuple[int, ...]
     rows = materialize(pieces_of(docs, F.greatest(length, F.lit(1)), max(lengths), carry).withColumn("salt", salt), "pieces")
     counts = rows.groupBy("size", "salt").agg(F.count(F.lit(1)).alias("n"))
     # at most max(lengths) rows reach the driver
-    plan = Plan({r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}, lengths)
+    plan = best_plan({r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}, lengths)
     earlier = Window.partitionBy("size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("size", "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
     within = Window.partitionBy("size", "salt").orderBy(F.col("doc_id").asc_nulls_first(), "piece")
