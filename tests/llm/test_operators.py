@@ -202,6 +202,17 @@ def test_long_lines_against_brute_force(spark, monkeypatch, hot):
     assert got == {first[x]: label[x] for x in first}
 
 
+def test_a_shorter_line_meets_all_its_variants_in_closed_lists(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT", 2)
+    base = "abcdefghijklmnop"
+    more = [base[:k] + z + base[k:] for k in (15, 16) for z in "uvwxyz"]
+    lines = spark.createDataFrame([(k + (100 if k else 13), t) for k, t in enumerate([base, *more])], "short long, text string")
+    shorts = {r.text: r.short for r in lines.collect()}
+    for swap in (1, -1):
+        got = {frozenset((x.x, x.y)) for x in line_dedup.short_pairs(lines.selectExpr(f"short * {swap} as short", "text")).collect()}
+        assert all(frozenset((shorts[base] * swap, shorts[t] * swap)) in got for t in more)
+
+
 def test_near_duplicates(spark):
     r = random.Random(7)
     vocabulary = ["w" + str(i) for i in range(3000)]

@@ -377,8 +377,9 @@ def short_pairs(lines: DataFrame) -> DataFrame:
         hot = F.col("size") > HOT
         closed = F.col("open_to") <= F.col("open_from")
         few = met.where(~hot | closed)
-        # a list is short, or its entries are alike: there the least line stands for all
-        least = few.where(hot).groupBy("key").agg(F.min("line").alias("other"))
+        # a list is short, or closed: its lines of the shorter length are alike, and the one that longer lines
+        # meet is like all of these; longer lines that are alike meet in lists of their own length
+        least = few.where(hot & ~F.col("longer")).groupBy("key").agg(F.min("line").alias("other"))
         stars = few.where(hot).join(least, "key").select("line", "other")
         short = few.where(~hot)
         left = short.where("not longer").select("key", F.col("line").alias("other"))
