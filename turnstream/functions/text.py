@@ -8,6 +8,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# fixed value: white space in any script
+SPACE = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def fields(c: Column) -> Column:
+    """The words of a text between white space."""
+    return F.filter(F.split(c, f"{SPACE}+"), lambda w: w != "")
+
+
+def trimmed(c: Column) -> Column:
+    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+\z", "")
+
+
 def collapse_spaces(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"[\t\n\f\r ]+", " "))
 

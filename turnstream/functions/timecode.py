@@ -13,9 +13,10 @@ def format_timestamp(seconds: Column) -> Column:
 
 
 def parse_timestamp(ts: Column) -> Column:
-    """Seconds of a strict [HH:MM:SS], else null; minutes and seconds are not range-checked."""
-    part = lambda k: F.regexp_extract(ts, r"^\[(\d{2,}):(\d{2}):(\d{2})\]$", k)
-    return F.when(ts.rlike(r"^\[\d{2,}:\d{2}:\d{2}\]$"), part(1).cast("long") * 3600 + part(2).cast("long") * 60 + part(3).cast("long"))
+    """Seconds of a strict [HH:MM:SS], else null; minutes and seconds are not range-checked, hours too large to count are null."""
+    part = lambda at, size: F.substr(ts, F.lit(at), size).try_cast("long")
+    hours = part(2, F.char_length(ts) - 8)
+    return F.when(ts.rlike(r"^\[[0-9]{2,}:[0-9]{2}:[0-9]{2}\]\z"), F.try_add(F.try_multiply(hours, F.lit(3600)), part(-6, F.lit(2)) * 60 + part(-3, F.lit(2))))
 
 
 def clock(seconds: Column) -> Column:

@@ -11,14 +11,19 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalise
 from ..functions.timecode import parse_timestamp
+from . import quality
 
 # fixed values: reach in seconds, and the limits of support, disagreement and acceptance
 REACH, SUPPORTED, TEXTS_DIFFER, CANDIDATES_DIFFER, LEAST_QUALITY, LEAST_TIMES, CONFIDENT = 8, 0.55, 0.72, 0.82, 78, 85, 0.75
 WORD_TOLERANCE_MS, TURN_TOLERANCE_MS = 400, 1000
-_GENERIC = r"^(?i:speaker)[\t\n\f\r ]*[0-9]+$"
 _KEYS = ["recording_id", "seg_idx"]
 
 
+def is_generic(speaker: str) -> Column:
+    """Whether a label is `Speaker` and a number."""
+    return F.trim(speaker).rlike(r"^(?i:speaker)[\t\n\f\r ]*[0-9]+\z")
+
+
 def _by_time():
     return Window.partitionBy("recording_id").orderBy("seg_idx")
 
@@ -124,13 +129,7 @@ def timestamp_quality(seg: DataFrame) -> DataFrame:
 
 def score_warnings(card: DataFrame) -> DataFrame:
     """Per row of a scorecard the warnings that its scores give, joined by `; `."""
-    warn = lambda cond, text, c, d: F.when(cond, F.format_string(text, F.round(c, d)))
-    return card.select("recording_id", F.concat_ws("; ",
-        warn(F.col("readability") < 70, "Low readability score: %.1f", F.col("readability"), 1),
-        warn(F.col("vocabulary") < 30, "Low vocabulary richness: %.1f", F.col("vocabulary"), 1),
-        warn(F.col("density") > 0.15, "High punctuation density: %.3f", F.col("density"), 3),
-        warn(F.col("coverage") < 80, "Low timestamp coverage: %.1f%%", F.col("coverage"), 1),
-    ).alias("warnings"))
+    return card.select("recording_id", F.concat_ws("; ", *quality.score_warnings()).alias("warnings"))
 
 
 def escalation(seg: DataFrame, card: DataFrame) -> DataFrame:
@@ -154,19 +153,19 @@ def best_candidate(scores: DataFrame) -> DataFrame:
     return scores.groupBy("recording_id").agg(best.alias("b")).select("recording_id", "b.candidate_id", "b.score")
 
 
-def nearest_units(previous: DataFrame, current: DataFrame, spans: DataFrame) -> DataFrame:
+def nearest_units(previous: DataFrame, current: DataFrame, spans: DataFrame, generic: bool = True) -> DataFrame:
     """For each unit in the overlap with the chunk before, that chunk's rendition of it: the nearest of equal text, else the nearest.
 
     previous (labels in use) and current (the chunk's own): recording_id, chunk_idx, unit_idx, text, speaker,
-    start_ms, turn, untimed.  spans: recording_id, chunk_idx, start_ms, end_ms.  Returns recording_id, chunk_idx,
-    unit_idx, raw, label, match_idx.
+    start_ms, turn, untimed.  spans: recording_id, chunk_idx, start_ms, end_ms.  generic: only `Speaker N` labels of
+    previous count.  Returns recording_id, chunk_idx, unit_idx, raw, label, match_idx.
     """
     order = Window.partitionBy("recording_id").orderBy("chunk_idx")
     lap = spans.select("recording_id", "chunk_idx", F.col("start_ms").alias("lo"), F.lag("end_ms").over(order).alias("hi")).where("hi is not null")
     bucket = lambda c: F.floor(c / TURN_TOLERANCE_MS)
     now = current.where("not untimed and speaker != ''").join(lap, ["recording_id", "chunk_idx"]).where("start_ms >= lo and start_ms < hi")
     now = now.select("recording_id", "chunk_idx", "unit_idx", F.col("speaker").alias("raw"), F.col("start_ms").alias("at"), normalise(F.col("text")).alias("norm"), F.when(F.col("turn"), TURN_TOLERANCE_MS).otherwise(WORD_TOLERANCE_MS).alias("tol"), "lo", "hi", bucket(F.col("start_ms")).alias("bucket"))
-    was = previous.where(~F.col("untimed") & F.trim("speaker").rlike(_GENERIC)).select("recording_id", (F.col("chunk_idx") + 1).alias("chunk_idx"), F.col("unit_idx").alias("match_idx"), F.col("speaker").alias("label"), F.col("start_ms").alias("u"), normalise(F.col("text")).alias("said"))
+    was = previous.where(~F.col("untimed") & (is_generic("speaker") if generic else F.lit(True))).select("recording_id", (F.col("chunk_idx") + 1).alias("chunk_idx"), F.col("unit_idx").alias("match_idx"), F.col("speaker").alias("label"), F.col("start_ms").alias("u"), normalise(F.col("text")).alias("said"))
     was = was.select("*", F.explode(F.sequence(bucket(F.col("u")) - 1, bucket(F.col("u")) + 1)).alias("bucket"))
     far = F.abs(F.col("u") - F.col("at"))
     near = now.join(was, ["recording_id", "chunk_idx", "bucket"]).where((far <= F.col("tol")) & (F.col("u") >= F.col("lo") - F.col("tol")) & (F.col("u") < F.col("hi")))

@@ -23,8 +23,11 @@ def three_candidates(seg: DataFrame) -> DataFrame:
 
 def chunk_units(seg: DataFrame, jitter: int = 0) -> DataFrame:
     """The words of each fixed chunk, as that chunk alone would hear them; odd chunks hear them later by jitter."""
-    grid = timeline.chunk_plan(seg).select("recording_id", "chunk_idx", F.col("start_ms").alias("lo"), F.col("end_ms").alias("hi"))
-    heard = words(seg).join(grid, "recording_id").where("start_ms >= lo and start_ms < hi")
+    # chunks begin every 15 s and last 20: a word's chunks follow from its start
+    last = timeline.chunk_plan(seg).groupBy("recording_id").agg(F.max("chunk_idx").alias("last"), F.max("end_ms").alias("total"))
+    first = F.greatest(F.expr("(start_ms - 5000) div 15000") - F.when(F.col("start_ms") < 5000, 1).otherwise(0), F.lit(0))
+    heard = words(seg).join(last, "recording_id").where("start_ms < total").withColumn("chunk_idx", F.explode(F.sequence(first, F.expr("least(start_ms div 15000, last)"))))
+    heard = heard.where((F.col("start_ms") >= F.col("chunk_idx") * 15000) & (F.col("start_ms") < F.col("chunk_idx") * 15000 + 20000))
     order = Window.partitionBy("recording_id", "chunk_idx").orderBy("start_ms", "seg_idx", "pos")
     late = F.col("chunk_idx") % 2 * jitter
     return heard.withColumn("unit_idx", F.row_number().over(order).cast("long")).select("recording_id", "chunk_idx", "unit_idx", F.col("word").alias("text"), "speaker", (F.col("start_ms") + late).alias("start_ms"), (F.col("end_ms") + late).alias("end_ms"), F.lit(False).alias("turn"), F.lit(False).alias("untimed"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import text, timecode
 from .operators import compare, quality, render, timeline, validate
-from .plans import extended
+from .plans import extended, spanwise
 from .sources.fixtures import segments, table, words
 from .streaming import events
 
@@ -100,25 +100,9 @@ _PRECISE = "format('{{:02d}}:{{:02d}}:{{:02d}}{1}{{:03d}}', {0} // 3600000, {0}
 _PER_TEXT = "SELECT conv_id, turn, {} FROM conversations"
 
 ORACLE = {
-    "q_quality_scorecard": f"""WITH {_SEG}, {_IV},
-f AS (SELECT recording_id, string_agg(text, ' ' ORDER BY seg_idx) AS text, count(*) AS n_segments, count(DISTINCT speaker) AS n_speakers FROM seg GROUP BY 1),
-b AS (SELECT recording_id, n_segments, n_speakers, {_WS.format("lower(text)")} AS ws, list_filter(string_split_regex(text, '[.!?]+'), lambda s: NOT regexp_full_match(s, '[\\t-\\r ]*')) AS ss,
-  len(regexp_extract_all(text, '[.,;:!?]')) / greatest(strlen(text), 1) AS density FROM f),
-sp AS (SELECT recording_id, coalesce(stddev_samp(len({_WS.format("s")})), 0) AS sd FROM (SELECT recording_id, unnest(ss) AS s FROM b) GROUP BY 1),
-i AS (SELECT recording_id, max_by(t, seg_idx) AS last, max(e) AS dur, coalesce(median(gap) FILTER (gap > 0), 0) AS mid, count(*) AS n FROM iv GROUP BY 1),
-p AS (SELECT recording_id, coalesce(stddev_samp(c), 0) / avg(c) AS cv, count(*) AS u FROM (SELECT recording_id, speaker, count(*) AS c FROM seg GROUP BY 1, 2) GROUP BY 1),
-m AS (SELECT b.recording_id, n_segments, n_speakers, len(ws)::BIGINT AS n_words, len(ss)::BIGINT AS n_sentences, density,
-  least(greatest(100 - 3 * abs(len(ws) / greatest(len(ss), 1) - 15), 0), 100) AS readability,
-  CASE WHEN len(ss) > 1 THEN least(100, 10 * sd) WHEN len(ss) = 1 THEN 50 ELSE 0 END AS variety,
-  least(100, 200 * len(list_distinct(ws)) / greatest(len(ws), 1)) AS vocabulary,
-  CASE WHEN n = 1 AND last = 0 THEN 100 ELSE least(greatest((last + mid) / dur * 100, 0), 100) END AS coverage,
-  CASE WHEN u > 10 THEN greatest(0, 100 - 10 * (u - 10)) ELSE least(100, CASE WHEN u > 1 THEN greatest(0, 100 - 50 * cv) ELSE 100 END + greatest(0, 5 * (10 - u))) END AS consistency
-  FROM b JOIN i USING (recording_id) JOIN p USING (recording_id) LEFT JOIN sp USING (recording_id)),
-o AS (SELECT *, round(0.25::DOUBLE * readability + 0.15::DOUBLE * greatest(0, 100 - 100 * density) + 0.15::DOUBLE * variety + 0.1::DOUBLE * vocabulary + 0.1::DOUBLE * consistency + 0.25::DOUBLE * coverage, 4) AS overall FROM m)
-SELECT recording_id, n_segments, n_speakers, n_words, n_sentences, round(density, 4) AS density, round(readability, 4) AS readability, round(variety, 4) AS variety, round(vocabulary, 4) AS vocabulary,
-  round(coverage, 4) AS coverage, round(consistency, 4) AS consistency, overall, CASE WHEN overall >= 80 THEN 'Excellent' WHEN overall >= 60 THEN 'Good' WHEN overall >= 40 THEN 'Fair' ELSE 'Poor' END AS assessment FROM o""",
+    "q_quality_scorecard": f"""WITH {_SEG}, rl AS (SELECT recording_id, seg_idx, speaker, text, {_T} AS t FROM seg), dur AS (SELECT recording_id, max("end") AS duration FROM seg GROUP BY 1), {spanwise.card_sql("rl", _WS)} SELECT *, {spanwise.GRADE} FROM card""",
     "q_duration_estimate": f"WITH {_SEG}, {_IV} SELECT recording_id, round(CASE WHEN avg(gap) FILTER (gap > 0) IS NULL THEN greatest(max_by(t, seg_idx) + 30, 30) ELSE greatest(max_by(t, seg_idx) + avg(gap) FILTER (gap > 0), 1) END, 4)::DOUBLE AS seconds FROM iv GROUP BY 1",
-    "q_boundary_analysis": f"WITH {_SEG}, r AS (SELECT recording_id, seg_idx, speaker, {_NORM} AS norm, {_T} AS t FROM seg), l AS (SELECT *, lag(norm) OVER w AS pn, lag(t) OVER w AS pt, lag(speaker) OVER w AS ps FROM r WINDOW w AS (PARTITION BY recording_id ORDER BY seg_idx)) SELECT recording_id, count(*) FILTER (norm <> '' AND norm = pn) AS duplicates, count(*) FILTER (t < pt) AS back_steps, count(*) FILTER (t - pt > 30) AS long_gaps, count(*) FILTER (speaker <> ps) AS speaker_changes FROM l GROUP BY 1",
+    "q_boundary_analysis": f"WITH {_SEG}, r AS (SELECT recording_id, seg_idx, speaker, {_NORM} AS norm, {_T} AS t FROM seg), l AS (SELECT *, lag(norm) OVER w AS pn, lag(t) OVER w AS pt, lag(speaker) OVER w AS ps FROM r WINDOW w AS (PARTITION BY recording_id ORDER BY seg_idx)) SELECT recording_id, count(*) FILTER (norm <> '' AND norm = pn) AS duplicates, count(*) FILTER (t < pt) AS back_steps, count(*) FILTER (t - pt > 30) AS long_gaps, count(*) FILTER (speaker <> ps) AS speaker_changes, count(*) FILTER (t IS NULL) AS unreadable FROM l GROUP BY 1",
     "q_timecode_roundtrip": f"WITH {_SEG} SELECT recording_id, seg_idx, timestamp, {_T} AS seconds FROM seg",
     "q_segment_end": f"WITH {_SEG}, n AS (SELECT recording_id, seg_idx, start, CASE WHEN \"end\" > start THEN \"end\" ELSE start + greatest(1, length(text) / 15) END AS e, lead(start) OVER (PARTITION BY recording_id ORDER BY seg_idx) AS nx FROM seg) SELECT recording_id, seg_idx, round(CASE WHEN nx > start AND nx < e THEN nx ELSE e END, 3) AS cue_end FROM n",
     "q_timeline_lanes": f"WITH {_SEG}, m AS (SELECT *, greatest(max(\"end\") OVER (PARTITION BY recording_id), 1.0::DOUBLE) AS total FROM seg) SELECT recording_id, seg_idx, speaker, round(start / total * 100, 4) AS left_pct, round(greatest(\"end\" - start, 0.2::DOUBLE) / total * 100, 4) AS width_pct FROM m",
@@ -156,5 +140,6 @@ SELECT recording_id, n_segments, n_speakers, n_words, n_sentences, round(density
     "q_event_state_audit": f"WITH {_LOG}, p AS (SELECT lag(name) OVER (PARTITION BY job_id ORDER BY id) AS before, name AS after FROM log) SELECT before, after, count(*) AS n FROM p WHERE before IS NOT NULL GROUP BY 1, 2",
 }
 
-QUERIES |= extended.QUERIES
+QUERIES |= extended.QUERIES | spanwise.QUERIES
 ORACLE |= extended.oracle(_SEG, _PLAN, _CUT, _NORM, _WS, ORACLE["q_quality_scorecard"])
+ORACLE |= spanwise.oracle(_SEG, _PLAN, _NORM, _WS)

@@ -26,12 +26,12 @@ def speech_units(payloads: DataFrame) -> DataFrame:
     phrases = F.transform(d["phrases"], lambda p: F.struct(p["offsetMilliseconds"].alias("a"), F.when(p["durationMilliseconds"] >= 0, p["offsetMilliseconds"] + p["durationMilliseconds"]).alias("b"), F.coalesce(p["speaker"].cast("string"), F.lit("")).alias("speaker"), p["text"].alias("text")))
     rows = payloads.select("recording_id", "chunk_idx", F.coalesce(turns, phrases).alias("all"))
     spoken = F.filter("all", lambda x: ~F.coalesce(x["text"], F.lit("")).rlike(_BLANK))
-    bad = F.exists("all", lambda x: F.coalesce(x["a"] < 0, F.lit(True)))
+    bad = F.exists("all", lambda x: F.coalesce((x["a"] < 0) | x["a"].try_cast("long").isNull(), F.lit(True)))
     error = F.when(F.col("all").isNull(), "unreadable").when(bad, "missing or negative timestamp").when(F.size(spoken) == 0, "no speech")
     rows = rows.select("recording_id", "chunk_idx", error.alias("error"), spoken.alias("spoken"))
     failed = rows.where("error is not null").selectExpr("recording_id", "chunk_idx", "cast(null as bigint) unit_idx", "cast(null as string) text", "cast(null as string) speaker", "cast(null as bigint) start_ms", "cast(null as bigint) end_ms", "error")
     each = rows.where("error is null").select("recording_id", "chunk_idx", F.posexplode("spoken").alias("pos", "x"))
-    start, end = F.col("x.a").cast("long"), F.col("x.b").cast("long")
+    start, end = F.col("x.a").try_cast("long"), F.col("x.b").try_cast("long")
     order = Window.partitionBy("recording_id", "chunk_idx").orderBy(start, "pos")
     good = each.select("recording_id", "chunk_idx", (F.row_number().over(order) - 1).cast("long").alias("unit_idx"), F.col("x.text").alias("text"), F.col("x.speaker").alias("speaker"), start.alias("start_ms"), F.greatest(start, F.coalesce(end, start)).alias("end_ms"), F.lit(None).cast("string").alias("error"))
     return good.unionByName(failed).withColumns({"turn": F.lit(True), "untimed": F.lit(False)})
@@ -53,7 +53,7 @@ def transcript_segments(payloads: DataFrame) -> DataFrame:
 
 
 def _ms(seconds: Column) -> Column:
-    return F.greatest((seconds.try_cast("double") * 1000).cast("long"), F.lit(0).cast("long"))
+    return F.greatest((seconds.try_cast("double") * 1000).try_cast("long"), F.lit(0).cast("long"))
 
 
 def silence_spans(lines: DataFrame) -> DataFrame:
