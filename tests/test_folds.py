@@ -4,7 +4,7 @@ import io
 import random
 import zipfile
 
-from turnstream.operators import folds, subtitles
+from turnstream.operators import export, folds, subtitles
 
 UNIT = "recording_id long, chunk_idx long, unit_idx long, text string, speaker string, start_ms long, end_ms long, turn boolean, untimed boolean"
 
@@ -127,7 +127,7 @@ def test_documents(spark):
     assert one(subtitles.render_text(seg)) == "[00:00:00] Ada: A & <b>\n[00:00:02] Ben: *hm*\n"
     assert one(subtitles.render_text(seg, False)) == "Ada: A & <b>\n\nBen: *hm*\n"
     assert one(subtitles.render_markdown(seg, "T#")) == "# T\\#\n\n**Ada** · `0:00`\n\nA & \\<b\\>\n\n**Ben** · `0:02`\n\n\\*hm\\*\n"
-    assert '"speaker":"Ada"' in one(subtitles.render_json(seg))
+    assert '"speaker" : "Ada"' in one(export.render_json(seg))
     with zipfile.ZipFile(io.BytesIO(one(subtitles.render_docx(seg, "T")))) as z:
         assert "A &amp; &lt;b&gt;" in z.read("word/document.xml").decode()
 

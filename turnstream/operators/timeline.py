@@ -82,4 +82,4 @@ def reading_turns(seg: DataFrame, most: float = 120.0) -> DataFrame:
 
     The rule resets at each turn's own start, so it is a fold over the recording's ordered segments.
     """
-    return turns(seg, most).select("recording_id", "turn_idx", "speaker", "start", "n_segments", F.char_length("text").alias("n_chars"))
+    return turns(seg, most).select("recording_id", "turn_idx", "speaker", "start", "n_segments", F.char_length("text").cast("long").alias("n_chars"))

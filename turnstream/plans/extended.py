@@ -129,14 +129,13 @@ QUERIES = {
     "q_speech_turns": _parsed("turns"),
     "q_speech_phrases": _parsed("phrases"),
     "q_silence_log": _seg(lambda x: payloads.silence_spans(_silence_log(x))),
-    "q_cues": _seg(subtitles.cues),
+    "q_cues": _seg(lambda x: subtitles.cues(x).select("recording_id", "cue_idx", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "speaker", "text")),
     "q_export_txt": _seg(subtitles.render_text),
     "q_export_turns": _seg(lambda x: subtitles.render_text(x, False)),
     "q_export_srt": _seg(subtitles.render_srt),
     "q_export_vtt": _seg(subtitles.render_vtt),
     "q_export_markdown_document": _seg(lambda x: subtitles.render_markdown(x, "Transcript")),
-    "q_export_json": _seg(subtitles.render_json),
-    "q_merge_overlap": _seg(lambda x: folds.merge_chunks(_lists(x)).groupBy("recording_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text")).alias("chars"))),
+    "q_merge_overlap": _seg(lambda x: folds.merge_chunks(_lists(x)).drop("chunk_idx")),
     "q_clean_text": _texts(clean=lambda c: _cleaned(c)[0], steps=lambda c: _cleaned(c)[1]),
     "q_replacements": _texts(clean=lambda c: text.replace_phrases(c, PHRASES)),
     "q_find_replace": _texts(clean=lambda c: _replaced(c)[0], matches=lambda c: _replaced(c)[1]),
@@ -198,7 +197,13 @@ UNION ALL SELECT recording_id, total, chunk_idx + 1, nx, CASE WHEN nx + 40000 >
     marks = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '[\t\n\f\r ]+([,.!?;:])', '\1', 'g'), '([,!?;:])([A-Za-z])', '\1 \2', 'g'), '!!+', '!', 'g'), '\?\?+', '?', 'g'), '\.\.+', '...', 'g')"
     plain = r"regexp_replace(trim(regexp_replace(regexp_replace({}, '(?i)\b(?:um|of|the)\b', '', 'g'), '[\t\n\f\r ]+', ' ', 'g')), '[\t\n\f\r ]+([,.!?;:])', '\1', 'g')"
     return {
-        "q_merge_overlap": f"WITH {seg} SELECT recording_id, count(*) AS n, sum(length(text))::BIGINT AS chars FROM seg GROUP BY 1",
+        "q_merge_overlap": f"WITH {seg} SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY seg_idx) - 1 AS seg_idx, speaker, text, timestamp FROM seg",
+        "q_recogniser_segments": f"""WITH RECURSIVE {seg}, {w}, rw AS (SELECT *, lag(start_ms + 250) OVER o AS last, row_number() OVER o AS rn FROM wd WINDOW o AS (PARTITION BY recording_id ORDER BY seg_idx, pos)),
+st AS (SELECT recording_id, rn, word, start_ms, 0::BIGINT AS grp, 1 AS size, start_ms AS since FROM rw WHERE rn = 1
+UNION ALL SELECT r.recording_id, r.rn, r.word, r.start_ms, CASE WHEN f THEN grp + 1 ELSE grp END, CASE WHEN f THEN 1 ELSE size + 1 END, CASE WHEN f THEN r.start_ms ELSE since END
+  FROM (SELECT s.grp, s.size, s.since, r.*, greatest(r.start_ms, r.last) - r.last >= 1000 OR s.size >= 18 OR greatest(r.start_ms, r.last) - s.since >= 8000 AS f FROM st s JOIN rw r ON r.recording_id = s.recording_id AND r.rn = s.rn + 1) r)
+SELECT recording_id, grp AS seg_idx, 'Speaker 1' AS speaker, trim(string_agg(CASE WHEN word IN ('.', ',', '!', '?', ';', ':', chr(39), '"', ')', ']', '}}') OR starts_with(word, chr(39)) THEN word ELSE ' ' || word END, '' ORDER BY rn)) AS text,
+  format('[{{:02d}}:{{:02d}}:{{:02d}}]', arg_min(start_ms, rn) // 3600000, arg_min(start_ms, rn) // 60000 % 60, arg_min(start_ms, rn) // 1000 % 60) AS timestamp FROM st GROUP BY 1, 2""",
         "q_clean_text": f"WITH a AS (SELECT conv_id, turn, text, {spaces.format('text')} AS s FROM conversations), b AS (SELECT *, {marks.format('s')} AS p FROM a), c AS (SELECT *, {plain.format('p')} AS f FROM b) SELECT conv_id, turn, CASE WHEN trim(f) = '' THEN text ELSE f END AS clean, concat_ws(',', CASE WHEN s <> text THEN 'spaces' END, CASE WHEN p <> text THEN 'punctuation' END, CASE WHEN f <> text THEN 'fillers' END) AS steps FROM c",
         "q_chunk_plan_adaptive": f"WITH RECURSIVE {seg}, {adaptive}, f AS (SELECT *, CASE WHEN total <= 40000 OR start_ms + 40000 > total THEN 'final' WHEN mid IS NOT NULL THEN 'silence' ELSE 'fixed' END AS kind FROM st) SELECT recording_id, chunk_idx, start_ms, CASE kind WHEN 'final' THEN total WHEN 'silence' THEN mid ELSE start_ms + 40000 END AS end_ms, CASE kind WHEN 'final' THEN 0 WHEN 'silence' THEN 2500 ELSE 5000 END::BIGINT AS overlap_ms, kind AS boundary_type, CASE kind WHEN 'final' THEN 1.0 WHEN 'silence' THEN 0.9 ELSE 0.5 END::DOUBLE AS confidence FROM f",
         "q_speech_turns": f"WITH {seg} SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY start, seg_idx) - 1 AS unit_idx, text, speaker, {ms('start')} AS start_ms, {ms(chr(34) + 'end' + chr(34))} AS end_ms, NULL::VARCHAR AS error FROM seg",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import text, timecode
 from .operators import compare, quality, render, timeline, validate
-from .plans import extended, spanwise
+from .plans import extended, logs, outputs, spanwise
 from .sources.fixtures import segments, table, words
 from .streaming import events
 
@@ -136,10 +136,10 @@ ORACLE = {
     "q_pause_sessions": f"WITH {_LOG}, f AS (SELECT *, coalesce((t - lag(t) OVER (PARTITION BY job_id ORDER BY id) > 1800000000)::INT, 1) AS fresh FROM log), s AS (SELECT *, sum(fresh) OVER (PARTITION BY job_id ORDER BY id)::BIGINT AS session FROM f) SELECT job_id, session, count(*) AS n, min(t) AS first_t, max(t) AS last_t FROM s GROUP BY 1, 2",
     "q_latest_event": f"WITH {_LOG} SELECT job_id, name, max(id) AS id, max_by(data, id) AS data FROM log GROUP BY 1, 2",
     "q_idempotent_events": f"WITH {_LOG} SELECT job_id, sha256(trim(concat_ws('|', name, data))) AS idempotency_key, min(id) AS owner_id, count(*) AS attempts FROM log GROUP BY 1, 2",
-    "q_budget_ledger": f"WITH {_LOG}, c AS (SELECT job_id, id, floor(abs(value))::BIGINT AS charge FROM log), s AS (SELECT *, sum(charge) OVER (PARTITION BY job_id ORDER BY id)::BIGINT AS spent FROM c) SELECT *, spent <= 500 AS allowed FROM s",
+    "q_budget_ledger": f"WITH RECURSIVE {_LOG}, c AS (SELECT job_id, id, floor(abs(value))::BIGINT AS charge FROM log), s AS (SELECT job_id, id, charge, CASE WHEN charge <= 500 THEN charge ELSE 0 END AS spent, charge <= 500 AS allowed FROM c WHERE id = 1 UNION ALL SELECT c.job_id, c.id, c.charge, CASE WHEN s.spent + c.charge <= 500 THEN s.spent + c.charge ELSE s.spent END, s.spent + c.charge <= 500 FROM s JOIN c ON c.job_id = s.job_id AND c.id = s.id + 1) SELECT * FROM s",
     "q_event_state_audit": f"WITH {_LOG}, p AS (SELECT lag(name) OVER (PARTITION BY job_id ORDER BY id) AS before, name AS after FROM log) SELECT before, after, count(*) AS n FROM p WHERE before IS NOT NULL GROUP BY 1, 2",
 }
 
-QUERIES |= extended.QUERIES | spanwise.QUERIES
+QUERIES |= extended.QUERIES | spanwise.QUERIES | logs.QUERIES | outputs.QUERIES
 ORACLE |= extended.oracle(_SEG, _PLAN, _CUT, _NORM, _WS, ORACLE["q_quality_scorecard"])
-ORACLE |= spanwise.oracle(_SEG, _PLAN, _NORM, _WS)
+ORACLE |= spanwise.oracle(_SEG, _PLAN, _NORM, _WS) | logs.oracle() | outputs.oracle(_SEG, _PLAN, _WS)

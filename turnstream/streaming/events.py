@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.folds import ordered_fold
+
 
 def log(events: DataFrame) -> DataFrame:
     """job_id, id (from 1), name, data, t (epoch microseconds): the append-only log of each job."""
@@ -28,11 +30,26 @@ def idempotent(log_: DataFrame) -> DataFrame:
     return log_.select("job_id", "id", key.alias("idempotency_key")).groupBy("job_id", "idempotency_key").agg(F.min("id").alias("owner_id"), F.count(F.lit(1)).alias("attempts"))
 
 
+class _Charges:
+    """A charge that does not fit under the cap is refused and costs nothing."""
+
+    def __init__(self, cap: int):
+        self.cap, self.spent = cap, 0
+
+    def push(self, row: dict) -> list[tuple]:
+        fits = self.spent + row["charge"] <= self.cap
+        self.spent += row["charge"] * fits
+        return [(row["id"], row["charge"], self.spent, fits)]
+
+    def end(self) -> list[tuple]:
+        return []
+
+
 def budget_ledger(log_: DataFrame, cap: int = 500) -> DataFrame:
-    """Running charges of each job and whether the cap still allows them."""
-    w = Window.partitionBy("job_id").orderBy("id")
-    cost = F.floor(F.abs(F.col("value"))).cast("long")
-    return log_.withColumn("charge", cost).withColumn("spent", F.sum("charge").over(w)).select("job_id", "id", "charge", "spent", (F.col("spent") <= cap).alias("allowed"))
+    """job_id, id, charge, spent, allowed: charges of each job in order; those beyond the cap are refused and leave what is spent as it was."""
+    cost = F.coalesce(F.floor(F.abs("value")), F.lit(0)).cast("long")
+    rows = log_.select(F.col("job_id").alias("recording_id"), "id", cost.alias("charge"))
+    return ordered_fold(rows, ["id"], lambda: _Charges(cap), "recording_id long, id long, charge long, spent long, allowed boolean").withColumnRenamed("recording_id", "job_id")
 
 
 def state_audit(log_: DataFrame) -> DataFrame:

@@ -41,15 +41,19 @@ def _ledger(cap: int):
         # the rows of a job in one micro-batch; maxFilesPerTrigger bounds them
         rows = pd.concat(list(batches)).sort_values("id", kind="stable")
         cost = rows["value"].abs().fillna(0).astype("int64")
-        total = spent + cost.cumsum()
-        state.update((int(total.iloc[-1]),))
-        yield pd.DataFrame({"job_id": key[0], "id": rows["id"], "charge": cost, "spent": total, "allowed": total <= cap})
+        after, fits = [], []
+        for c in cost:
+            fits.append(spent + c <= cap)
+            spent += c if fits[-1] else 0
+            after.append(spent)
+        state.update((int(spent),))
+        yield pd.DataFrame({"job_id": key[0], "id": rows["id"].to_numpy(), "charge": cost.to_numpy(), "spent": after, "allowed": fits})
 
     return charge
 
 
 def budget_ledger(stream: DataFrame, cap: int = 500) -> DataFrame:
-    """job_id, id, charge, spent, allowed: running charges of each job, in the order of ids within a micro-batch."""
+    """job_id, id, charge, spent, allowed: charges of each job, in the order of ids within a micro-batch; refused ones cost nothing."""
     return stream.groupBy("job_id").applyInPandasWithState(_ledger(cap), "job_id long, id long, charge long, spent long, allowed boolean", "spent long", "append", GroupStateTimeout.NoTimeout)
 
 
@@ -67,3 +71,38 @@ def _machine(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
 def job_states(stream: DataFrame) -> DataFrame:
     """job_id, id, before, after, accepted: each requested status against the job's own; a job begins queued, and refused requests change nothing."""
     return stream.select("job_id", "id", F.col("name")).groupBy("job_id").applyInPandasWithState(_machine, "job_id long, id long, before string, after string, accepted boolean", "status string", "append", GroupStateTimeout.NoTimeout)
+
+
+def _janitor(ttl_ms: int):
+    def tick(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        status, since = state.get if state.exists else ("queued", 0)
+        if state.hasTimedOut:
+            if status == "awaiting_review":
+                # an expired review stays one more deadline, for its last event to be read
+                now = state.getCurrentWatermarkMs()
+                state.update(("expired", now))
+                state.setTimeoutTimestamp(now + ttl_ms)
+                yield pd.DataFrame({"job_id": [key[0]], "action": ["expire"]})
+            else:
+                state.remove()
+                yield pd.DataFrame({"job_id": [key[0]], "action": ["purge"]})
+            return
+        for row in pd.concat(list(batches)).sort_values("id", kind="stable").itertuples(index=False):
+            status, since = row.name, int(row.ts.timestamp() * 1000)
+        state.update((status, since))
+        if status in ("succeeded", "failed", "canceled", "expired", "awaiting_review"):
+            state.setTimeoutTimestamp(max(since + ttl_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"job_id": pd.Series([], dtype="int64"), "action": pd.Series([], dtype="str")})
+
+    return tick
+
+
+def retention(stream: DataFrame, ttl_seconds: int, delay: str = "1 minute") -> DataFrame:
+    """job_id, action: finished jobs are purged, and reviews left alone expire, once the watermark is ttl_seconds past their last event."""
+    rows = stream.withWatermark("ts", delay).select("job_id", "id", "name", "ts")
+    return rows.groupBy("job_id").applyInPandasWithState(_janitor(ttl_seconds * 1000), "job_id long, action string", "status string, since long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def cursor_tail(stream: DataFrame, after: int = 0) -> DataFrame:
+    """The events after an id, as they arrive; where a reader stopped, its checkpoint resumes."""
+    return stream.where(F.col("id") > max(after, 0))
