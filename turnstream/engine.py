@@ -13,6 +13,13 @@ from .plans.settings import FILLERS, Settings
 from .sources import fixtures, payloads, responses
 
 
+#: Tools by name: each takes segments, and a comparison takes two lists.
+TOOLS = {
+    "quality_metrics": quality.scorecard, "timestamp_analysis": evidence.timestamp_quality, "candidate_diff": compare.candidate_diff,
+    "boundary_analysis": quality.boundary_analysis, "span_diagnostics": evidence.span_digest,
+}
+
+
 @dataclass
 class Engine:
     """Settings and a session; every method is one step, and steps chain."""
@@ -75,15 +82,10 @@ class Engine:
     def render(self, seg: DataFrame, format_name: str, options: export.Options = export.Options(), recordings: DataFrame | None = None) -> DataFrame:
         return export.render(seg, format_name, options, recordings)
 
-    #: Tools by name: each takes segments (and a second list for a comparison).
-    TOOLS = {
-        "quality_metrics": quality.scorecard, "timestamp_analysis": evidence.timestamp_quality, "candidate_diff": compare.candidate_diff, "boundary_analysis": quality.boundary_analysis, "span_diagnostics": evidence.span_digest,
-    }
-
     def tool(self, name: str, *candidates: DataFrame, allowed: tuple[str, ...] = ()) -> DataFrame:
         """Run a tool by name; an unknown or forbidden one, or a missing candidate, gives a row with an error."""
-        if name not in self.TOOLS or (allowed and name not in allowed):
+        if name not in TOOLS or (allowed and name not in allowed):
             return self.spark.createDataFrame([(name, "unknown tool")], "tool string, error string")
         if len(candidates) != (2 if name == "candidate_diff" else 1):
             return self.spark.createDataFrame([(name, "unknown candidate_id")], "tool string, error string")
-        return self.TOOLS[name](*candidates)
+        return TOOLS[name](*candidates)
