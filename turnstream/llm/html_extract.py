@@ -37,75 +37,98 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCKS - frozenset("body button caption dd dt head html legend li optgroup option tbody td tfoot th thead title tr".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|nav\w*|menu|breadcrumbs?|sidebar|aside|widget|footer|header|masthead|topbar|toolbar|comments?|commentlist|disqus|respond|replies|reply|related|recommend\w*|share|sharing|social|pagination|pager|tags?|skip\w*|login|search)(?:$|[\s_-])",
-    re.I,
-)
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(>|$)", re.S)
+# fixed values: words of class names and ids that mark what is not the text, and those that may mark parts of it too
+STRONG = r"ads?|advert\w*|adsense|adbox|sponsor\w*|promo\w*|cookies?|consent|gdpr|popup|modal|newsletter|subscribe|signup|nav\w*|menu|breadcrumbs?|sidebar|comments?|commentlist|disqus|respond|replies|related|recommend\w*|share|sharing|social|pagination|pager|login"
+WEAK = r"banner|notice|notification|alert|overlay|aside|widget|footer|header|masthead|topbar|toolbar|reply|tags?|skip\w*|search"
+_STRONG = re.compile(rf"(?:^|[_-])(?:{STRONG})(?:$|[_-])", re.I)
+_WEAK = re.compile(rf"(?:^|[_-])(?:{WEAK})(?:$|[_-])", re.I)
+_WEAK_ALONE = re.compile(rf"(?!header$)(?:{WEAK})$", re.I)
+#: Class names that say how a container is laid out, not what it holds.
+_LAYOUT = re.compile(r"^(?:has|with|no|without)[_-]|(?:^|[_-])(?:wrap|wrapper|layout|main|body)(?:$|[_-])", re.I)
+#: Share of a page's text that an element must hold for its class name not to count.
+MOST_TEXT = 0.8
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*(?:\"|$)|'[^']*(?:'|$))|[^>])*)(>|$)", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?(?=$|[\s"'/])""", re.I)
 _SPACE = re.compile(r"\s+")
 
 
-def _noisy(tag: str, attributes: str) -> bool:
-    if tag in BOILERPLATE:
-        return True
+def _marks(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is boilerplate by its tag or role, hidden, and named as noise by its class or id.
+
+    inside: in an article, where words that may also mark parts of a text must stand alone.
+    """
+    boiler, hidden, named = tag in BOILERPLATE, tag in HIDDEN, False
     if not attributes or tag in ("html", "body", "main", "article"):
-        return False
+        return boiler, hidden, False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id") and NOISE.search(value):
-            return True
-        if name == "role" and value.lower() in ROLES:
-            return True
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+        if name in ("class", "id"):
+            named |= any(not _LAYOUT.search(word) and (_STRONG.search(word) or (_WEAK_ALONE.match(word) if inside else _WEAK.search(word))) is not None for word in value.split())
+        elif name == "role":
+            boiler |= value.lower() in ROLES
+        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            hidden = True
+        elif name == "style":
+            hidden |= re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) is not None
+    return boiler, hidden, named
+
+
+class _Line:
+    """Pieces of a line with the noise each stands in, and what is known of the line."""
+
+    __slots__ = ("pieces", "article", "level", "linked")
+
+    def __init__(self):
+        self.pieces: list[tuple[str, bool, bool, int]] = []  # text, in boilerplate, counts as a link, innermost named element
+        self.article = self.level = 0
+        self.linked = False
 
 
 def lines_of(page: str) -> list[tuple[str, int, int, int, bool]]:
     """The lines of a page: text, length - 0 for links and boilerplate -, number of the outermost article that holds
-    it or 0, level as a heading or 0, and whether it has text of links that is not boilerplate."""
-    lines: list[tuple[str, int, int, int, bool]] = []
-    text: list[str] = []
-    weight = 0
-    stack: list[tuple[str, int]] = []  # open elements: tag; 1 noisy, 2 hidden, 4 article, 8 link
-    noisy = hidden = article = link = 0
-    line_article = articles = level = 0
-    linked = False
+    it or 0, level as a heading or 0, and whether it has text of links that is not boilerplate.
+
+    An element named as noise is none if it holds an article, or nearly all text of the page.  Inline noise within a
+    line of other text is left out of it.
+    """
+    lines: list[_Line] = []
+    line = _Line()
+    stack: list[tuple[str, int]] = []  # open elements: tag; 1 boilerplate, 2 hidden, 4 article, 8 link, 16 heading, 32 named
+    opened: dict[str, int] = {}
+    headings: list[int] = []
+    named: list[int] = []  # open elements that are named as noise
+    parents, holds = [-1], [False]  # of named elements from 1 on: the one around it, and whether it holds an article
+    boiler = hidden = article = link = articles = 0
 
     def emit() -> None:
-        nonlocal text, weight, line_article, level, linked
-        if text:
-            line = _SPACE.sub(" ", entities.unescape("".join(text))).strip()
-            if line:
-                lines.append((line, weight, line_article, level, linked))
-            text, weight = [], 0
-        line_article, level, linked = 0, 0, False
+        nonlocal line
+        if line.pieces:
+            lines.append(line)
+        line = _Line()
 
     def put(piece: str) -> None:
-        nonlocal weight, line_article, level, linked
         if hidden or not piece:
             return
-        text.append(piece)
-        size = len(piece.strip())
-        if size:
+        line.pieces.append((piece, boiler > 0, link > 0 and not article, named[-1] if named else 0))
+        if not piece.isspace():
             if article > 0:
-                line_article = articles
-            level = level or next((int(t[1]) for t, _ in reversed(stack) if t in HEADINGS), 0)
-            linked |= link > 0 and not noisy
-            if not noisy and (article or not link):
-                weight += size
+                line.article = articles
+            line.level = line.level or (headings[-1] if headings else 0)
+            line.linked |= link > 0
 
     def leave(to: int) -> None:
-        nonlocal noisy, hidden, article, link
+        nonlocal boiler, hidden, article, link
         while len(stack) > to:
-            _, kind = stack.pop()
-            noisy -= kind & 1
+            tag, kind = stack.pop()
+            opened[tag] -= 1
+            boiler -= kind & 1
             hidden -= kind >> 1 & 1
             article -= kind >> 2 & 1
             link -= kind >> 3 & 1
+            if kind & 16:
+                headings.pop()
+            if kind & 32:
+                named.pop()
 
     at, n = 0, len(page)
     while at < n:
@@ -132,29 +155,59 @@ def lines_of(page: str) -> list[tuple[str, int, int, int, bool]]:
         if tag in VOID:
             continue
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    leave(i)
-                    break
+            if opened.get(tag):
+                leave(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
             continue
         if tag in CLOSES_P or tag in ("li", "dd", "dt", "tr", "td", "th"):
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p" or stack[i][0] == tag and tag in ("li", "tr", "td", "th"):
-                    leave(i)
-                    break
-                if stack[i][0] in BLOCKS:
-                    break
+            if opened.get("p") or opened.get(tag):
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] == "p" or stack[i][0] == tag and tag in ("li", "tr", "td", "th"):
+                        leave(i)
+                        break
+                    if stack[i][0] in BLOCKS:
+                        break
         if not m[3].endswith("/") or tag in BLOCKS or tag == "a":
-            heading = article and tag == "header"
-            kind = (1 if not heading and _noisy(tag, m[3]) else 0) | (2 if tag in HIDDEN else 0) | (4 if tag in ("article", "main") else 0) | (8 if tag == "a" else 0)
+            mark, hide, name = _marks(tag, m[3], article > 0)
+            mark &= not (article and tag == "header")
+            kind = mark | hide << 1 | (tag in ("article", "main")) << 2 | (tag == "a") << 3 | (tag in HEADINGS) << 4 | name << 5
             stack.append((tag, kind))
-            noisy += kind & 1
-            hidden += kind >> 1 & 1
-            articles += kind >> 2 & (article == 0)
-            article += kind >> 2 & 1
+            opened[tag] = opened.get(tag, 0) + 1
+            boiler += mark
+            hidden += hide
+            if kind & 4:
+                articles += article == 0
+                article += 1
+                if named:
+                    holds[named[-1]] = True
             link += kind >> 3 & 1
+            if kind & 16:
+                headings.append(int(tag[1]))
+            if kind & 32:
+                parents.append(named[-1] if named else 0)
+                holds.append(False)
+                named.append(len(parents) - 1)
     emit()
-    return lines
+
+    size = [0] * len(parents)
+    for x in lines:
+        for piece, bad, _, name in x.pieces:
+            if not bad:
+                size[name] += len(piece.strip())
+    for i in range(len(parents) - 1, 0, -1):
+        size[parents[i]] += size[i]
+        holds[parents[i]] |= holds[i]
+    noise = [False] * len(parents)
+    for i in range(1, len(parents)):
+        noise[i] = noise[parents[i]] or not (holds[i] or size[i] > MOST_TEXT * size[0])
+    out = []
+    for x in lines:
+        clean = [p for p in x.pieces if not (p[1] or noise[p[3]])]
+        some = any(not p[0].isspace() for p in clean)
+        said = _SPACE.sub(" ", entities.unescape("".join(p[0] for p in (clean if some else x.pieces)))).strip()
+        if said:
+            length = sum(len(p[0].strip()) for p in clean if not p[2])
+            out.append((said, length, x.article, x.level, x.linked and some))
+    return out
 
 
 def main_text(page: str | None) -> str:
@@ -201,7 +254,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages.
 
     pages: page_id, url, html and any other columns.  Null, empty and text-free pages give an empty text;
-    repeated rows give equal texts; broken markup is read as far as it goes.
+    repeated rows give equal texts; broken markup is read as far as it goes; a very long page is read whole, in time
+    that grows with its length.
     """
     rows = pages.selectExpr("cast(page_id as long) page_id", "url", "html")
     return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
