@@ -158,3 +158,17 @@ def clean_text(c: Column, fillers: tuple[str, ...] = (), sentences: bool = True,
         now = step(now)
         labels.append(F.when(now != c, label))
     return F.when(F.trim(replace_phrases(now, phrases or {})) == "", c).otherwise(replace_phrases(now, phrases or {})), F.concat_ws(",", *labels)
+
+
+def truncated(c: Column, most: int) -> Column:
+    """A text of at most `most` bytes, cut between characters, with dots after a cut."""
+    head = F.make_valid_utf8(F.substr(c.cast("binary"), F.lit(1), F.lit(most)).cast("string"))
+    return F.when(F.octet_length(c) <= most, c).otherwise(F.concat(F.regexp_replace(head, "\uFFFD+\\z", ""), F.lit("...")))
+
+
+def output_text(c: Column, auto_format: bool, fillers: tuple[str, ...]) -> Column:
+    """A final text as settings ask: cleaned, or only without fillers where something is left."""
+    if auto_format:
+        return clean_text(c, (), False)[0]
+    clean = remove_fillers(c, fillers)
+    return F.when(clean != "", clean).otherwise(c) if fillers else c

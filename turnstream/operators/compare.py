@@ -32,3 +32,14 @@ def word_similarity(a: DataFrame, b: DataFrame) -> DataFrame:
     j = bag(a, "na").join(bag(b, "nb"), ["recording_id", "w"], "full").na.fill(0, ["na", "nb"])
     g = j.groupBy("recording_id").agg(F.sum(F.least("na", "nb")).alias("shared"), (F.sum("na") + F.sum("nb")).alias("total"))
     return g.select("recording_id", F.round(F.col("shared") / (F.col("total") - F.col("shared")), 6).alias("similarity"))
+
+
+def candidate_report(a: DataFrame, b: DataFrame) -> DataFrame:
+    """candidate_diff with each side's number of speakers and estimated duration."""
+    from . import quality
+
+    def side(df, n):
+        who = df.groupBy("recording_id").agg(F.count_distinct("speaker").alias(f"speakers_{n}"))
+        return who.join(quality.duration_estimate(df).withColumnRenamed("seconds", f"seconds_{n}"), "recording_id", "left")
+
+    return candidate_diff(a, b).join(side(a, "a"), "recording_id", "left").join(side(b, "b"), "recording_id", "left")

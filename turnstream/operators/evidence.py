@@ -127,6 +127,38 @@ def timestamp_quality(seg: DataFrame) -> DataFrame:
     return g.withColumn("score", score).select("recording_id", "score", "back_steps", "irregular", advice.alias("recommendation"))
 
 
+def timestamp_issues(seg: DataFrame) -> DataFrame:
+    """recording_id, issues (array), reason: what timestamp_quality found wrong, in words."""
+    order = _by_time()
+    t = seg.select(*_KEYS, "end", F.coalesce(parse_timestamp(F.col("timestamp")), F.lit(0)).alias("t"))
+    t = t.withColumns({"gap": F.col("t") - F.lag("t").over(order), "place": F.row_number().over(order) - 1})
+    back = t.where("gap < 0").groupBy("recording_id").agg(F.array_sort(F.collect_list("place")).alias("back"))
+    facts = t.groupBy("recording_id").agg(F.count("gap").alias("n_gaps"), F.max("t").alias("reach"), F.max("end").alias("dur"))
+    q = timestamp_quality(seg).join(facts, "recording_id").join(back, "recording_id", "left")
+    one, cover = F.col("n_gaps") == 0, F.col("reach") / F.greatest(F.col("dur"), F.lit(1e-9)) * 100
+    steps = F.transform(F.coalesce("back", F.array().cast("array<int>")), lambda i: F.concat(F.lit("Non-monotonic at segment "), i.cast("string")))
+    others = F.array_compact(F.array(
+        F.when(F.col("irregular") * 5 > F.col("n_gaps"), F.format_string("Irregular gaps: %.0f%% of segments", F.col("irregular") / F.col("n_gaps") * 100)),
+        F.when(cover < 70, F.format_string("Poor coverage: timestamps only reach %.0f%% of audio", cover)).when(cover > 110, "Timestamp drift: timestamps exceed audio duration"),
+    ))
+    alone = F.array_compact(F.array(F.when(one, "Single-segment transcript may need forced alignment"), F.when(one & (F.col("reach") <= 2), "Single segment starts at the beginning of a long recording")))
+    brief = F.col("dur") < 30
+    score = F.col("score").cast("string")
+    reason = (
+        F.when(brief, "Audio too short (<30s), correction overhead not worth it").when(F.col("recommendation") == "skip", F.concat(F.lit("Timestamps look good (score: "), score, F.lit(")")))
+        .when(F.col("recommendation") == "optional", F.concat(F.lit("Timestamps acceptable but could improve (score: "), score, F.lit(")"))).otherwise(F.concat(F.lit("Timestamps need correction (score: "), score, F.lit(")")))
+    )
+    return q.select("recording_id", F.when(brief, F.array().cast("array<string>")).otherwise(F.concat(alone, steps, others)).alias("issues"), reason.alias("reason"))
+
+
+def evidence_notes(evidence: DataFrame) -> DataFrame:
+    """Rows of run_evidence with notes (array) and review: why a person must look at the segment, or null."""
+    notes = F.array_compact(F.array(F.when(~F.col("supported"), "No candidate strongly supports the final wording."), F.when(F.col("disputed"), "Candidate wording differs around this timestamp.")))
+    none = F.concat("location", F.lit(": no candidate transcript supports this wording."))
+    review = F.when(~F.col("supported"), none).when(F.col("status") == "review_required", F.concat("location", F.lit(": candidate transcripts disagree here.")))
+    return evidence.withColumns({"notes": notes, "review": review})
+
+
 def score_warnings(card: DataFrame) -> DataFrame:
     """Per row of a scorecard the warnings that its scores give, joined by `; `."""
     return card.select("recording_id", F.concat_ws("; ", *quality.score_warnings()).alias("warnings"))

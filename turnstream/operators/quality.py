@@ -151,3 +151,10 @@ def boundary_analysis(seg: DataFrame) -> DataFrame:
         "unreadable": F.count_if(F.col("t").isNull()),
     }
     return r.groupBy("recording_id").agg(*(c.alias(n) for n, c in counts.items()))
+
+
+def boundary_issues(seg: DataFrame) -> DataFrame:
+    """recording_id, issues (array): what boundary_analysis found, in words."""
+    say = lambda c, text: F.when(F.col(c) > 0, F.format_string(f"%d {text}", c))
+    found = F.array(say("duplicates", "adjacent duplicate segment(s)"), say("back_steps", "non-monotonic timestamp transition(s)"), say("long_gaps", "timestamp gap(s) over 30 seconds"), say("unreadable", "invalid timestamp(s)"))
+    return boundary_analysis(seg).select("recording_id", F.array_compact(found).alias("issues"))

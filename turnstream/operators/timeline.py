@@ -29,9 +29,12 @@ def timeline_lanes(seg: DataFrame) -> DataFrame:
 
 
 def speakers_by_first(seg: DataFrame) -> DataFrame:
-    first = seg.groupBy("recording_id", "speaker").agg(F.min("seg_idx").alias("first_idx"), F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(Window.partitionBy("recording_id").orderBy("first_idx"))
-    return first.select("recording_id", "speaker", "first_idx", "n", F.format_string("Speaker %d", rank).alias("label"))
+    """Labels of each recording's speakers by first appearance; a blank one is the unknown speaker and takes no number."""
+    name = F.trim(F.coalesce("speaker", F.lit("")))
+    first = seg.groupBy("recording_id", name.alias("speaker")).agg(F.min("seg_idx").alias("first_idx"), F.count(F.lit(1)).alias("n"))
+    blank = F.col("speaker") == ""
+    rank = F.row_number().over(Window.partitionBy("recording_id", blank).orderBy("first_idx"))
+    return first.select("recording_id", "speaker", "first_idx", "n", F.when(blank, "Unknown speaker").otherwise(F.format_string("Speaker %d", rank)).alias("label"))
 
 
 def speakers_by_recency(seg: DataFrame) -> DataFrame:
@@ -55,11 +58,13 @@ def chunk_plan(seg: DataFrame, duration_ms: int = 20_000, overlap_ms: int = 5_00
 
 
 def cut_points(chunks: DataFrame) -> DataFrame:
-    """Keep windows: fixed seams are cut in the middle of the overlap."""
+    """Keep windows: a seam in silence is cut at the end of the chunk before it, any other in the middle of the overlap."""
     w = Window.partitionBy("recording_id").orderBy("chunk_idx")
-    mid = lambda a, b: F.expr(f"({a} + {b}) div 2")
-    r = chunks.withColumns({"prev_end": F.lag("end_ms").over(w), "next_start": F.lead("start_ms").over(w)})
-    return r.select("recording_id", "chunk_idx", F.when(F.col("prev_end").isNotNull(), mid("start_ms", "prev_end")).alias("keep_from_ms"), F.when(F.col("next_start").isNotNull(), mid("next_start", "end_ms")).alias("keep_until_ms"))
+    quiet = F.col("boundary_type") == "silence"
+    r = chunks.withColumns({"prev_end": F.lag("end_ms").over(w), "prev_quiet": F.lag(quiet).over(w), "next_start": F.lead("start_ms").over(w), "quiet": quiet})
+    begin = F.when(F.col("prev_quiet"), F.col("prev_end")).when(F.col("prev_end").isNotNull(), F.expr("(start_ms + prev_end) div 2"))
+    until = F.when(F.col("next_start").isNotNull(), F.when(F.col("quiet"), F.col("end_ms")).otherwise(F.expr("(next_start + end_ms) div 2")))
+    return r.select("recording_id", "chunk_idx", begin.alias("keep_from_ms"), until.alias("keep_until_ms"))
 
 
 def keep_window(units: DataFrame, cuts: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.timecode import format_timestamp, parse_timestamp
+from ..functions.timecode import format_timestamp, normalise_timestamp, parse_timestamp
 
 # fixed values: the label and the opening words of gap markers, and audio tokens a second
 GAP_SPEAKER, GAP_TEXT, TOKENS_PER_SECOND = "untranscribed", "[no transcript produced for ", 32
@@ -32,8 +32,11 @@ def list_verdicts(segments: DataFrame) -> DataFrame:
 
 
 def accepted_segments(segments: DataFrame) -> DataFrame:
-    """Segments of the recordings whose whole list is accepted; a confidence out of range becomes null first."""
-    clean = segments.withColumn("text", F.trim("text")).withColumn("speaker", F.trim("speaker")).withColumn("confidence", F.when(F.col("confidence").between(0, 1), F.col("confidence")))
+    """Segments of the recordings whose whole list is accepted.
+
+    First timestamps are put in their strict form where they can be, and a confidence out of range becomes null.
+    """
+    clean = segments.withColumn("timestamp", normalise_timestamp(F.col("timestamp"))).withColumn("text", F.trim("text")).withColumn("speaker", F.trim("speaker")).withColumn("confidence", F.when(F.col("confidence").between(0, 1), F.col("confidence")))
     return clean.join(list_verdicts(clean).where("accepted").select("recording_id"), "recording_id", "left_semi")
 
 

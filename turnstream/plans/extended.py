@@ -147,6 +147,24 @@ QUERIES = {
 }
 
 
+def reviews_sql(seg: str) -> str:
+    """Recordings with a segment that no candidate supports, or that they dispute while c does not hold it."""
+    tok = "list_filter(string_split_regex(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda w: w <> '')"
+    shared = "coalesce(list_sum(list_transform(list_distinct({0}), lambda w: least(len(list_filter({0}, lambda x: x = w)), len(list_filter({1}, lambda x: x = w))))), 0)"
+    sim = lambda a, b: f"(CASE WHEN len({a}) + len({b}) = 0 THEN 1.0::DOUBLE ELSE {shared.format(a, b)} / (len({a}) + len({b}) - {shared.format(a, b)}) END)"
+    t = "floor(start)::BIGINT"
+    return f"""WITH {seg}, hd AS (SELECT * FROM seg WHERE seg_idx % 5 <> 4),
+cand AS (SELECT 'a' AS cid, recording_id, seg_idx, {t} AS u, text FROM hd UNION ALL SELECT 'b', recording_id, seg_idx, {t}, text FROM hd WHERE (recording_id + seg_idx) % 7 <> 0 UNION ALL SELECT 'c', recording_id, seg_idx, {t}, CASE WHEN (recording_id + seg_idx) % 3 = 0 THEN substr(text, 1, 20) ELSE text END FROM hd),
+cw AS (SELECT cid, recording_id, seg_idx AS m, u, {tok} AS ws FROM cand), fw AS (SELECT recording_id, seg_idx, timestamp, speaker, text, {t} AS t, {tok} AS own FROM seg),
+rt AS (SELECT fw.recording_id, fw.seg_idx, cid, m, abs(t - u) AS far, {sim('own', 'ws')} AS s, ws FROM fw JOIN cw ON fw.recording_id = cw.recording_id AND abs(t - u) <= 8),
+bm AS (SELECT * FROM rt QUALIFY row_number() OVER (PARTITION BY recording_id, seg_idx, cid ORDER BY s DESC, far, m) = 1),
+src AS (SELECT recording_id, seg_idx, bool_or(s >= 0.55) AS some_, bool_or(cid = 'c' AND s >= 0.55) AS has FROM bm GROUP BY 1, 2),
+df AS (SELECT x.recording_id, x.seg_idx, bool_or({sim('x.ws', 'y.ws')} < 0.72) AS differ FROM bm x JOIN bm y ON x.recording_id = y.recording_id AND x.seg_idx = y.seg_idx AND x.cid < y.cid GROUP BY 1, 2),
+ev AS (SELECT fw.recording_id, timestamp, speaker, text, coalesce(some_, false) AS supported, coalesce(differ, false) AND NOT coalesce(has, false) AS open FROM fw LEFT JOIN src USING (recording_id, seg_idx) LEFT JOIN df USING (recording_id, seg_idx)),
+rs AS (SELECT DISTINCT recording_id, timestamp || speaker || text || CASE WHEN NOT supported THEN 'x' ELSE 'y' END AS why FROM ev WHERE NOT supported OR open), n AS (SELECT recording_id, count(*) AS n FROM rs GROUP BY 1)
+SELECT recording_id, CASE WHEN n IS NULL THEN 'not_required' ELSE 'required' END AS status, coalesce(n, 0) AS n_reasons FROM (SELECT DISTINCT recording_id FROM seg) LEFT JOIN n USING (recording_id)"""
+
+
 def oracle(seg: str, plan: str, cut: str, norm: str, ws: str, card: str) -> dict[str, str]:
     """The SQL of QUERIES, from the relations that the engine's other SQL uses too."""
     tok = "list_filter(string_split_regex(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda w: w <> '')"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import text, timecode
 from .operators import compare, quality, render, timeline, validate
-from .plans import extended, logs, outputs, spanwise
+from .plans import audits, extended, logs, outputs, spanwise
 from .sources.fixtures import segments, table, words
 from .streaming import events
 
@@ -92,6 +92,7 @@ _MARKED = """mk AS (SELECT recording_id, seg_idx, start, "end", (recording_id *
   CASE k WHEN 13 THEN '' ELSE text END AS text FROM seg),
 er AS (SELECT *, CASE WHEN k = 3 THEN 'timestamp' WHEN k = 7 THEN 'range' WHEN regexp_full_match(speaker, '[\\t-\\r ]*') THEN 'speaker' WHEN regexp_full_match(text, '[\\t-\\r ]*') THEN 'text' WHEN confidence > 1 THEN 'confidence' END AS error,
   CASE k WHEN 3 THEN NULL WHEN 7 THEN 4510 ELSE floor(start)::BIGINT END AS t FROM mk)"""
+_NORMAL = _MARKED.replace("WHEN k = 3 THEN 'timestamp' WHEN k = 7", "WHEN k = 7").replace("CASE k WHEN 3 THEN NULL WHEN 7", "CASE k WHEN 3 THEN 5 WHEN 7")
 _VERDICT = """lg AS (SELECT *, lag(t) OVER w AS pt, row_number() OVER w AS rn FROM er WINDOW w AS (PARTITION BY recording_id ORDER BY seg_idx)),
 vd AS (SELECT recording_id, count(*) AS n_segments, count(error) AS n_errors, count(*) FILTER (error <> 'confidence') AS hard, bool_and(t IS NOT NULL AND (rn = 1 OR coalesce(t >= pt, false))) AS monotonic FROM lg GROUP BY 1)"""
 _STAMP = "format('[{{:02d}}:{{:02d}}:{{:02d}}]', ({0}) // 3600, ({0}) // 60 % 60, ({0}) % 60)"
@@ -120,7 +121,7 @@ ORACLE = {
     "q_export_csv_rows": _PER_TEXT.format(r"CASE WHEN regexp_matches(text, '^[=+\-@\t\r]') THEN '''' || text ELSE text END AS cell"),
     "q_segment_errors": f"WITH {_SEG}, {_MARKED} SELECT recording_id, seg_idx, error FROM er",
     "q_list_verdicts": f"WITH {_SEG}, {_MARKED}, {_VERDICT} SELECT recording_id, n_segments, n_errors, monotonic, n_errors = 0 AND monotonic AS accepted FROM vd",
-    "q_accepted_segments": f"WITH {_SEG}, {_MARKED}, {_VERDICT} SELECT recording_id, seg_idx, trim(speaker) AS speaker, trim(text) AS text, CASE WHEN confidence <= 1 THEN round(confidence, 6) END AS confidence FROM er WHERE recording_id IN (SELECT recording_id FROM vd WHERE hard = 0 AND monotonic)",
+    "q_accepted_segments": f"WITH {_SEG}, {_NORMAL}, {_VERDICT} SELECT recording_id, seg_idx, trim(speaker) AS speaker, trim(text) AS text, CASE WHEN confidence <= 1 THEN round(confidence, 6) END AS confidence FROM er WHERE recording_id IN (SELECT recording_id FROM vd WHERE hard = 0 AND monotonic)",
     "q_gap_markers": f"WITH {_SEG}, {_MARKED} SELECT recording_id, seg_idx FROM mk WHERE k = 17 OR starts_with(trim(lower(text)), '[no transcript produced for ')",
     "q_rename_speakers": f"WITH {_SEG} SELECT recording_id, seg_idx, CASE speaker WHEN 'user' THEN 'Ada' ELSE speaker END AS speaker FROM seg",
     "q_map_speakers": f"WITH {_SEG} SELECT recording_id, seg_idx, coalesce((['Ada', 'Ben', 'Cy'])[seg_idx % 4 + 1], 'Speaker 4') AS speaker FROM seg",
@@ -140,6 +141,6 @@ ORACLE = {
     "q_event_state_audit": f"WITH {_LOG}, p AS (SELECT lag(name) OVER (PARTITION BY job_id ORDER BY id) AS before, name AS after FROM log) SELECT before, after, count(*) AS n FROM p WHERE before IS NOT NULL GROUP BY 1, 2",
 }
 
-QUERIES |= extended.QUERIES | spanwise.QUERIES | logs.QUERIES | outputs.QUERIES
+QUERIES |= extended.QUERIES | spanwise.QUERIES | logs.QUERIES | outputs.QUERIES | audits.QUERIES
 ORACLE |= extended.oracle(_SEG, _PLAN, _CUT, _NORM, _WS, ORACLE["q_quality_scorecard"])
-ORACLE |= spanwise.oracle(_SEG, _PLAN, _NORM, _WS) | logs.oracle() | outputs.oracle(_SEG, _PLAN, _WS)
+ORACLE |= spanwise.oracle(_SEG, _PLAN, _NORM, _WS) | logs.oracle() | outputs.oracle(_SEG, _PLAN, _WS) | audits.oracle(_SEG, _PLAN, _NORM, extended.reviews_sql(_SEG))
