@@ -28,13 +28,12 @@ def _by_time():
     return Window.partitionBy("recording_id").orderBy("seg_idx")
 
 
-def numbered_words(seg: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and ws: the ASCII words of each text, those that repeat numbered, so that a set intersection counts as of bags."""
+def numbered_words(seg: DataFrame) -> DataFrame:
+    """seg with ws: the ASCII words of each text, those that repeat numbered, so that a set intersection counts as of bags."""
     low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    each = seg.select(*keys, F.explode(F.split(F.regexp_replace(low, "[^a-z0-9 ]", " "), " +")).alias("w")).where("w != ''")
-    counts = each.groupBy(*keys, "w").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    bags = counts.groupBy(*keys).agg(F.flatten(F.collect_list(F.transform(F.sequence(F.lit(1), F.col("n")), lambda k: F.concat_ws(" ", "w", k.cast("string"))))).alias("ws"))
-    return seg.join(bags, keys, "left").withColumn("ws", F.coalesce("ws", F.array().cast("array<string>")))
+    words = F.array_sort(F.filter(F.split(F.regexp_replace(F.coalesce(low, F.lit("")), "[^a-z0-9 ]", " "), " +"), lambda w: w != ""))
+    numbered = F.transform("ws", lambda w, i: F.concat_ws(" ", w, (i - F.array_position(F.col("ws"), w)).cast("string")))
+    return seg.withColumn("ws", words).withColumn("ws", numbered)
 
 
 def bag_similarity(a: Column, b: Column) -> Column:
@@ -51,9 +50,9 @@ def best_matches(final: DataFrame, candidates: DataFrame) -> DataFrame:
     segment.  Segments whose timestamp cannot be read match nothing; a final one counts as at 0.
     """
     bucket = lambda c: F.floor(c / REACH)
-    one = numbered_words(final.select(*_KEYS, "timestamp", "text"), _KEYS).select(*_KEYS, F.coalesce(parse_timestamp(F.col("timestamp")), F.lit(0)).alias("t"), F.col("ws").alias("own"))
+    one = numbered_words(final.select(*_KEYS, "timestamp", "text")).select(*_KEYS, F.coalesce(parse_timestamp(F.col("timestamp")), F.lit(0)).alias("t"), F.col("ws").alias("own"))
     one = one.withColumn("bucket", bucket(F.col("t")))
-    two = numbered_words(candidates.select(*_KEYS, "candidate_id", "timestamp", "text"), ["candidate_id", *_KEYS]).select("recording_id", F.col("seg_idx").alias("match_idx"), "candidate_id", parse_timestamp(F.col("timestamp")).alias("u"), "ws")
+    two = numbered_words(candidates.select(*_KEYS, "candidate_id", "timestamp", "text")).select("recording_id", F.col("seg_idx").alias("match_idx"), "candidate_id", parse_timestamp(F.col("timestamp")).alias("u"), "ws")
     two = two.where("u is not null").select("*", F.explode(F.sequence(bucket(F.col("u")) - 1, bucket(F.col("u")) + 1)).alias("bucket"))
     near = one.join(two, ["recording_id", "bucket"]).where(F.abs(F.col("t") - F.col("u")) <= REACH)
     rated = near.withColumn("similarity", bag_similarity(F.col("own"), F.col("ws")))

@@ -14,11 +14,11 @@ PHRASES = {"the": "THE", "the law": "$1 law", "and": "&"}
 
 
 def three_candidates(seg: DataFrame) -> DataFrame:
-    """Candidate a: all segments; b: some missing; c: some cut to 20 characters."""
+    """Candidate a: all segments; b: some missing; c: some misheard."""
     k = F.col("recording_id") + F.col("seg_idx")
-    cut = F.when(k % 3 == 0, F.substring("text", 1, 20)).otherwise(F.col("text"))
+    misheard = F.when(k % 3 == 0, F.translate("text", "e", "a")).otherwise(F.col("text"))
     named = lambda df, n: df.withColumn("candidate_id", F.lit(n))
-    return named(seg, "a").unionByName(named(seg.where(k % 7 != 0), "b")).unionByName(named(seg.withColumn("text", cut), "c"))
+    return named(seg, "a").unionByName(named(seg.where(k % 7 != 0), "b")).unionByName(named(seg.withColumn("text", misheard), "c"))
 
 
 def chunk_units(seg: DataFrame, jitter: int = 0) -> DataFrame:
@@ -154,7 +154,7 @@ def reviews_sql(seg: str) -> str:
     sim = lambda a, b: f"(CASE WHEN len({a}) + len({b}) = 0 THEN 1.0::DOUBLE ELSE {shared.format(a, b)} / (len({a}) + len({b}) - {shared.format(a, b)}) END)"
     t = "floor(start)::BIGINT"
     return f"""WITH {seg}, hd AS (SELECT * FROM seg WHERE seg_idx % 5 <> 4),
-cand AS (SELECT 'a' AS cid, recording_id, seg_idx, {t} AS u, text FROM hd UNION ALL SELECT 'b', recording_id, seg_idx, {t}, text FROM hd WHERE (recording_id + seg_idx) % 7 <> 0 UNION ALL SELECT 'c', recording_id, seg_idx, {t}, CASE WHEN (recording_id + seg_idx) % 3 = 0 THEN substr(text, 1, 20) ELSE text END FROM hd),
+cand AS (SELECT 'a' AS cid, recording_id, seg_idx, {t} AS u, text FROM hd UNION ALL SELECT 'b', recording_id, seg_idx, {t}, text FROM hd WHERE (recording_id + seg_idx) % 7 <> 0 UNION ALL SELECT 'c', recording_id, seg_idx, {t}, CASE WHEN (recording_id + seg_idx) % 3 = 0 THEN translate(text, 'e', 'a') ELSE text END FROM hd),
 cw AS (SELECT cid, recording_id, seg_idx AS m, u, {tok} AS ws FROM cand), fw AS (SELECT recording_id, seg_idx, timestamp, speaker, text, {t} AS t, {tok} AS own FROM seg),
 rt AS (SELECT fw.recording_id, fw.seg_idx, cid, m, abs(t - u) AS far, {sim('own', 'ws')} AS s, ws FROM fw JOIN cw ON fw.recording_id = cw.recording_id AND abs(t - u) <= 8),
 bm AS (SELECT * FROM rt QUALIFY row_number() OVER (PARTITION BY recording_id, seg_idx, cid ORDER BY s DESC, far, m) = 1),
@@ -172,7 +172,7 @@ def oracle(seg: str, plan: str, cut: str, norm: str, ws: str, card: str) -> dict
     sim = lambda a, b: f"(CASE WHEN len({a}) + len({b}) = 0 THEN 1.0::DOUBLE ELSE {shared.format(a, b)} / (len({a}) + len({b}) - {shared.format(a, b)}) END)"
     t = "floor(start)::BIGINT"
     cand = f"""cand AS (SELECT 'a' AS cid, recording_id, seg_idx, {t} AS u, text FROM seg UNION ALL SELECT 'b', recording_id, seg_idx, {t}, text FROM seg WHERE (recording_id + seg_idx) % 7 <> 0
-  UNION ALL SELECT 'c', recording_id, seg_idx, {t}, CASE WHEN (recording_id + seg_idx) % 3 = 0 THEN substr(text, 1, 20) ELSE text END FROM seg)"""
+  UNION ALL SELECT 'c', recording_id, seg_idx, {t}, CASE WHEN (recording_id + seg_idx) % 3 = 0 THEN translate(text, 'e', 'a') ELSE text END FROM seg)"""
     ev = f"""{cand}, cw AS (SELECT cid, recording_id, seg_idx AS match_idx, u, {tok} AS ws FROM cand),
 fw AS (SELECT recording_id, seg_idx, {t} AS t, {tok} AS own FROM seg),
 rt AS (SELECT fw.recording_id, fw.seg_idx, cid, match_idx, abs(t - u) AS far, {sim('own', 'ws')} AS s, ws FROM fw JOIN cw ON fw.recording_id = cw.recording_id AND abs(t - u) <= 8),
