@@ -6,6 +6,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +22,13 @@ CHUNK = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Only where all is one process may it be unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = spark.conf.get("turnstream.work.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="turnstream-")
         spark.conf.set("turnstream.work.dir", base)
     return base.rstrip("/")
@@ -66,6 +69,21 @@ def possibly_in(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str, how
     return df.withColumn("__cell", _cell(F.col(key))).join(F.broadcast(cells), "__cell", how).drop("__cell")
 
 
+#: A group is heavy if it holds more than one in SHARE rows; so at most SHARE groups are, and they may be broadcast.
+SHARE = 4096
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """rows with the columns of their group; rows without one go.  groups: key, size (of `total` rows) and any others.
+
+    Heavy groups are broadcast, so that their rows stay where they are; all others are joined by shuffle.
+    """
+    large = F.col(size) * SHARE > total
+    heavy = groups.where(large)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(groups.where(~large), key)
+    return rows.join(F.broadcast(heavy), key).unionByName(rest)
+
+
 def row_key(docs: DataFrame) -> Column:
     """A document's id and text as one value that is never null; rows that repeat both share it."""
     return F.concat_ws(":", docs["doc_id"].cast("string"), F.xxhash64(docs["text"]).cast("string"))
@@ -192,6 +210,42 @@ def row_slices(offsets: np.ndarray, limit: int = CHUNK):
         row = min(to, rows)
 
 
+# ---------------------------------------------------------------- tables of counts
+
+#: Parts of a table that are summed apart.
+PARTS = 64
+
+
+def table_rows(table: np.ndarray, docs: int) -> Iterator[pa.RecordBatch]:
+    """A task's table of counts in PARTS rows, with its number of documents; nothing for no documents."""
+    if docs:
+        parts = np.array_split(table.astype(np.int64), PARTS)
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([docs if i == 0 else 0 for i in range(PARTS)], pa.int64())], ["part", "counts", "docs"])
+
+
+def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the tables' parts that a task reads."""
+    total: dict[int, np.ndarray] = {}
+    docs: dict[int, int] = {}
+    for batch in batches:
+        for part, counts, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            total[part] = total.get(part, 0) + np.frombuffer(counts, np.int64)
+            docs[part] = docs.get(part, 0) + n
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary()), pa.array(list(docs.values()), pa.int64())], ["part", "counts", "docs"])
+
+
+def sum_tables(rows: DataFrame, count, size: int) -> tuple[np.ndarray, int]:
+    """Sum of the tables of `size` counts that `count` makes of each task's rows, and of their documents."""
+    kind = "part int, counts binary, docs long"
+    table = np.array_split(np.zeros(size, np.int64), PARTS)
+    n = 0
+    for r in rows.mapInArrow(count, kind).repartition(PARTS, "part").mapInArrow(_sum, kind).collect():
+        table[r["part"]] = table[r["part"]] + np.frombuffer(bytes(r["counts"]), np.int64)
+        n += r["docs"]
+    return np.concatenate(table), n
+
+
 # ---------------------------------------------------------------- files in any store
 
 

@@ -27,17 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, possibly_in, row_key, row_slices, text_buffer, without, word_hashes
+from .common import join_groups, materialize, mix, possibly_in, row_key, row_slices, sum_tables, table_rows, text_buffer, without, word_hashes
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 10, 3
 SAMPLES = BANDS * ROWS
-#: Samples in which a pair of SIMILARITY agrees but once in 100,000 pairs fewer; such pairs are not verified.
-LEAST_AGREE = 14
 CELL_BITS = 18
-#: Parts of the table of frequencies that are summed apart.
-PARTS = 64
 SEED = 20
 #: Documents of a band that are compared with the others in one task.
 BLOCK = 256
@@ -92,33 +88,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in row_slices(offsets):
             table += np.bincount(_cells(shingles(whole.column(0).slice(lo, hi - lo))[0]), minlength=len(table))
         docs += whole.num_rows
-    if docs:
-        parts = table.reshape(PARTS, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([docs if i == 0 else 0 for i in range(PARTS)], pa.int64())], ["part", "counts", "docs"])
-
-
-def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the tables' parts that a task reads."""
-    total: dict[int, np.ndarray] = {}
-    docs: dict[int, int] = {}
-    for batch in batches:
-        for part, counts, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            total[part] = total.get(part, 0) + np.frombuffer(counts, np.int64)
-            docs[part] = docs.get(part, 0) + n
-    if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary()), pa.array(list(docs.values()), pa.int64())], ["part", "counts", "docs"])
+    yield from table_rows(table, docs)
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     """Smoothed inverse document frequency of each cell, float32: 1 MB whatever the number of documents."""
-    kind = "part int, counts binary, docs long"
-    parts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(_count, kind)
-    rows = parts.repartition(PARTS, "part").mapInArrow(_sum, kind).collect()
-    table = np.zeros((PARTS, (1 << CELL_BITS) // PARTS), np.int64)
-    for r in rows:
-        table[r["part"]] += np.frombuffer(bytes(r["counts"]), np.int64)
-    n = sum(r["docs"] for r in rows)
-    return (1 + np.log(1.25 * max(n, 1) / (table.ravel() + 0.25 * max(n, 1)))).clip(0.05).astype(np.float32)
+    table, n = sum_tables(docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")), _count, 1 << CELL_BITS)
+    return (1 + np.log(1.25 * max(n, 1) / (table + 0.25 * max(n, 1)))).clip(0.05).astype(np.float32)
 
 
 _draws: dict[str, np.ndarray] = {}
@@ -163,12 +139,14 @@ def _signer(idf):
                 batch = whole.slice(lo, hi - lo)
                 hashes, counts, bounds, n, digest = shingles(batch.column(0))
                 full = np.flatnonzero(n > 0)
-                signs = np.zeros((batch.num_rows, SAMPLES), np.uint32)
+                signs, totals = np.zeros((batch.num_rows, SAMPLES), np.uint32), np.zeros(batch.num_rows)
                 if len(full):
-                    signs[full] = sample(hashes, counts * idf.value[_cells(hashes)], np.append(bounds[:-1][full], len(hashes)))
+                    weights, starts = counts * idf.value[_cells(hashes)], np.append(bounds[:-1][full], len(hashes))
+                    signs[full] = sample(hashes, weights, starts)
+                    totals[full] = np.add.reduceat(weights.astype(np.float64), starts[:-1])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(1), batch.column(2), pa.array(n, pa.int64()), pa.array([d.tobytes() for d in digest], pa.binary()), pa.array([s.tobytes() if k else None for s, k in zip(signs, n, strict=True)], pa.binary())],
-                    ["doc_id", "key", "n_words", "node", "signature"],
+                    [batch.column(1), batch.column(2), pa.array(n, pa.int64()), pa.array([d.tobytes() for d in digest], pa.binary()), pa.array([s.tobytes() if k else None for s, k in zip(signs, n, strict=True)], pa.binary()), pa.array(totals)],
+                    ["doc_id", "key", "n_words", "node", "signature", "total"],
                 )
 
     return sign
@@ -184,15 +162,6 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([nodes, pa.array(key.ravel().view(np.int64))], ["node", "band"])
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose signatures agree in LEAST_AGREE samples."""
-    for batch in batches:
-        if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, SAMPLES) for k in (2, 3))
-            keep = pa.array((a == b).sum(axis=1) >= LEAST_AGREE)
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1)], ["a", "b"])
-
-
 def similarity(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two (sorted hashes, weights)."""
     _, i, j = np.intersect1d(one[0], two[0], assume_unique=True, return_indices=True)
@@ -306,13 +275,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     idf = spark.sparkContext.broadcast(inverse_frequencies(docs))
     text = F.coalesce(F.col("text"), F.lit("")).alias("text")
     rows = materialize(
-        docs.select(text, F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("key")).mapInArrow(_signer(idf), "doc_id long, key string, n_words long, node binary, signature binary"),
+        docs.select(text, F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("key")).mapInArrow(_signer(idf), "doc_id long, key string, n_words long, node binary, signature binary, total double"),
         "signatures",
     )
     full = rows.where("n_words > 0")
-    nodes = materialize(full.groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.first("signature").alias("signature")), "nodes")
-    signs = nodes.select("node", "signature")
-    bands = materialize(signs.mapInArrow(_bands, "node binary, band long"), "bands")
+    nodes = materialize(full.groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.first("signature").alias("signature"), F.max("total").alias("total")), "nodes")
+    totals = nodes.select("node", "total")
+    bands = materialize(nodes.select("node", "signature").mapInArrow(_bands, "node binary, band long"), "bands")
 
     def texts_of(wanted: DataFrame, name: str) -> DataFrame:
         """node, text of the wanted nodes."""
@@ -322,18 +291,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs a, b that are similar; b is the side that repeats."""
-        close = pairs.join(signs.toDF("a", "sa"), "a").join(signs.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(_agreeing, "a binary, b binary")
-        close = materialize(close, f"{name}-close")
+        # a pair shares the lesser weight at most
+        fits = F.least("wa", "wb") >= F.greatest("wa", "wb") * (SIMILARITY * (1 - 1e-9))
+        close = materialize(pairs.join(totals.toDF("a", "wa"), "a").join(totals.toDF("b", "wb"), "b").where(fits).select("a", "b"), f"{name}-close")
         texts = materialize(texts_of(close.select(F.explode(F.array("a", "b")).alias("node")), name), f"{name}-texts")
         both = close.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
         found = both.mapInArrow(_verifier(idf), "a binary, b binary, similarity double").where(F.col("similarity") >= SIMILARITY)
         return materialize(found.select("a", "b"), f"{name}-verified")
 
     sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = materialize(bands.join(sizes, "band"), "shared")
+    sizes = materialize(sizes, "sizes")
+    entries = sizes.agg(F.sum("n")).first()[0] or 0
+    shared = materialize(join_groups(bands, sizes, "band", "n", entries), "shared")
     central = shared.groupBy("node").agg(F.sum("n").alias("near"))
-    leaders = shared.join(central, "node").groupBy("band").agg(F.max(F.struct("near", "node"))["node"].alias("b"))
-    stars = materialize(shared.join(leaders, "band").where("node != b").select(F.col("node").alias("a"), "b").distinct(), "stars")
+    leaders = shared.join(central, "node").groupBy("band").agg(F.max(F.struct("near", "node"))["node"].alias("b"), F.count(F.lit(1)).alias("size"))
+    stars = join_groups(shared, materialize(leaders, "leaders"), "band", "size", entries)
+    stars = materialize(stars.where("node != b").select(F.col("node").alias("a"), "b").distinct(), "stars")
     groups = components(verified(stars, "stars"))
 
     # bands that still hold several groups, without the documents that cannot link
