@@ -1,9 +1,9 @@
 """Benchmark decontamination as a prefix-filtered containment join.
 
-A window is ITEM_WORDS consecutive words of an item (a shorter item is one window).  A text that contains a
-window holds all its words, so the necessary prefix of a window, its words in order of corpus rarity, is its
-rarest word.  That word's occurrences fetch the window; the bounds on length and position and the exact
-comparison of the words in place decide.
+A window is ITEM_WORDS consecutive words of an item (a shorter item is one window).  Texts and windows are sets of
+shingles of SHINGLE words, ordered by their rarity in the corpus.  A text that contains a window holds all its
+shingles, so the necessary prefix of a window is its rarest one.  That shingle's occurrences fetch the window; the
+bounds on length and position and the exact comparison of the words in place decide.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .common import SEPARATORS, lower_ascii, materialize, row_key, without
 
 ITEM_WORDS = 10
+#: Words of a shingle; a window of fewer words is one shingle.
+SHINGLE = 2
 #: Most window rows that are broadcast; a larger benchmark is joined by shuffle.
 BROADCAST_WINDOWS = 200_000
 
@@ -35,31 +37,46 @@ def item_windows(benchmark: DataFrame, size: int = ITEM_WORDS) -> DataFrame:
     )
 
 
+def shingles(w: Column, single: bool = False) -> Column:
+    """The shingles of an array of words by place; with single, the words alone after them."""
+    n = F.size(w)
+    pairs = F.zip_with(F.slice(w, 1, F.greatest(n - 1, F.lit(0))), F.slice(w, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.concat(pairs, w) if single else pairs
+
+
 def contained(docs: DataFrame, benchmark: DataFrame, size: int = ITEM_WORDS) -> DataFrame:
     """(tokenised documents, hits): hits has doc (see row_key), start (from 1), stop, items of every occurrence of a window."""
     tokens = materialize(docs.select("doc_id", row_key(docs).alias("doc"), words(F.col("text")).alias("w")).withColumn("n_words", F.size("w").cast("long")), "words")
     windows = materialize(item_windows(benchmark, size), "windows")
     small = F.broadcast if windows.count() <= BROADCAST_WINDOWS else lambda x: x
+    single = not windows.where("size(words) = 1").isEmpty()
 
-    vocabulary = windows.select(F.explode("words").alias("word")).distinct()
-    counts = tokens.select(F.explode("w").alias("word")).join(small(vocabulary), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    # a window with a word that no document holds occurs nowhere: the inner join and the size drop it
+    own = F.when(F.size("words") == 1, F.col("words")).otherwise(shingles(F.col("words")))
+    vocabulary = windows.select(F.explode(own).alias("shingle")).distinct()
+    texts = shingles(F.col("w"), single)
+    counts = tokens.select(F.explode(texts).alias("shingle")).join(small(vocabulary), "shingle").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    # a window with a shingle that no document holds occurs nowhere: the inner join and the size drop it
     ranked = (
-        windows.select(F.posexplode("words").alias("offset", "word"), "words", "items")
-        .join(small(counts), "word")
+        windows.select(F.posexplode(own).alias("offset", "shingle"), "words", "items")
+        .join(small(counts), "shingle")
         .groupBy("words", "items")
-        .agg(F.min_by(F.struct("word", "offset"), F.struct("n", "word", "offset")).alias("rare"), F.count(F.lit(1)).alias("found"))
-        .where(F.col("found") == F.size("words"))
+        .agg(F.min_by(F.struct("shingle", "offset"), F.struct("n", "shingle", "offset")).alias("rare"), F.count(F.lit(1)).alias("found"))
+        .where(F.col("found") == F.greatest(F.size("words") - 1, F.lit(1)))
     )
-    index = materialize(ranked.select(F.col("rare.word").alias("word"), F.col("rare.offset").alias("offset"), "words", "items", F.size("words").alias("length")), "index")
+    index = materialize(ranked.select(F.col("rare.shingle").alias("shingle"), F.col("rare.offset").alias("offset"), "words", "items", F.size("words").alias("length")), "index")
+    # a word alone stands behind the n - 1 shingles
+    place = F.when(F.col("at") >= F.greatest(F.col("n_words") - 1, F.lit(0)), F.col("at") - F.greatest(F.col("n_words") - 1, F.lit(0))).otherwise(F.col("at")) if single else F.col("at")
     start = F.col("pos") - F.col("offset") + 1
-    hits = (
-        tokens.select("doc", "n_words", "w", F.posexplode("w").alias("pos", "word"))
-        .join(small(index), "word")
-        .where((F.col("n_words") >= F.col("length")) & (start >= 1) & (start + F.col("length") - 1 <= F.col("n_words")))
-        .where(F.slice("w", start, F.col("length")) == F.col("words"))
-        .select("doc", start.alias("start"), (start + F.col("length") - 1).alias("stop"), "items")
-    )
+    bounds = (F.col("n_words") >= F.col("length")) & (start >= 1) & (start + F.col("length") - 1 <= F.col("n_words"))
+    same = F.slice("w", start, F.col("length")) == F.col("words")
+    large = windows.count() > BROADCAST_WINDOWS
+    found = tokens.select("doc", "n_words", *([] if large else ["w"]), F.posexplode(texts).alias("at", "shingle")).withColumn("pos", place).join(small(index), "shingle").where(bounds)
+    if large:
+        # words are not shuffled with every shingle, but fetched once for each document that has a candidate
+        found = materialize(found.select("doc", "pos", "offset", "length", "words", "items"), "candidates")
+        some = tokens.select("doc", "w").join(found.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"])
+        found = found.join(some, "doc")
+    hits = found.where(same).select("doc", start.alias("start"), (start + F.col("length") - 1).alias("stop"), "items")
     return tokens, hits
 
 
