@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import open_store, scratch, write_file
+from .common import SHARE, materialize, open_store, possibly_in, scratch, write_file
 
 #: Payloads shorter than this are never replaced by a revisit record.
 LEAST_REVISIT = 1000
@@ -153,17 +153,23 @@ def _writer(folder: str):
 
 
 def plan_records(pages: DataFrame) -> DataFrame:
-    """pages with digest and refers_to: of equal payloads of LEAST_REVISIT bytes or more, the largest page_id is the original."""
+    """pages with digest and refers_to: of equal payloads of LEAST_REVISIT bytes or more, the largest page_id is the original.
+
+    Originals are found from ids and digests alone.  Pages meet those of frequent payloads where they are read, as at
+    most SHARE of them are; of all others only those that share a cell with a repeated payload are shuffled.
+    """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("bytes"))
-    originals = (
-        rows.where(F.col("bytes") >= LEAST_REVISIT)
-        .groupBy("digest")
-        .agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .select("digest", "original")
-    )
-    joined = rows.join(originals, "digest", "left")
+    ids = materialize(rows.where(F.col("bytes") >= LEAST_REVISIT).select("page_id", "digest"), "payloads")
+    originals = ids.groupBy("digest").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    originals = materialize(originals, "originals")
+    heavy = F.col("n") * SHARE > ids.count()
+    often, rare = F.broadcast(originals.where(heavy).drop("n")), originals.where(~heavy).drop("n")
+    hot = rows.join(often, "digest")
+    cold = rows.join(often.select("digest"), "digest", "left_anti")
+    met = possibly_in(cold, "digest", rare, "digest").join(rare, "digest", "left")
+    alone = possibly_in(cold, "digest", rare, "digest", "left_anti").withColumn("original", F.lit(None).cast("long"))
+    joined = hot.unionByName(met).unionByName(alone)
     return joined.select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("original")), F.col("original")).alias("refers_to"))
 
 
