@@ -9,19 +9,32 @@ half, and lines of n or n + 1 probe those lists with their own first and last co
 intact segment lies at the same distance from the start or from the end.  Where more are allowed, segments of
 either line can shift; so each line is filed under the grams that are least by hash in any stretch as long as
 the longest intact segment must be.  Both lines hold that segment, so both are filed under its least gram, at
-places no further apart than k.  Pairs that meet are verified by banded edit distance.
-
-Where a list holds more than HOT lines - many variants of one long line - its entries are filed again, each
-under one half of the segment that is still open, until the lists are short or the open part is a single code
-point; so no list is compared all against all.
+places no further apart than k and with lengths no further apart than k.
+
+The entries of long lines are many, so they travel packed: a task turns its lines into chunks, numbers the
+lines of a chunk, and sends each bucket of grams one compressed list of (line, place, gram).  What a bucket holds
+does not grow with the data, as the number of buckets does.  An entry also names the gram before it in its
+line and the distance to it: two entries that agree in that have met in that gram's list already.  Pairs that
+meet are first compared by the counts of their code points in BINS classes (k edits change them by 2 k at most),
+then by banded bit-parallel edit distance.
+
+Where a list holds more than HOT lines - many variants of one long line, or a common phrase - its entries at first
+meet only the most frequent lines of their own and the next cells of length and place; lines that chains of
+links then join are not compared again, and what is left of the list is compared in blocks of like length and
+place.  Short lines in long lists are filed again under one half of the segment that is still open, until lists
+are short or closed.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,14 +48,23 @@ LEAST_CHARS = 8
 #: Code points from which two edits or more are allowed.
 LONG = 2 * SHARE
 HOT = 64
+#: The same for lists of long lines.
+HOT_LONG = 64
 #: Code points in a gram of a long line.
 GRAM = 12
-#: Lengths of the shorter line from which the longest intact segment is taken to be longer.
-LEVELS = (LONG, 2 * LONG, 4 * LONG, 8 * LONG)
+#: Lengths of the shorter line at which the stretch that stays intact is taken anew.
+LEVELS = (LONG, 80, 96, 112, 128, 160, 192, 256, 512)
+#: Entries of a chunk, and of a bucket on average.
+CHUNK_ENTRIES = 2_000_000
+BUCKET_ENTRIES = 2_000_000
+#: Places of a gram in a block of a long list.
+PLACES = 256
+#: Classes of code points that are counted in each line.
+BINS = 64
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_SPOTS = "key long, line long, spot long"
-_MET = "key long, line long, spot long, other long"
+_BLOBS = "bucket int, chunk long, body binary"
+_MET = "key long, line long, spot long, other long, node binary, bins binary, n int, before int"
 _KEYS = "key long, line long, n int, longer boolean, open_from int, open_to int"
 
 
@@ -129,202 +151,527 @@ def edits(n: int) -> int:
     return max(1, n // SHARE) if n >= LEAST_CHARS else 0
 
 
-def _stretch(n: int) -> int:
-    """Length that the longest intact segment has at least where the shorter line has n code points or more."""
-    return -(-(n - edits(n)) // (edits(n) + 1))
+def _stretch(least: int, below: int) -> int:
+    """Length that the longest intact segment has at least where the shorter line has least to below - 1 code points."""
+    return min(-(-(n - edits(n)) // (edits(n) + 1)) for n in range(least, below))
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Long lines under their least grams, once for each level that a shorter line like them can have."""
-    for whole in batches:
-        _, offsets = text_buffer(whole.column(1))
-        for lo, hi in row_slices(offsets, CHUNK):
-            points, bounds = _code_points(whole.column(1).slice(lo, hi - lo))
-            total, down = _prefix_hashes(points)
-            names = whole.column(0).slice(lo, hi - lo).to_numpy()
-            n = np.diff(bounds)
-            begin = np.arange(max(len(points) - GRAM + 1, 0))
-            if not len(begin):
-                continue
-            hashes = _span(total, down, begin, begin + GRAM, np.uint64(7))
-            row = np.repeat(np.arange(len(n)), n)[: len(begin)]
-            keys, lines, spots = [], [], []
-            for level, least in enumerate(LEVELS):
-                above = LEVELS[level + 1] if level + 1 < len(LEVELS) else np.inf
-                here = (n >= least) & (n - n // SHARE < above)
-                width = _stretch(least) - GRAM + 1
-                # place of the least gram of the `width` that begin at each place
-                best, have = begin, 1
-                while have < width and len(best):
-                    step = min(have, width - have)
-                    a, b = best[:-step], best[step:]
-                    best = np.where(hashes[b] < hashes[a], b, a)
-                    have += step
-                first = row[: len(best)]
-                whole_in = here[first] & (begin[: len(best)] + width + GRAM - 1 <= bounds[first + 1])
-                taken = np.zeros(len(begin), bool)
-                taken[best[whole_in]] = True
-                at = np.flatnonzero(taken)
-                keys.append(mix(hashes[at] + np.uint64(level + 1)))
-                lines.append(names[row[at]])
-                spots.append(n[row[at]] << np.int64(32) | at - bounds[row[at]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(lines)), pa.array(np.concatenate(spots))], ["key", "line", "spot"])
-
-
-def _runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.ndarray]]:
-    """Columns of batches sorted by the first, cut only where it changes."""
-    held: list[list[np.ndarray]] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
-        cut = int(np.searchsorted(new[0], new[0][-1]))
-        if held and cut == 0 and held[-1][0][-1] == new[0][0]:
-            held.append(new)
-            continue
-        yield [np.concatenate([*(h[i] for h in held), new[i][:cut]]) for i in range(columns)]
-        held = [[c[cut:] for c in new]]
-    if held:
-        yield [np.concatenate([h[i] for h in held]) for i in range(columns)]
+@cache
+def _levels() -> list[tuple[int, float, int]]:
+    """(least length, length of the next level, grams in a stretch); from the last level on stretches only grow."""
+    ends = [*LEVELS[1:], float("inf")]
+    return [(a, b, _stretch(a, int(min(b, a + 2 * SHARE))) - GRAM + 1) for a, b in zip(LEVELS, ends, strict=True)]
 
 
-def _near(spot: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether entries i and later j of one list can belong to lines that are alike."""
-    n, at = spot >> np.int64(32), spot & np.int64(0xFFFFFFFF)
-    most = n[i] // SHARE
-    return (n[j] - n[i] <= most) & (np.abs(at[j] - at[i]) <= most)
+def gram_hashes(points: np.ndarray) -> np.ndarray:
+    """Hash of the GRAM code points from each place on."""
+    power, size, h = _BASE, 1, mix(points.astype(np.uint64) + np.uint64(1))
+    known = {1: h}
+    while 2 * size <= GRAM:
+        h = h[: len(h) - size] * np.uint64(power & (2**64 - 1)) + h[size:]
+        size, power = 2 * size, power * power
+        known[size] = h
+    rest, at = GRAM - size, size
+    while rest:
+        part = max(s for s in known if s <= rest)
+        n = max(len(points) - at - part + 1, 0)
+        h = h[:n] * np.uint64(pow(_BASE, part, 2**64)) + known[part][at : at + n]
+        at, rest = at + part, rest - part
+    return mix(h)
 
 
-def _sweep(key: np.ndarray, line: np.ndarray, spot: np.ndarray, group: np.ndarray, i: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Entries i with each later one of their list, sorted by spot, that can be alike and has another group."""
-    n, d = spot >> np.int64(32), 1
+def least_grams(hashes: np.ndarray, first: np.ndarray, stops: np.ndarray, width: int) -> np.ndarray:
+    """Sorted places of the least of every `width` grams that follow each other in a line.
+
+    first, stops: the lines' first gram and the end of their grams.  Of equal hashes the first counts.
+    """
+    mask, found = np.uint64((1 << 24) - 1), []
+    for lo in range(int(first[0]) if len(first) else 0, int(stops[-1]) if len(stops) else 0, 1 << 20):
+        hi = min(lo + (1 << 20) + width - 1, int(stops[-1]))
+        best = (hashes[lo:hi] & ~mask) | np.arange(hi - lo, dtype=np.uint64)
+        have = 1
+        while have < width:
+            step = min(have, width - have)
+            best = np.minimum(best[: len(best) - step], best[step:])
+            have += step
+        if not len(best):
+            continue
+        a, b = np.maximum(first, lo) - lo, np.minimum(stops - width + 1 - lo, len(best))
+        size = np.maximum(b - a, 0)
+        at = np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())
+        places = (best[at] & mask).astype(np.int64) + lo
+        if len(places):
+            found.append(places[np.r_[True, places[1:] != places[:-1]]])
+    if not found:
+        return np.zeros(0, np.int64)
+    places = np.concatenate(found)  # a later stretch never has an earlier least gram
+    return places[np.r_[True, places[1:] != places[:-1]]]
+
+
+def _planes(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(body: bytes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+
+
+class _Chunk:
+    """Different long lines of one task, by length, and their entries."""
+
+    def __init__(self, number: int, buckets: int):
+        self.number, self.buckets = number, buckets
+        self.lines: dict[bytes, str] = {}
+        self.counts: dict[bytes, int] = {}
+        self.chars = 0
+
+    def add(self, line: str) -> None:
+        node = hashlib.md5(line.encode("utf-8", "surrogatepass")).digest()
+        self.counts[node] = self.counts.get(node, 0) + 1
+        if node not in self.lines:
+            self.lines[node] = line
+            self.chars += len(line)
+
+    def rows(self) -> Iterator[tuple[int, int, bytes]]:
+        """(bucket, chunk, body): the entries of each bucket, and with bucket -1 the lines by number."""
+        order = sorted(self.lines.items(), key=lambda x: len(x[1]))
+        lengths = np.array([len(x[1]) for x in order], np.int64)
+        times = np.minimum([self.counts[x[0]] for x in order], 255).astype(np.uint8)
+        keys, lines, spots, befores, bins = [], [], [], [], np.zeros((len(order), BINS), np.uint8)
+        lo = 0
+        ends = np.cumsum(lengths)
+        while lo < len(order):
+            before = ends[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, before + CHUNK, side="right")))
+            points = np.frombuffer("".join(x[1] for x in order[lo:hi]).encode("utf-32-le", "surrogatepass"), np.uint32)
+            n = lengths[lo:hi]
+            bounds = np.concatenate([[0], np.cumsum(n)])
+            row = np.repeat(np.arange(hi - lo), n)
+            counts = np.bincount(row * BINS + (points % BINS), minlength=(hi - lo) * BINS)
+            bins[lo:hi] = np.minimum(counts, 255).reshape(-1, BINS)
+            hashes = gram_hashes(points)
+            for level, (least, below, width) in enumerate(_levels()):
+                a, b = np.searchsorted(n, least), np.searchsorted(n - n // SHARE, below)
+                if a < b:
+                    at = least_grams(hashes, bounds[a:b], bounds[a + 1 : b + 1] - GRAM + 1, width)
+                    key, line = mix(hashes[at] + np.uint64(level + 1)), row[at]
+                    keys.append(key)
+                    lines.append(line + lo)
+                    spots.append(at - bounds[line])
+                    before = np.zeros(len(at), np.uint64)
+                    before[1:] = np.where(line[1:] == line[:-1], mix(key[:-1] + (at[1:] - at[:-1]).astype(np.uint64)) & np.uint64(0xFFFFFF) | np.uint64(1), np.uint64(0))
+                    befores.append(before)
+            lo = hi
+        if not order:
+            return
+        yield -1, self.number, zstandard.compress(b"".join(x[0] for x in order) + bins.tobytes() + _planes(lengths), 1)
+        key, line, spot, before = (np.concatenate(c) for c in (keys, lines, spots, befores))
+        bucket = ((key >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
+        # by bucket, then line: numbers, lengths and places are then nearly free
+        by = np.argsort(bucket << np.int64(32) | line, kind="stable")
+        line, spot, bucket = line[by], spot[by], bucket[by]
+        marks = [np.ascontiguousarray(x[by].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]) for x in (key & np.uint64(0xFFFFFF), before)]
+        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        for a, b in zip(cuts, np.r_[cuts[1:], len(bucket)], strict=True):
+            some = line[a:b]
+            parts = [_planes(np.diff(some, prepend=0)), _planes(np.diff(lengths[some], prepend=0)), _planes(spot[a:b]), *(m[a:b].tobytes() for m in marks), times[some].tobytes()]
+            yield int(bucket[a]), self.number, zstandard.compress(b"".join(parts), 1)
+
+
+def _pack(buckets: int):
+    most = int(CHUNK_ENTRIES / 0.12)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Entries of the long lines of a partition, in chunks; a line is named by partition, chunk and number."""
+        task, seq = TaskContext.get().partitionId(), 0
+        chunk = _Chunk(task << 16, buckets)
+
+        def batch_of(chunk: _Chunk) -> Iterator[pa.RecordBatch]:
+            held: list[tuple[int, int, bytes]] = []
+            for row in chunk.rows():
+                held.append(row)
+                if len(held) == 256:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["bucket", "chunk", "body"])
+                    held = []
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["bucket", "chunk", "body"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                for line in (text.as_py() or "").split("\n"):
+                    if len(line) >= LONG and line.strip(" "):
+                        chunk.add(line)
+                        if chunk.chars >= most:
+                            yield from batch_of(chunk)
+                            seq += 1
+                            chunk = _Chunk(task << 16 | seq, buckets)
+        yield from batch_of(chunk)
+
+    return pack
+
+
+def _entries(chunk: int, body: bytes) -> tuple[np.ndarray, ...]:
+    """key, line, n, spot, before, times of a packed list."""
+    raw = zstandard.decompress(body)
+    n = len(raw) // 19
+    line, length, spot = (_from_planes(raw[4 * n * k : 4 * n * (k + 1)], n) for k in range(3))
+    key, before = (np.frombuffer(raw[(12 + 3 * k) * n : (15 + 3 * k) * n], np.uint8).reshape(-1, 3).astype(np.int64) @ np.array([1, 1 << 8, 1 << 16]) for k in range(2))
+    return key, np.cumsum(line) + (chunk << 24), np.cumsum(length), spot, before, np.frombuffer(raw[18 * n :], np.uint8).astype(np.int64)
+
+
+def _table(chunk: int, body: bytes) -> tuple[np.ndarray, list[bytes], list[bytes], np.ndarray]:
+    """line, node, bins, n of a chunk's lines."""
+    raw = zstandard.decompress(body)
+    n = len(raw) // (16 + BINS + 4)
+    nodes = [raw[16 * i : 16 * i + 16] for i in range(n)]
+    bins = [raw[16 * n + BINS * i : 16 * n + BINS * (i + 1)] for i in range(n)]
+    return np.arange(n) + (chunk << 24), nodes, bins, _from_planes(raw[(16 + BINS) * n :], n)
+
+
+def _near(n: np.ndarray, spot: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether entries i and j of one list can belong to lines that are alike."""
+    most = np.minimum(n[i], n[j]) // SHARE
+    return (np.abs(n[j] - n[i]) <= most) & (np.abs(spot[j] - spot[i]) <= most)
+
+
+def _apart(before: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether entries i and j have not met in the list of the gram before."""
+    return (before[i] != before[j]) | (before[i] == 0)
+
+
+def _sweep(key: np.ndarray, n: np.ndarray, spot: np.ndarray, before: np.ndarray, i: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Entries i with each later one of their list, sorted by n, that can be alike and that they have not met."""
+    d = 1
     while len(i):
         i = i[i + d < len(key)]
         i = i[(key[i + d] == key[i]) & (n[i + d] - n[i] <= n[i] // SHARE)]
-        ok = i[(group[i] != group[i + d]) & _near(spot, i, i + d)]
+        ok = i[_near(n, spot, i, i + d) & _apart(before, i, i + d)]
         yield ok, ok + d
         d += 1
 
 
+def _centres(of: np.ndarray, line: np.ndarray, n: np.ndarray, spot: np.ndarray, times: np.ndarray) -> Iterator[np.ndarray]:
+    """Of each entry the most frequent entry of its own cell of length and place, and that of the cells around it.
+
+    Entries of one cell can all be alike.  of: the entries' lists.
+    """
+    high = np.floor(np.log2(n)).astype(np.int64)
+    width = np.maximum((np.int64(1) << high) >> 6, 1)
+    cell = of << 24 | high << 18 | n // width % 256 << 9 | np.minimum(spot // width, 510)
+    order = np.lexsort((line, -times, cell))
+    first = order[np.r_[True, cell[order][1:] != cell[order][:-1]]]
+    cells = cell[first]
+    own = first[np.searchsorted(cells, cell)]
+    best = own.copy()
+    for step in (a * 512 + b for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b):
+        at = np.minimum(np.searchsorted(cells, cell + step), len(cells) - 1)
+        other = first[at]
+        best = np.where((cells[at] == cell + step) & (times[other] > times[best]), other, best)
+    yield own
+    yield best
+
+
 def _unique_pairs(line: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     a = line[np.concatenate([f[0] for f in found])] if found else line[:0]
     b = line[np.concatenate([f[1] for f in found])] if found else line[:0]
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1)
-    return pairs[0], pairs[1]
+    x, y = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    new = (x != y) & np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])][: len(x)]
+    return x[new], y[new]
+
+
+def _bucket_pairs(bucket: int, parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """Pairs of a bucket's lists of up to HOT_LONG entries; of longer lists the entries, each paired with frequent lines near it."""
+    columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+    order = np.argsort(columns[0])
+    same = np.diff(columns[0][order]) == 0
+    order = order[np.r_[False, same] | np.r_[same, False]]
+    key, line, n, spot, before, times = (c[order] for c in columns)
+    order = np.lexsort((spot, n, key))
+    key, line, n, spot, before, times = (c[order] for c in (key, line, n, spot, before, times))
+    start = np.flatnonzero(np.r_[len(key) > 0, key[1:] != key[:-1]])
+    size = np.diff(np.r_[start, len(key)])
+    of = np.repeat(np.arange(len(start)), size)
+    hot = size[of] > HOT_LONG
+    found = list(_sweep(key, n, spot, before, np.flatnonzero(~hot)))
+    much = np.flatnonzero(hot)
+    if len(much):
+        for j in _centres(of[much], line[much], n[much], spot[much], times[much]):
+            ok = _near(n, spot, much, much[j])
+            found.append((much[ok], much[j][ok]))
+    x, y = _unique_pairs(line, found)
+    zero, none = np.zeros(len(x), np.int64), len(x) + len(much)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.r_[zero, key[much] + (bucket << 32)]),
+            pa.array(np.r_[x, line[much]]),
+            pa.array(np.r_[zero, spot[much]]),
+            pa.array(np.r_[y, np.zeros(len(much), np.int64)], mask=np.r_[np.zeros(len(x), bool), np.ones(len(much), bool)]),
+            pa.nulls(none, pa.binary()),
+            pa.nulls(none, pa.binary()),
+            pa.array(np.r_[zero, n[much]].astype(np.int32)),
+            pa.array(np.r_[zero, before[much]].astype(np.int32)),
+        ],
+        [x.split()[0] for x in _MET.split(", ")],
+    )
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of lists of up to HOT entries; of longer lists the entries, each with two neighbours and the middle."""
-    for key, line, spot in _runs(batches, 3):
-        if not len(key):
+    """Rows of _MET from packed lists sorted by bucket: pairs, entries of long lists, and the numbered lines."""
+    bucket, held = -1, []
+    for batch in batches:
+        for b, chunk, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if b < 0:
+                line, nodes, bins, n = _table(chunk, body)
+                none = pa.nulls(len(line), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, pa.array(line), none, none, pa.array(nodes, pa.binary()), pa.array(bins, pa.binary()), pa.array(n.astype(np.int32)), pa.nulls(len(line), pa.int32())], [x.split()[0] for x in _MET.split(", ")])
+                continue
+            if b != bucket and held:
+                yield _bucket_pairs(bucket, held)
+                held = []
+            bucket = b
+            held.append(_entries(chunk, body))
+    if held:
+        yield _bucket_pairs(bucket, held)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list]:
+    """Columns of batches sorted by the first, cut only where it changes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(key, key[-1]))
+        if held and cut == 0 and held[-1].column(0)[-1].as_py() == key[0]:
+            held.append(batch)
             continue
-        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        size = np.diff(np.r_[start, len(key)])
-        of = np.repeat(np.arange(len(start)), size)
-        entry = np.arange(len(key))
-        hot = size[of] > HOT
-        found = list(_sweep(key, line, spot, line, entry[~hot & (size[of] > 1)]))
-        much = entry[hot]
-        if len(much):
-            middle = (start + size // 2)[of[much]]
-            for d in (1, 2):
-                i = much[much + d < len(key)]
-                found.append((i, i + d))
-            found.append((np.minimum(much, middle), np.maximum(much, middle)))
-            found[-3:] = [(i[ok], j[ok]) for i, j in found[-3:] for ok in [(key[i] == key[j]) & _near(spot, i, j)]]
-        x, y = _unique_pairs(line, found)
-        zero = np.zeros(len(x), np.int64)
-        other = pa.array(np.concatenate([y, np.zeros(len(much), np.int64)]), mask=np.r_[np.zeros(len(x), bool), np.ones(len(much), bool)])
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[zero, key[much]]), pa.array(np.r_[x, line[much]]), pa.array(np.r_[zero, spot[much]]), other], ["key", "line", "spot", "other"])
+        yield [pa.chunked_array([*(h.column(i) for h in held), batch.column(i).slice(0, cut)]) for i in range(columns)]
+        held = [batch.slice(cut)]
+    if held:
+        yield [pa.chunked_array([h.column(i) for h in held]) for i in range(columns)]
+
+
+def _counts(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+
+
+def _may_be_alike(n: np.ndarray, other: np.ndarray, bins: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the counts of code points of i and j, which are n and other long, allow that they are alike."""
+    most = 2 * (np.minimum(n, other) // SHARE)
+    # a quarter of the classes first: their difference alone may be too great
+    ok = np.flatnonzero(np.abs(bins[i, : BINS // 4] - bins[j, : BINS // 4]).sum(axis=1) <= most)
+    out = np.zeros(len(i), bool)
+    out[ok] = np.abs(bins[i[ok]] - bins[j[ok]]).sum(axis=1) <= most[ok]
+    return out
+
+
+def _ranges(lo: np.ndarray, hi: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(number of the range, place) for all places of some ranges, about `most` at a time."""
+    ends, k = np.cumsum(hi - lo), 0
+    while k < len(lo):
+        to = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + most, side="right")))
+        size = (hi - lo)[k:to]
+        yield np.repeat(np.arange(k, to), size), np.repeat(lo[k:to] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        k = to
+
+
+def _near_pairs(block: np.ndarray, n: np.ndarray, spot: np.ndarray, before: np.ndarray, home: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Entries at home with all of their block that are as long or longer, can be alike and have not met.
+
+    Entries are sorted by block, n and spot.  Runs of entries that agree in `before` are passed over as one.
+    """
+    bits = max(int(n.max()).bit_length() + 1, 16)
+    most_blocks = max(1, 1 << (62 - 2 * bits))
+    cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+    for first in range(0, len(cuts), most_blocks):
+        begin = int(cuts[first])
+        end = int(cuts[first + most_blocks]) if first + most_blocks < len(cuts) else len(block)
+        of = np.cumsum(np.r_[False, block[begin + 1 : end] != block[begin : end - 1]]).astype(np.int64)
+        length, at, last, here = n[begin:end], spot[begin:end], before[begin:end], home[begin:end]
+        name = lambda b, size, where: (b << np.int64(bits) | size) << np.int64(bits) | where
+        place = name(of, length, at)
+        fresh = np.r_[True, last[1:] != last[:-1]]
+        run, starts = np.cumsum(fresh) - 1, np.r_[np.flatnonzero(fresh), len(last)]
+        # the lengths that occur in each block, and of each entry those that it can be like
+        sizes = of << np.int64(bits) | length
+        known = sizes[np.r_[True, sizes[1:] != sizes[:-1]]]
+        i = np.flatnonzero(here)
+        most = length[i] // SHARE
+        for own, size in _ranges(np.searchsorted(known, sizes[i]), np.searchsorted(known, sizes[i] + most, side="right")):
+            x, near = i[own], most[own]
+            lo = np.searchsorted(place, known[size] << np.int64(bits) | np.maximum(at[x] - near, 0))
+            hi = np.searchsorted(place, known[size] << np.int64(bits) | at[x] + near, side="right")
+            some = np.flatnonzero(hi > lo)
+            lo, hi, x = lo[some], hi[some], x[some]
+            for which, r in _ranges(run[lo], run[hi - 1] + 1):
+                ok = (last[starts[r]] != last[x[which]]) | (last[x[which]] == 0)
+                which, r = which[ok], r[ok]
+                for part, j in _ranges(np.maximum(starts[r], lo[which]), np.minimum(starts[r + 1], hi[which])):
+                    y = x[which[part]]
+                    ok = (length[j] > length[y]) | (j > y) | ~here[j]
+                    yield y[ok] + begin, j[ok] + begin
+
+
+def _across(block: np.ndarray, n: np.ndarray, spot: np.ndarray, before: np.ndarray, home: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Entries i at home with all j of their block, as long or longer, that can be alike and that they have not met.
+
+    Entries that agree in all of this form a cell, and cells are paired first: entries that have met are many.
+    """
+    order = np.lexsort((home, before, spot, n, block))
+    columns = [c[order] for c in (block, n, spot, before, home)]
+    start = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)])
+    size = np.diff(np.r_[start, len(order)])
+    cells = [c[start] for c in columns]
+
+    def spread(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All entries of cells x with all of cells y."""
+        for which, own in _ranges(start[x], start[x] + size[x]):
+            other = y[which]
+            for part, j in _ranges(start[other], start[other] + size[other]):
+                yield own[part], j
+
+    for x, y in _near_pairs(*cells):
+        for i, j in spread(x, y):
+            yield order[i], order[j]
+    alone = np.flatnonzero((cells[3] == 0) & cells[4] & (size > 1))
+    for i, j in spread(alone, alone):
+        yield order[i[i < j]], order[j[i < j]]
 
 
 def _meet_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of long lists that no chain of links joins yet."""
-    for key, line, spot, group in _runs(batches, 4):
-        if not len(key):
+    """Pairs a, b (nodes) of blocks of long lists that no chain of links joins yet.  A pair is met in the block of its shorter line."""
+    for columns in _runs(batches, 8):
+        block, n, spot, group, home, before = (columns[i].to_numpy() for i in range(6))
+        if len(n) < 2:
             continue
-        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        mixed = np.minimum.reduceat(group, start) != np.maximum.reduceat(group, start)
-        of = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(key)]))
-        x, y = _unique_pairs(line, list(_sweep(key, line, spot, group, np.flatnonzero(mixed[of]))))
-        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
-
-
-def _alike_run(a: str, i: int, b: str, j: int) -> int:
-    """Length of the longest common start of a from i and b from j."""
-    start, step, end = i, 8, min(len(a) - i, len(b) - j) + i
-    while i < end and a[i] == b[j]:
-        if a[i : i + step] == b[j : j + step] and i + step <= end:
-            i, j, step = i + step, j + step, 2 * step
-        elif step > 1:
-            step = max(1, step // 4)
-        else:
-            i, j = i + 1, j + 1
-    return i - start
-
-
-def _by_diagonals(a: str, b: str, most: int) -> int:
-    """Edit distance up to `most`, else most + 1, by the furthest place that e edits reach on each diagonal."""
-    goal = len(b) - len(a)
-    reached = {0: _alike_run(a, 0, b, 0)}
-    for e in range(most + 1):
-        if reached.get(goal, -1) >= len(a):
-            return e
-        after = {}
-        for k in range(-e - 1, e + 2):
-            # from here on the diagonal of the ends must still be in reach
-            if abs(goal - k) > most - e - 1:
-                continue
-            i = max(reached.get(k, -2) + 1, reached.get(k - 1, -2), reached.get(k + 1, -2) + 1)
-            i = min(i, len(a), len(b) - k)
-            if i >= 0 and i + k >= 0:
-                after[k] = i + _alike_run(a, i, b, i + k)
-        reached = after
-    return most + 1
+        nodes, bins = columns[6].combine_chunks(), _counts(columns[7])
+        for i, j in _across(block, n, spot, before, home == 1):
+            other = group[i] != group[j]
+            i, j = i[other], j[other]
+            ok = _may_be_alike(n[i], n[j], bins, i, j)
+            if ok.any():
+                yield pa.RecordBatch.from_arrays([nodes.take(pa.array(i[ok])), nodes.take(pa.array(j[ok]))], ["a", "b"])
+
+
+def _alike_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs a, b whose counts of code points allow that they are alike."""
+    for batch in batches:
+        if batch.num_rows:
+            bins, at = np.concatenate([_counts(batch.column(4)), _counts(batch.column(5))]), np.arange(batch.num_rows)
+            ok = pa.array(_may_be_alike(batch.column(2).to_numpy(), batch.column(3).to_numpy(), bins, at, at + len(at)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
 
 def edit_distance(a: str, b: str, most: int = 1) -> int:
     """Edit distance if it is at most `most`, else most + 1: bit-parallel, in a band of 2 most + 1 diagonals.
 
-    More than one edit is counted by diagonals, as that costs `most` squared steps.  Common ends are cut first.  After j characters of b, bit k of vector e says that the first j + k - most
-    characters of a are within e edits of them; every character of b moves all diagonals of the band at once.
+    Bits hold the differences between neighbours of a column of the table of distances, and the band moves down
+    by one row with each column (Hyyro's form of Myers' method).  Common ends are cut first.
     """
     if abs(len(a) - len(b)) > most:
         return most + 1
     lo, end = 0, min(len(a), len(b))
-    while lo < end and a[lo] == b[lo]:
-        lo += 1
+    step = 64
+    while lo < end:
+        if a[lo : min(lo + step, end)] == b[lo : min(lo + step, end)]:
+            lo = min(lo + step, end)
+        elif step > 1:
+            step = 1
+        else:
+            break
     cut = 0
     while cut < end - lo and a[len(a) - 1 - cut] == b[len(b) - 1 - cut]:
         cut += 1
     a, b = a[lo : len(a) - cut], b[lo : len(b) - cut]
-    if len(a) > len(b):
+    if len(a) < len(b):
         a, b = b, a
-    if not a:
-        return len(b) if len(b) <= most else most + 1
-    if most > 1:
-        return _by_diagonals(a, b, most)
+    gap = len(a) - len(b)
     band = (1 << (2 * most + 1)) - 1
     places: dict[str, int] = {}
     for i, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << (i + most)
-    reached = [((1 << (e + 1)) - 1 << most) & band for e in range(most + 1)]
+    up, down, score = band & ~((1 << most) - 1), 0, gap
     for j, c in enumerate(b):
-        equal = places.get(c, 0) >> j
-        before = reached
-        reached = [before[0] & equal & band]
-        for e in range(1, most + 1):
-            reached.append((before[e] & equal | before[e - 1] | before[e - 1] >> 1 | reached[e - 1] << 1) & band)
-        if not reached[most]:
+        equal = places.get(c, 0) >> j & band
+        flat = ((((equal & up) + up) ^ up) | equal | down) & band
+        rise, fall = down | band & ~(flat | up), flat & up
+        score += not flat >> (most + gap) & 1
+        if score > most:
             return most + 1
-    at = len(a) - len(b) + most
-    return next((e for e in range(most + 1) if reached[e] >> at & 1), most + 1)
+        down = flat >> 1 & rise
+        up = fall | band & ~(flat >> 1 | rise)
+    return score
+
+
+def edit_distances(pairs: list[tuple[str, str]], most: int) -> np.ndarray:
+    """edit_distance of many pairs at once, for most up to 31: a step of all bands at a time."""
+    out = np.full(len(pairs), most + 1, np.int64)
+    pairs = [(a, b) if len(a) >= len(b) else (b, a) for a, b in pairs]
+    m, n = (np.array([len(p[k]) for p in pairs], np.int64) for k in (0, 1))
+    here = np.flatnonzero(m - n <= most)
+    if not len(here):
+        return out
+    width, one = 2 * most + 1, np.uint64(1)
+    rows = np.full((len(here), int(m[here].max()) + width), 0xFFFFFFFF, np.uint32)
+    columns = np.full((len(here), int(n[here].max()) + 1), 0xFFFFFFFE, np.uint32)
+    for r, p in enumerate(here):
+        rows[r, most : most + m[p]] = np.frombuffer(pairs[p][0].encode("utf-32-le", "surrogatepass"), np.uint32)
+        columns[r, : n[p]] = np.frombuffer(pairs[p][1].encode("utf-32-le", "surrogatepass"), np.uint32)
+    band = np.uint64((1 << width) - 1)
+    up, down = np.full(len(here), band & ~np.uint64((1 << most) - 1)), np.zeros(len(here), np.uint64)
+    score, at, last = (m - n)[here], (m - n + most)[here].astype(np.uint64), n[here]
+    bits = np.zeros((len(here), 8), np.uint8)
+    size = -(-width // 8)
+    for j in range(int(last.max())):
+        bits[:, :size] = np.packbits(rows[:, j : j + width] == columns[:, j, None], axis=1, bitorder="little")
+        equal = bits.view("<u8").ravel()
+        flat = ((((equal & up) + up) ^ up) | equal | down) & band
+        rise, fall = down | band & ~(flat | up), flat & up
+        score += (flat >> at & one == 0) & (j < last)
+        half = flat >> one
+        down = half & rise
+        up = fall | band & ~(half | rise)
+        if j % 32 == 31:
+            live = (score <= most) & (j + 1 < last)
+            if live.sum() * 2 < len(live):
+                done = ~live
+                out[here[done]] = np.minimum(score[done], most + 1)
+                if not live.any():
+                    return out
+                here, rows, columns, up, down, score, at, last, bits = (x[live] for x in (here, rows, columns, up, down, score, at, last, bits))
+    out[here] = np.minimum(score, most + 1)
+    return out
+
+
+def alike(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """Whether each pair of lines is alike.  Pairs are taken together whose thresholds fit the same band."""
+    least = np.array([min(len(a), len(b)) for a, b in pairs], np.int64)
+    most = np.array([edits(n) for n in least], np.int64)
+    out = np.zeros(len(pairs), bool)
+    for below, band in ((0, 1), (1, 3), (3, 7), (7, 15), (15, 31)):
+        some = np.flatnonzero((most > below) & (most <= band))
+        some = some[np.argsort(least[some], kind="stable")]
+        lo = 0
+        while lo < len(some):  # at most 2^21 code points in each matrix
+            hi = min(len(some), lo + 4096)
+            hi = min(hi, lo + max(1, (1 << 21) // max(1, int(least[some[hi - 1]]))))
+            part = some[lo:hi]
+            out[part] = edit_distances([pairs[i] for i in part], band) <= most[part]
+            lo = hi
+    for i in np.flatnonzero(most > 31):
+        out[i] = edit_distance(*pairs[i], int(most[i])) <= most[i]
+    return out
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = pa.array([edit_distance(x, y, k) <= k for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True) for k in [edits(min(len(x), len(y)))]], pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in range(4)], ["a", "b", "x", "y"])
+    """The pairs a, b, ta, tb whose texts are alike."""
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 16384):
+            batch = whole.slice(lo, 16384)
+            keep = pa.array(alike(list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1)], ["a", "b"])
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -337,34 +684,50 @@ def _md5(line: Column | str) -> Column:
     return F.unhex(F.md5(F.col(line).cast("binary") if isinstance(line, str) else line))
 
 
-def _links(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The pairs x, y of lines that are alike, with their digests a, b."""
-    pairs = materialize(pairs.distinct(), "line-pairs")
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("short")).distinct()
-    texts = materialize(possibly_in(lines, "short", wanted, "short").join(wanted, "short").select("short", "node", "text"), "line-texts")
-    both = pairs.join(texts.toDF("x", "a", "ta"), "x").join(texts.toDF("y", "b", "tb"), "y")
-    return materialize(both.select("a", "b", "x", "y", "ta", "tb").mapInArrow(_verify, "a binary, b binary, x long, y long"), "line-links")
-
-
-def similar_lines(lines: DataFrame) -> DataFrame:
-    """Links a, b (digests) of different lines: with their chains, they join all lines that are alike.
-
-    lines: node, short, text, n_chars, one row per line.  A line of LONG code points is like shorter lines by
-    one edit and like others by more, so it takes both ways.
-    """
-    met = short_pairs(lines.where(F.col("n_chars") <= LONG))
-    long_lines = lines.where(F.col("n_chars") >= LONG)
-    lists = long_lines.select("short", "text").mapInArrow(_grams, _SPOTS).repartition("key").sortWithinPartitions("key", "spot")
-    found = materialize(lists.mapInArrow(_meet, _MET), "long-lists")
-    links = _links(met.unionByName(found.where("other is not null").select(F.col("line").alias("x"), F.col("other").alias("y"))), lines)
-    hot = found.where("other is null")
+def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs a, b (nodes) of lines that are alike.  texts: node, text of the lines, repeated or not."""
+    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), "line-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    found = possibly_in(texts, "node", wanted, "node").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    found = materialize(found, "line-texts")
+    both = pairs.join(found.toDF("a", "ta"), "a").join(found.toDF("b", "tb"), "b")
+    return materialize(both.select("a", "b", "ta", "tb").mapInArrow(_verify, "a binary, b binary"), "line-links")
+
+
+def long_links(docs: DataFrame, chars: int) -> DataFrame:
+    """Links a, b (nodes) of different lines of LONG code points or more; chars: of all such lines, repeats included."""
+    buckets = max(16, -(-int(chars * 0.12) // BUCKET_ENTRIES))
+    texts = lines_of(docs).where(F.char_length("line") >= LONG).select(_md5("line").alias("node"), F.col("line").alias("text"))
+    packed = docs.select("text").mapInArrow(_pack(buckets), _BLOBS)
+    dealt = packed.repartition(buckets, F.when(F.col("bucket") < 0, F.xxhash64("chunk")).otherwise(F.col("bucket").cast("long")))
+    found = materialize(dealt.sortWithinPartitions("bucket").mapInArrow(_meet, _MET), "long-lists")
+    table = found.where("node is not null").select("line", "node", "bins", "n")
+    pairs = found.where("other is not null").select(F.col("line").alias("x"), F.col("other").alias("y")).distinct()
+    both = pairs.join(table.toDF("x", "a", "abins", "an"), "x").join(table.toDF("y", "b", "bbins", "bn"), "y").where("a != b")
+    links = _links(both.select("a", "b", "an", "bn", "abins", "bbins").mapInArrow(_alike_counts, "a binary, b binary"), texts)
+    hot = found.where("node is null and other is null").select("key", "line", "spot", "n", "before")
     if hot.isEmpty():
-        return links.select("a", "b")
+        return links
     # in long lists, lines that chains join already need not be compared
-    groups = components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("line"), F.col("class").alias("group"))
-    grouped = hot.drop("other").join(groups, "line", "left").select("key", "line", "spot", F.coalesce("group", "line").alias("group"))
-    across = grouped.repartition("key").sortWithinPartitions("key", "spot").mapInArrow(_meet_across, "x long, y long")
-    return links.unionByName(_links(across, lines)).select("a", "b")
+    groups = components(links).select("node", F.col("class").alias("group"))
+    named = table.drop("n").join(groups, "node", "left").select("line", "node", "bins", F.xxhash64(F.coalesce("group", "node")).alias("group"))
+    entries = hot.join(named, "line").groupBy("key", "n", "spot", "before", "node").agg(F.first("bins").alias("bins"), F.first("group").alias("group"))
+    entries = materialize(entries, "long-entries")
+    mixed = entries.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low != high").select("key")
+    # blocks of lengths half as wide as the lengths themselves, and of PLACES places; a line also stands in the blocks
+    # next to its own where a shorter one may be that is like it
+    length = lambda n: F.floor(F.log(n.cast("double")) * 2.5).cast("int")
+    most = F.floor(F.col("n") / SHARE)
+    place = lambda c: F.floor(c / PLACES).cast("int")
+    left = (
+        entries.join(mixed, "key")
+        .withColumn("lengths", F.explode(F.array_distinct(F.array(length(F.col("n")), length(F.col("n") - most)))))
+        .withColumn("places", F.explode(F.sequence(place(F.col("spot") - most), place(F.col("spot") + most))))
+    )
+    home = (F.col("lengths") == length(F.col("n"))) & (F.col("places") == place(F.col("spot")))
+    blocks = left.select(F.xxhash64("key", "lengths", "places").alias("key"), F.col("n").cast("long").alias("n"), "spot", "group", home.cast("int").alias("home"), F.col("before").cast("long").alias("before"), "node", "bins")
+    across = blocks.repartition("key").sortWithinPartitions("key", "n", "spot").mapInArrow(_meet_across, "a binary, b binary")
+    return links.unionByName(_links(across, texts))
 
 
 def short_pairs(lines: DataFrame) -> DataFrame:
@@ -394,6 +757,13 @@ def short_pairs(lines: DataFrame) -> DataFrame:
     return pairs
 
 
+def short_links(lines: DataFrame) -> DataFrame:
+    """Links a, b (nodes) of different lines one edit apart.  lines: node, short, text."""
+    pairs, named = short_pairs(lines), lines.select("short", "node")
+    both = pairs.join(named.toDF("x", "a"), "x").join(named.toDF("y", "b"), "y").select("a", "b")
+    return _links(both, lines.select("node", "text"))
+
+
 def line_classes(docs: DataFrame) -> DataFrame:
     """One row per different line: where it first occurs, how often, its class, and whether it stays.
 
@@ -401,13 +771,23 @@ def line_classes(docs: DataFrame) -> DataFrame:
     class_doc_id, class_line_no, class_lines, kept.  A class holds lines linked by chains of likeness; it
     is named by, and keeps, the line that occurs first by (doc_id, line_no), null ids before all others.
     Lines of white space only are left alone and have no row; lines shorter than LEAST_CHARS form classes of
-    equal lines only.  Null and empty texts have no lines.  An empty table gives an empty result.
+    equal lines only.  Null and empty texts have no lines; a very long line is compared whole.  An empty table
+    gives an empty result.  docs is read more than once, and its partitions must hold the same rows each time,
+    as those of a table do.
     """
-    found = lines_of(docs).groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("occurrences"))
-    lines = materialize(found.select(_md5("line").alias("node"), F.xxhash64("line").alias("short"), F.col("line").alias("text"), "first", "occurrences", F.char_length("line").alias("n_chars")), "lines")
-    links = similar_lines(lines.where(F.col("n_chars") >= LEAST_CHARS).select("node", "short", "text", "n_chars"))
+    node = _md5("line").alias("node")
+    found = lines_of(docs).select(node, "doc_id", "line_no", F.char_length("line").alias("n_chars"))
+    rows = materialize(
+        found.groupBy("node").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("occurrences"), F.first("n_chars").alias("n_chars")),
+        "lines",
+    )
+    chars = rows.where(F.col("n_chars") >= LONG).agg(F.sum(F.col("n_chars") * F.col("occurrences"))).first()[0] or 0
+    short = lines_of(docs).where(F.char_length("line").between(LEAST_CHARS, LONG)).groupBy("line").agg(F.lit(1))
+    short = materialize(short.select(node, F.xxhash64("line").alias("short"), F.col("line").alias("text")), "short-lines")
+    links = short_links(short)
+    if chars:
+        links = links.unionByName(long_links(docs, chars))
     groups = components(links)
-    rows = lines.select("node", "first", "occurrences", "n_chars")
     linked = rows.join(groups, "node")
     heads = linked.groupBy("class").agg(F.min("first").alias("head"), F.count(F.lit(1)).alias("class_lines"))
     classes = materialize(linked.join(heads, "class").select("node", "head", "class_lines"), "line-classes")
