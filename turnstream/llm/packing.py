@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 LENGTHS = (1024, 2048, 4096, 8192)
-#: Parts in which the pieces of one size are counted and ranked.
-SALTS = 64
+#: Pieces of one size that are ranked together; the more there are, the more parts they are dealt to.
+PART_PIECES = 1 << 14
 
 
 def bin_cost(length: int, quadratic: float = 32768.0) -> float:
@@ -161,11 +161,14 @@ def pack(docs: DataFrame, length: Column | None = None, lengths: tuple[int, ...]
     spark = docs.sparkSession
     if length is None:
         length = F.octet_length(F.coalesce(F.col("text"), F.lit(""))) + 1
-    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")
-    rows = materialize(pieces_of(docs, F.greatest(length, F.lit(1)), max(lengths), carry).withColumn("salt", salt), "pieces")
+    rows = materialize(pieces_of(docs, F.greatest(length, F.lit(1)), max(lengths), carry), "pieces")
+    # at most max(lengths) rows reach the driver, and go back to the tasks
+    histogram = {r["size"]: r["n"] for r in rows.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
+    plan = best_plan(histogram, lengths)
+    parts = spark.createDataFrame([(s, -(-n // PART_PIECES)) for s, n in histogram.items()], "size int, parts long")
+    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.col("parts")).cast("long")
+    rows = rows.join(F.broadcast(parts), "size").withColumn("salt", salt).drop("parts")
     counts = rows.groupBy("size", "salt").agg(F.count(F.lit(1)).alias("n"))
-    # at most max(lengths) rows reach the driver
-    plan = best_plan({r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}, lengths)
     earlier = Window.partitionBy("size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("size", "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
     within = Window.partitionBy("size", "salt").orderBy(F.col("doc_id").asc_nulls_first(), "piece")
