@@ -1,34 +1,42 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and word stems that labelled examples associate with the label.  Every document becomes a
-sparse TF-IDF vector over them, with document frequencies over all documents.  The examples' vectors form an
-inverted index in blocks, with the largest weight of each term in each block; a document's blocks are scored
-in the order of their upper bounds until none left can reach the K-th neighbour, so the neighbours are exact.
-Similarity-weighted votes of the neighbours, calibrated on the examples themselves (each without its own
-vote), give the score; the neighbours are the evidence.
+The vocabulary is every word, and every stem of a longer word, that LEAST_EXAMPLES labelled examples hold, toxic
+or not; every document is a vector over it, with document frequencies over all documents.  Weights also
+carry the relevance frequency of a term - how much more often toxic examples hold it than others do -, which only
+stretches the axes: no term is left out for its label.  The examples' vectors form an inverted index in blocks,
+with the largest weight of each term in each block; a document's blocks are scored in the order of their upper
+bounds until none left can reach the K-th neighbour, so the neighbours are exact.  Similarity-weighted votes
+of the neighbours, calibrated on the examples (each voted on by the examples of other folds, whose labels alone
+weigh the terms), give the score; the neighbours are the evidence.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key, row_slices, text_buffer, without, word_hashes
+from .common import materialize, row_key, row_slices, sum_tables, table_rows, text_buffer, without, word_hashes
 
-#: Most labelled rows that examples and terms are learnt from: those with the least hash of the id.
+#: Most labelled rows that examples are learnt from: those with the least hash of the id, while their texts
+#: take EXAMPLE_BYTES together at most.  Together they bound the vocabulary and the index.
 EXAMPLES = 8192
-#: Most terms: those with the strongest association.
-TERMS = 4096
-#: Least examples with a term, and least chi-square of a term with the label.
-LEAST_EXAMPLES, LEAST_CHI2 = 3, 30.0
+EXAMPLE_BYTES = 32 << 20
+#: Examples that hold a term, at least.
+LEAST_EXAMPLES = 2
 #: Lengths in bytes of the stems of longer words.
-STEMS = (4, 5, 6, 7, 8, 9)
+STEMS = (5, 7)
 NEIGHBOURS = 25
-BLOCK = 64
+#: Examples in a block of the index: most terms are in few examples, so smaller blocks would bound little and cost as much as they save.
+BLOCK = 1024
+#: Most terms that are held as rows of a matrix, of those that an eighth of the examples have.
+DENSE = 512
+#: Folds of the examples for calibration.
+FOLDS = 3
 #: Similarity of a vote against, that every document has: weak evidence scores low.
 DOUBT = 0.15
 CUT = 0.7
@@ -71,34 +79,83 @@ def _associations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts if y else zero), pa.array(zero if y else counts)], ["term", "pos", "neg"])
 
 
-def _vectoriser(vocabulary: np.ndarray):
-    """Rows' columns but the text, and the terms (indexes into the sorted vocabulary) with their counts."""
-    keys = vocabulary.view(np.uint64)
-    seen = np.zeros(1 << 16, bool)
-    seen[(keys >> np.uint64(48)).astype(np.int64)] = True
+class Vocabulary:
+    """Numbers of terms by hash: keys, sorted, and where those of each 22-bit prefix begin."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.sort(keys)
+        self.first: np.ndarray | None = None
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def __getstate__(self):
+        return {"keys": self.keys, "first": None}
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of each term, or -1."""
+        if self.first is None:
+            self.first = np.searchsorted(self.keys >> np.uint64(42), np.arange((1 << 22) + 1, dtype=np.uint64)).astype(np.int32)
+        prefix = (hashes >> np.uint64(42)).astype(np.int64)
+        at, end = self.first[prefix], self.first[prefix + 1]
+        found = np.full(len(hashes), -1, np.int64)
+        live = np.flatnonzero(at < end)
+        while len(live):
+            same = self.keys[at[live]] == hashes[live]
+            found[live[same]] = at[live[same]]
+            live = live[~same]
+            at[live] += 1
+            live = live[at[live] < end[live]]
+        return found
+
+    def vectors(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(terms, counts, offsets by row) of a column of texts; a row's terms ascend."""
+        hashes, rows = _features(column)
+        terms = self.find(hashes)
+        known = terms >= 0
+        size = max(len(self), 1)
+        pairs, counts = np.unique(rows[known] * size + terms[known], return_counts=True)
+        return pairs % size, counts, np.searchsorted(pairs // size, np.arange(len(column) + 1))
+
+
+def _frequencies(vocabulary):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, docs = np.zeros(len(vocabulary.value), np.int64), 0
+        for whole in batches:
+            for batch in _slices(whole, 0):
+                table += np.bincount(vocabulary.value.vectors(batch.column(0))[0], minlength=len(table))
+            docs += whole.num_rows
+        yield from table_rows(table, docs)
+
+    return count
+
 
+def _vectorise(vocabulary):
     def vectorise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """doc_id, toxic, and terms and counts as packed numbers."""
         for whole in batches:
             for batch in _slices(whole, 0):
-                hashes, rows = _features(batch.column(0))
-                near = seen[(hashes >> np.uint64(48)).astype(np.int64)]
-                hashes, rows = hashes[near], rows[near]
-                at = np.minimum(np.searchsorted(keys, hashes), max(len(keys) - 1, 0))
-                same = keys[at] == hashes if len(keys) else np.zeros(len(hashes), bool)
-                pairs, counts = np.unique(rows[same] * np.int64(TERMS) + at[same], return_counts=True)
-                bounds = np.searchsorted(pairs // TERMS, np.arange(batch.num_rows + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array((pairs % TERMS).astype(np.int32))), pa.ListArray.from_arrays(pa.array(bounds), pa.array(counts.astype(np.int32)))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(1, batch.num_columns)), *lists], [*batch.schema.names[1:], "terms", "counts"])
+                terms, counts, bounds = vocabulary.value.vectors(batch.column(0))
+                cut = lambda values, kind: pa.array([values[a:b].astype(kind).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), cut(terms, "<i4"), cut(np.minimum(counts, 65535), "<u2")], ["doc_id", "toxic", "terms", "counts"])
 
     return vectorise
 
 
+def relevance(pos: np.ndarray, neg: np.ndarray, toxic: float, others: float) -> np.ndarray:
+    """Relevance frequency of terms that pos of `toxic` examples hold and neg of the others; 1 at least."""
+    return np.log2(2 + (pos / max(toxic, 1)) / ((neg + 1) / max(others, 1)))
+
+
+Example = tuple[int, np.ndarray, np.ndarray, int]
+
+
 class Index:
     """A block-max inverted index of examples, and votes of their labels."""
 
-    def __init__(self, examples: list[tuple[int, np.ndarray, np.ndarray, int]], idf: np.ndarray, rest: tuple[int, int]):
-        """examples: (doc_id, terms, counts, label), each with a term; rest: toxic and all examples without one."""
-        self.idf = idf
+    def __init__(self, examples: list[Example], idf: np.ndarray, base: float = 0.0):
+        """examples: (doc_id, terms, counts, label), each with a term; idf: weight of each term; base: score without terms."""
+        self.idf, self.base = idf, base
         vectors = [self.vector(t, c) for _, t, c, _ in examples]
         # alike examples share blocks, so that the bounds are tight
         order = sorted(range(len(examples)), key=lambda i: (int(examples[i][1][np.argmax(vectors[i])]), examples[i][0]))
@@ -108,91 +165,180 @@ class Index:
         rows = np.concatenate([np.full(len(vectors[i]), r) for r, i in enumerate(order)]) if order else np.zeros(0, np.int64)
         terms = np.concatenate([examples[i][1] for i in order]).astype(np.int64) if order else np.zeros(0, np.int64)
         weights = np.concatenate([vectors[i] for i in order]) if order else np.zeros(0)
+        # the commonest terms, which would have the longest lists, are rows of a matrix
+        held = np.bincount(terms, minlength=len(idf))
+        common = np.argsort(-held, kind="stable")[:DENSE]
+        common = common[held[common] * 8 >= max(len(order), 8)]
+        self.matrix_row = np.full(len(idf), -1, np.int16)
+        self.matrix_row[common] = np.arange(len(common))
+        self.matrix = np.zeros((len(common), len(order)), np.float32)
+        dense = self.matrix_row[terms] >= 0
+        self.matrix[self.matrix_row[terms[dense]], rows[dense].astype(np.int64)] = weights[dense]
+        rows, terms, weights = rows[~dense], terms[~dense], weights[~dense]
         by_term = np.lexsort((rows, terms))
-        self.rows, self.weights, terms = rows[by_term].astype(np.int64), weights[by_term], terms[by_term]
-        # where the postings of a term in a block begin
-        self.starts = np.searchsorted(terms * self.blocks + self.rows // BLOCK, np.arange(len(idf) * self.blocks + 1))
-        self.most = np.zeros((len(idf), self.blocks), np.float32)
-        np.maximum.at(self.most, (terms, self.rows // BLOCK), np.nextafter(self.weights.astype(np.float32), np.float32(2)))
-        self.base = (rest[0] + 0.5) / (rest[1] + 1.0) if rest[1] else 0.0
+        self.rows, self.weights, terms = rows[by_term].astype(np.int32), weights[by_term].astype(np.float32), terms[by_term]
+        # a cell holds the postings of a term in a block
+        cells = terms * max(self.blocks, 1) + self.rows // BLOCK
+        begin = np.flatnonzero(np.r_[len(cells) > 0, cells[1:] != cells[:-1]])
+        self.cell_starts = np.r_[begin, len(cells)].astype(np.int32)
+        self.cell_block = (cells[begin] % max(self.blocks, 1)).astype(np.int16 if self.blocks < 32768 else np.int32)
+        self.cell_most = np.maximum.reduceat(self.weights, begin) if len(begin) else np.zeros(0, np.float32)
+        self.term_starts = np.searchsorted(cells[begin] // max(self.blocks, 1), np.arange(len(idf) + 1)).astype(np.int32)
         self.steps = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-        self.examples = [(examples[i][1], examples[i][2]) for i in order]
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         weights = (1 + np.log(counts)) * self.idf[terms]
-        return weights / np.sqrt((weights * weights).sum())
-
-    def evaluate(self, terms: np.ndarray, query: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of the blocks that share a term with the query, and their cosines."""
-        cells = (terms[:, None] * self.blocks + blocks[None, :]).ravel()
-        lo = self.starts[cells]
-        sizes = self.starts[cells + 1] - lo
-        at = np.repeat(lo - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        rows, inverse = np.unique(self.rows[at], return_inverse=True)
-        return rows, np.bincount(inverse, np.repeat(np.repeat(query, len(blocks)), sizes) * self.weights[at], len(rows))
-
-    def nearest(self, terms: np.ndarray, counts: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        norm = np.sqrt((weights * weights).sum())
+        return weights / norm if norm else weights
+
+    def _read(self, cells: np.ndarray, share: np.ndarray, sims: np.ndarray) -> None:
+        """Add what the postings of some cells, each with its term's share of the query, give to the examples' cosines."""
+        lo = self.cell_starts[cells]
+        size = self.cell_starts[cells + 1] - lo
+        places = np.repeat(lo - np.cumsum(size, dtype=np.int32) + size, size) + np.arange(size.sum(), dtype=np.int32)
+        sims += np.bincount(self.rows[places], np.repeat(share, size) * self.weights[places], minlength=len(sims))
+
+    def nearest(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the NEIGHBOURS nearest examples with a common term; ties by row."""
-        query = self.vector(terms, counts)
-        bounds = query @ self.most[terms]
-        order = np.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 0]
-        found, sims, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
-        while at < len(order) and (len(found) < NEIGHBOURS or bounds[order[at]] >= sims.min()):
-            rows, scores = self.evaluate(terms, query, order[at : at + step])
-            at, step = at + step, 2 * step
-            other = rows != without
-            found, sims = np.concatenate([found, rows[other]]), np.concatenate([sims, scores[other]])
-            if len(found) > NEIGHBOURS:
-                best = np.lexsort((found, -sims))[:NEIGHBOURS]
-                found, sims = found[best], sims[best]
-        best = np.lexsort((found, -sims))
-        return found[best], sims[best]
+        query = self.vector(terms, counts).astype(np.float32)
+        row = self.matrix_row[terms]
+        # einsum runs in this thread alone
+        sims = np.einsum("i,ij->j", query[row >= 0], self.matrix[row[row >= 0]]).astype(np.float64)
+        query, terms = query[row < 0], terms[row < 0]
+        first = self.term_starts[terms]
+        size = self.term_starts[terms + 1] - first
+        cells = np.repeat(first - np.cumsum(size, dtype=np.int32) + size, size) + np.arange(size.sum(), dtype=np.int32)
+        share, block = np.repeat(query, size), self.cell_block[cells]
+        # what rounding can add stays within the margin
+        known = np.maximum.reduceat(sims, np.arange(0, len(sims), BLOCK))
+        bounds = (known + np.bincount(block, share * self.cell_most[cells], minlength=self.blocks)) * (1 + 1e-5)
+        # what the matrix gives alone is at most the cosine, so the K-th neighbour is no worse than this
+        least = np.partition(sims, -NEIGHBOURS)[-NEIGHBOURS] if len(sims) > NEIGHBOURS else 0.0
+        chosen = (bounds >= least) & (bounds > 0)
+        if chosen.all():
+            self._read(cells, share, sims)
+        elif chosen.any():
+            here = chosen[block]
+            self._read(cells[here], share[here], sims)
+            sims[~np.repeat(chosen, BLOCK)[: len(sims)]] = 0.0
+        if len(sims) > NEIGHBOURS:
+            best = np.argpartition(sims, -NEIGHBOURS)[-NEIGHBOURS:]
+            least = sims[best].min()
+            if least > 0:  # of equal ones the first rows
+                best = np.flatnonzero(sims >= least)
+            else:
+                best = np.flatnonzero(sims)
+        else:
+            best = np.flatnonzero(sims)
+        best = best[np.lexsort((best, -sims[best]))[:NEIGHBOURS]]
+        return best, sims[best]
 
     def votes(self, rows: np.ndarray, sims: np.ndarray) -> float:
         return float((sims * self.labels[rows]).sum() / (sims.sum() + DOUBT)) if len(rows) else 0.0
 
-    def calibrate(self) -> None:
-        """Fit votes to labels by pooling adjacent violators, each example without its own vote."""
-        raw = np.array([self.votes(*self.nearest(t, c, i)) for i, (t, c) in enumerate(self.examples)])
-        if not len(raw):
-            return
-        order = np.lexsort((self.labels, raw))
-        pools: list[list[float]] = []  # sum of labels, size, sum of votes
-        for v, y in zip(raw[order], self.labels[order], strict=True):
-            pools.append([y, 1.0, v])
-            while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
-                last = pools.pop()
-                pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
-        at = np.array([p[2] / p[1] for p in pools])
-        # a fifth of a vote for the pool's own mean vote keeps the ends off 0 and 1 and the order strict
-        self.steps = (at, np.array([(p[0] + 0.2 * p[2] / p[1]) / (p[1] + 0.2) for p in pools]))
-
     def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[int], list[float]]:
         if not len(terms) or not len(self.ids):
             return self.base, [], []
         rows, sims = self.nearest(terms, counts)
         vote = self.votes(rows, sims)
         calibrated = float(np.interp(vote, *self.steps))
-        return min(1.0, max(self.base, 0.98 * calibrated + 0.02 * vote)), self.ids[rows[:5]].tolist(), sims[:5].tolist()
+        return min(1.0, max(0.0, 0.98 * calibrated + 0.02 * vote)), self.ids[rows[:5]].tolist(), sims[:5].tolist()
+
+
+def calibrated(raw: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Votes and the scores that they stand for, by pooling adjacent violators."""
+    if not len(raw):
+        return np.array([0.0, 1.0]), np.array([0.0, 1.0])
+    order = np.lexsort((labels, raw))
+    pools: list[list[float]] = []  # sum of labels, size, sum of votes
+    for v, y in zip(raw[order], labels[order], strict=True):
+        pools.append([y, 1.0, v])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
+    # a fifth of a vote for the pool's own mean vote keeps the ends off 0 and 1 and the order strict
+    return np.array([p[2] / p[1] for p in pools]), np.array([(p[0] + 0.2 * p[2] / p[1]) / (p[1] + 0.2) for p in pools])
+
+
+class Examples:
+    """The labelled examples, packed; indexes of them are built where they are asked for, and kept there."""
+
+    def __init__(self, examples: list[Example], idf: np.ndarray):
+        self.ids = np.array([x[0] for x in examples], np.int64)
+        self.labels = np.array([x[3] for x in examples], np.int8)
+        self.bounds = np.concatenate([[0], np.cumsum([len(x[1]) for x in examples])]).astype(np.int64)
+        self.terms = np.concatenate([x[1] for x in examples] or [np.zeros(0)]).astype(np.int32)
+        self.counts = np.concatenate([x[2] for x in examples] or [np.zeros(0)]).astype(np.uint16)
+        self.folds = np.array([int.from_bytes(hashlib.blake2b(str(x[0]).encode(), digest_size=4).digest(), "big") % FOLDS for x in examples], np.int8)
+        self.idf = idf.astype(np.float32)
+        self.built: Index | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"built": None}
+
+    def of(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and counts of an example."""
+        part = slice(self.bounds[i], self.bounds[i + 1])
+        return self.terms[part].astype(np.int64), self.counts[part].astype(np.float64)
+
+    def index(self, without: int = -1) -> Index:
+        """The index of all examples with a term but those of a fold, weighed by their labels."""
+        if without < 0 and self.built is not None:
+            return self.built
+        keep = np.flatnonzero((self.folds != without) & (np.diff(self.bounds) > 0))
+        examples = [(int(self.ids[i]), *self.of(i), int(self.labels[i])) for i in keep]
+        toxic = sum(x[3] for x in examples)
+        held = [np.concatenate([x[1] for x in examples if x[3] == y] or [np.zeros(0, np.int64)]) for y in (0, 1)]
+        neg, pos = (np.bincount(h, minlength=len(self.idf)) for h in held)
+        built = Index(examples, self.idf * relevance(pos, neg, toxic, len(examples) - toxic).astype(np.float32), self.base())
+        if without < 0:
+            self.built = built
+        return built
+
+    def base(self) -> float:
+        """Score of documents without a term: the share of toxic examples among those without, drawn to that of all."""
+        none = self.labels[np.diff(self.bounds) == 0]
+        return float((none.sum() + (self.labels.mean() if len(self.labels) else 0.0)) / (len(none) + 1.0))
+
+
+#: Tasks for each fold, and so parts of its examples, in calibration.
+FOLD_PARTS = 4
+
+
+def _fold_votes(examples):
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Votes and labels of a part of a fold's examples, by the examples of the other folds."""
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                x = examples.value
+                index = x.index(part % FOLDS)
+                some = np.flatnonzero((x.folds == part % FOLDS) & (np.diff(x.bounds) > 0))[part // FOLDS :: FOLD_PARTS]
+                votes = [index.votes(*index.nearest(*x.of(i))) if len(index.ids) else 0.0 for i in some]
+                yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), pa.array(x.labels[some].astype(np.float64))], ["vote", "label"])
+
+    return vote
 
 
-def _scorer(index):
+def _scorer(vocabulary, examples, steps):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, index_ = {}, index.value
-        for batch in batches:
-            out = []
-            for terms, counts in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                key = (tuple(terms), tuple(counts))
-                if key not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    known[key] = index_.score(np.array(terms, np.int64), np.array(counts, np.float64))
-                out.append(known[key])
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(batch.num_columns - 2)), pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.float64()))],
-                [*batch.schema.names[:-2], "score", "neighbours", "similarities"],
-            )
+        known: dict[bytes, tuple] = {}
+        index = examples.value.index()
+        index.steps = steps
+        for whole in batches:
+            for batch in _slices(whole, 0):
+                terms, counts, bounds = vocabulary.value.vectors(batch.column(0))
+                out = []
+                for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                    key = hashlib.blake2b(terms[a:b].tobytes() + counts[a:b].tobytes(), digest_size=16).digest()
+                    if key not in known:
+                        if len(known) > 50_000:
+                            known.clear()
+                        known[key] = index.score(terms[a:b], counts[a:b].astype(np.float64))
+                    out.append(known[key])
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(i) for i in range(1, batch.num_columns)), pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.float64()))],
+                    [*batch.schema.names[1:], "score", "neighbours", "similarities"],
+                )
 
     return score
 
@@ -202,47 +348,49 @@ def learnable(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 != 1
 
 
+def labelled_examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, toxic, text of the examples: at most EXAMPLES rows, of EXAMPLE_BYTES of text together.
+
+    Of rows that repeat a doc_id, the greatest text counts; a label repeated counts as toxic if one is.
+    """
+    known = labels.where(learnable() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    sample = materialize(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES), "labelled")
+    # at most EXAMPLES rows are broadcast, and ordered below
+    text = F.coalesce(F.col("text"), F.lit("")).alias("text")
+    found = docs.select("doc_id", text).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
+    taken = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    return materialize(found, "found").withColumn("taken", taken).where(F.col("taken") <= EXAMPLE_BYTES).drop("taken")
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, score, predicted, neighbours, similarities, and carried columns, for every row of docs.
 
-    docs: doc_id, text; labels: doc_id, toxic; other columns are ignored.  Labels are learnt from at most
-    EXAMPLES ids that `learnable` allows; repeated labels of an id count as toxic if one is.  Documents without
-    a term - null and empty ones too - score as the examples without one do.  Without labels, every score is 0.
-    A null doc_id is not held out.
+    docs: doc_id, text; labels: doc_id, toxic; other columns are ignored.  Labels are learnt from the ids that
+    `learnable` allows, see labelled_examples.  Documents without a term - null and empty ones too - score as the
+    examples without one do, and where there are none as the share of toxic examples.  Very long texts are scored
+    whole, in slices.  Repeated rows score alike.  Without labels, every score is 0.  A null doc_id is not held out.
     """
     spark = docs.sparkSession
-    known = labels.where(learnable() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = materialize(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES), "labelled")
     text = F.coalesce(F.col("text"), F.lit("")).alias("text")
-    # at most EXAMPLES rows are broadcast
-    train = materialize(docs.select("doc_id", text).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]), "examples")
-
-    totals = train.agg(F.sum("toxic"), F.count(F.lit(1))).first()
-    pos, n = totals[0] or 0, totals[1]
-    share = pos / n if n else 0.0
-    chi2 = F.expr(f"{n}d * pow(cast(pos as double) * ({n - pos} - neg) - cast(neg as double) * ({pos} - pos), 2) / (cast(pos + neg as double) * ({n} - pos - neg) * {pos}d * {n - pos}d)")
-    terms = np.zeros(0, np.int64)
-    if 0 < pos < n:
-        counts = train.select("text", F.col("toxic").cast("long")).mapInArrow(_associations, "term long, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        strong = counts.where(f"pos + neg >= {LEAST_EXAMPLES} and pos + neg < {n} and pos > {share}d * (pos + neg)").withColumn("chi2", chi2).where(f"chi2 >= {LEAST_CHI2}d")
-        terms = np.array([r[0] for r in strong.orderBy(F.desc("chi2"), "term").limit(TERMS).select("term").collect()], np.int64)
-    vocabulary = np.sort(terms.view(np.uint64)).view(np.int64)
+    train = materialize(labelled_examples(docs, labels).repartition(16), "examples")
+    held = train.select("text", F.col("toxic").cast("long")).mapInArrow(_associations, "term long, pos long, neg long").groupBy("term").agg(F.sum(F.col("pos") + F.col("neg")).alias("n"))
+    # bounded by the bytes of the examples
+    terms = held.where(F.col("n") >= LEAST_EXAMPLES).select("term").toArrow().column(0).to_numpy()
+    vocabulary = Vocabulary(terms.astype(np.int64).view(np.uint64))
+    words = spark.sparkContext.broadcast(vocabulary)
+    table, total = sum_tables(docs.select(text), _frequencies(words), len(vocabulary))
+    idf = np.log((total + 1.0) / (table + 1.0)) + 1e-6
+
+    rows = train.select("text", F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).mapInArrow(_vectorise(words), "doc_id long, toxic int, terms binary, counts binary")
+    examples = [(r.doc_id, np.frombuffer(bytes(r.terms), "<i4"), np.frombuffer(bytes(r.counts), "<u2"), int(r.toxic)) for r in rows.collect()]  # bounded likewise
+    shared = spark.sparkContext.broadcast(Examples(sorted(examples, key=lambda x: x[0]), idf))
+    del examples
+    found = spark.range(0, FOLDS * FOLD_PARTS, 1, FOLDS * FOLD_PARTS).mapInArrow(_fold_votes(shared), "vote double, label double").toArrow()
+    steps = calibrated(found.column(0).to_numpy(), found.column(1).to_numpy())
 
     extra = [F.col(c) for c in carry]
     kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
-    vectors = materialize(docs.select(text, "doc_id", *extra).mapInArrow(_vectoriser(vocabulary), f"doc_id long{kinds}, terms array<int>, counts array<int>"), "vectors")
-    total = vectors.count()
-    idf = np.full(len(vocabulary), np.log(total + 1.0) + 1)
-    for t, df in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # at most TERMS rows
-        idf[t] = np.log((total + 1.0) / (df + 1.0)) + 1
-
-    held = train.select("text", "doc_id", "toxic").mapInArrow(_vectoriser(vocabulary), "doc_id long, toxic int, terms array<int>, counts array<int>").collect()  # at most EXAMPLES rows of ids and counts
-    with_terms = [(r.doc_id, np.array(r.terms, np.int64), np.array(r.counts, np.float64), int(r.toxic)) for r in held if r.terms]
-    without = [r.toxic for r in held if not r.terms]
-    index = Index(with_terms, idf, (sum(without), len(without)))
-    index.calibrate()
-    shared = spark.sparkContext.broadcast(index)
-    scored = vectors.mapInArrow(_scorer(shared), f"doc_id long{kinds}, score double, neighbours array<long>, similarities array<double>")
+    scored = docs.select(text, F.col("doc_id").cast("long").alias("doc_id"), *extra).mapInArrow(_scorer(words, shared, steps), f"doc_id long{kinds}, score double, neighbours array<long>, similarities array<double>")
     return scored.select(
         "doc_id",
         (~F.coalesce(learnable(), F.lit(True))).alias("held_out"),
