@@ -4,6 +4,8 @@ import bisect
 import hashlib
 import random
 import re
+import time
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -51,6 +53,38 @@ def test_shards_have_gapless_slots(spark):
     assert sharding.shard_documents(docs(spark, [])).count() == 0
 
 
+def jump(key, shards):
+    """Shard of a key by the published loop, a step at a time."""
+    key, b, j = key % 2**64, -1, 0
+    while j < shards:
+        b = j
+        key = (key * 2862933555777941757 + 1) % 2**64
+        j = int((b + 1) * ((1 << 31) / ((key >> 33) + 1)))
+    return b
+
+
+def test_shards_against_the_published_loop(spark):
+    r = random.Random(8)
+    rows = [(r.randint(-(10**12), 10**12), "t" * r.randint(0, 9)) for _ in range(300)] + [(77, f"copy {i}") for i in range(400)] + [(None, "n"), (0, ""), (5, None), (6, "é" * 100_000)]
+    got = sharding.shard_documents(docs(spark, rows)).collect()
+    key = lambda i: 0 if i is None else i
+    size = lambda t: len((t or "").encode()) + 1
+    crc = lambda t: zlib.crc32((t or "").encode())
+    want = sorted((jump(key(i), 16), key(i), i is not None, crc(t), size(t), jump(key(i), 17)) for i, t in rows)
+    slots, made = Counter(), []
+    for shard, k, known, c, n, grown in want:
+        made.append((k if known else None, n, c, shard, slots[shard], grown))
+        slots[shard] += 1
+    assert sorted(made, key=repr) == sorted(((x.doc_id, x["size"], x.text_crc32, x.shard, x.slot, x.grown_shard) for x in got), key=repr)
+
+
+def test_written_shards_hold_every_row(spark, tmp_path):
+    rows = [(i, f"t{i}") for i in range(50)]
+    sharding.write_shards(docs(spark, rows), f"{tmp_path}/out", 4)
+    back = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted((x.doc_id, x.shard) for x in back) == [(i, jump(i, 4)) for i in range(50)]
+
+
 def test_warc_round_trip(spark, tmp_path):
     long = "<p>é</p>" * 200
     rows = [(1, "http://a", long), (2, None, long), (3, "u", ""), (4, "u", None), (None, "u", long), (5, "u", "short"), (6, "u", "short")]
@@ -123,6 +157,46 @@ def test_distribution_decides_on_every_page(page, text):
     assert html_extract.main_text(page) == text
 
 
+BODY = "<p>" + LONG_TEXT * 3 + "</p>"
+KEPT = (LONG_TEXT * 3).strip()
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<div class='content-sidebar-wrap'><article>{BODY}</article><aside>x</aside></div>", KEPT),
+        (f"<div class='has-sidebar'>{BODY}</div>", KEPT),
+        (f"<div class='sidebar'><article>{BODY}</article></div>", KEPT),
+        ("<p>Real <span style='display:none'>hidden junk</span> text <span class='share'>Share this</span> end.</p>", "Real text end."),
+        ("<p class=it's>second</p><p>third don't stop</p>", "second\nthird don't stop"),
+        ("<div><p>Short news item.</p></div>", "Short news item."),
+        (f"<article><div class='post-header'><h1>Title</h1></div><p class='intro-alert'>Intro.</p>{BODY}<table class='notice-list'><tr><td>Cell</table><div class='share-box'>Share</div></article>", f"Title\nIntro.\n{KEPT}\nCell"),
+        (f"<div class='site-header'>Site</div>{BODY}<div class='newsletter-signup'>Join us for more of this</div><ul class='comments'><li>{LONG_TEXT}</ul>", KEPT),
+        (f"<div class='ad'><div class='wrap'>Buy this now</div></div>{BODY}", KEPT),
+    ],
+)
+def test_noise_is_what_an_element_is_named(page, text):
+    assert html_extract.main_text(page) == text
+
+
+def test_hostile_pages_take_linear_time():
+    for unit in ("<b>", "</i>", "<div class=ad>", "<h2>x", "<p>x<b>"):
+        took = []
+        for n in (4000, 16000):
+            began = time.process_time()
+            html_extract.main_text(unit * n + "</i>" * n)
+            took.append(time.process_time() - began)
+        assert took[1] < 12 * max(took[0], 0.02), (unit, took)
+
+
+def test_extracted_table(spark):
+    rows = [(1, "u", BODY, "x", 1), (1, "u", BODY, "x", 1), (None, None, None, None, None), (2, "u", "", "y", 2), (3, "u", "<p>" + "long text " * 60_000, "z", 3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long")
+    got = html_extract.extract_text(pages).collect()
+    assert sorted((r.page_id or 0, r.text[:9], r.n_chars) for r in got) == [(0, "", 0), (1, KEPT[:9], len(KEPT)), (1, KEPT[:9], len(KEPT)), (2, "", 0), (3, "long text", 599_999)]
+    assert html_extract.extract_text(pages.limit(0)).count() == 0
+
+
 def levenshtein(a, b):
     p = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -176,6 +250,8 @@ def test_line_classes_against_brute_force(spark, monkeypatch, hot):
 @pytest.mark.parametrize("hot", [64, 2])
 def test_long_lines_against_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(line_dedup, "HOT", hot)
+    monkeypatch.setattr(line_dedup, "HOT_LONG", hot)
+    monkeypatch.setattr(line_dedup, "PLACES", 4 * hot)
     r = random.Random(11)
     base = ["".join(r.choice("abcdefé ") for _ in range(n)) + "." for n in (62, 63, 64, 80, 127, 128, 257)]
     lines = []
@@ -202,6 +278,27 @@ def test_long_lines_against_brute_force(spark, monkeypatch, hot):
     assert got == {first[x]: label[x] for x in first}
 
 
+def test_pairs_of_long_lists_are_those_of_a_plain_search():
+    r = np.random.default_rng(5)
+    rows = sorted((int(r.integers(0, 4)), int(r.integers(64, 140)), int(r.integers(0, 6)), bool(r.integers(0, 2)), int(r.choice([0, 3, 5]))) for _ in range(250))
+    rows += [rows[-1]] * 5 + [(9, 80, 3, True, 0)] * 4
+    block, n, spot, home, before = (np.array(c) for c in zip(*rows, strict=True))
+    pairs = [(int(i), int(j)) for a, b in line_dedup._across(block, n, spot, before, home) for i, j in zip(a, b, strict=True)]
+    unordered = {frozenset(p) for p in pairs}
+    apart = lambda i, j: before[i] != before[j] or before[i] == 0
+    fits = lambda i, j: block[i] == block[j] and home[i] and 0 <= n[j] - n[i] <= n[i] // 32 and abs(spot[i] - spot[j]) <= n[i] // 32 and apart(i, j)
+    assert unordered == {frozenset((i, j)) for i in range(len(rows)) for j in range(len(rows)) if i != j and fits(i, j)}
+
+
+@pytest.mark.parametrize("hot", [64, 2])
+def test_many_insertions_at_neighbouring_places_are_one_class(spark, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    base = "abcdefghijklmnopqrstuvwxyz0123456789ABCD"
+    rows = [(0, base)] + [(1 + i * 80 + c, base[:k] + chr(0x400 + c) + base[k:]) for i, k in enumerate((18, 19, 20, 21)) for c in range(80)]
+    got = line_dedup.line_classes(docs(spark, rows)).collect()
+    assert len(got) == 321 and {(x.class_doc_id, x.class_lines) for x in got} == {(0, 321)}
+
+
 def test_a_shorter_line_meets_all_its_variants_in_closed_lists(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "HOT", 2)
     base = "abcdefghijklmnop"
@@ -247,18 +344,43 @@ def test_sampling_estimates_weighted_jaccard():
     assert abs(np.mean(agree) - np.mean(true)) < 0.06
 
 
-def test_block_max_neighbours_are_exact():
+@pytest.mark.parametrize("block", [16, 1024])
+def test_block_max_neighbours_are_exact(monkeypatch, block):
+    monkeypatch.setattr(toxicity, "BLOCK", block)
     r = np.random.default_rng(2)
     examples = [(i, np.sort(r.choice(50, r.integers(1, 9), replace=False)), None, int(r.integers(0, 2))) for i in range(400)]
     examples = [(i, t, r.integers(1, 4, len(t)).astype(float), y) for i, t, _, y in examples]
-    index = toxicity.Index(examples, r.random(50) + 0.5, (1, 10))
-    for _ in range(50):
-        t = np.sort(r.choice(50, 6, replace=False))
-        c = r.integers(1, 4, 6).astype(float)
+    index = toxicity.Index(examples, r.random(50) + 0.5)
+    for _ in range(80):
+        t = np.sort(r.choice(50, r.integers(1, 9), replace=False))
+        c = r.integers(1, 4, len(t)).astype(float)
         rows, sims = index.nearest(t, c)
         q = dict(zip(t, index.vector(t, c), strict=True))
-        exact = sorted((sum(q.get(x, 0) * y for x, y in zip(a, index.vector(a, b), strict=True)) for a, b in index.examples), reverse=True)[: toxicity.NEIGHBOURS]
-        assert np.allclose(sims, exact)
+        cosine = {i: sum(q.get(x, 0) * y for x, y in zip(a, index.vector(a, b), strict=True)) for i, a, b, _ in examples}
+        exact = sorted((x for x in cosine.values() if x), reverse=True)[: toxicity.NEIGHBOURS]
+        assert np.allclose(sims, exact, atol=1e-6)
+        assert np.allclose([cosine[int(i)] for i in index.ids[rows]], sims, atol=1e-6)
+
+
+def test_vocabulary_finds_its_terms_alone():
+    r = np.random.default_rng(3)
+    keys = np.unique(np.r_[r.integers(0, 1 << 63, 5000, dtype=np.uint64), np.arange(50, dtype=np.uint64), np.uint64(2**64 - 1) - np.arange(50, dtype=np.uint64)])
+    known, other = keys[::2], keys[1::2]
+    vocabulary = toxicity.Vocabulary(known)
+    assert (vocabulary.find(known) == np.arange(len(known))).all() and (vocabulary.find(other) == -1).all()
+    assert (toxicity.Vocabulary(known[:0]).find(other) == -1).all()
+
+
+def test_repeated_ids_and_the_bound_of_examples(spark, monkeypatch):
+    rows = [(i, f"text number {i}") for i in range(60)] + [(3, "zebra"), (3, "aardvark"), (5, None)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(4, 1), (4, None)], "doc_id long, toxic int")
+    got = {r.doc_id: (r.toxic, r.text) for r in toxicity.labelled_examples(docs(spark, rows), labels).collect()}
+    free = {r.doc_id for r in labels.where(toxicity.learnable()).collect()}
+    assert set(got) == free and all(got[i][0] == (1 if i == 4 else i % 2) for i in got)
+    assert 3 not in got or got[3][1] == "zebra"
+    monkeypatch.setattr(toxicity, "EXAMPLE_BYTES", 200)
+    few = toxicity.labelled_examples(docs(spark, rows), labels).collect()
+    assert 0 < len(few) < len(free) and sum(len(r.text) for r in few) <= 200
 
 
 def test_toxicity(spark):
@@ -335,3 +457,117 @@ def test_packing_holds_every_token_once(spark):
         ends = [0] + [s + n for s, n, _ in inside]
         assert [s for s, _, _ in inside] == ends[:-1] and ends[-1] <= inside[0][2]
     assert packing.pack(docs(spark, [])).count() == 0
+
+
+def weighted(texts, words=5):
+    """Weighted shingle sets of texts as the operator defines them, with plain Python counts."""
+    column = pa.array(texts)
+    n = len(texts)
+    hashes, counts, bounds, _, _ = near_dedup.shingles(column)
+    cells = near_dedup._cells(hashes)
+    table = np.bincount(cells, minlength=1 << near_dedup.CELL_BITS)
+    idf = (1 + np.log(1.25 * n / (table + 0.25 * n))).clip(0.05).astype(np.float32)
+    weights = (counts * idf[cells]).astype(np.float64)
+    return [dict(zip(hashes[a:b].tolist(), weights[a:b].tolist(), strict=True)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    r = random.Random(21)
+    vocabulary = ["v" + str(i) for i in range(400)]
+    texts = []
+    for _ in range(25):
+        base = [r.choice(vocabulary) for _ in range(r.choice([40, 120, 300]))]
+        for _ in range(r.randint(1, 7)):
+            w = list(base)
+            for _ in range(r.randint(0, max(1, len(w) // 40))):
+                w[r.randrange(len(w))] = r.choice(vocabulary)
+            texts.append(" ".join(w))
+    rows = list(enumerate(texts))
+    sets = weighted(texts)
+
+    def similar(x, y):
+        low = sum(min(w, y.get(k, 0.0)) for k, w in x.items())
+        return low / (sum(x.values()) + sum(y.values()) - low)
+
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if similar(sets[i], sets[j]) >= near_dedup.SIMILARITY]
+    got = {x.doc_id: x.class_id for x in near_dedup.near_duplicates(docs(spark, rows)).collect()}
+    label = {i: i for i, _ in rows}
+    for _ in rows:
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    assert len(links) > 50 and sum(got[i] == got[j] for i, j in links) >= 0.99 * len(links)
+    assert all(label[i] == label[got[i]] for i in got)  # no class joins what chains of links do not
+
+
+def test_stages_drop_rows_and_keep_columns(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    r = random.Random(9)
+    prose = lambda n: " ".join(r.choice(["alpha", "beta", "gamma", "delta", "rho", "tau"]) + str(r.randint(0, 500)) for _ in range(n))
+    clean = [(i, prose(60)) for i in range(120)]
+    toxic = [(200 + i, prose(40) + " scum idiot moron") for i in range(60)]
+    item = prose(12)
+    near = clean[7][1].split()
+    near[30] = "changed"
+    near[-1] = "ends"
+    rows = [*clean, *toxic, (300, clean[5][1].upper()), (301, " ".join(clean[6][1].split()[:40])), (302, prose(20) + " " + item + " " + prose(20)), (303, clean[8][1] + " extra"), (304, None), (305, "")]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(i, 1, int(200 <= i < 300)) for i, _ in rows[:180]], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, left, str(tmp_path))
+        assert left.columns == table.columns
+        seen.append({x.doc_id for x in left.collect()})
+    want = {i for i, _ in rows} - set(range(200, 300))
+    assert seen[0] == want
+    want -= {5, 304}  # of equal texts the largest id stays
+    assert seen[1] == want
+    assert seen[2] == want - {303} or seen[2] == want - {8}
+    assert seen[3] == seen[2] - {302}
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {x.doc_id for x in packed} == seen[3]
+    by_id = dict(rows)
+    assert sum(x["size"] for x in packed) == sum(len((by_id[i] or "").encode()) + 1 for i in seen[3])
+
+
+def test_dropped_lines_leave_the_rest_in_place(spark):
+    rows = [(1, "a common line of text\n\nfirst"), (2, "second\na common line of text"), (3, None), (4, "a common lime of text")]
+    got = {x.doc_id: x.text for x in line_dedup.drop_repeated_lines(docs(spark, rows)).collect()}
+    assert got == {1: "a common line of text\n\nfirst", 2: "second", 3: "", 4: ""}
+
+
+def test_very_long_texts(spark):
+    long = "word " * 150_000
+    rows = [(1, long), (2, long + "end"), (3, "short text of a few words")]
+    table = docs(spark, rows)
+    assert {x.doc_id: x.class_id for x in near_dedup.near_duplicates(table).collect()} == {1: 1, 2: 1, 3: 3}
+    item = spark.createDataFrame([(1, "word " * 10), (2, "nothing of the kind")], "item_id long, text string")
+    got = {x.doc_id: (x.n_words, x.n_hit) for x in decontaminate.decontaminate(table, item).collect()}
+    assert got == {1: (150_000, 150_000), 2: (150_001, 150_000), 3: (6, 0)}
+    labels = spark.createDataFrame([(3, 0)], "doc_id long, toxic int")
+    assert toxicity.score_toxicity(table, labels).count() == 3
+    assert sum(x["size"] for x in packing.pack(table).collect()) == sum(len(t) + 1 for _, t in rows)
+    lines = line_dedup.line_classes(table).collect()
+    assert {x.class_doc_id for x in lines} == {1, 3} and len(lines) == 3
+    url = spark.createDataFrame([(1, "http://example.com/de/" + "a" * 100_000)], "page_id long, url string")
+    assert url_filter.filter_urls(url).first().verdict == "block"
+
+
+def test_a_larger_benchmark_is_joined_by_shuffle(spark, monkeypatch):
+    items = spark.createDataFrame([(i, f"w{i} w{i + 1} w{i + 2}") for i in range(0, 30, 3)] + [(99, "solo")], "item_id long, text string")
+    rows = [(1, "w0 w1 w2 x w3 w4 w5"), (2, "w1 w2 w3"), (3, "a solo b solo"), (4, "")]
+    few = [tuple(x) for x in decontaminate.decontaminate(docs(spark, rows), items).orderBy("doc_id").collect()]
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    many = [tuple(x) for x in decontaminate.decontaminate(docs(spark, rows), items).orderBy("doc_id").collect()]
+    assert few == many and [(x[0], x[2], x[3]) for x in few] == [(1, 6, 2), (2, 0, 0), (3, 2, 1), (4, 0, 0)]
+
+
+def test_clashing_columns_and_frequent_payloads(spark):
+    long = "<p>x</p>" * 200
+    rows = [(i, "u", long, "d", i) for i in range(30)] + [(100 + i, "u", f"{long}{i // 2}", "d", i) for i in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string, bytes long")
+    got = {x.page_id: x.refers_to for x in warc.archive(pages).collect()}
+    assert got == {i: 29 if i < 29 else None for i in range(30)} | {100 + i: 101 + i if i % 2 == 0 else None for i in range(6)}
