@@ -156,15 +156,17 @@ class Index:
     def __init__(self, examples: list[Example], idf: np.ndarray, base: float = 0.0):
         """examples: (doc_id, terms, counts, label), each with a term; idf: weight of each term; base: score without terms."""
         self.idf, self.base = idf, base
-        vectors = [self.vector(t, c) for _, t, c, _ in examples]
+        vectors = [self.vector(t, c).astype(np.float32) for _, t, c, _ in examples]
         # alike examples share blocks, so that the bounds are tight
         order = sorted(range(len(examples)), key=lambda i: (int(examples[i][1][np.argmax(vectors[i])]), examples[i][0]))
         self.ids = np.array([examples[i][0] for i in order], np.int64)
         self.labels = np.array([examples[i][3] for i in order], np.float64)
         self.blocks = -(-len(order) // BLOCK)
-        rows = np.concatenate([np.full(len(vectors[i]), r) for r, i in enumerate(order)]) if order else np.zeros(0, np.int64)
-        terms = np.concatenate([examples[i][1] for i in order]).astype(np.int64) if order else np.zeros(0, np.int64)
-        weights = np.concatenate([vectors[i] for i in order]) if order else np.zeros(0)
+        # narrow types and views, as every worker holds an index
+        rows = np.repeat(np.arange(len(order), dtype=np.int32), [len(vectors[i]) for i in order])
+        terms = np.concatenate([np.asarray(examples[i][1], np.int32) for i in order]) if order else np.zeros(0, np.int32)
+        weights = np.concatenate([vectors[i] for i in order]) if order else np.zeros(0, np.float32)
+        del vectors
         # the commonest terms, which would have the longest lists, are rows of a matrix
         held = np.bincount(terms, minlength=len(idf))
         common = np.argsort(-held, kind="stable")[:DENSE]
@@ -173,12 +175,13 @@ class Index:
         self.matrix_row[common] = np.arange(len(common))
         self.matrix = np.zeros((len(common), len(order)), np.float32)
         dense = self.matrix_row[terms] >= 0
-        self.matrix[self.matrix_row[terms[dense]], rows[dense].astype(np.int64)] = weights[dense]
+        self.matrix[self.matrix_row[terms[dense]], rows[dense]] = weights[dense]
         rows, terms, weights = rows[~dense], terms[~dense], weights[~dense]
-        by_term = np.lexsort((rows, terms))
-        self.rows, self.weights, terms = rows[by_term].astype(np.int32), weights[by_term].astype(np.float32), terms[by_term]
+        by_term = np.argsort(terms, kind="stable").astype(np.int32)  # rows ascend already
+        self.rows, self.weights, terms = rows[by_term], weights[by_term], terms[by_term]
+        del rows, weights, by_term
         # a cell holds the postings of a term in a block
-        cells = terms * max(self.blocks, 1) + self.rows // BLOCK
+        cells = terms.astype(np.int32 if len(idf) * max(self.blocks, 1) < 2**31 else np.int64) * max(self.blocks, 1) + self.rows // BLOCK
         begin = np.flatnonzero(np.r_[len(cells) > 0, cells[1:] != cells[:-1]])
         self.cell_starts = np.r_[begin, len(cells)].astype(np.int32)
         self.cell_block = (cells[begin] % max(self.blocks, 1)).astype(np.int16 if self.blocks < 32768 else np.int32)
@@ -286,10 +289,11 @@ class Examples:
         if without < 0 and self.built is not None:
             return self.built
         keep = np.flatnonzero((self.folds != without) & (np.diff(self.bounds) > 0))
-        examples = [(int(self.ids[i]), *self.of(i), int(self.labels[i])) for i in keep]
+        examples = [(int(self.ids[i]), self.terms[a:b], self.counts[a:b], int(self.labels[i])) for i, a, b in zip(keep, self.bounds[keep], self.bounds[keep + 1], strict=True)]
         toxic = sum(x[3] for x in examples)
-        held = [np.concatenate([x[1] for x in examples if x[3] == y] or [np.zeros(0, np.int64)]) for y in (0, 1)]
-        neg, pos = (np.bincount(h, minlength=len(self.idf)) for h in held)
+        pos, neg = (np.zeros(len(self.idf), np.int32) for _ in range(2))
+        for x in examples:  # an example holds a term once
+            (pos if x[3] else neg)[x[1]] += 1
         built = Index(examples, self.idf * relevance(pos, neg, toxic, len(examples) - toxic).astype(np.float32), self.base())
         if without < 0:
             self.built = built
