@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_extract, line_dedup, near_dedup, packing, sharding, toxicity, url_filter, warc
+from . import decontaminate, exact_dedup, host_rules, html_extract, line_dedup, near_dedup, packing, sharding, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +51,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_sharding, op3_exact_dedup, op4_url_filter, op5_decontaminate, op6_html_extract, op7_line_dedup, op8_near_dedup, op9_toxicity, op10_packing)}
+def op11_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.host_rules(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_sharding, op3_exact_dedup, op4_url_filter, op5_decontaminate, op6_html_extract, op7_line_dedup, op8_near_dedup, op9_toxicity, op10_packing, op11_host_rules)}
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -98,4 +102,27 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM dw LEFT JOIN covered ON dw.doc_id = covered.doc_id LEFT JOIN items ON dw.doc_id = items.doc_id""",
+    "op11_host_rules": r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, source, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+win AS (SELECT doc_id, i, list_aggregate(w[i : i + 7], 'string_agg', ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS c FROM win) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS k FROM again) GROUP BY 1),
+l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)
+      WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+c AS (SELECT w.doc_id, source, len(w)::BIGINT AS n_words, length(coalesce(list_aggregate(w, 'string_agg', ''), ''))::BIGINT AS word_chars,
+             len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup, 0)::BIGINT AS n_dup_lines,
+             coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+      FROM w LEFT JOIN l ON w.doc_id = l.doc_id LEFT JOIN rep ON w.doc_id = rep.doc_id),
+f AS (SELECT *, [n_words < 20, 100 * n_repeat_words > 30 * n_words, 10 * n_symbols > n_words, 10 * n_dup_lines > 3 * n_lines,
+                 n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 15 * n_words)] AS failed FROM c),
+h AS (SELECT source, r, count(*)::DOUBLE AS n, count(*) FILTER (failed[r])::DOUBLE AS x FROM f, range(1, 6) AS q(r) WHERE source IS NOT NULL GROUP BY 1, 2),
+m AS (SELECT r, sum(x) / sum(n) AS mean, count(*) - 1 AS k, sum(n) AS n, sum(n) - sum(n * n) / sum(n) - (count(*) - 1) AS room FROM h GROUP BY 1),
+q AS (SELECT m.r, mean, CASE WHEN mean > 0 AND mean < 1 AND any_value(room) > 0
+             THEN (sum(h.n * (x / h.n - mean) ** 2) / (mean * (1 - mean)) - any_value(k)) / any_value(room) END AS rho FROM h JOIN m ON h.r = m.r GROUP BY 1, 2),
+p AS (SELECT r, mean, CASE WHEN rho > 1e-9 THEN 1 / least(1, rho) - 1 END AS weight FROM q),
+bad AS (SELECT source, bool_or(coalesce((x + mean * weight) / (n + weight), mean) > 0.5) AS bad FROM h JOIN p ON h.r = p.r GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed[1] OR failed[2] AS base_failed,
+       NOT (failed[1] OR failed[2]) AND NOT coalesce(bad, false) AS kept, coalesce(bad, false) AS host_rejected
+FROM f LEFT JOIN bad ON f.source = bad.source""",
 }
