@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, host_rules, html_extract, line_dedup, near_dedup, packing, sharding, toxicity, url_filter, warc
+from . import collocations, decontaminate, exact_dedup, host_rules, html_extract, line_dedup, near_dedup, packing, sharding, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,7 +55,11 @@ def op11_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.host_rules(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_sharding, op3_exact_dedup, op4_url_filter, op5_decontaminate, op6_html_extract, op7_line_dedup, op8_near_dedup, op9_toxicity, op10_packing, op11_host_rules)}
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_sharding, op3_exact_dedup, op4_url_filter, op5_decontaminate, op6_html_extract, op7_line_dedup, op8_near_dedup, op9_toxicity, op10_packing, op11_host_rules, op12_collocations)}
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -125,4 +129,20 @@ bad AS (SELECT source, bool_or(coalesce((x + mean * weight) / (n + weight), mean
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed[1] OR failed[2] AS base_failed,
        NOT (failed[1] OR failed[2]) AND NOT coalesce(bad, false) AS kept, coalesce(bad, false) AS host_rejected
 FROM f LEFT JOIN bad ON f.source = bad.source""",
+    "op12_collocations": rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_FOLD.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+g AS (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 4) AS q(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, w[i : i + k - 1] AS words, count(*) AS f FROM g GROUP BY ALL),
+c AS (SELECT lang, k, words, f AS a FROM f WHERE k > 1 AND f >= 10),
+cuts AS (SELECT c.*, j, l.f AS l, r.f AS r, (1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f) AS score
+         FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c
+         JOIN f l ON l.lang = c.lang AND l.words = c.words[1 : j] JOIN f r ON r.lang = c.lang AND r.words = c.words[j + 1 :]),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, j) = 1),
+sub AS (SELECT lang, words[i : i + 1] AS words, max(a) AS longer FROM (SELECT *, unnest([1, 2]) AS i FROM c WHERE k = 3) GROUP BY ALL),
+free AS (SELECT best.*, list_aggregate(best.words, 'string_agg', ' ') AS phrase FROM best LEFT JOIN sub ON best.lang = sub.lang AND best.words = sub.words
+         WHERE longer IS NULL OR 100 * longer < 50 * a),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1)
+SELECT free.lang, row_number() OVER (PARTITION BY free.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM free JOIN n ON free.lang = n.lang QUALIFY rank <= 2000""",
 }
