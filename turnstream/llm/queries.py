@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collocations, decontaminate, exact_dedup, host_rules, html_extract, line_dedup, near_dedup, packing, sharding, toxicity, url_filter, warc
+from . import collocations, decontaminate, exact_dedup, host_rules, html_extract, line_dedup, near_dedup, packing, sharding, toxicity, url_filter, vector_codes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +59,36 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_sharding, op3_exact_dedup, op4_url_filter, op5_decontaminate, op6_html_extract, op7_line_dedup, op8_near_dedup, op9_toxicity, op10_packing, op11_host_rules, op12_collocations)}
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(_table(spark, sf_dir, "embeddings")).drop("label")
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_sharding, op3_exact_dedup, op4_url_filter, op5_decontaminate, op6_html_extract, op7_line_dedup, op8_near_dedup, op9_toxicity, op10_packing, op11_host_rules, op12_collocations, op13_vector_codes)}
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Product quantisation as a chain of tables: x are the vectors' parts, b0, b1, ... the entries, n0, n1, ... what is nearest to them."""
+    steps = ["""
+WITH v AS (SELECT row_number() OVER () AS id, vec_id, label, embedding FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+x AS (SELECT id, p, list_transform(embedding[p * len(embedding) // 4 + 1 : (p + 1) * len(embedding) // 4], lambda e: floor(e::DOUBLE * 1024)::BIGINT) AS x
+      FROM v, range(0, 4) AS q(p)),
+f AS (SELECT id, row_number() OVER (ORDER BY vec_id) - 1 AS c FROM v QUALIFY c < 256),
+b0 AS (SELECT p, c, x AS b FROM x JOIN f ON x.id = f.id)"""]
+    for k in range(rounds + 1):
+        steps.append(f"""
+n{k} AS (SELECT id, x.p, any_value(x) AS x, min({{'d': list_sum(list_transform(list_zip(x, b), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'c': c}}) AS near
+         FROM x JOIN b{k} ON x.p = b{k}.p GROUP BY 1, 2)""")
+        if k < rounds:
+            steps.append(f"""
+e{k} AS (SELECT p, c, i, floor(sum(e)::DOUBLE / count(*))::BIGINT AS e FROM (SELECT p, near.c AS c, unnest(x) AS e, generate_subscripts(x, 1) AS i FROM n{k}) GROUP BY 1, 2, 3),
+s{k} AS (SELECT p, c, list(e ORDER BY i) AS b FROM e{k} GROUP BY 1, 2),
+b{k + 1} AS (SELECT b{k}.p, b{k}.c, coalesce(s{k}.b, b{k}.b) AS b FROM b{k} LEFT JOIN s{k} ON b{k}.p = s{k}.p AND b{k}.c = s{k}.c)""")
+    return ",".join(steps) + f""",
+h AS (SELECT sha256(string_agg(list_aggregate(b, 'string_agg', ','), ',' ORDER BY p, c)) AS codebooks_sha256 FROM b{rounds}),
+r AS (SELECT id, string_agg(lower(lpad(to_hex(near.c), 2, '0')), '' ORDER BY p) AS code, sum(near.d)::BIGINT AS error FROM n{rounds} GROUP BY 1)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM v JOIN r ON v.id = r.id, h"""
+
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -145,4 +174,5 @@ free AS (SELECT best.*, list_aggregate(best.words, 'string_agg', ' ') AS phrase
 n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1)
 SELECT free.lang, row_number() OVER (PARTITION BY free.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
 FROM free JOIN n ON free.lang = n.lang QUALIFY rank <= 2000""",
+    "op13_vector_codes": _codes_sql(),
 }
