@@ -383,6 +383,16 @@ def test_repeated_ids_and_the_bound_of_examples(spark, monkeypatch):
     assert 0 < len(few) < len(free) and sum(len(r.text) for r in few) <= 200
 
 
+def test_a_text_beyond_the_byte_bound_leaves_the_others(spark, monkeypatch):
+    learnt = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    first = spark.createDataFrame([(i,) for i in learnt], "doc_id long").orderBy("doc_id").selectExpr("doc_id", "xxhash64(doc_id) AS at").orderBy("at").first().doc_id
+    rows = [(i, "x" * 7200 if i == first else f"text of {i}") for i in range(60)]
+    monkeypatch.setattr(toxicity, "EXAMPLE_BYTES", 5000)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    got = {x.doc_id for x in toxicity.labelled_examples(docs(spark, rows), labels).collect()}
+    assert got == set(learnt) - {first}
+
+
 def test_toxicity(spark):
     r = random.Random(4)
     text = lambda bad: " ".join(r.choice("the of and to in is it on".split()) for _ in range(40)) + (" scum idiot" if bad else "")

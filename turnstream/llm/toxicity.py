@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, row_key, row_slices, sum_tables, table_rows, text_buffer, without, word_hashes
@@ -353,17 +353,24 @@ def learnable(doc_id: str = "doc_id"):
 
 
 def labelled_examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, toxic, text of the examples: at most EXAMPLES rows, of EXAMPLE_BYTES of text together.
+    """doc_id, toxic, text of the examples: at most EXAMPLES rows, of EXAMPLE_BYTES of text together; of these rows,
+    in the order of the hash of their ids, each that still fits is taken.
 
     Of rows that repeat a doc_id, the greatest text counts; a label repeated counts as toxic if one is.
     """
     known = labels.where(learnable() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = materialize(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES), "labelled")
-    # at most EXAMPLES rows are broadcast, and ordered below
     text = F.coalesce(F.col("text"), F.lit("")).alias("text")
-    found = docs.select("doc_id", text).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
-    taken = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
-    return materialize(found, "found").withColumn("taken", taken).where(F.col("taken") <= EXAMPLE_BYTES).drop("taken")
+    found = materialize(docs.select("doc_id", text).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text")), "found")
+    # ids and lengths of at most EXAMPLES rows; a text that does not fit leaves room for those after it
+    sizes = found.select("doc_id", F.octet_length("text").alias("size"), F.xxhash64("doc_id").alias("at")).toPandas().sort_values(["at", "doc_id"])
+    left, chosen = EXAMPLE_BYTES, []
+    for doc_id, size in zip(sizes["doc_id"], sizes["size"], strict=True):
+        if size <= left:
+            left -= size
+            chosen.append((int(doc_id),))
+    fitting = docs.sparkSession.createDataFrame(chosen, "doc_id long")
+    return found.join(F.broadcast(fitting), "doc_id", "left_semi")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
