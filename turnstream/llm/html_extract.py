@@ -1,11 +1,10 @@
 """Main text of HTML pages by line-block distribution.
 
 The markup is stripped to lines, one for each block element, each with the length of its text.  Lengths are
-summed over windows of neighbouring lines; where the sums rise above a share of the page's own mean sum a
-region surges, where they fall to nothing or an article ends it dives, and the text between is kept.  Tags are
+summed over windows of neighbouring lines; where the sums rise to a share of the page's mean sum, or to SURE, a region surges, where they fall to nothing
+or an article ends it dives, and the text between is kept.  In an article or main element any text surges.  Tags are
 weights only: the text of links outside articles, and of elements whose tag, role or class names them
-navigation, adverts, notices, forms or comments, has length 0; a line in an article or main element weighs
-more by a share of that element's text.
+navigation, adverts, notices, forms or comments, has length 0, unless such an element holds the page's text.
 """
 
 from __future__ import annotations
@@ -20,57 +19,76 @@ from pyspark.sql import DataFrame
 
 #: Lines in a window, to either side of its middle.
 REACH = 1
-#: Share of the mean sum, each sum counted by the weight of its line, at which a region surges.
-SURGE = 0.2
-#: Share of an article's length that each of its lines weighs more.  With SURGE, no text of the one article
-#: of a page falls short, as three lines weigh at most 1 + 3 / 2 of its length.
-ARTICLE = 0.5
+#: A region outside articles surges at this share of the page's mean sum (each sum counted by the weight of its line),
+#: and at this many characters in any case.
+SURGE, SURE = 0.2, 40
 #: Lines without weight between a heading below the first level and the text that it leads.
 LEAD = 5
 
 # fixed values: elements by their standard roles
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td template textarea tfoot th thead title tr ul".split())
 HIDDEN = frozenset("head title template noscript select textarea button option svg math iframe object audio video canvas datalist map noframes".split())
-BOILERPLATE = frozenset("nav header footer aside form dialog menu fieldset search".split())
+NEVER_TEXT = frozenset("nav footer aside dialog".split())
+SELDOM_TEXT = frozenset("header form menu fieldset search".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCKS - frozenset("body button caption dd dt head html legend li optgroup option tbody td tfoot th thead title tr".split())
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
-# fixed values: words of class names and ids that mark what is not the text, and those that may mark parts of it too
-STRONG = r"ads?|advert\w*|adsense|adbox|sponsor\w*|promo\w*|cookies?|consent|gdpr|popup|modal|newsletter|subscribe|signup|nav\w*|menu|breadcrumbs?|sidebar|comments?|commentlist|disqus|respond|replies|related|recommend\w*|share|sharing|social|pagination|pager|login"
+NEVER_ROLES = frozenset("navigation contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
+SELDOM_ROLES = frozenset("banner form".split())
+# fixed values: words of class names and ids of reader comments; of what else is not the text; and of what may be part of it
+COMMENTS = r"comments?|commentlist|disqus|respond|replies"
+STRONG = r"ads?|advert\w*|adsense|adbox|sponsor\w*|promo\w*|cookies?|consent|gdpr|popup|modal|newsletter|subscribe|signup|nav\w*|menu|breadcrumbs?|sidebar|related|recommend\w*|share|sharing|social|pagination|pager|login"
 WEAK = r"banner|notice|notification|alert|overlay|aside|widget|footer|header|masthead|topbar|toolbar|reply|tags?|skip\w*|search"
+_COMMENTS = re.compile(rf"(?:^|[_-])(?:{COMMENTS})(?:$|[_-])", re.I)
 _STRONG = re.compile(rf"(?:^|[_-])(?:{STRONG})(?:$|[_-])", re.I)
 _WEAK = re.compile(rf"(?:^|[_-])(?:{WEAK})(?:$|[_-])", re.I)
 _WEAK_ALONE = re.compile(rf"(?!header$)(?:{WEAK})$", re.I)
+_HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 #: Class names that say how a container is laid out, not what it holds.
 _LAYOUT = re.compile(r"^(?:has|with|no|without)[_-]|(?:^|[_-])(?:wrap|wrapper|layout|main|body)(?:$|[_-])", re.I)
-#: Share of a page's text that an element must hold for its class name not to count.
-MOST_TEXT = 0.8
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*(?:\"|$)|'[^']*(?:'|$))|[^>])*)(>|$)", re.S)
+#: Share of a text that an element marked as noise must hold to count as that text; if it also holds the main article, the second.
+MOST_TEXT, MORE_TEXT = 0.8, 0.5
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|$))|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*(?:\"|$)|'[^']*(?:'|$))|[^>])*)(>|$)", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?(?=$|[\s"'/])""", re.I)
 _SPACE = re.compile(r"\s+")
 
 
-def _marks(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, bool]:
-    """Whether an element is boilerplate by its tag or role, hidden, and named as noise by its class or id.
+# what an element marked as noise is: by a weak name, by a tag that may stand around a whole page, by a strong name,
+# by a name of comments, by a tag or role that is never the text
+WEAK_NAME, WRAPPER, STRONG_NAME, COMMENT_NAME, NEVER = 1, 2, 3, 4, 5
 
-    inside: in an article, where words that may also mark parts of a text must stand alone.
+
+def _named(word: str, inside: bool) -> int:
+    word = _HUMP.sub("-", word)
+    if _LAYOUT.search(word):
+        return 0
+    if _COMMENTS.search(word):
+        return COMMENT_NAME
+    if _STRONG.search(word):
+        return STRONG_NAME
+    return WEAK_NAME if (_WEAK_ALONE.match(word) if inside else _WEAK.search(word)) else 0
+
+
+def _marks(tag: str, attributes: str, inside: bool) -> tuple[int, bool]:
+    """The kind of noise that an element is marked as, or 0, and whether it is hidden.
+
+    inside: in an article, where words that may also mark parts of a text must stand alone, and a header is part of it.
     """
-    boiler, hidden, named = tag in BOILERPLATE, tag in HIDDEN, False
+    kind, hidden = NEVER if tag in NEVER_TEXT else WRAPPER if tag in SELDOM_TEXT and not (inside and tag == "header") else 0, tag in HIDDEN
     if not attributes or tag in ("html", "body", "main", "article"):
-        return boiler, hidden, False
+        return kind, hidden
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            named |= any(not _LAYOUT.search(word) and (_STRONG.search(word) or (_WEAK_ALONE.match(word) if inside else _WEAK.search(word))) is not None for word in value.split())
+            kind = max([kind, *(_named(word, inside) for word in value.split())])
         elif name == "role":
-            boiler |= value.lower() in ROLES
+            kind = max(kind, NEVER if value.lower() in NEVER_ROLES else WRAPPER if value.lower() in SELDOM_ROLES else 0)
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             hidden = True
         elif name == "style":
             hidden |= re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) is not None
-    return boiler, hidden, named
+    return kind, hidden
 
 
 class _Line:
@@ -79,26 +97,95 @@ class _Line:
     __slots__ = ("pieces", "article", "level", "linked")
 
     def __init__(self):
-        self.pieces: list[tuple[str, bool, bool, int]] = []  # text, in boilerplate, counts as a link, innermost named element
+        self.pieces: list[tuple[str, bool, int]] = []  # text, counts as a link, innermost element marked as noise
         self.article = self.level = 0
         self.linked = False
 
 
+class _Marked:
+    """The elements of a page that are marked as noise, as a tree; 0 is the page."""
+
+    def __init__(self):
+        self.kind, self.parent, self.article = [0], [-1], [0]  # article: number of the one around it
+        self.prose, self.title = [False], [False]  # whether it holds a paragraph or article; a heading of the first level
+        self.around: dict[int, int] = {}  # of each article, the innermost element around it
+
+    def add(self, kind: int, parent: int, article: int) -> int:
+        self.kind.append(kind)
+        self.parent.append(parent)
+        self.article.append(article)
+        self.prose.append(False)
+        self.title.append(False)
+        return len(self.kind) - 1
+
+    def chain(self, i: int) -> list[int]:
+        out = []
+        while i > 0:
+            out.append(i)
+            i = self.parent[i]
+        return out
+
+    def noise(self, lines: list[_Line]) -> list[bool]:
+        """Whether each element is noise.  One that holds the text of its page, or of the article around it, is none."""
+        n = len(self.kind)
+        size, inside = [0] * n, {}
+        for x in lines:
+            for piece, link, at in x.pieces:
+                if not link:
+                    length = len(piece.strip())
+                    size[at] += length
+                    inside[x.article] = inside.get(x.article, 0) + length
+        never = [False] * n
+        for i in range(1, n):
+            never[i] = never[self.parent[i]] or self.kind[i] == NEVER
+        held, comments = [0 if never[i] else size[i] for i in range(n)], [False] * n
+        for i in range(1, n):
+            comments[i] = comments[self.parent[i]] or self.kind[i] == COMMENT_NAME
+        text = sum(held[i] for i in range(n) if not comments[i])
+        whole = sum(held)
+        for i in range(n - 1, 0, -1):
+            if self.kind[i] != COMMENT_NAME:
+                held[self.parent[i]] += held[i]
+            self.prose[self.parent[i]] |= self.prose[i]
+            self.title[self.parent[i]] |= self.title[i]
+        # the main article: with the least noise around it, then the longest
+        main = min(self.around, key=lambda a: (len(self.chain(self.around[a])), -inside.get(a, 0)), default=0)
+        free = main and not self.around[main]
+        holders = set(self.chain(self.around[main])) if main else set()
+
+        def is_text(i: int) -> bool:
+            kind = self.kind[i]
+            if kind == NEVER:
+                return False
+            if self.article[i]:  # a part of an article
+                return kind in (WEAK_NAME, WRAPPER) and self.prose[i] and held[i] > MOST_TEXT * inside.get(self.article[i], 0)
+            if free:
+                return False
+            if kind == COMMENT_NAME:
+                return i in holders and self.title[i] and held[i] > MORE_TEXT * whole
+            if i in holders and held[i] > MORE_TEXT * text:
+                return True
+            return held[i] > MOST_TEXT * text and (kind != WRAPPER or self.prose[i])
+
+        found = [False] * n
+        for i in range(1, n):
+            found[i] = found[self.parent[i]] or not is_text(i)
+        return found
+
+
 def lines_of(page: str) -> list[tuple[str, int, int, int, bool]]:
-    """The lines of a page: text, length - 0 for links and boilerplate -, number of the outermost article that holds
-    it or 0, level as a heading or 0, and whether it has text of links that is not boilerplate.
+    """The lines of a page: text, length - 0 for links and noise -, number of the outermost article that holds it or 0,
+    level as a heading or 0, and whether it has text of links that is not noise.
 
-    An element named as noise is none if it holds an article, or nearly all text of the page.  Inline noise within a
-    line of other text is left out of it.
+    Inline noise within a line of other text is left out of it.
     """
     lines: list[_Line] = []
     line = _Line()
-    stack: list[tuple[str, int]] = []  # open elements: tag; 1 boilerplate, 2 hidden, 4 article, 8 link, 16 heading, 32 named
+    stack: list[tuple[str, int]] = []  # open elements: tag; 1 marked as noise, 2 hidden, 4 article, 8 link, 16 heading
     opened: dict[str, int] = {}
     headings: list[int] = []
-    named: list[int] = []  # open elements that are named as noise
-    parents, holds = [-1], [False]  # of named elements from 1 on: the one around it, and whether it holds an article
-    boiler = hidden = article = link = articles = 0
+    marked, noisy = _Marked(), [0]  # noisy: open elements that are marked as noise
+    hidden = article = link = articles = 0
 
     def emit() -> None:
         nonlocal line
@@ -109,7 +196,7 @@ def lines_of(page: str) -> list[tuple[str, int, int, int, bool]]:
     def put(piece: str) -> None:
         if hidden or not piece:
             return
-        line.pieces.append((piece, boiler > 0, link > 0 and not article, named[-1] if named else 0))
+        line.pieces.append((piece, link > 0 and not article, noisy[-1]))
         if not piece.isspace():
             if article > 0:
                 line.article = articles
@@ -117,18 +204,17 @@ def lines_of(page: str) -> list[tuple[str, int, int, int, bool]]:
             line.linked |= link > 0
 
     def leave(to: int) -> None:
-        nonlocal boiler, hidden, article, link
+        nonlocal hidden, article, link
         while len(stack) > to:
             tag, kind = stack.pop()
             opened[tag] -= 1
-            boiler -= kind & 1
             hidden -= kind >> 1 & 1
             article -= kind >> 2 & 1
             link -= kind >> 3 & 1
             if kind & 16:
                 headings.pop()
-            if kind & 32:
-                named.pop()
+            if kind & 1:
+                noisy.pop()
 
     at, n = 0, len(page)
     while at < n:
@@ -167,45 +253,34 @@ def lines_of(page: str) -> list[tuple[str, int, int, int, bool]]:
                     if stack[i][0] in BLOCKS:
                         break
         if not m[3].endswith("/") or tag in BLOCKS or tag == "a":
-            mark, hide, name = _marks(tag, m[3], article > 0)
-            mark &= not (article and tag == "header")
-            kind = mark | hide << 1 | (tag in ("article", "main")) << 2 | (tag == "a") << 3 | (tag in HEADINGS) << 4 | name << 5
+            mark, hide = _marks(tag, m[3], article > 0)
+            kind = (mark > 0) | hide << 1 | (tag in ("article", "main")) << 2 | (tag == "a") << 3 | (tag in HEADINGS) << 4
             stack.append((tag, kind))
             opened[tag] = opened.get(tag, 0) + 1
-            boiler += mark
             hidden += hide
+            if kind & 1:
+                noisy.append(marked.add(mark, noisy[-1], articles if article else 0))
             if kind & 4:
-                articles += article == 0
+                if not article:
+                    articles += 1
+                    marked.around[articles] = noisy[-1]
                 article += 1
-                if named:
-                    holds[named[-1]] = True
             link += kind >> 3 & 1
+            if kind & 4 or tag == "p":
+                marked.prose[noisy[-1]] = True
             if kind & 16:
                 headings.append(int(tag[1]))
-            if kind & 32:
-                parents.append(named[-1] if named else 0)
-                holds.append(False)
-                named.append(len(parents) - 1)
+                marked.title[noisy[-1]] |= tag == "h1"
     emit()
 
-    size = [0] * len(parents)
-    for x in lines:
-        for piece, bad, _, name in x.pieces:
-            if not bad:
-                size[name] += len(piece.strip())
-    for i in range(len(parents) - 1, 0, -1):
-        size[parents[i]] += size[i]
-        holds[parents[i]] |= holds[i]
-    noise = [False] * len(parents)
-    for i in range(1, len(parents)):
-        noise[i] = noise[parents[i]] or not (holds[i] or size[i] > MOST_TEXT * size[0])
+    noise = marked.noise(lines)
     out = []
     for x in lines:
-        clean = [p for p in x.pieces if not (p[1] or noise[p[3]])]
+        clean = [p for p in x.pieces if not noise[p[2]]]
         some = any(not p[0].isspace() for p in clean)
         said = _SPACE.sub(" ", entities.unescape("".join(p[0] for p in (clean if some else x.pieces)))).strip()
         if said:
-            length = sum(len(p[0].strip()) for p in clean if not p[2])
+            length = sum(len(p[0].strip()) for p in clean if not p[1])
             out.append((said, length, x.article, x.level, x.linked and some))
     return out
 
@@ -215,20 +290,17 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     lines = lines_of(page)
-    inside: dict[int, int] = {}
-    for _, length, article, _, _ in lines:
-        inside[article] = inside.get(article, 0) + length
-    weights = [length + (ARTICLE * inside[article] if length and article else 0) for _, length, article, _, _ in lines]
+    weights = [x[1] for x in lines]
     n = len(lines)
     sums = [sum(weights[k] for k in range(max(0, i - REACH), min(n, i + REACH + 1)) if lines[k][2] == lines[i][2]) for i in range(n)]
-    surge = SURGE * sum(w * x for w, x in zip(weights, sums, strict=True)) / (sum(weights) or 1)
+    surge = min(SURE, SURGE * sum(w * x for w, x in zip(weights, sums, strict=True)) / (sum(weights) or 1))
     kept = [False] * n
     start = 0
     while start < n:
         stop = start
         while stop < n and sums[stop] > 0 and lines[stop][2] == lines[start][2]:  # up to the dive
             stop += 1
-        if stop > start and max(sums[start:stop]) >= surge:
+        if stop > start and (lines[start][2] or max(sums[start:stop]) >= surge):
             full = [i for i in range(start, stop) if weights[i]]
             for i in range(full[0], full[-1] + 1):
                 kept[i] = weights[i] > 0 or lines[i][4]
