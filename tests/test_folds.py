@@ -33,6 +33,35 @@ def test_pauses_lengths_and_sentences_close(spark):
     assert segs(spark, [word("a", "A", 0), (0, "gap", "Untranscribed", 100, 100, True, True), word("b", "A", 300)]) == [("A", "a"), ("Untranscribed", "gap"), ("A", "b")]
 
 
+def plain_segments(rows):
+    """Segments by the rule, with all open ones at hand."""
+    state, out = folds._Segments(), []
+    for i, (text, speaker, a, b, turn, untimed) in sorted(enumerate(rows), key=lambda x: (x[1][2], x[0])):
+        if text.strip():
+            out += state.push({"text": text.strip(), "speaker": speaker, "start_ms": a, "end_ms": b, "turn": turn, "untimed": untimed})
+    return [x[1:] for x in out + state.end()]
+
+
+def test_stretches_give_the_same_segments_in_several_tasks(spark):
+    rng = random.Random(17)
+    cases = {}
+    for r in range(40):
+        at, rows = 0, []
+        for _ in range(rng.randint(0, 150)):
+            at += rng.choice([0, 50, 200, 300, 300, 600, 1500, 2600])
+            rows.append((rng.choice(["a", "b.", "c", " ", "d?", "é"]), rng.choice("XXXYYZ"), at, at + rng.choice([0, 100, 250, 3000]), rng.random() < 0.1, rng.random() < 0.05))
+        cases[r] = rows
+    table = spark.createDataFrame([(r, 0, i, *x) for r, rows in cases.items() for i, x in enumerate(rows)], UNIT)
+    got = {}
+    for x in folds.segments_from_units(table).orderBy("recording_id", "seg_idx").collect():
+        got.setdefault(x.recording_id, []).append((x.speaker, x.text, x.start, x.end))
+    want = {r: [(s, t, a / 1000 if timed else None, b / 1000 if timed else None) for s, t, a, b, timed in plain_segments(rows)] for r, rows in cases.items()}
+    assert got == {r: x for r, x in want.items() if x}
+    one = spark.createDataFrame([(1, 0, i, "w." if i % 9 == 8 else "w", "A", i * 400, i * 400 + 100, False, False) for i in range(4000)], UNIT)
+    parts = folds.state_free_stretches(one).groupBy("stretch").count()
+    assert parts.count() > 400  # so that tasks share one recording
+
+
 def test_segments_of_nothing(spark):
     assert folds.segments_from_units(units(spark, [])).count() == 0
 

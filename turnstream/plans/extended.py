@@ -57,6 +57,16 @@ def _units(seg):
     return words(seg).withColumn("unit_idx", F.col("seg_idx") * 1_000_000 + F.col("pos")).select("recording_id", "unit_idx", F.col("word").alias("text"), "speaker", "start_ms", "end_ms")
 
 
+def _voices(seg):
+    """Words of two voices: odd segments begin 4 s early, over the other's words; every fourth ends a turn, some begin untimed."""
+    early = F.when(F.col("seg_idx") % 2 == 1, F.least(F.lit(4000), F.col("start_ms") - 300 * F.col("pos"))).otherwise(0)
+    last = F.col("pos") == F.max("pos").over(Window.partitionBy("recording_id", "seg_idx"))
+    return words(seg).select(
+        "recording_id", (F.col("seg_idx") * 1_000_000 + F.col("pos")).alias("unit_idx"), F.col("word").alias("text"), F.when(F.col("seg_idx") % 2 == 1, "B").otherwise("A").alias("speaker"),
+        (F.col("start_ms") - early).alias("start_ms"), (F.col("end_ms") - early).alias("end_ms"), (last & (F.col("seg_idx") % 4 == 1)).alias("turn"), ((F.col("pos") == 0) & (F.col("seg_idx") % 6 == 5)).alias("untimed"),
+    )
+
+
 def _escalation(seg):
     return evidence.escalation(seg.withColumn("confidence", F.when(F.col("recording_id") % 2 == 0, F.col("seg_idx") % 8 / 6)), quality.scorecard(seg))
 
@@ -121,7 +131,7 @@ QUERIES = {
     "q_speaker_votes": _seg(lambda x: evidence.speaker_votes(_nearest(x))),
     "q_span_digest": _seg(evidence.span_digest),
     "q_playhead": _seg(lambda x: evidence.playhead(x, 20.0)),
-    "q_segments_from_units": _seg(lambda x: folds.segments_from_units(_units(x))),
+    "q_segments_from_units": _seg(lambda x: folds.segments_from_units(_voices(x))),
     "q_stitch": _seg(lambda x: folds.stitch_chunks(chunk_units(x), _spans(x)).select("recording_id", "chunk_idx", "text", "start_ms")),
     "q_stitch_segments": _seg(lambda x: folds.segments_from_units(folds.stitch_chunks(chunk_units(x, 20), _spans(x)))),
     "q_chunk_plan_adaptive": _seg(lambda x: folds.adaptive_plan(_totals(x), _silences(x), 40_000, 5_000)),
@@ -214,7 +224,21 @@ UNION ALL SELECT recording_id, total, chunk_idx + 1, nx, CASE WHEN nx + 40000 >
     spaces = r"trim(regexp_replace({}, '[\t\n\f\r ]+', ' ', 'g'))"
     marks = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '[\t\n\f\r ]+([,.!?;:])', '\1', 'g'), '([,!?;:])([A-Za-z])', '\1 \2', 'g'), '!!+', '!', 'g'), '\?\?+', '?', 'g'), '\.\.+', '...', 'g')"
     plain = r"regexp_replace(trim(regexp_replace(regexp_replace({}, '(?i)\b(?:um|of|the)\b', '', 'g'), '[\t\n\f\r ]+', ' ', 'g')), '[\t\n\f\r ]+([,.!?;:])', '\1', 'g')"
+    # two voices by recursion over units: of each voice the number, start and end of its open segment (null: none)
+    voices = f"""{w}, vo AS (SELECT recording_id, word AS text, seg_idx % 2 AS v, start_ms - off AS start_ms, start_ms - off + 250 AS end_ms, seg_idx % 6 = 5 AND pos = 0 AS untimed,
+    (seg_idx % 4 = 1 AND pos = max(pos) OVER (PARTITION BY recording_id, seg_idx)) OR right(word, 1) IN ('.', '!', '?', '。', '؟') AS closes, row_number() OVER (PARTITION BY recording_id ORDER BY start_ms - off, seg_idx, pos) AS rn
+  FROM (SELECT *, CASE WHEN seg_idx % 2 = 1 THEN least(4000, start_ms - 300 * pos) ELSE 0 END AS off FROM wd)),
+st AS (SELECT recording_id, rn, 0::BIGINT AS seg, 1::BIGINT AS n, CASE WHEN v = 0 AND NOT closes AND NOT untimed THEN 0::BIGINT END AS g0, start_ms AS s0, end_ms AS e0, CASE WHEN v = 1 AND NOT closes AND NOT untimed THEN 0::BIGINT END AS g1, start_ms AS s1, end_ms AS e1 FROM vo WHERE rn = 1
+UNION ALL SELECT recording_id, rn, CASE WHEN own IS NULL OR untimed THEN n ELSE own END, CASE WHEN own IS NULL OR untimed THEN n + 1 ELSE n END,
+    CASE WHEN untimed THEN NULL WHEN v = 1 THEN other WHEN closes THEN NULL ELSE coalesce(own, n) END, CASE WHEN v = 0 AND own IS NULL THEN start_ms ELSE s0 END, CASE WHEN v = 1 THEN e0 WHEN own IS NULL THEN end_ms ELSE greatest(e0, end_ms) END,
+    CASE WHEN untimed THEN NULL WHEN v = 0 THEN other WHEN closes THEN NULL ELSE coalesce(own, n) END, CASE WHEN v = 1 AND own IS NULL THEN start_ms ELSE s1 END, CASE WHEN v = 0 THEN e1 WHEN own IS NULL THEN end_ms ELSE greatest(e1, end_ms) END
+  FROM (SELECT u.*, n, s0, e0, s1, e1, CASE WHEN u.v = 0 THEN CASE WHEN u.start_ms - e0 <= 2000 AND u.start_ms - s0 < 20000 THEN g0 END ELSE CASE WHEN u.start_ms - e1 <= 2000 AND u.start_ms - s1 < 20000 THEN g1 END END AS own,
+          CASE WHEN u.v = 0 THEN CASE WHEN u.start_ms <= e1 + 250 THEN g1 END ELSE CASE WHEN u.start_ms <= e0 + 250 THEN g0 END END AS other
+        FROM st JOIN vo u ON u.recording_id = st.recording_id AND u.rn = st.rn + 1))"""
     return {
+        "q_segments_from_units": f"""WITH RECURSIVE {seg}, {voices} SELECT st.recording_id, seg AS seg_idx, any_value(CASE v WHEN 1 THEN 'B' ELSE 'A' END) AS speaker, string_agg(text, ' ' ORDER BY st.rn) AS text,
+  CASE WHEN NOT bool_or(untimed) THEN min(start_ms) / 1000 END AS start, CASE WHEN NOT bool_or(untimed) THEN max(end_ms) / 1000 END AS "end", format('[{{:02d}}:{{:02d}}:{{:02d}}]', min(start_ms) // 3600000, min(start_ms) // 60000 % 60, min(start_ms) // 1000 % 60) AS timestamp
+FROM st JOIN vo ON st.recording_id = vo.recording_id AND st.rn = vo.rn GROUP BY 1, 2""",
         "q_merge_overlap": f"WITH {seg} SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY seg_idx) - 1 AS seg_idx, speaker, text, timestamp FROM seg",
         "q_recogniser_segments": f"""WITH RECURSIVE {seg}, {w}, rw AS (SELECT *, lag(start_ms + 250) OVER o AS last, row_number() OVER o AS rn FROM wd WINDOW o AS (PARTITION BY recording_id ORDER BY seg_idx, pos)),
 st AS (SELECT recording_id, rn, word, start_ms, 0::BIGINT AS grp, 1 AS size, start_ms AS since FROM rw WHERE rn = 1
