@@ -190,19 +190,30 @@ def nearest_units(previous: DataFrame, current: DataFrame, spans: DataFrame, gen
     previous (labels in use) and current (the chunk's own): recording_id, chunk_idx, unit_idx, text, speaker,
     start_ms, turn, untimed.  spans: recording_id, chunk_idx, start_ms, end_ms.  generic: only `Speaker N` labels of
     previous count.  Returns recording_id, chunk_idx, unit_idx, raw, label, match_idx.
+
+    An as-of merge: the overlaps of both sides are sorted together, once by time and once by time for each text.
     """
     order = Window.partitionBy("recording_id").orderBy("chunk_idx")
-    lap = spans.select("recording_id", "chunk_idx", F.col("start_ms").alias("lo"), F.lag("end_ms").over(order).alias("hi")).where("hi is not null")
-    bucket = lambda c: F.floor(c / TURN_TOLERANCE_MS)
-    now = current.where("not untimed and speaker != ''").join(lap, ["recording_id", "chunk_idx"]).where("start_ms >= lo and start_ms < hi")
-    now = now.select("recording_id", "chunk_idx", "unit_idx", F.col("speaker").alias("raw"), F.col("start_ms").alias("at"), normalise(F.col("text")).alias("norm"), F.when(F.col("turn"), TURN_TOLERANCE_MS).otherwise(WORD_TOLERANCE_MS).alias("tol"), "lo", "hi", bucket(F.col("start_ms")).alias("bucket"))
-    was = previous.where(~F.col("untimed") & (is_generic("speaker") if generic else F.lit(True))).select("recording_id", (F.col("chunk_idx") + 1).alias("chunk_idx"), F.col("unit_idx").alias("match_idx"), F.col("speaker").alias("label"), F.col("start_ms").alias("u"), normalise(F.col("text")).alias("said"))
-    was = was.select("*", F.explode(F.sequence(bucket(F.col("u")) - 1, bucket(F.col("u")) + 1)).alias("bucket"))
-    far = F.abs(F.col("u") - F.col("at"))
-    near = now.join(was, ["recording_id", "chunk_idx", "bucket"]).where((far <= F.col("tol")) & (F.col("u") >= F.col("lo") - F.col("tol")) & (F.col("u") < F.col("hi")))
-    same = (F.col("norm") != "") & (F.col("norm") == F.col("said"))
-    best = F.min_by(F.struct("label", "match_idx"), F.struct(~same, far, "match_idx"))
-    return near.groupBy("recording_id", "chunk_idx", "unit_idx", "raw").agg(best.alias("m")).select("recording_id", "chunk_idx", "unit_idx", "raw", "m.*")
+    keys = ["recording_id", "chunk_idx"]
+    lap = spans.select(*keys, F.col("start_ms").alias("lo"), F.lag("end_ms").over(order).alias("hi")).where("hi is not null")
+    now = current.where("not untimed and speaker != ''").join(lap, keys).where("start_ms >= lo and start_ms < hi")
+    was = previous.where(~F.col("untimed") & (is_generic("speaker") if generic else F.lit(True))).withColumn("chunk_idx", F.col("chunk_idx") + 1).join(lap, keys).where((F.col("start_ms") >= F.col("lo") - TURN_TOLERANCE_MS) & (F.col("start_ms") < F.col("hi")))
+    # both sides in one order of time: what is nearest to a unit is the last before it or the next after it
+    row = lambda df, is_unit: df.select(*keys, "unit_idx", "speaker", F.col("start_ms").alias("at"), normalise(F.col("text")).alias("norm"), F.when(F.col("turn"), TURN_TOLERANCE_MS).otherwise(WORD_TOLERANCE_MS).alias("tol"), "lo", F.lit(is_unit).alias("is_unit"))
+    both = row(now, True).unionByName(row(was, False))
+    own = F.struct("at", F.col("unit_idx").alias("match_idx"), F.col("speaker").alias("label"))
+    known = F.when(~F.col("is_unit"), own)
+
+    def sides(name: str, *by: str) -> dict[str, Column]:
+        """The nearest row at or before a row, and at or after it; of equal times the lowest index, which either order has last."""
+        nearest = lambda at: F.last(known, ignorenulls=True).over(Window.partitionBy(*keys, *by).orderBy(at, "is_unit", F.desc("unit_idx")).rowsBetween(Window.unboundedPreceding, 0))
+        return {f"{name}_last": nearest(F.asc("at")), f"{name}_next": nearest(F.desc("at"))}
+
+    found = both.withColumns(sides("any")).withColumns(sides("same", "norm")).where("is_unit")
+    within = lambda x, same: F.when(x.isNotNull() & (F.abs(x["at"] - F.col("at")) <= F.col("tol")) & (x["at"] >= F.col("lo") - F.col("tol")), F.struct(F.lit(not same).alias("other"), F.abs(x["at"] - F.col("at")).alias("far"), x["match_idx"].alias("match_idx"), x["label"].alias("label")))
+    same = lambda c: F.when(F.col("norm") != "", within(F.col(c), True))
+    choices = F.array_compact(F.array(same("same_last"), same("same_next"), within(F.col("any_last"), False), within(F.col("any_next"), False)))
+    return found.withColumn("m", F.array_min(choices)).where("m is not null").select(*keys, "unit_idx", F.col("speaker").alias("raw"), "m.label", "m.match_idx")
 
 
 def speaker_votes(nearest: DataFrame) -> DataFrame:

@@ -33,6 +33,22 @@ def chunk_units(seg: DataFrame, jitter: int = 0) -> DataFrame:
     return heard.withColumn("unit_idx", F.row_number().over(order).cast("long")).select("recording_id", "chunk_idx", "unit_idx", F.col("word").alias("text"), "speaker", (F.col("start_ms") + late).alias("start_ms"), (F.col("end_ms") + late).alias("end_ms"), F.lit(False).alias("turn"), F.lit(False).alias("untimed"))
 
 
+def turn_units(seg: DataFrame, jitter: int = 0) -> DataFrame:
+    """The segments of two voices as each fixed chunk alone would hear them: cut at its ends, with the words of that time
+    and labels of its own; odd chunks hear them later by jitter."""
+    at, end = F.round(F.col("start") * 1000).cast("long"), F.round(F.col("end") * 1000).cast("long")
+    said = seg.select("recording_id", "seg_idx", at.alias("s"), end.alias("e"), text.fields(F.col("text")).alias("ws"))
+    heard = said.join(timeline.chunk_plan(seg).select("recording_id", "chunk_idx", F.col("start_ms").alias("lo"), F.col("end_ms").alias("hi")), "recording_id").where("e > lo and s < hi")
+    part = heard.withColumns({"a": F.greatest("s", "lo"), "b": F.least("e", "hi"), "n": F.size("ws")})
+    first, past = F.expr("cast((a - s) * n div (e - s) as int)"), F.expr("cast((b - s) * n div (e - s) as int)")
+    order = Window.partitionBy("recording_id", "chunk_idx").orderBy("seg_idx")
+    late = F.col("chunk_idx") % 2 * jitter
+    raw = F.when((F.col("seg_idx") + F.col("chunk_idx")) % 2 == 0, "p").otherwise("q")
+    return part.withColumn("unit_idx", F.row_number().over(order).cast("long")).select(
+        "recording_id", "chunk_idx", "unit_idx", F.array_join(F.slice("ws", first + 1, past - first), " ").alias("text"), raw.alias("speaker"), (F.col("a") + late).alias("start_ms"), (F.col("b") + late).alias("end_ms"), F.lit(True).alias("turn"), F.lit(False).alias("untimed")
+    )
+
+
 def _spans(seg):
     return timeline.chunk_plan(seg).join(timeline.cut_points(timeline.chunk_plan(seg)), ["recording_id", "chunk_idx"])
 
@@ -133,7 +149,8 @@ QUERIES = {
     "q_playhead": _seg(lambda x: evidence.playhead(x, 20.0)),
     "q_segments_from_units": _seg(lambda x: folds.segments_from_units(_voices(x))),
     "q_stitch": _seg(lambda x: folds.stitch_chunks(chunk_units(x), _spans(x)).select("recording_id", "chunk_idx", "text", "start_ms")),
-    "q_stitch_segments": _seg(lambda x: folds.segments_from_units(folds.stitch_chunks(chunk_units(x, 20), _spans(x)))),
+    "q_stitch_turns": _seg(lambda x: folds.stitch_chunks(turn_units(x, 20), _spans(x)).drop("turn", "untimed")),
+    "q_stitch_segments": _seg(lambda x: folds.segments_from_units(folds.stitch_chunks(turn_units(x, 20), _spans(x)))),
     "q_chunk_plan_adaptive": _seg(lambda x: folds.adaptive_plan(_totals(x), _silences(x), 40_000, 5_000)),
     "q_recogniser_segments": _seg(lambda x: folds.segments_from_words(_units(x).select("recording_id", F.col("unit_idx").alias("pos"), F.col("text").alias("word"), (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end")))),
     "q_speech_turns": _parsed("turns"),
@@ -235,10 +252,47 @@ UNION ALL SELECT recording_id, rn, CASE WHEN own IS NULL OR untimed THEN n ELSE
   FROM (SELECT u.*, n, s0, e0, s1, e1, CASE WHEN u.v = 0 THEN CASE WHEN u.start_ms - e0 <= 2000 AND u.start_ms - s0 < 20000 THEN g0 END ELSE CASE WHEN u.start_ms - e1 <= 2000 AND u.start_ms - s1 < 20000 THEN g1 END END AS own,
           CASE WHEN u.v = 0 THEN CASE WHEN u.start_ms <= e1 + 250 THEN g1 END ELSE CASE WHEN u.start_ms <= e0 + 250 THEN g0 END END AS other
         FROM st JOIN vo u ON u.recording_id = st.recording_id AND u.rn = st.rn + 1))"""
+    # turns across cuts; labels by recursion over chunks: of each voice its label there, and when each label was last heard
+    tnorm = norm.replace("lower(text)", "lower(h.text)")
+    stitched = f"""hu AS (SELECT g.recording_id, g.seg_idx % 2 AS v, p.chunk_idx, p.start_ms AS lo, p.end_ms AS hi, s, e, ws, greatest(s, p.start_ms) AS a, least(e, p.end_ms) AS b,
+    lag(p.end_ms) OVER (PARTITION BY g.recording_id, g.seg_idx ORDER BY p.chunk_idx) AS x, row_number() OVER (PARTITION BY g.recording_id, p.chunk_idx ORDER BY g.seg_idx) AS unit_idx
+  FROM (SELECT recording_id, seg_idx, {ms('start')} AS s, {ms(chr(34) + 'end' + chr(34))} AS e, {ws.format('text')} AS ws FROM seg) g JOIN plan p ON g.recording_id = p.recording_id AND e > p.start_ms AND s < p.end_ms),
+pe AS (SELECT recording_id, chunk_idx, lag(end_ms) OVER (PARTITION BY recording_id ORDER BY chunk_idx) AS prev_end FROM plan),
+ht AS (SELECT hu.recording_id, hu.chunk_idx, unit_idx, v, coalesce(array_to_string(ws[(a - s) * len(ws) // (e - s) + 1 : (b - s) * len(ws) // (e - s)], ' '), '') AS text,
+    a + hu.chunk_idx % 2 * 20 AS start_ms, b + hu.chunk_idx % 2 * 20 AS end_ms, coalesce(keep_from_ms, 0) AS kf, keep_until_ms AS ku, prev_end FROM hu JOIN pe USING (recording_id, chunk_idx) JOIN cut USING (recording_id, chunk_idx)),
+kt AS (SELECT h.*, {tnorm} AS norm, unit_idx = min(unit_idx) OVER (PARTITION BY recording_id, chunk_idx) AS head FROM ht h
+  WHERE (start_ms >= kf AND (ku IS NULL OR start_ms < ku)) OR coalesce(start_ms < kf AND end_ms > prev_end + 500, false)),
+gt AS (SELECT k.*, (SELECT min(c.chunk_idx) FROM kt c WHERE c.recording_id = k.recording_id AND c.head AND c.start_ms < c.kf AND c.chunk_idx > k.chunk_idx AND c.start_ms - 1000 <= k.start_ms) AS gone FROM kt k),
+db AS (SELECT h.recording_id, h.chunk_idx, h.unit_idx, arg_max(p.norm, (p.chunk_idx, p.unit_idx)) = h.norm AND h.norm <> '' AND abs(arg_max(p.start_ms, (p.chunk_idx, p.unit_idx)) - h.start_ms) <= 500 AS doubled
+  FROM gt h JOIN gt p ON p.recording_id = h.recording_id AND p.chunk_idx < h.chunk_idx AND (p.gone IS NULL OR p.gone > h.chunk_idx) WHERE h.head GROUP BY h.recording_id, h.chunk_idx, h.unit_idx, h.norm, h.start_ms),
+nv AS (SELECT c.recording_id, c.chunk_idx, c.v, arg_min(p.v, (NOT (c.norm <> '' AND c.norm = p.norm), abs(p.start_ms - c.start_ms), p.unit_idx)) AS was
+  FROM (SELECT ht.*, {tnorm.replace('h.text', 'text')} AS norm, plan.start_ms AS o_lo FROM ht JOIN plan USING (recording_id, chunk_idx)) c JOIN (SELECT *, {tnorm.replace('h.text', 'text')} AS norm FROM ht) p
+    ON p.recording_id = c.recording_id AND p.chunk_idx = c.chunk_idx - 1 AND abs(p.start_ms - c.start_ms) <= 1000 AND p.start_ms >= o_lo - 1000 AND p.start_ms < c.prev_end
+  WHERE c.start_ms >= o_lo AND c.start_ms < c.prev_end GROUP BY c.recording_id, c.chunk_idx, c.unit_idx, c.v),
+vt AS (SELECT recording_id, chunk_idx, v, was, count(*) AS n FROM nv GROUP BY ALL),
+rk AS (SELECT recording_id, chunk_idx, v, row_number() OVER (PARTITION BY recording_id, chunk_idx ORDER BY min(unit_idx)) AS r FROM ht GROUP BY 1, 2, 3),
+en AS (SELECT recording_id, chunk_idx, v, max(start_ms) AS t FROM kt GROUP BY 1, 2, 3),
+ck AS (SELECT rk.recording_id, rk.chunk_idx, list({{'v': rk.v, 'r': r, 't': t}} ORDER BY r) AS names, coalesce(any_value(votes), []) AS votes FROM rk LEFT JOIN en ON rk.recording_id = en.recording_id AND rk.chunk_idx = en.chunk_idx AND rk.v = en.v
+  LEFT JOIN (SELECT vt.recording_id, vt.chunk_idx, list({{'n': -n, 'r': r, 'v': vt.v, 'was': was}}) AS votes FROM vt JOIN rk ON vt.recording_id = rk.recording_id AND vt.chunk_idx = rk.chunk_idx AND vt.v = rk.v GROUP BY 1, 2) w ON w.recording_id = rk.recording_id AND w.chunk_idx = rk.chunk_idx GROUP BY 1, 2),
+lb AS (SELECT recording_id, -1::BIGINT AS chunk_idx, [NULL::BIGINT, NULL] AS label, []::STRUCT(t BIGINT, l BIGINT)[] AS heard, 0::BIGINT AS n FROM (SELECT DISTINCT recording_id FROM ck)
+UNION ALL SELECT recording_id, chunk_idx, CASE WHEN names[1].v = 0 THEN [l1, l2] ELSE [l2, l1] END,
+    list_concat(list_filter(heard, lambda h: NOT coalesce(h.l = l1 AND names[1].t IS NOT NULL OR h.l = l2 AND names[2].t IS NOT NULL, false)),
+      list_filter([{{'t': least(-names[1].t, list_filter(heard, lambda h: h.l = l1)[1].t), 'l': l1}}, {{'t': least(-names[2].t, list_filter(heard, lambda h: h.l = l2)[1].t), 'l': l2}}], lambda h: h.l IS NOT NULL AND CASE WHEN h.l = l1 THEN names[1].t ELSE names[2].t END IS NOT NULL)), greatest(n, l1, l2)
+  FROM (SELECT *, CASE WHEN len(names) > 1 THEN coalesce(w2, CASE WHEN w1 IS NULL THEN free[2].l ELSE free[1].l END, greatest(n, l1) + 1) END AS l2
+    FROM (SELECT *, coalesce(w1, free[1].l, n + 1) AS l1 FROM (SELECT *, list_sort(list_filter(heard, lambda h: h.l IS DISTINCT FROM w1 AND h.l IS DISTINCT FROM w2)) AS free
+      FROM (SELECT *, CASE WHEN b1.r = 1 THEN b1.l WHEN b2.r = 1 THEN b2.l END AS w1, CASE WHEN b1.r = 2 THEN b1.l WHEN b2.r = 2 THEN b2.l END AS w2 FROM (SELECT *, list_filter(cand, lambda c: c.r <> b1.r AND c.l <> b1.l)[1] AS b2
+        FROM (SELECT *, cand[1] AS b1 FROM (SELECT ck.*, heard, n, list_sort(list_filter(list_transform(votes, lambda x: {{'n': x.n, 'r': x.r, 'l': label[x.was + 1]}}), lambda c: c.l IS NOT NULL)) AS cand
+          FROM lb JOIN ck ON ck.recording_id = lb.recording_id AND ck.chunk_idx = lb.chunk_idx + 1)))))))),
+sti AS (SELECT g.recording_id, row_number() OVER (PARTITION BY g.recording_id ORDER BY start_ms, g.chunk_idx, g.unit_idx) - 1 AS unit_idx, g.chunk_idx, text, 'Speaker ' || label[v + 1] AS speaker, start_ms, end_ms, g.v
+  FROM gt g JOIN lb ON g.recording_id = lb.recording_id AND g.chunk_idx = lb.chunk_idx LEFT JOIN db ON g.recording_id = db.recording_id AND g.chunk_idx = db.chunk_idx AND g.unit_idx = db.unit_idx WHERE gone IS NULL AND NOT coalesce(doubled, false))"""
     return {
         "q_segments_from_units": f"""WITH RECURSIVE {seg}, {voices} SELECT st.recording_id, seg AS seg_idx, any_value(CASE v WHEN 1 THEN 'B' ELSE 'A' END) AS speaker, string_agg(text, ' ' ORDER BY st.rn) AS text,
   CASE WHEN NOT bool_or(untimed) THEN min(start_ms) / 1000 END AS start, CASE WHEN NOT bool_or(untimed) THEN max(end_ms) / 1000 END AS "end", format('[{{:02d}}:{{:02d}}:{{:02d}}]', min(start_ms) // 3600000, min(start_ms) // 60000 % 60, min(start_ms) // 1000 % 60) AS timestamp
 FROM st JOIN vo ON st.recording_id = vo.recording_id AND st.rn = vo.rn GROUP BY 1, 2""",
+        "q_stitch_turns": f"WITH RECURSIVE {seg}, {plan}, {cut}, {stitched} SELECT recording_id, unit_idx, chunk_idx, text, speaker, start_ms, end_ms FROM sti",
+        # each turn is a segment
+        "q_stitch_segments": f"""WITH RECURSIVE {seg}, {plan}, {cut}, {stitched} SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY unit_idx) - 1 AS seg_idx, speaker, text, start_ms / 1000 AS start, end_ms / 1000 AS "end",
+  format('[{{:02d}}:{{:02d}}:{{:02d}}]', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60) AS timestamp FROM sti WHERE text <> ''""",
         "q_merge_overlap": f"WITH {seg} SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY seg_idx) - 1 AS seg_idx, speaker, text, timestamp FROM seg",
         "q_recogniser_segments": f"""WITH RECURSIVE {seg}, {w}, rw AS (SELECT *, lag(start_ms + 250) OVER o AS last, row_number() OVER o AS rn FROM wd WINDOW o AS (PARTITION BY recording_id ORDER BY seg_idx, pos)),
 st AS (SELECT recording_id, rn, word, start_ms, 0::BIGINT AS grp, 1 AS size, start_ms AS since FROM rw WHERE rn = 1
