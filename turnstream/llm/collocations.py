@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from .common import join_groups, materialize, text_buffer
 
 #: Words of one shard's tries; a task's texts may fill several shards.
-SHARD_WORDS = 1 << 21
+SHARD_WORDS = 1 << 20
 #: Words of a range, about; their number stays under MOST_RANGES, as tasks hold all borders.
-RANGE_WORDS, MOST_RANGES = 1 << 21, 1 << 14
+RANGE_WORDS, MOST_RANGES = 1 << 20, 1 << 14
 #: Documents from which the borders of the ranges are drawn, and phrases drawn from one of them at most.
 SAMPLE_DOCS, SAMPLE_PHRASES = 4096, 256
 #: Parts in which a language's phrases are ranked first, so that one task sees `top` phrases of each at most.
@@ -139,12 +139,19 @@ class Trie:
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys in order, the sums of their counts, and the place of each key among them; runs already in order are merged."""
-    order = np.argsort(keys, kind="stable")
+    if not len(keys):
+        return keys, counts, np.zeros(0, np.int32)
+    order = np.argsort(keys, kind="stable").astype(np.int32)
     held = keys[order]
-    first = np.flatnonzero(np.diff(held, prepend=held[0] - 1)) if len(held) else np.zeros(0, np.int64)
-    where = np.empty(len(keys), np.int64)
-    where[order] = np.repeat(np.arange(len(first)), np.diff(first, append=len(held)))
-    return held[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0], where
+    fresh = np.empty(len(held), bool)
+    fresh[0] = True
+    np.not_equal(held[1:], held[:-1], out=fresh[1:])
+    first = np.flatnonzero(fresh)
+    found = held[first]
+    del held
+    where = np.empty(len(keys), np.int32)
+    where[order] = np.cumsum(fresh, dtype=np.int32) - 1
+    return found, np.add.reduceat(counts[order], first), where
 
 
 def _ranked(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -160,15 +167,16 @@ def _ranked(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def count_words(words: pa.Array, piece: np.ndarray, depth: int) -> Trie:
     """The trie of all phrases of up to `depth` words within pieces."""
     distinct, rank = _ranked(words)
-    levels, where, n = [], np.zeros(len(rank), np.int64), len(rank)
+    levels, where, n = [], np.zeros(len(rank), np.int32), len(rank)
     for k in range(depth):
         n = max(0, len(rank) - k)  # phrases that begin at the first n words, if they stay in one piece
         whole = piece[:n] == piece[k : k + n]
         starts = np.flatnonzero(whole) if k else np.arange(n)
-        keys, counts, place = _summed(where[starts] * max(1, len(distinct)) + rank[starts + k], np.ones(len(starts), np.int64))
+        keys, counts, place = _summed(where[starts].astype(np.int64) * max(1, len(distinct)) + rank[starts + k], np.ones(len(starts), np.int64))
         levels.append((keys // max(1, len(distinct)), keys % max(1, len(distinct)), counts))
-        where = np.zeros(len(rank), np.int64)
+        where = np.zeros(len(rank), np.int32)
         where[starts] = place
+        del place
     return Trie(distinct, levels)
 
 
@@ -179,10 +187,10 @@ def merge(tries: list[Trie]) -> Trie:
     distinct, rank = _ranked(pa.array([w for t in tries for w in t.words.tolist()], pa.binary()))
     at = np.cumsum([0, *(len(t.words) for t in tries)])
     ranks = [rank[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-    places = [np.zeros(1, np.int64) for _ in tries]
+    places = [np.zeros(1, np.int32) for _ in tries]
     levels = []
     for k in range(len(tries[0].levels)):
-        keys = [places[i][t.levels[k][0]] * max(1, len(distinct)) + ranks[i][t.levels[k][1]] for i, t in enumerate(tries)]
+        keys = [places[i][t.levels[k][0]].astype(np.int64) * max(1, len(distinct)) + ranks[i][t.levels[k][1]] for i, t in enumerate(tries)]
         found, counts, place = _summed(np.concatenate(keys), np.concatenate([t.levels[k][2] for t in tries]))
         levels.append((found // max(1, len(distinct)), found % max(1, len(distinct)), counts))
         ends = np.cumsum([len(x) for x in keys])
