@@ -134,18 +134,6 @@ def test_reviews_expire_and_are_purged_a_deadline_later(spark, tmp_path):
     assert sorted(got) == [(1, "expire"), (1, "purge"), (2, "purge")]
 
 
-def test_journal_is_followed_and_read_back(spark, tmp_path):
-    rows = spark.createDataFrame([(1, i, "a", "{}") for i in range(1, 6)], "job_id long, id long, name string, data string")
-    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
-    q = journal.tail(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/journal", f"{tmp_path}/ck")
-    q.awaitTermination(120)
-    back = spark.read.schema(rows.schema).json(f"{tmp_path}/journal")
-    assert journal.read_after(back, F.lit(3)).count() == 2
-    journal.write_snapshot(rows, f"{tmp_path}/snap")
-    journal.write_snapshot(rows.limit(2), f"{tmp_path}/snap")
-    assert spark.read.json(f"{tmp_path}/snap").count() == 2
-
-
 def test_admission_is_bounded(spark):
     rows = spark.createDataFrame([(0, 1, 1, 1), (0, 2, 2, 1), (0, 3, 3, 1), (0, 4, 1, -1), (0, 5, 4, 1)], "server long, seq long, job_id long, change int")
     assert [(r.job_id, r.admitted) for r in journal.admitted(rows, 2).orderBy("seq").collect()] == [(1, True), (2, True), (3, False), (4, True)]

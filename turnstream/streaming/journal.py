@@ -203,18 +203,3 @@ def latest_result(log: DataFrame, name: str = "result") -> DataFrame:
     """job_id, id, data of each job's last event of a name whose data holds an object."""
     last = log.where(F.col("name") == name).groupBy("job_id").agg(F.max_by(F.struct("id", "data"), "id").alias("x"))
     return last.where("x.data like '{%'").select("job_id", "x.*")
-
-
-def append_events(batch: DataFrame, path: str) -> None:
-    """Add a batch of events to a journal folder as lines of JSON; what the committer does not commit is not read back."""
-    batch.select(F.to_json(F.struct(*batch.columns)).alias("value")).write.mode("append").text(path)
-
-
-def write_snapshot(rows: DataFrame, path: str) -> None:
-    """Replace a folder of JSON snapshots: written beside it, then swapped by the committer of the file system."""
-    rows.write.mode("overwrite").json(path)
-
-
-def tail(stream: DataFrame, path: str, checkpoint: str):
-    """Follow a stream of events into a journal folder; restarts go on from the checkpoint, so no event is lost or doubled there."""
-    return stream.writeStream.foreachBatch(lambda batch, _: append_events(batch, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
