@@ -32,15 +32,19 @@ def numbered_words(seg: DataFrame) -> DataFrame:
     """seg with ws: the ASCII words of each text, those that repeat numbered, so that a set intersection counts as of bags."""
     low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.array_sort(F.filter(F.split(F.regexp_replace(F.coalesce(low, F.lit("")), "[^a-z0-9 ]", " "), " +"), lambda w: w != ""))
-    numbered = F.transform("ws", lambda w, i: F.concat_ws(" ", w, (i - F.array_position(F.col("ws"), w)).cast("string")))
-    return seg.withColumn("ws", words).withColumn("ws", numbered)
+    seg = seg.withColumn("ws", words)
+    # sorted words lie in runs; each is read at its start and numbered from 0
+    places = F.sequence(F.lit(0), F.size("ws") - 1)
+    starts = F.when(F.size("ws") > 0, F.filter(places, lambda i: (i == 0) | (F.get("ws", i) != F.get("ws", i - 1)))).otherwise(F.array().cast("array<int>"))
+    seg = seg.withColumn("starts", F.concat(starts, F.array(F.size("ws"))))
+    runs = F.transform(F.slice("starts", 1, F.size("starts") - 1), lambda at, k: F.transform(F.sequence(F.lit(0), F.get("starts", k + 1) - at - 1), lambda n: F.concat_ws(" ", F.get("ws", at), n.cast("string"))))
+    return seg.withColumn("ws", F.flatten(runs)).drop("starts")
 
 
 def bag_similarity(a: Column, b: Column) -> Column:
     """Multiset Jaccard of two arrays of numbered words; 1 where both are empty."""
-    both = F.size(F.array_intersect(a, b))
-    total = F.size(a) + F.size(b) - both
-    return F.when(total == 0, 1.0).otherwise(both / F.greatest(total, F.lit(1)))
+    rate = lambda both: both / (F.size(a) + F.size(b) - both)
+    return F.when(a == b, 1.0).otherwise(rate(F.size(F.array_intersect(a, b))))
 
 
 def best_matches(final: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -51,9 +55,10 @@ def best_matches(final: DataFrame, candidates: DataFrame) -> DataFrame:
     """
     bucket = lambda c: F.floor(c / REACH)
     one = numbered_words(final.select(*_KEYS, "timestamp", "text")).select(*_KEYS, F.coalesce(parse_timestamp(F.col("timestamp")), F.lit(0)).alias("t"), F.col("ws").alias("own"))
-    one = one.withColumn("bucket", bucket(F.col("t")))
+    # of the two sides the final one is the smaller: it is sent to the buckets around its own
+    one = one.withColumn("bucket", F.explode(F.sequence(bucket(F.col("t")) - 1, bucket(F.col("t")) + 1)))
     two = numbered_words(candidates.select(*_KEYS, "candidate_id", "timestamp", "text")).select("recording_id", F.col("seg_idx").alias("match_idx"), "candidate_id", parse_timestamp(F.col("timestamp")).alias("u"), "ws")
-    two = two.where("u is not null").select("*", F.explode(F.sequence(bucket(F.col("u")) - 1, bucket(F.col("u")) + 1)).alias("bucket"))
+    two = two.where("u is not null").withColumn("bucket", bucket(F.col("u")))
     near = one.join(two, ["recording_id", "bucket"]).where(F.abs(F.col("t") - F.col("u")) <= REACH)
     rated = near.withColumn("similarity", bag_similarity(F.col("own"), F.col("ws")))
     best = F.min_by(F.struct("match_idx", "similarity", "ws"), F.struct(-F.col("similarity"), F.abs(F.col("t") - F.col("u")), "match_idx"))
@@ -70,7 +75,9 @@ def run_evidence(final: DataFrame, candidates: DataFrame, selected: tuple[str, .
     found = best_matches(final, candidates).groupBy(*_KEYS).agg(
         F.array_sort(F.collect_list(F.when(F.col("similarity") >= SUPPORTED, F.col("candidate_id")))).alias("ids"), F.collect_list("ws").alias("texts")
     )
-    differ = F.exists("texts", lambda x: F.exists(F.col("texts"), lambda y: bag_similarity(x, y) < TEXTS_DIFFER))
+    later = lambda i: F.slice("texts", i + 2, F.size("texts"))
+    pairs = F.flatten(F.transform("texts", lambda x, i: F.transform(later(i), lambda y: bag_similarity(x, y) < TEXTS_DIFFER)))
+    differ = F.exists(pairs, lambda x: x)
     rows = final.select(*_KEYS, "timestamp", "speaker", "text").join(found, _KEYS, "left")
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     chosen = F.arrays_overlap(ids, F.array(*map(F.lit, selected))) if selected else F.size(ids) > 0
