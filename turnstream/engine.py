@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as texts
-from .operators import compare, evidence, export, folds, quality, spans, subtitles, timeline, validate
+from .operators import compare, evidence, export, folds, quality, rejudge, spans, subtitles, timeline, tools, validate
 from .plans.settings import FILLERS, Settings
 from .sources import fixtures, payloads, responses
 
@@ -48,6 +48,10 @@ class Engine:
         windows = plan.join(timeline.cut_points(plan), ["recording_id", "chunk_idx"])
         return folds.segments_from_units(folds.stitch_chunks(units, windows))
 
+    def transcript(self, units: DataFrame) -> DataFrame:
+        """Segments of units that one request gave for each recording."""
+        return folds.one_request_segments(units)
+
     def validate(self, seg: DataFrame) -> DataFrame:
         return validate.accepted_segments(seg)
 
@@ -82,6 +86,14 @@ class Engine:
     def render(self, seg: DataFrame, format_name: str, options: export.Options = export.Options(), recordings: DataFrame | None = None) -> DataFrame:
         return export.render(seg, format_name, options, recordings)
 
+    def rejudge(self, first: DataFrame, reviews: DataFrame, decisions: DataFrame, decided: DataFrame, candidates: DataFrame, scores: DataFrame, spans_: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+        """Spans and reviews after a bounded second pass of judging."""
+        return rejudge.rejudged(first, reviews, decisions, decided, candidates, scores, spans_, most)
+
+    def tools(self, calls: DataFrame, results: dict[str, DataFrame]) -> DataFrame:
+        """Answers to the calls of models, within the limits of an interaction."""
+        return tools.tool_loop(calls, results)
+
     def tool(self, name: str, *candidates: DataFrame, allowed: tuple[str, ...] = ()) -> DataFrame:
         """Run a tool by name; an unknown or forbidden one, or a missing candidate, gives a row with an error."""
         if name not in TOOLS or (allowed and name not in allowed):

@@ -148,6 +148,7 @@ QUERIES = {
     "q_span_digest": _seg(evidence.span_digest),
     "q_playhead": _seg(lambda x: evidence.playhead(x, 20.0)),
     "q_segments_from_units": _seg(lambda x: folds.segments_from_units(_voices(x))),
+    "q_one_request_segments": _seg(lambda x: folds.one_request_segments(_voices(x).withColumn("speaker", F.when((F.col("speaker") == "A") & (F.col("recording_id") % 5 == 0), "").otherwise(F.col("speaker"))))),
     "q_stitch": _seg(lambda x: folds.stitch_chunks(chunk_units(x), _spans(x)).select("recording_id", "chunk_idx", "text", "start_ms")),
     "q_stitch_turns": _seg(lambda x: folds.stitch_chunks(turn_units(x, 20), _spans(x)).drop("turn", "untimed")),
     "q_stitch_segments": _seg(lambda x: folds.segments_from_units(folds.stitch_chunks(turn_units(x, 20), _spans(x)))),
@@ -290,6 +291,10 @@ sti AS (SELECT g.recording_id, row_number() OVER (PARTITION BY g.recording_id OR
   CASE WHEN NOT bool_or(untimed) THEN min(start_ms) / 1000 END AS start, CASE WHEN NOT bool_or(untimed) THEN max(end_ms) / 1000 END AS "end", format('[{{:02d}}:{{:02d}}:{{:02d}}]', min(start_ms) // 3600000, min(start_ms) // 60000 % 60, min(start_ms) // 1000 % 60) AS timestamp
 FROM st JOIN vo ON st.recording_id = vo.recording_id AND st.rn = vo.rn GROUP BY 1, 2""",
         "q_stitch_turns": f"WITH RECURSIVE {seg}, {plan}, {cut}, {stitched} SELECT recording_id, unit_idx, chunk_idx, text, speaker, start_ms, end_ms FROM sti",
+        "q_one_request_segments": f"""WITH RECURSIVE {seg}, {voices}, fl AS (SELECT recording_id, v, row_number() OVER (PARTITION BY recording_id ORDER BY min(rn)) AS k FROM vo WHERE NOT untimed AND (v = 1 OR recording_id % 5 <> 0) GROUP BY 1, 2)
+SELECT st.recording_id, seg AS seg_idx, any_value(CASE WHEN untimed THEN CASE WHEN vo.v = 1 THEN 'B' ELSE 'A' END ELSE coalesce('Speaker ' || k, 'Unknown speaker') END) AS speaker, string_agg(text, ' ' ORDER BY st.rn) AS text,
+  CASE WHEN NOT bool_or(untimed) THEN min(start_ms) / 1000 END AS start, CASE WHEN NOT bool_or(untimed) THEN max(end_ms) / 1000 END AS "end", format('[{{:02d}}:{{:02d}}:{{:02d}}]', min(start_ms) // 3600000, min(start_ms) // 60000 % 60, min(start_ms) // 1000 % 60) AS timestamp
+FROM st JOIN vo ON st.recording_id = vo.recording_id AND st.rn = vo.rn LEFT JOIN fl ON fl.recording_id = vo.recording_id AND fl.v = vo.v GROUP BY 1, 2""",
         # each turn is a segment
         "q_stitch_segments": f"""WITH RECURSIVE {seg}, {plan}, {cut}, {stitched} SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY unit_idx) - 1 AS seg_idx, speaker, text, start_ms / 1000 AS start, end_ms / 1000 AS "end",
   format('[{{:02d}}:{{:02d}}:{{:02d}}]', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60) AS timestamp FROM sti WHERE text <> ''""",

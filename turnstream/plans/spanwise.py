@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timecode import format_timestamp
-from ..operators import quality, spans, timeline
+from ..operators import evidence, quality, rejudge, spans, timeline, tools
 from ..sources.fixtures import segments, table
 
 _KEYS = ("recording_id", "seg_idx")
@@ -40,7 +40,8 @@ def _audio(seg: DataFrame) -> DataFrame:
     return spans.audio_errors(seg.withColumn("confidence", F.lit(None).cast("double")), durations)
 
 
-def _judged(seg: DataFrame) -> DataFrame:
+def _first_pass(seg: DataFrame) -> tuple[DataFrame, ...]:
+    """What judging takes: decisions, decided segments, candidates, scores and spans."""
     found = _candidates(seg)
     s = F.col("span_idx")
     picks = F.when(s % 4 == 0, F.array(F.lit("a"), F.lit("zz"))).when(s % 4 == 1, F.array(F.lit("zz"))).when(s % 4 == 3, F.array(F.lit("b"), F.lit("b"), F.lit("a")))
@@ -49,8 +50,43 @@ def _judged(seg: DataFrame) -> DataFrame:
     ids = F.explode(F.array(*(F.struct(F.lit(n).alias("candidate_id"), F.lit(i).alias("idx")) for i, n in enumerate("abc")))).alias("x")
     score = F.when((F.col("idx") == 1) & (s % 5 == 0), None).otherwise(70 + 5 * F.col("idx") - 10 * (F.col("idx") * s % 3))
     scores = _spans(seg).select("recording_id", "span_idx", ids).select("recording_id", "span_idx", "x.*").withColumn("score", score.cast("double"))
-    out = spans.judged(decisions, decided, found, scores, _spans(seg))
-    return out.withColumn("candidate_ids", _list(F.col("candidate_ids")))
+    return decisions, decided, found, scores, _spans(seg)
+
+
+def _judged(seg: DataFrame) -> DataFrame:
+    return spans.judged(*_first_pass(seg)).withColumn("candidate_ids", _list(F.col("candidate_ids")))
+
+
+def _second_pass(seg: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Reviews that name spans, some unknown and some beyond a budget of two; the judge then takes b, at times out of the span."""
+    first = _first_pass(seg)
+    _, _, found, scores, all_ = first
+    k, s = F.col("recording_id") % 4, F.col("span_idx")
+    ids = lambda *x: F.array(*(F.lit(f"span_{i:04d}") for i in x))
+    verdict = F.when(k == 0, "pass").when(k == 3, "review_required").otherwise("rejudge")
+    reviews = seg.select("recording_id").distinct().select("recording_id", verdict.alias("verdict"), F.when(k == 1, ids(0, 1)).when(k == 2, ids(1, 99, 2, 1, 3)).otherwise(F.array().cast("array<string>")).alias("span_ids"), F.when(k == 2, F.array(F.lit("seams"))).alias("reasons"))
+    decisions = all_.select("recording_id", "span_idx", F.when(s % 3 == 1, F.array(F.lit("zz"))).otherwise(F.array(F.lit("b"))).alias("selected"))
+    late = F.when((F.col("recording_id") + s) % 5 == 0, format_timestamp(F.col("start") + 60)).otherwise(F.col("timestamp"))
+    decided = found.where("candidate_id = 'b'").drop("candidate_id").withColumn("timestamp", late)
+    return rejudge.rejudged(spans.judged(*first), reviews, decisions, decided, found, scores, all_, 2)
+
+
+def _calls(seg: DataFrame) -> DataFrame:
+    """Up to five calls for each segment, by turn of every other segment."""
+    n = (F.col("recording_id") + 2 * F.col("seg_idx")) % 6
+    rows = seg.where("seg_idx % 2 = 0").select("recording_id", F.col("seg_idx").alias("turn"), F.explode(F.filter(F.sequence(F.lit(0), F.lit(4)), lambda i: i < n)).alias("pos"))
+    k = (F.col("recording_id") + F.col("turn") + F.col("pos")) % 3
+    name = F.when(k == 0, "timestamp_analysis").when(k == 1, "segment_count").otherwise("web_search")
+    return rows.select("recording_id", "turn", "pos", name.alias("name"), F.array(F.when(F.col("pos") == 2, "x").otherwise("a")).alias("candidate_ids"))
+
+
+def _tool_loop(seg: DataFrame) -> DataFrame:
+    one = F.array(F.lit("a")).alias("candidate_ids")
+    found = {
+        "timestamp_analysis": evidence.timestamp_quality(seg).select("recording_id", one, F.to_json(F.struct("score", "recommendation")).alias("result")),
+        "segment_count": seg.groupBy("recording_id").agg(F.count(F.lit(1)).alias("n")).select("recording_id", one, F.to_json(F.struct("n")).alias("result")),
+    }
+    return tools.tool_loop(_calls(seg), found)
 
 
 def _reviews(seg: DataFrame) -> DataFrame:
@@ -177,6 +213,9 @@ QUERIES = {
     "q_audio_errors": _seg(_audio),
     "q_judged_spans": _seg(_judged),
     "q_review_errors": _seg(_reviews),
+    "q_rejudged_spans": _seg(lambda x: _second_pass(x)[0].withColumn("candidate_ids", _list(F.col("candidate_ids")))),
+    "q_rejudged_reviews": _seg(lambda x: _second_pass(x)[1].withColumn("reasons", F.array_join("reasons", "; "))),
+    "q_tool_loop": _seg(_tool_loop),
     "q_segments_equal": _seg(_equal),
     "q_around_seams": _seg(lambda x: spans.around_seams(x, _seams(x), spans.NEAR_SEAM).select("recording_id", "seam_idx", F.col("before.seg_idx").alias("before_idx"), F.col("after.seg_idx").alias("after_idx"))),
     "q_seam_repairs": _seg(lambda x: spans.seam_repairs(_doubled(x), _far_seams(x))),
@@ -252,19 +291,46 @@ ee AS (SELECT recording_id, seg_idx, CASE WHEN k IS NULL THEN NULL ELSE printf('
     flawed = f"""fl AS (SELECT recording_id, seg_idx, CASE WHEN k = 7 THEN 'Untranscribed' WHEN k = 9 THEN chr(160) || speaker || ' ' ELSE speaker END AS speaker, text, k, CASE WHEN k = 3 OR recording_id % 11 = 5 THEN NULL ELSE floor(start)::BIGINT END AS t, "end" FROM (SELECT *, (recording_id * 31 + seg_idx) % 20 AS k FROM seg)),
 dur AS (SELECT recording_id, CASE WHEN recording_id % 7 = 0 THEN 0.0 WHEN recording_id % 7 = 1 THEN NULL ELSE max("end") END AS duration FROM seg GROUP BY 1)"""
     k = "(recording_id + span_idx)"
+    first = f"""{cands}, {cerr}, j AS (SELECT recording_id, span_idx, start_ms, end_ms, seg_idx, speaker, t + CASE WHEN span_idx % 8 = 4 THEN 60 ELSE 0 END AS t, 'judge' AS cid FROM h WHERE span_idx % 3 <> 0), {errors.format('j', 'j')},
+v AS (SELECT recording_id, span_idx, cid, ascii(cid) - 97 AS idx, CASE WHEN cid = 'b' AND span_idx % 5 = 0 THEN NULL ELSE 70 + 5 * (ascii(cid) - 97) - 10 * ((ascii(cid) - 97) * span_idx % 3) END AS score FROM ce WHERE error IS NULL),
+g AS (SELECT recording_id, span_idx, arg_min(cid, idx - 1000 * coalesce(score, -1000)) AS best, arg_min(cid, idx) AS primary_, list(cid) AS valid FROM v GROUP BY 1, 2),
+d AS (SELECT p.recording_id, p.chunk_idx AS span_idx, best, primary_, valid, CASE p.chunk_idx % 4 WHEN 0 THEN ['a', 'zz'] WHEN 1 THEN ['zz'] WHEN 3 THEN ['a', 'b'] END AS sel, je.cid AS judged_by, je.error FROM plan p LEFT JOIN g ON g.recording_id = p.recording_id AND g.span_idx = p.chunk_idx LEFT JOIN je ON je.recording_id = p.recording_id AND je.span_idx = p.chunk_idx),
+m AS (SELECT *, list_sort(list_filter(sel, lambda x: list_contains(valid, x))) AS known FROM d),
+q AS (SELECT *, CASE WHEN valid IS NULL THEN 'degraded_no_valid_candidate' WHEN sel IS NULL THEN 'fallback_budget_exhausted' WHEN len(known) = 0 THEN 'fallback_invalid_selection' WHEN judged_by IS NULL THEN 'fallback_empty_judge_output' WHEN error IS NOT NULL THEN 'fallback_out_of_span_judge_output' ELSE 'model' END AS method FROM m),
+jd AS (SELECT recording_id, span_idx, method, CASE WHEN method = 'model' THEN array_to_string(known, ',') WHEN method = 'fallback_invalid_selection' THEN primary_ WHEN valid IS NOT NULL THEN best ELSE '' END AS candidate_ids, method = 'model' AS stands FROM q)"""
+    second = f"""ask AS (SELECT *, k IS NOT NULL AND sum(CASE WHEN k IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY recording_id ORDER BY pos) <= 2 AS fits FROM (SELECT i.recording_id, pos, printf('span_%04d', sid) AS id, p.chunk_idx AS k
+  FROM (SELECT recording_id, unnest(ids) AS sid, generate_subscripts(ids, 1) AS pos FROM (SELECT DISTINCT recording_id, CASE recording_id % 4 WHEN 1 THEN [0, 1] WHEN 2 THEN [1, 99, 2, 1, 3] ELSE [] END AS ids FROM seg)) i LEFT JOIN plan p ON p.recording_id = i.recording_id AND p.chunk_idx = i.sid)),
+j2 AS (SELECT recording_id, span_idx, start_ms, end_ms, seg_idx, speaker, t + CASE WHEN (recording_id + span_idx) % 5 = 0 THEN 60 ELSE 0 END AS t, 'judge' AS cid FROM h WHERE (recording_id + seg_idx) % 7 <> 0), {errors.format('j2', 'j2')},
+sec AS (SELECT a.recording_id, a.k AS span_idx, best, primary_, j2e.error, CASE WHEN valid IS NULL THEN 'degraded_no_valid_candidate' WHEN a.k % 3 = 1 OR NOT list_contains(valid, 'b') THEN 'fallback_invalid_selection' WHEN j2e.cid IS NULL THEN 'fallback_empty_judge_output' WHEN j2e.error IS NOT NULL THEN 'fallback_out_of_span_judge_output' ELSE 'model' END AS method
+  FROM (SELECT DISTINCT recording_id, k FROM ask WHERE fits) a LEFT JOIN g ON g.recording_id = a.recording_id AND g.span_idx = a.k LEFT JOIN j2e ON j2e.recording_id = a.recording_id AND j2e.span_idx = a.k),
+ok AS (SELECT * FROM sec WHERE method NOT IN ('degraded_no_valid_candidate', 'fallback_out_of_span_judge_output'))"""
+    scores = f"""tg AS (SELECT recording_id, seg_idx, "end", floor(start)::BIGINT AS t, floor(start)::BIGINT - lag(floor(start)::BIGINT) OVER (PARTITION BY recording_id ORDER BY seg_idx) AS gap FROM seg),
+tm AS (SELECT recording_id, avg(gap) AS mean, count(gap) AS n, max(t) AS reach, max("end") AS dur, count(*) FILTER (gap < 0) AS back FROM tg GROUP BY 1), td AS (SELECT recording_id, count(*) FILTER (gap < 0 OR gap > 3 * mean) AS odd FROM tg JOIN tm USING (recording_id) GROUP BY 1),
+tr AS (SELECT recording_id, score, CASE WHEN dur < 30 OR score >= 85 THEN 'skip' WHEN score >= 70 THEN 'optional' ELSE 'fix' END AS recommendation FROM (SELECT recording_id, dur, CASE WHEN dur < 30 THEN 80 ELSE least(greatest(100 - CASE WHEN n = 0 THEN 25 ELSE 0 END - CASE WHEN n = 0 AND reach <= 2 THEN 25 ELSE 0 END - 15 * back
+  - CASE WHEN odd * 5 > n THEN 10 ELSE 0 END - CASE WHEN reach / dur * 100 < 70 THEN 15 ELSE 0 END - CASE WHEN reach / dur * 100 > 110 THEN 20 ELSE 0 END, 0), 100) END::BIGINT AS score FROM tm JOIN td USING (recording_id)))"""
     return {
         "q_span_errors": f"WITH {cands}, {cerr} SELECT recording_id, span_idx, cid AS candidate_id, error FROM ce",
         "q_valid_candidates": f"WITH {cands}, {cerr} SELECT recording_id, span_idx, cid AS candidate_id, seg_idx, {stamp('t')} AS timestamp FROM c JOIN ce USING (recording_id, span_idx, cid) WHERE error IS NULL",
         "q_audio_errors": f"""WITH {seg}, du AS (SELECT recording_id, max("end") * CASE recording_id % 3 WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS d FROM seg GROUP BY 1),
 r AS (SELECT *, floor(start)::BIGINT AS t, row_number() OVER (PARTITION BY recording_id ORDER BY seg_idx) - 1 AS place FROM seg JOIN du USING (recording_id))
 SELECT recording_id, min_by('segment ' || place || ' timestamp ' || t || 's exceeds audio duration ' || round(d)::BIGINT || 's', place) FILTER (d > 0 AND t > d + 5) AS error FROM r GROUP BY 1""",
-        "q_judged_spans": f"""WITH {cands}, {cerr}, j AS (SELECT recording_id, span_idx, start_ms, end_ms, seg_idx, speaker, t + CASE WHEN span_idx % 8 = 4 THEN 60 ELSE 0 END AS t, 'judge' AS cid FROM h WHERE span_idx % 3 <> 0), {errors.format('j', 'j')},
-v AS (SELECT recording_id, span_idx, cid, ascii(cid) - 97 AS idx, CASE WHEN cid = 'b' AND span_idx % 5 = 0 THEN NULL ELSE 70 + 5 * (ascii(cid) - 97) - 10 * ((ascii(cid) - 97) * span_idx % 3) END AS score FROM ce WHERE error IS NULL),
-g AS (SELECT recording_id, span_idx, arg_min(cid, idx - 1000 * coalesce(score, -1000)) AS best, arg_min(cid, idx) AS primary_, list(cid) AS valid FROM v GROUP BY 1, 2),
-d AS (SELECT p.recording_id, p.chunk_idx AS span_idx, best, primary_, valid, CASE p.chunk_idx % 4 WHEN 0 THEN ['a', 'zz'] WHEN 1 THEN ['zz'] WHEN 3 THEN ['a', 'b'] END AS sel, je.cid AS judged_by, je.error FROM plan p LEFT JOIN g ON g.recording_id = p.recording_id AND g.span_idx = p.chunk_idx LEFT JOIN je ON je.recording_id = p.recording_id AND je.span_idx = p.chunk_idx),
-m AS (SELECT *, list_sort(list_filter(sel, lambda x: list_contains(valid, x))) AS known FROM d),
-q AS (SELECT *, CASE WHEN valid IS NULL THEN 'degraded_no_valid_candidate' WHEN sel IS NULL THEN 'fallback_budget_exhausted' WHEN len(known) = 0 THEN 'fallback_invalid_selection' WHEN judged_by IS NULL THEN 'fallback_empty_judge_output' WHEN error IS NOT NULL THEN 'fallback_out_of_span_judge_output' ELSE 'model' END AS method FROM m)
-SELECT recording_id, span_idx, method, CASE WHEN method = 'model' THEN array_to_string(known, ',') WHEN method = 'fallback_invalid_selection' THEN primary_ WHEN valid IS NOT NULL THEN best ELSE '' END AS candidate_ids, method = 'model' AS stands FROM q""",
+        "q_judged_spans": f"WITH {first} SELECT * FROM jd",
+        "q_rejudged_spans": f"""WITH {first}, {second}
+SELECT jd.*, 0 AS rejudges FROM jd LEFT JOIN ok ON ok.recording_id = jd.recording_id AND ok.span_idx = jd.span_idx WHERE ok.span_idx IS NULL
+UNION ALL SELECT recording_id, span_idx, method, CASE WHEN method = 'model' THEN 'b' WHEN method = 'fallback_invalid_selection' THEN primary_ ELSE best END, method = 'model', 1 FROM ok""",
+        "q_rejudged_reviews": f"""WITH {first}, {second},
+op AS (SELECT recording_id, why, min(pos) AS pos FROM (SELECT a.recording_id, pos, CASE WHEN k IS NULL THEN a.id || ' is not a known span' WHEN NOT fits THEN 'Global reviewer requested ' || a.id || ' but the rejudge budget was exhausted.'
+    WHEN method = 'degraded_no_valid_candidate' THEN a.id || ' has no valid candidates for the requested rejudge.' WHEN method = 'fallback_out_of_span_judge_output' THEN a.id || ' rejudge rejected: ' || error END AS why FROM ask a LEFT JOIN sec ON sec.recording_id = a.recording_id AND sec.span_idx = a.k) WHERE why IS NOT NULL GROUP BY 1, 2),
+ol AS (SELECT recording_id, string_agg(why, '; ' ORDER BY pos) AS why FROM op GROUP BY 1)
+SELECT r.recording_id, CASE WHEN why IS NOT NULL THEN 'review_required' WHEN r.recording_id % 4 = 0 THEN 'pass' WHEN r.recording_id % 4 = 3 THEN 'review_required' ELSE 'rejudge' END AS verdict,
+  CASE WHEN why IS NOT NULL THEN 'model_with_unresolved_rejudge' ELSE 'model' END AS method, concat_ws('; ', CASE WHEN r.recording_id % 4 = 2 THEN 'seams' END, why) AS reasons FROM (SELECT DISTINCT recording_id FROM seg) r LEFT JOIN ol ON ol.recording_id = r.recording_id""",
+        "q_tool_loop": f"""WITH {seg}, cl AS (SELECT recording_id, seg_idx AS turn, i AS pos, CASE (recording_id + seg_idx + i) % 3 WHEN 0 THEN 'timestamp_analysis' WHEN 1 THEN 'segment_count' ELSE 'web_search' END AS name FROM seg, range(0, 5) AS q(i) WHERE seg_idx % 2 = 0 AND i < (recording_id + 2 * seg_idx) % 6),
+tn AS (SELECT recording_id, turn, count(*) AS n, row_number() OVER w AS place, sum(count(*)) OVER w AS so_far FROM cl GROUP BY 1, 2 WINDOW w AS (PARTITION BY recording_id ORDER BY turn)),
+bad AS (SELECT recording_id, turn, CASE WHEN place > 2 THEN 'interaction tool loop exceeded max turns (2)' WHEN n > 4 THEN 'interaction requested ' || n || ' function calls; max per turn is 4' WHEN so_far > 8 THEN 'interaction requested ' || so_far || ' total function calls; max is 8' END AS why FROM tn),
+fb AS (SELECT recording_id, min(turn) AS end_, arg_min(why, turn) AS why FROM bad WHERE why IS NOT NULL GROUP BY 1),
+{scores}, cn AS (SELECT recording_id, count(*) AS n FROM seg GROUP BY 1)
+SELECT cl.recording_id, row_number() OVER (PARTITION BY cl.recording_id ORDER BY turn, pos) AS place, turn, pos, name, CASE WHEN turn >= end_ OR pos = 2 THEN NULL WHEN name = 'timestamp_analysis' THEN '{{"score":' || score || ',"recommendation":"' || recommendation || '"}}' WHEN name = 'segment_count' THEN '{{"n":' || cn.n || '}}' END AS result,
+  CASE WHEN turn >= end_ THEN why WHEN name = 'web_search' THEN 'unknown tool web_search' WHEN pos = 2 THEN 'unknown candidate_id x' END AS error FROM cl LEFT JOIN fb ON fb.recording_id = cl.recording_id JOIN tr ON tr.recording_id = cl.recording_id JOIN cn ON cn.recording_id = cl.recording_id""",
         "q_review_errors": f"WITH {seg} SELECT DISTINCT recording_id, CASE recording_id % 6 WHEN 1 THEN 'verdict pass cannot include rejudge spans' WHEN 2 THEN 'rejudge without span ids' WHEN 4 THEN 'invented span id span_9999' WHEN 5 THEN 'unknown verdict maybe' END AS error FROM seg",
         "q_segments_equal": f"WITH {seg} SELECT recording_id, NOT bool_or((recording_id * 31 + seg_idx) % 10 = 3 OR (recording_id % 9 = 0 AND seg_idx = 1)) AS equal FROM seg GROUP BY 1",
         "q_around_seams": f"""WITH {seg}, {plan}, {seams.format('plan')}, nr AS (SELECT sm.*, seg_idx, floor(start)::BIGINT AS t, abs(floor(start) - seam_s) * 1000000 + seg_idx AS o FROM sm JOIN seg ON sm.recording_id = seg.recording_id AND abs(floor(start) - seam_s) <= 12)
