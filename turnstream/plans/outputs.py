@@ -24,12 +24,6 @@ def _runs(seg: DataFrame) -> DataFrame:
     return seg.withColumn("speaker", F.when(F.col("seg_idx") % 3 == 0, "A").otherwise("B"))
 
 
-def _short(seg: DataFrame) -> DataFrame:
-    """Segments that fit one cue of one line."""
-    said = F.trim(F.regexp_replace(F.substring("text", 1, 26), r"[\t-\r ]+", " "))
-    return seg.withColumns({"text": said, "end": F.least("end", F.col("start") + 6)})
-
-
 def _recordings(seg: DataFrame) -> DataFrame:
     r = F.col("recording_id")
     return seg.groupBy("recording_id").agg(F.max("end").alias("e")).select("recording_id", F.when(r % 4 != 0, F.col("e")).alias("duration"), F.when(r % 3 != 0, F.date_add(F.lit("2024-01-28").cast("date"), (r % 9).cast("int"))).alias("created_at"))
@@ -152,7 +146,7 @@ def _stamped(seg: DataFrame) -> DataFrame:
 
 def _annotated(seg: DataFrame) -> DataFrame:
     """Words of each segment's text as annotations: some without a start, with an end before it, or named by bytes."""
-    w = words(seg).where("pos < 12")
+    w = words(seg)
     k = (F.col("recording_id") + F.col("seg_idx") + F.col("pos")) % 7
     start = F.when(k == 2, F.lit(None).cast("string")).when(k == 3, "-1s").otherwise(F.format_string("%.3fs", F.col("start_ms") / 1000))
     end = F.when(k == 4, F.lit("0.001s")).when(k == 5, F.lit(None).cast("string")).otherwise(F.format_string("%.3fs", F.col("end_ms") / 1000))
@@ -244,8 +238,8 @@ QUERIES = {
     "q_document_summaries": _seg(lambda x: export.document_summaries(_runs(x), _recordings(x))),
     "q_export_docx_body": _seg(_docx),
     "q_export_docx": _seg(lambda x: export.render(x, "docx", recordings=_recordings(x)).select("recording_id", (F.substring("document", 1, 2) == F.lit("PK").cast("binary")).alias("zip"))),
-    "q_export_srt_lines": _seg(lambda x: export.render(_short(x), "srt")),
-    "q_export_vtt_lines": _seg(lambda x: export.render(_short(x), "vtt", export.Options(names={"user": "A&B"}))),
+    "q_export_srt_lines": _seg(lambda x: export.render(x, "srt")),
+    "q_export_vtt_lines": _seg(lambda x: export.render(x, "vtt", export.Options(names={"user": "A&B"}))),
     "q_export_csv": _seg(lambda x: export.render(_cells(x), "csv")),
     "q_export_json_rows": _seg(_json),
     "q_format_registry": _formats,
@@ -297,8 +291,6 @@ tu AS (SELECT recording_id, turn_idx, any_value(speaker) AS speaker, any_value(t
     run = lambda c, look="": f"'<w:r>{look}<w:t xml:space=\"preserve\">' || {c} || '</w:t></w:r>'"
     ms = lambda c: f"round({c} * 1000)::BIGINT"
     precise = lambda c, sep: f"format('{{:02d}}:{{:02d}}:{{:02d}}{sep}{{:03d}}', {ms(c)} // 3600000, {ms(c)} // 60000 % 60, {ms(c)} // 1000 % 60, {ms(c)} % 1000)"
-    short = f"""{seg}, sh AS (SELECT recording_id, seg_idx, speaker, trim(regexp_replace(substr(text, 1, 26), '[\\t-\\r ]+', ' ', 'g')) AS text, start, least("end", start + 6) AS e0 FROM seg), s2 AS (SELECT *, lead(start) OVER (PARTITION BY recording_id ORDER BY seg_idx) AS nx FROM sh),
-s3 AS (SELECT *, CASE WHEN nx > start AND nx < e0 THEN nx ELSE e0 END AS e, row_number() OVER (PARTITION BY recording_id ORDER BY seg_idx) AS n FROM s2 WHERE text <> '')"""
     stop = 'CASE WHEN nx > start AND nx < "end" THEN nx ELSE "end" END'
     cell = "CASE seg_idx % 5 WHEN 0 THEN '\"' || chr(39) || '=1,' || replace(text, '\"', '\"\"') || '\"' WHEN 1 THEN '\"say \"\"' || replace(text, '\"', '\"\"') || '\"\"\"' WHEN 2 THEN '\" ' || replace(text, '\"', '\"\"') || '\"' WHEN 3 THEN '\"' || replace(text, '\"', '\"\"') || chr(10) || 'more\"' ELSE '\"\\.\"' END"
     word = f"wd AS (SELECT recording_id, seg_idx, speaker, pos, ws[pos + 1] AS word, round(start * 1000)::BIGINT + 300 * pos AS start_ms FROM (SELECT *, unnest(range(0, len(ws))) AS pos FROM (SELECT *, {ws.format('text')} AS ws FROM seg)))"
@@ -317,6 +309,15 @@ pt AS (SELECT recording_id, seg_idx, speaker, start, stop, i, array_to_string(ws
 sh2 AS (SELECT *, coalesce(sum(length(text)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(length(text)) OVER (PARTITION BY recording_id, seg_idx) AS total, row_number() OVER (PARTITION BY recording_id ORDER BY seg_idx, i) - 1 AS cue_idx FROM pt WINDOW w AS (PARTITION BY recording_id, seg_idx ORDER BY i)),
 rw2 AS (SELECT recording_id, cue_idx, speaker, text, start + (stop - start) * before / total AS raw, start + (stop - start) * (before + length(text)) / total AS raw_end FROM sh2),
 adj AS (SELECT *, raw AS s FROM rw2 WHERE cue_idx = 0 UNION ALL SELECT r.*, CASE WHEN r.raw <= a.s THEN a.s + 0.1 ELSE r.raw END FROM adj a JOIN rw2 r ON r.recording_id = a.recording_id AND r.cue_idx = a.cue_idx + 1)"""
+    # lines of a cue: whole, or the two most even halves that fit, or filled in turn
+    halves = "list_sort(list_filter(list_transform(range(1, len(w)), lambda i: {'d': abs(length(array_to_string(w[1:i], ' ')) - length(array_to_string(w[i + 1:], ' '))), 'i': i, 'm': greatest(length(array_to_string(w[1:i], ' ')), length(array_to_string(w[i + 1:], ' ')))}), lambda h: h.m <= 42))[1].i"
+    filled = "list_reduce(w, lambda a, x: CASE WHEN length(split_part(a, chr(10), -1)) + 1 + length(x) > 42 THEN a || chr(10) || x ELSE a || ' ' || x END)"
+    wrapped = f"""tm AS (SELECT recording_id, cue_idx, speaker, s, least(greatest(raw_end, s + 0.1), lead(s) OVER (PARTITION BY recording_id ORDER BY cue_idx)) AS e, text, string_split(text, ' ') AS w FROM adj),
+ln AS (SELECT *, CASE WHEN length(text) <= 42 THEN text WHEN h IS NOT NULL THEN array_to_string(w[1:h], ' ') || chr(10) || array_to_string(w[h + 1:], ' ') ELSE {filled} END AS lines FROM (SELECT *, {halves} AS h FROM tm))"""
+    inline = cues.replace(f"{ws.format('text')} AS ws FROM q0", f"CASE WHEN len(w0) > 0 THEN list_concat([trim(speaker) || ':'], w0) ELSE w0 END AS ws FROM (SELECT *, {ws.format('text')} AS w0 FROM q0)")
+    srt = f"WITH RECURSIVE {inline}, {wrapped} SELECT recording_id, string_agg((cue_idx + 1) || chr(10) || {precise('s', ',')} || ' --> ' || {precise('e', ',')} || chr(10) || lines || chr(10) || chr(10), '' ORDER BY cue_idx) AS document FROM ln GROUP BY 1"
+    escaped = "replace(replace(replace(lines, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+    vtt = lambda who: f"WITH RECURSIVE {cues}, {wrapped} SELECT recording_id, 'WEBVTT' || chr(10) || chr(10) || string_agg({precise('s', '.')} || ' --> ' || {precise('e', '.')} || chr(10) || '<v ' || {who} || '>' || {escaped} || chr(10) || chr(10), '' ORDER BY cue_idx) AS document FROM ln GROUP BY 1"
     probe = """pb AS (SELECT recording_id, max("end") AS e FROM seg GROUP BY 1), pr AS (SELECT recording_id, CASE WHEN recording_id % 7 = 0 OR recording_id % 11 = 0 THEN 'invalid duration' WHEN recording_id % 5 = 0 THEN 'no audio stream' END AS error, round(e * 1000)::BIGINT AS d FROM pb)"""
     plain = turns.replace("CASE WHEN seg_idx % 3 = 0 THEN 'A' ELSE 'B' END AS speaker", "speaker")
     return {
@@ -331,8 +332,10 @@ adj AS (SELECT *, raw AS s FROM rw2 WHERE cue_idx = 0 UNION ALL SELECT r.*, CASE
         "q_export_docx_body": f"""WITH RECURSIVE {turns}, {summ} SELECT recording_id, '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' || chr(10) || '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>' || {para('Title', run("'A &amp; B'"))} || {para('Subtitle', run('any_value(summary)'))} ||
   string_agg({para('Speaker', run('speaker', '<w:rPr><w:b/></w:rPr>') + ' || ' + run("'   ' || " + clock('start'), '<w:rPr><w:color w:val="6B7280"/><w:sz w:val="18"/></w:rPr>'))} || {para('', run(xml('text')))}, '' ORDER BY turn_idx) || '<w:sectPr/></w:body></w:document>' AS body FROM tu JOIN sm USING (recording_id) GROUP BY 1""",
         "q_export_docx": f"WITH {seg} SELECT DISTINCT recording_id, true AS zip FROM seg",
-        "q_export_srt_lines": f"WITH {short} SELECT recording_id, string_agg(n || chr(10) || {precise('start', ',')} || ' --> ' || {precise('e', ',')} || chr(10) || speaker || ': ' || text || chr(10) || chr(10), '' ORDER BY n) AS document FROM s3 GROUP BY 1",
-        "q_export_vtt_lines": f"WITH {short} SELECT recording_id, 'WEBVTT' || chr(10) || chr(10) || string_agg({precise('start', '.')} || ' --> ' || {precise('e', '.')} || chr(10) || '<v ' || CASE speaker WHEN 'user' THEN 'A&amp;B' ELSE speaker END || '>' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || chr(10) || chr(10), '' ORDER BY n) AS document FROM s3 GROUP BY 1",
+        "q_export_srt": srt,
+        "q_export_srt_lines": srt,
+        "q_export_vtt": vtt("speaker"),
+        "q_export_vtt_lines": vtt("CASE speaker WHEN 'user' THEN 'A&amp;B' ELSE speaker END"),
         "q_export_csv": f"""WITH {seg}, n AS (SELECT *, lead(start) OVER (PARTITION BY recording_id ORDER BY seg_idx) AS nx FROM seg) SELECT recording_id, 'start,end,speaker,text' || chr(10) || string_agg({precise('start', '.')} || ',' || {precise('(' + stop + ')', '.')} || ',' || speaker || ',' || {cell} || chr(10), '' ORDER BY seg_idx) AS document FROM n GROUP BY 1""",
         "q_export_json_rows": f"""WITH {seg}, {rec} SELECT recording_id, round(duration, 3) AS duration, row_number() OVER (PARTITION BY recording_id ORDER BY seg_idx) - 1 AS pos, timestamp, speaker, text, start, "end" FROM seg JOIN rc USING (recording_id)""",
         "q_format_registry": "SELECT * FROM (VALUES ('txt', 'Plain text', 'txt', 'text/plain; charset=utf-8', false, true, '.TXT'), ('md', 'Markdown', 'md', 'text/markdown; charset=utf-8', false, true, 'Markdown'), ('docx', 'Word document', 'docx', 'application/vnd.openxmlformats-officedocument.wordprocessingml.document', true, true, 'word'), ('srt', 'SubRip subtitles', 'srt', 'application/x-subrip; charset=utf-8', false, false, ' subrip'), ('vtt', 'WebVTT subtitles', 'vtt', 'text/vtt; charset=utf-8', false, false, 'WebVTT'), ('csv', 'Spreadsheet (CSV)', 'csv', 'text/csv; charset=utf-8', false, false, '.csv'), ('json', 'JSON', 'json', 'application/json; charset=utf-8', false, false, 'JSON')) t(name, label, extension, content_type, \"binary\", timestamps, asked)",
@@ -360,7 +363,7 @@ CASE WHEN s_suppkey % 4 = 0 THEN 'EXPECTED LANGUAGES (BCP-47): en-US, nl-NL' ||
         "q_decoded_durations": f"""WITH {seg} SELECT recording_id, max(round("end" * 1000000)::BIGINT // 1000) AS duration_ms FROM seg GROUP BY 1""",
         "q_cut_commands": f"WITH {seg}, {plan} SELECT recording_id, chunk_idx, 'ffmpeg -hide_banner -nostdin -y -ss ' || printf('%d.%03d', start_ms // 1000, start_ms % 1000) || ' -t ' || printf('%d.%03d', (end_ms - start_ms) // 1000, (end_ms - start_ms) % 1000) || ' -i in.wav -vn -ac 1 -ar 16000 -c:a pcm_s16le chunk_' || chunk_idx || '.wav' AS command FROM plan",
         "q_transcript_payloads": f"WITH {seg}, r AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY seg_idx) - 1 AS n FROM seg) SELECT recording_id, n AS seg_idx, format('[00:00:{{:02d}}]', seg_idx % 60) AS timestamp, speaker, trim(text) AS text, CASE WHEN seg_idx <= 4 THEN round(seg_idx / 4, 6) END AS confidence, NULL::VARCHAR AS error FROM r WHERE recording_id % 3 < 2 UNION ALL SELECT DISTINCT recording_id, NULL, NULL, NULL, NULL, NULL, 'unreadable' FROM seg WHERE recording_id % 3 = 2",
-        "q_word_annotations": f"""WITH RECURSIVE {seg}, {word}, w AS (SELECT *, (recording_id + seg_idx + pos) % 7 AS k, row_number() OVER (PARTITION BY recording_id ORDER BY seg_idx, pos) AS rn FROM wd WHERE pos < 12),
+        "q_word_annotations": f"""WITH RECURSIVE {seg}, {word}, w AS (SELECT *, (recording_id + seg_idx + pos) % 7 AS k, row_number() OVER (PARTITION BY recording_id ORDER BY seg_idx, pos) AS rn FROM wd),
 v AS (SELECT recording_id, rn, speaker, CASE k WHEN 6 THEN CASE WHEN recording_id % 13 = 0 THEN 'é' ELSE 'ab' END ELSE word END AS text, CASE WHEN k NOT IN (2, 3) THEN start_ms END AS a, CASE k WHEN 4 THEN 1 WHEN 5 THEN NULL ELSE start_ms + 250 END AS b FROM w),
 st AS (SELECT *, coalesce(a, 0) AS s, CASE WHEN b >= coalesce(a, 0) THEN b ELSE coalesce(a, 0) END AS e FROM v WHERE rn = 1 UNION ALL SELECT n.recording_id, n.rn, n.speaker, n.text, n.a, n.b, coalesce(n.a, t.e), CASE WHEN n.b >= coalesce(n.a, t.e) THEN n.b ELSE coalesce(n.a, t.e) END FROM st t JOIN v n ON n.recording_id = t.recording_id AND n.rn = t.rn + 1),
 g AS (SELECT recording_id, count(*) FILTER (a IS NULL OR b IS NULL OR b < s) AS repaired FROM st GROUP BY 1)
