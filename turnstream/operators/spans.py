@@ -315,12 +315,9 @@ def merged_candidates(candidates: DataFrame) -> DataFrame:
     """Each candidate's segments over all spans as one list, without rows that a span repeats from the one before."""
     from .folds import merge_chunks
 
-    # a candidate of a recording is a list of its own
-    key = F.struct("recording_id", "candidate_id")
-    rows = candidates.select(F.xxhash64(key).alias("recording_id"), F.col("span_idx").alias("chunk_idx"), "seg_idx", "speaker", "text", "timestamp")
-    names = candidates.select(F.xxhash64(key).alias("recording_id"), F.col("recording_id").alias("recording"), "candidate_id").distinct()
-    merged = merge_chunks(rows).join(names, "recording_id")
-    return merged.select(F.col("recording").alias("recording_id"), "candidate_id", "seg_idx", F.col("chunk_idx").alias("span_idx"), "speaker", "text", "timestamp")
+    rows = candidates.select("recording_id", "candidate_id", F.col("span_idx").alias("chunk_idx"), "seg_idx", "speaker", "text", "timestamp")
+    merged = merge_chunks(rows, ("recording_id", "candidate_id"))
+    return merged.select("recording_id", "candidate_id", "seg_idx", F.col("chunk_idx").alias("span_idx"), "speaker", "text", "timestamp")
 
 
 def ends_of(units: DataFrame) -> DataFrame:

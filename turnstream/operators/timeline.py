@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import Running, running
 from .subtitles import turns
 
+#: Time of a block that one task scans.
+BLOCK_MS = 600_000
+
 
 def _by_time():
     return Window.partitionBy("recording_id").orderBy("seg_idx")
@@ -71,13 +75,13 @@ def keep_window(units: DataFrame, cuts: DataFrame) -> DataFrame:
     """Units of each chunk's keep window, counted.
 
     Windows follow one another, so a unit belongs to the last that began by its start: both are sorted together,
-    once for each recording, and no pair of a unit and a window is built.
+    in blocks of time, and no pair of a unit and a window is built.
     """
     begin = cuts.select("recording_id", F.coalesce("keep_from_ms", F.lit(0)).alias("at"), F.lit(0).alias("is_unit"), "chunk_idx", F.col("keep_until_ms").alias("until"), F.lit(None).cast("long").alias("end_ms"))
     heard = units.select("recording_id", F.col("start_ms").alias("at"), F.lit(1).alias("is_unit"), F.lit(None).cast("long").alias("chunk_idx"), F.lit(None).cast("long").alias("until"), "end_ms")
-    so_far = Window.partitionBy("recording_id").orderBy("at", "is_unit", "chunk_idx")
-    last = lambda c: F.last(F.when(F.col("is_unit") == 0, F.struct("chunk_idx", "until")), ignorenulls=True).over(so_far)[c]
-    rows = begin.unionByName(heard).withColumns({"c": last("chunk_idx"), "u": last("until")})
+    window = F.when(F.col("is_unit") == 0, F.struct("chunk_idx", "until"))
+    rows = running(begin.unionByName(heard), ["recording_id"], F.expr(f"at div {BLOCK_MS}"), ["at", "is_unit", "chunk_idx"], {"w": Running("last", window)})
+    rows = rows.withColumns({"c": F.col("w.chunk_idx"), "u": F.col("w.until")})
     inside = rows.where((F.col("is_unit") == 1) & F.col("c").isNotNull() & (F.col("u").isNull() | (F.col("at") < F.col("u"))))
     return inside.groupBy("recording_id", F.col("c").alias("chunk_idx")).agg(F.count(F.lit(1)).alias("n_units"), F.min("at").alias("first_ms"), F.max("end_ms").alias("last_ms"))
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import stores
 from ..sources.fixtures import segments, table
-from ..streaming import events, journal
+from ..streaming import events, journal, store
 
 _log = lambda f: lambda s, d: f(events.log(table(s, d, "events")))
 STATES = ("queued", "running", "awaiting_review", "cancel_requested", "succeeded", "failed", "canceled", "expired")
@@ -65,6 +66,26 @@ def _pairs(allowed, names) -> DataFrame:
     return query
 
 
+def _followed(spark, d) -> DataFrame:
+    """The log, appended to a journal in three batches, one of them twice, and read back."""
+    log = events.log(table(spark, d, "events")).select("job_id", "id", "name", "data")
+    path = stores.scratch(spark, "journal")
+    for k in (0, 1, 2, 1):
+        store.append_events(log.where(F.col("job_id") % 3 == k), path, f"part-{k}")
+    return store.read_events(spark, path, "job_id long, id long, name string, data string")
+
+
+def _snapshot(spark, d) -> DataFrame:
+    """Each job's last event by name, of two versions of a snapshot: the first without the last event."""
+    log = events.log(table(spark, d, "events"))
+    path, kind = stores.scratch(spark, "snapshot"), "job_id long, name string, id long, data string"
+    sizes = log.groupBy("job_id").agg(F.max("id").alias("n"))
+    store.write_snapshot(events.latest_event(log.join(sizes, "job_id").where("id < n")), path)
+    store.write_snapshot(events.latest_event(log), path)
+    version = lambda v: store.read_snapshot(spark, path, kind, v).withColumn("version", F.lit(v or 2))
+    return version(1).unionByName(version(None))
+
+
 SPAN_STATES = ("planned", "primary_complete", "evidence_complete", "judged", "degraded", "rejudged")
 QUERIES = {
     "q_journal_events": _log(lambda x: journal.scan_journal(*_journals(x))[0]),
@@ -81,6 +102,8 @@ QUERIES = {
     "q_step_log": _log(lambda x: journal.step_log(x.select(F.col("job_id").alias("run_id"), (F.col("id") * 3).alias("seq"), "name"))),
     "q_progress": lambda s, d: segments(s, d).groupBy("recording_id").agg(F.count(F.lit(1)).alias("n")).select("recording_id", F.round(journal.progress(F.col("recording_id") % 3, F.col("n")), 6).alias("fraction")),
     "q_latest_result": _log(lambda x: journal.latest_result(x, "purchase")),
+    "q_journal_followed": _followed,
+    "q_snapshot_versions": _snapshot,
 }
 
 
@@ -96,6 +119,8 @@ x AS (SELECT job_id, k, error, CASE WHEN error IS NULL THEN least(good, coalesce
     return {
         "q_journal_events": f"WITH {log}, {verdict} SELECT job_id, id, name, data FROM log JOIN x USING (job_id) WHERE error IS NULL AND id <= n_events",
         "q_journal_verdicts": f"WITH {log}, {verdict} SELECT job_id, error, n_events, k = 1 AS torn, CASE WHEN error IS NULL THEN good - n_events END AS dropped, k = 4 AS missing_newline FROM x",
+        "q_journal_followed": f"WITH {log} SELECT job_id, id, name, data FROM log",
+        "q_snapshot_versions": f"WITH {log} SELECT job_id, name, max(id) AS id, arg_max(data, id) AS data, 2 AS version FROM log GROUP BY ALL UNION ALL SELECT job_id, name, max(id), arg_max(data, id), 1 FROM log JOIN sz USING (job_id) WHERE id < n GROUP BY ALL",
         "q_cursor_read": f"WITH {log} SELECT job_id, id, name FROM log WHERE id > job_id % 5 - 1",
         "q_recovered_jobs": f"WITH {snap}, r AS (SELECT *, status IN ('queued', 'running') AS requeued FROM sn) SELECT job_id, CASE WHEN requeued THEN 'queued' WHEN status = 'cancel_requested' THEN 'canceled' ELSE status END AS status, CASE WHEN status = 'cancel_requested' THEN 'canceled' END AS event, requeued, CASE WHEN requeued THEN row_number() OVER (PARTITION BY requeued ORDER BY created_at, job_id) END AS rank FROM r",
         "q_retention": f"WITH {snap} SELECT job_id, CASE WHEN status IN ('succeeded', 'failed', 'canceled', 'expired') AND finished_at < 2200 THEN 'purge' WHEN status = 'awaiting_review' AND updated_at < 2200 THEN 'expire' ELSE 'keep' END AS action FROM sn",

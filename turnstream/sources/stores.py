@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -15,6 +16,17 @@ def qualified(spark: SparkSession, path: str) -> str:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir, which driver and executors share; where all is one process it may be unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("turnstream.work.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="turnstream-")
+        spark.conf.set("turnstream.work.dir", base)
+    return f"{qualified(spark, base).rstrip('/')}/turnstream/{name}-{uuid.uuid4().hex}"
+
+
 def open_store(path: str):
     """(file system, path) of a qualified path."""
     import pyarrow.fs as pafs
