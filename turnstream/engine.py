@@ -55,8 +55,8 @@ class Engine:
     def validate(self, seg: DataFrame) -> DataFrame:
         return validate.accepted_segments(seg)
 
-    def quality(self, seg: DataFrame, recordings: DataFrame) -> DataFrame:
-        return quality.quality_report(seg, recordings)
+    def quality(self, seg: DataFrame, recordings: DataFrame, settings: quality.QualitySettings = quality.QualitySettings()) -> DataFrame:
+        return quality.quality_report(seg, recordings, settings)
 
     def diff(self, one: DataFrame, two: DataFrame) -> DataFrame:
         return compare.candidate_diff(one, two)

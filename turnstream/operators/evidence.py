@@ -165,9 +165,9 @@ def evidence_notes(evidence: DataFrame) -> DataFrame:
     return evidence.withColumns({"notes": notes, "review": review})
 
 
-def score_warnings(card: DataFrame) -> DataFrame:
+def score_warnings(card: DataFrame, settings: quality.QualitySettings = quality.QualitySettings()) -> DataFrame:
     """Per row of a scorecard the warnings that its scores give, joined by `; `."""
-    return card.select("recording_id", F.concat_ws("; ", *quality.score_warnings()).alias("warnings"))
+    return card.select("recording_id", F.concat_ws("; ", *quality.score_warnings(settings)).alias("warnings"))
 
 
 def escalation(seg: DataFrame, card: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,21 @@ WEIGHTS = {"readability": 0.25, "vocabulary": 0.15, "variety": 0.15, "punctuatio
 MOST_INCOMPLETE = 59.0
 
 
+@dataclass(frozen=True)
+class QualitySettings:
+    """Weights of the overall score by part, and the scores below (density: above) which a transcript is warned of."""
+
+    weights: dict[str, float] = field(default_factory=lambda: dict(WEIGHTS))
+    readability: float = 70.0
+    vocabulary: float = 30.0
+    density: float = 0.15
+    coverage: float = 80.0
+
+    def __post_init__(self):
+        if unknown := set(self.weights) - set(WEIGHTS):
+            raise ValueError(f"unknown parts of the score: {', '.join(sorted(unknown))}")
+
+
 def _by_time():
     return Window.partitionBy("recording_id").orderBy("seg_idx")
 
@@ -61,7 +78,7 @@ def assessment(score: Column) -> Column:
     return F.when(score >= 80, "Excellent").when(score >= 60, "Good").when(score >= 40, "Fair").otherwise("Poor")
 
 
-def scorecard(seg: DataFrame, durations: DataFrame | None = None) -> DataFrame:
+def scorecard(seg: DataFrame, durations: DataFrame | None = None, settings: QualitySettings = QualitySettings()) -> DataFrame:
     """Per recording its counts, scores and overall score.
 
     seg: recording_id, seg_idx, speaker, text, timestamp.  durations: recording_id, duration in seconds; by default
@@ -89,23 +106,24 @@ def scorecard(seg: DataFrame, durations: DataFrame | None = None) -> DataFrame:
         "coverage", "consistency",
     )
     punct = F.greatest(F.lit(0.0), 100 - 100 * F.col("density"))
-    total = sum((WEIGHTS[k] * (punct if k == "punctuation" else F.col(k)) for k in WEIGHTS), F.lit(0.0))
+    total = sum((weight * (punct if k == "punctuation" else F.col(k)) for k, weight in settings.weights.items()), F.lit(0.0))
     b = b.withColumn("overall", F.round(total, 4))
     return b.select("recording_id", "n_segments", "n_speakers", "n_words", "n_sentences", *[F.round(c, 4).alias(c) for c in ("density", "readability", "variety", "vocabulary", "coverage", "consistency")], "overall", assessment(F.col("overall")).alias("assessment"))
 
 
-def score_warnings() -> list[Column]:
+def score_warnings(settings: QualitySettings = QualitySettings()) -> list[Column]:
     """The warnings that a scorecard's scores give; null where one does not apply."""
     warn = lambda cond, text, c, d: F.when(cond, F.format_string(text, F.round(c, d)))
+    # fixed values: the messages
     return [
-        warn(F.col("readability") < 70, "Low readability score: %.1f", F.col("readability"), 1),
-        warn(F.col("vocabulary") < 30, "Low vocabulary richness: %.1f", F.col("vocabulary"), 1),
-        warn(F.col("density") > 0.15, "High punctuation density: %.3f", F.col("density"), 3),
-        warn(F.col("coverage") < 80, "Low timestamp coverage: %.1f%%", F.col("coverage"), 1),
+        warn(F.col("readability") < settings.readability, "Low readability score: %.1f", F.col("readability"), 1),
+        warn(F.col("vocabulary") < settings.vocabulary, "Low vocabulary richness: %.1f", F.col("vocabulary"), 1),
+        warn(F.col("density") > settings.density, "High punctuation density: %.3f", F.col("density"), 3),
+        warn(F.col("coverage") < settings.coverage, "Low timestamp coverage: %.1f%%", F.col("coverage"), 1),
     ]
 
 
-def quality_report(seg: DataFrame, recordings: DataFrame) -> DataFrame:
+def quality_report(seg: DataFrame, recordings: DataFrame, settings: QualitySettings = QualitySettings()) -> DataFrame:
     """Per row of recordings (recording_id, duration): score, n_gaps, issues and warnings (arrays).
 
     A transcript with gap markers scores MOST_INCOMPLETE at most and has an issue; one without segments has no score.
@@ -113,7 +131,7 @@ def quality_report(seg: DataFrame, recordings: DataFrame) -> DataFrame:
     from .validate import is_gap
 
     gaps = seg.groupBy("recording_id").agg(F.count_if(is_gap()).alias("n_gaps"))
-    rows = recordings.select("recording_id").join(scorecard(seg, recordings), "recording_id", "left").join(gaps, "recording_id", "left")
+    rows = recordings.select("recording_id").join(scorecard(seg, recordings, settings), "recording_id", "left").join(gaps, "recording_id", "left")
     incomplete = F.col("n_gaps") > 0
     message = F.format_string("Transcript contains %d explicitly untranscribed span(s)", F.col("n_gaps"))
     issue = lambda code, text: F.array(F.struct(F.lit("error").alias("type"), F.lit(code).alias("code"), text.alias("message")))
@@ -123,7 +141,7 @@ def quality_report(seg: DataFrame, recordings: DataFrame) -> DataFrame:
         F.when(incomplete, F.least(F.col("overall"), F.lit(MOST_INCOMPLETE))).otherwise(F.col("overall")).alias("score"),
         F.coalesce("n_gaps", F.lit(0)).cast("long").alias("n_gaps"),
         F.when(F.col("n_segments").isNull(), issue("no_segments", F.lit("No segments transcribed"))).when(incomplete, issue("incomplete_transcript", message)).otherwise(none).alias("issues"),
-        F.array_compact(F.array(*score_warnings(), F.when(incomplete, F.concat(message, F.lit("."))))).alias("warnings"),
+        F.array_compact(F.array(*score_warnings(settings), F.when(incomplete, F.concat(message, F.lit("."))))).alias("warnings"),
     )
 
 

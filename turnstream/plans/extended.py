@@ -87,6 +87,15 @@ def _escalation(seg):
     return evidence.escalation(seg.withColumn("confidence", F.when(F.col("recording_id") % 2 == 0, F.col("seg_idx") % 8 / 6)), quality.scorecard(seg))
 
 
+STRICT = quality.QualitySettings({"readability": 0.5, "coverage": 0.5}, 90.0, 60.0, 0.05, 99.0)
+
+
+def _strict(seg):
+    """Scores and warnings by other weights and limits."""
+    card = quality.scorecard(seg, settings=STRICT)
+    return card.select("recording_id", "overall", "assessment").join(evidence.score_warnings(card, STRICT), "recording_id")
+
+
 def _scores(seg):
     c = three_candidates(seg).groupBy("recording_id", "candidate_id").agg(F.round(F.avg(F.char_length("text")), 4).alias("score"))
     c = c.withColumn("score", F.when(F.col("recording_id") % 5 != 0, F.col("score"))).withColumn("idx", F.ascii("candidate_id"))
@@ -138,6 +147,7 @@ _codes = lambda: F.concat_ws(", ", F.concat(F.col("role"), F.lit("")), F.lit("en
 QUERIES = {
     "q_timestamp_quality": _seg(evidence.timestamp_quality),
     "q_score_warnings": _seg(lambda x: evidence.score_warnings(quality.scorecard(x))),
+    "q_quality_by_settings": _seg(_strict),
     "q_escalation": _seg(_escalation),
     "q_best_candidate": _seg(_scores),
     "q_run_evidence": _seg(lambda x: evidence.run_evidence(x, three_candidates(x))),
@@ -253,6 +263,7 @@ UNION ALL SELECT recording_id, rn, CASE WHEN own IS NULL OR untimed THEN n ELSE
   FROM (SELECT u.*, n, s0, e0, s1, e1, CASE WHEN u.v = 0 THEN CASE WHEN u.start_ms - e0 <= 2000 AND u.start_ms - s0 < 20000 THEN g0 END ELSE CASE WHEN u.start_ms - e1 <= 2000 AND u.start_ms - s1 < 20000 THEN g1 END END AS own,
           CASE WHEN u.v = 0 THEN CASE WHEN u.start_ms <= e1 + 250 THEN g1 END ELSE CASE WHEN u.start_ms <= e0 + 250 THEN g0 END END AS other
         FROM st JOIN vo u ON u.recording_id = st.recording_id AND u.rn = st.rn + 1))"""
+    strict = card.replace("0.25::DOUBLE * readability + 0.15::DOUBLE * vocabulary + 0.15::DOUBLE * variety + 0.1::DOUBLE * greatest(0, 100 - 100 * density) + 0.1::DOUBLE * consistency + 0.25::DOUBLE * coverage", "0.5::DOUBLE * readability + 0.5::DOUBLE * coverage")
     # turns across cuts; labels by recursion over chunks: of each voice its label there, and when each label was last heard
     tnorm = norm.replace("lower(text)", "lower(h.text)")
     stitched = f"""hu AS (SELECT g.recording_id, g.seg_idx % 2 AS v, p.chunk_idx, p.start_ms AS lo, p.end_ms AS hi, s, e, ws, greatest(s, p.start_ms) AS a, least(e, p.end_ms) AS b,
@@ -295,6 +306,7 @@ FROM st JOIN vo ON st.recording_id = vo.recording_id AND st.rn = vo.rn GROUP BY
 SELECT st.recording_id, seg AS seg_idx, any_value(CASE WHEN untimed THEN CASE WHEN vo.v = 1 THEN 'B' ELSE 'A' END ELSE coalesce('Speaker ' || k, 'Unknown speaker') END) AS speaker, string_agg(text, ' ' ORDER BY st.rn) AS text,
   CASE WHEN NOT bool_or(untimed) THEN min(start_ms) / 1000 END AS start, CASE WHEN NOT bool_or(untimed) THEN max(end_ms) / 1000 END AS "end", format('[{{:02d}}:{{:02d}}:{{:02d}}]', min(start_ms) // 3600000, min(start_ms) // 60000 % 60, min(start_ms) // 1000 % 60) AS timestamp
 FROM st JOIN vo ON st.recording_id = vo.recording_id AND st.rn = vo.rn LEFT JOIN fl ON fl.recording_id = vo.recording_id AND fl.v = vo.v GROUP BY 1, 2""",
+        "q_quality_by_settings": f"WITH q AS ({strict}) SELECT recording_id, overall, assessment, concat_ws('; ', CASE WHEN readability < 90 THEN printf('Low readability score: %.1f', round(readability, 1)) END, CASE WHEN vocabulary < 60 THEN printf('Low vocabulary richness: %.1f', round(vocabulary, 1)) END, CASE WHEN density > 0.05 THEN printf('High punctuation density: %.3f', round(density, 3)) END, CASE WHEN coverage < 99 THEN printf('Low timestamp coverage: %.1f%%', round(coverage, 1)) END) AS warnings FROM q",
         # each turn is a segment
         "q_stitch_segments": f"""WITH RECURSIVE {seg}, {plan}, {cut}, {stitched} SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY unit_idx) - 1 AS seg_idx, speaker, text, start_ms / 1000 AS start, end_ms / 1000 AS "end",
   format('[{{:02d}}:{{:02d}}:{{:02d}}]', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60) AS timestamp FROM sti WHERE text <> ''""",

@@ -10,11 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.folds import ordered_fold
+from ..operators.scan import Running, running
 from .live import NEXT
 
 # fixed values: states that a job does not leave, and the states of a span
 TERMINAL = ("succeeded", "failed", "canceled", "expired")
 SPAN_NEXT = {"planned": ("primary_complete",), "primary_complete": ("evidence_complete", "judged", "degraded"), "evidence_complete": ("judged", "degraded"), "judged": ("rejudged",)}
+#: Seconds of creation that one task ranks.
+RANK_SECONDS = 600
 _EVENT = "id bigint, name string, data string"
 
 
@@ -58,9 +61,11 @@ def recovered(snapshots: DataFrame) -> DataFrame:
     """What a restart makes of each job: job_id, status, event (to append), requeued, rank among the jobs to run again by creation."""
     again = F.col("status").isin("queued", "running")
     status = F.when(again, "queued").when(F.col("status") == "cancel_requested", "canceled").otherwise(F.col("status"))
-    rank = F.row_number().over(Window.partitionBy("requeued").orderBy("created_at", "job_id"))
     rows = snapshots.select("job_id", status.alias("status"), F.when(F.col("status") == "cancel_requested", "canceled").alias("event"), again.alias("requeued"), "created_at")
-    return rows.select("job_id", "status", "event", "requeued", F.when(F.col("requeued"), rank).cast("long").alias("rank"))
+    # jobs are ranked in blocks of their creation, whose sizes alone are summed in one place
+    place = Running("sum", F.col("requeued").cast("long"))
+    ranked = running(rows, [], F.floor(F.coalesce("created_at", F.lit(0)) / RANK_SECONDS), ["created_at", "job_id"], {"rank": place})
+    return ranked.select("job_id", "status", "event", "requeued", F.when(F.col("requeued"), F.col("rank")).alias("rank"))
 
 
 def retention(snapshots: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:
