@@ -99,6 +99,12 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.archive(pages.limit(0)).count() == 0
 
 
+def test_bundles_in_a_folder_without_a_scheme(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "text"), (2, "u", None)], "page_id long, url string, html string")
+    got = warc.read_bundles(warc.write_bundles(pages, f"{tmp_path}/ck")).collect()
+    assert sorted(x.payload_bytes for x in got) == [0, 4] and all(x.bundle.startswith(f"file:{tmp_path}/ck/") for x in got)
+
+
 def test_url_rules(spark):
     urls = {"http://A.example.net/en/1?x": "allow", "https://example.net/de": "block", "http://net": "allow", "http://x.org/fr/": "allow", "http://ads-track.example.org/en/": "block", "nonsense": "allow", None: "allow", "http://notexample.com/de/": "allow"}
     pages = spark.createDataFrame([(i, u, "r") for i, u in enumerate(urls)], "page_id long, url string, rule string")

@@ -3,16 +3,16 @@ and byte-level word hashing over Arrow buffers."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import stores
+
 #: Word characters are everything but ASCII separators: digits, letters and all non-ASCII.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -21,21 +21,9 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CHUNK = 1 << 18
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.  Only where all is one process may it be unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = spark.conf.get("turnstream.work.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="turnstream-")
-        spark.conf.set("turnstream.work.dir", base)
-    return base.rstrip("/")
-
-
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/turnstream/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share, with the scheme that Spark uses for it."""
+    return stores.scratch(spark, name)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -216,11 +204,20 @@ def row_slices(offsets: np.ndarray, limit: int = CHUNK):
 PARTS = 64
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts as compressed bytes: cells that a task has not met cost nearly nothing."""
+    return zstandard.ZstdCompressor(level=1).compress(counts.astype(np.int64).tobytes())
+
+
+def _unpacked(body: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.int64)
+
+
 def table_rows(table: np.ndarray, docs: int) -> Iterator[pa.RecordBatch]:
     """A task's table of counts in PARTS rows, with its number of documents; nothing for no documents."""
     if docs:
-        parts = np.array_split(table.astype(np.int64), PARTS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([docs if i == 0 else 0 for i in range(PARTS)], pa.int64())], ["part", "counts", "docs"])
+        parts = np.array_split(table, PARTS)
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([_packed(p) for p in parts], pa.binary()), pa.array([docs if i == 0 else 0 for i in range(PARTS)], pa.int64())], ["part", "counts", "docs"])
 
 
 def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,10 +226,10 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     docs: dict[int, int] = {}
     for batch in batches:
         for part, counts, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            total[part] = total.get(part, 0) + np.frombuffer(counts, np.int64)
+            total[part] = total.get(part, 0) + _unpacked(counts)
             docs[part] = docs.get(part, 0) + n
     if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary()), pa.array(list(docs.values()), pa.int64())], ["part", "counts", "docs"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([_packed(x) for x in total.values()], pa.binary()), pa.array(list(docs.values()), pa.int64())], ["part", "counts", "docs"])
 
 
 def sum_tables(rows: DataFrame, count, size: int) -> tuple[np.ndarray, int]:
@@ -241,27 +238,6 @@ def sum_tables(rows: DataFrame, count, size: int) -> tuple[np.ndarray, int]:
     table = np.array_split(np.zeros(size, np.int64), PARTS)
     n = 0
     for r in rows.mapInArrow(count, kind).repartition(PARTS, "part").mapInArrow(_sum, kind).collect():
-        table[r["part"]] = table[r["part"]] + np.frombuffer(bytes(r["counts"]), np.int64)
+        table[r["part"]] = table[r["part"]] + _unpacked(bytes(r["counts"]))
         n += r["docs"]
     return np.concatenate(table), n
-
-
-# ---------------------------------------------------------------- files in any store
-
-
-def open_store(path: str):
-    """(file system, path) for a URI of the shared folder; local paths need no Hadoop client."""
-    import pyarrow.fs as pafs
-
-    if "://" not in path and not path.startswith("file:"):
-        return pafs.LocalFileSystem(), path
-    if path.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
-    return pafs.FileSystem.from_uri(path)
-
-
-def write_file(path: str, body: bytes) -> None:
-    fs, where = open_store(path)
-    fs.create_dir(os.path.dirname(where), recursive=True)
-    with fs.open_output_stream(where, compression=None) as out:
-        out.write(body)

@@ -33,8 +33,8 @@ STEMS = (5, 7)
 NEIGHBOURS = 25
 #: Examples in a block of the index: most terms are in few examples, so smaller blocks would bound little and cost as much as they save.
 BLOCK = 1024
-#: Most terms that are held as rows of a matrix, of those that an eighth of the examples have.
-DENSE = 512
+#: Most terms that are held as rows of a matrix, of those that one in DENSE_SHARE of the examples has; and texts that are multiplied with it together.
+DENSE, DENSE_SHARE, TOGETHER = 1024, 16, 64
 #: Folds of the examples for calibration.
 FOLDS = 3
 #: Similarity of a vote against, that every document has: weak evidence scores low.
@@ -170,7 +170,7 @@ class Index:
         # the commonest terms, which would have the longest lists, are rows of a matrix
         held = np.bincount(terms, minlength=len(idf))
         common = np.argsort(-held, kind="stable")[:DENSE]
-        common = common[held[common] * 8 >= max(len(order), 8)]
+        common = common[held[common] * DENSE_SHARE >= max(len(order), DENSE_SHARE)]
         self.matrix_row = np.full(len(idf), -1, np.int16)
         self.matrix_row[common] = np.arange(len(common))
         self.matrix = np.zeros((len(common), len(order)), np.float32)
@@ -180,13 +180,14 @@ class Index:
         by_term = np.argsort(terms, kind="stable").astype(np.int32)  # rows ascend already
         self.rows, self.weights, terms = rows[by_term], weights[by_term], terms[by_term]
         del rows, weights, by_term
-        # a cell holds the postings of a term in a block
-        cells = terms.astype(np.int32 if len(idf) * max(self.blocks, 1) < 2**31 else np.int64) * max(self.blocks, 1) + self.rows // BLOCK
+        # where the postings of each term in each block begin, and the largest weight among them
+        blocks = max(self.blocks, 1)
+        cells = terms.astype(np.int64) * blocks + self.rows // BLOCK
+        self.starts = np.searchsorted(cells, np.arange(len(idf) * blocks + 1)).astype(np.int32)
         begin = np.flatnonzero(np.r_[len(cells) > 0, cells[1:] != cells[:-1]])
-        self.cell_starts = np.r_[begin, len(cells)].astype(np.int32)
-        self.cell_block = (cells[begin] % max(self.blocks, 1)).astype(np.int16 if self.blocks < 32768 else np.int32)
-        self.cell_most = np.maximum.reduceat(self.weights, begin) if len(begin) else np.zeros(0, np.float32)
-        self.term_starts = np.searchsorted(cells[begin] // max(self.blocks, 1), np.arange(len(idf) + 1)).astype(np.int32)
+        self.most = np.zeros(len(idf) * blocks, np.float32)
+        self.most[cells[begin]] = np.maximum.reduceat(self.weights, begin) if len(begin) else 0.0
+        self.most = self.most.reshape(len(idf), blocks)
         self.steps = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -194,36 +195,42 @@ class Index:
         norm = np.sqrt((weights * weights).sum())
         return weights / norm if norm else weights
 
-    def _read(self, cells: np.ndarray, share: np.ndarray, sims: np.ndarray) -> None:
-        """Add what the postings of some cells, each with its term's share of the query, give to the examples' cosines."""
-        lo = self.cell_starts[cells]
-        size = self.cell_starts[cells + 1] - lo
-        places = np.repeat(lo - np.cumsum(size, dtype=np.int32) + size, size) + np.arange(size.sum(), dtype=np.int32)
+    def _read(self, lo: np.ndarray, hi: np.ndarray, share: np.ndarray, sims: np.ndarray) -> None:
+        """Add what runs of postings, each with its term's share of the query, give to the examples' cosines."""
+        size = hi - lo
+        places = np.repeat(lo - np.cumsum(size, dtype=np.int32) + size, size)
+        places += np.arange(len(places), dtype=np.int32)
         sims += np.bincount(self.rows[places], np.repeat(share, size) * self.weights[places], minlength=len(sims))
 
-    def nearest(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def common(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the commonest terms give to the cosines of some texts (terms, counts) and all examples: one product of matrices."""
+        queries = np.zeros((len(rows), len(self.matrix)), np.float32)
+        for i, (terms, counts) in enumerate(rows):
+            row = self.matrix_row[terms]
+            queries[i, row[row >= 0]] = self.vector(terms, counts)[row >= 0]
+        return queries @ self.matrix
+
+    def nearest(self, terms: np.ndarray, counts: np.ndarray, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the NEIGHBOURS nearest examples with a common term; ties by row."""
         query = self.vector(terms, counts).astype(np.float32)
         row = self.matrix_row[terms]
-        # einsum runs in this thread alone
-        sims = np.einsum("i,ij->j", query[row >= 0], self.matrix[row[row >= 0]]).astype(np.float64)
+        sims = (self.common([(terms, counts)])[0] if common is None else common).astype(np.float64)
         query, terms = query[row < 0], terms[row < 0]
-        first = self.term_starts[terms]
-        size = self.term_starts[terms + 1] - first
-        cells = np.repeat(first - np.cumsum(size, dtype=np.int32) + size, size) + np.arange(size.sum(), dtype=np.int32)
-        share, block = np.repeat(query, size), self.cell_block[cells]
         # what rounding can add stays within the margin
         known = np.maximum.reduceat(sims, np.arange(0, len(sims), BLOCK))
-        bounds = (known + np.bincount(block, share * self.cell_most[cells], minlength=self.blocks)) * (1 + 1e-5)
+        bounds = (known + query @ self.most[terms]) * (1 + 1e-5)
         # what the matrix gives alone is at most the cosine, so the K-th neighbour is no worse than this
         least = np.partition(sims, -NEIGHBOURS)[-NEIGHBOURS] if len(sims) > NEIGHBOURS else 0.0
         chosen = (bounds >= least) & (bounds > 0)
+        at = terms * self.blocks
         if chosen.all():
-            self._read(cells, share, sims)
+            self._read(self.starts[at], self.starts[at + self.blocks], query, sims)
         elif chosen.any():
-            here = chosen[block]
-            self._read(cells[here], share[here], sims)
+            cells = (at[:, None] + np.flatnonzero(chosen)).ravel()
+            self._read(self.starts[cells], self.starts[cells + 1], np.repeat(query, chosen.sum()), sims)
             sims[~np.repeat(chosen, BLOCK)[: len(sims)]] = 0.0
+        # so that equal texts tie, whatever they were multiplied with
+        sims = np.round(sims, 6)
         if len(sims) > NEIGHBOURS:
             best = np.argpartition(sims, -NEIGHBOURS)[-NEIGHBOURS:]
             least = sims[best].min()
@@ -239,10 +246,10 @@ class Index:
     def votes(self, rows: np.ndarray, sims: np.ndarray) -> float:
         return float((sims * self.labels[rows]).sum() / (sims.sum() + DOUBT)) if len(rows) else 0.0
 
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[int], list[float]]:
+    def score(self, terms: np.ndarray, counts: np.ndarray, common: np.ndarray | None = None) -> tuple[float, list[int], list[float]]:
         if not len(terms) or not len(self.ids):
             return self.base, [], []
-        rows, sims = self.nearest(terms, counts)
+        rows, sims = self.nearest(terms, counts, common)
         vote = self.votes(rows, sims)
         calibrated = float(np.interp(vote, *self.steps))
         return min(1.0, max(0.0, 0.98 * calibrated + 0.02 * vote)), self.ids[rows[:5]].tolist(), sims[:5].tolist()
@@ -331,14 +338,16 @@ def _scorer(vocabulary, examples, steps):
         for whole in batches:
             for batch in _slices(whole, 0):
                 terms, counts, bounds = vocabulary.value.vectors(batch.column(0))
-                out = []
-                for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                    key = hashlib.blake2b(terms[a:b].tobytes() + counts[a:b].tobytes(), digest_size=16).digest()
-                    if key not in known:
-                        if len(known) > 50_000:
-                            known.clear()
-                        known[key] = index.score(terms[a:b], counts[a:b].astype(np.float64))
-                    out.append(known[key])
+                texts = [(terms[a:b], counts[a:b].astype(np.float64)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                keys = [hashlib.blake2b(t.tobytes() + c.tobytes(), digest_size=16).digest() for t, c in texts]
+                if len(known) > 50_000:
+                    known.clear()
+                fresh = {key: text for key, text in zip(keys, texts, strict=True) if key not in known}
+                for at in range(0, len(fresh), TOGETHER):
+                    some = list(fresh.items())[at : at + TOGETHER]
+                    common = index.common([x for _, x in some])
+                    known |= {key: index.score(*x, row) for (key, x), row in zip(some, common, strict=True)}
+                out = [known[key] for key in keys]
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(i) for i in range(1, batch.num_columns)), pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.float64()))],
                     [*batch.schema.names[1:], "score", "neighbours", "similarities"],

@@ -21,7 +21,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHARE, materialize, open_store, possibly_in, scratch, write_file
+from ..sources.stores import open_store, qualified, write_file
+from .common import SHARE, materialize, possibly_in, scratch
 
 #: Payloads shorter than this are never replaced by a revisit record.
 LEAST_REVISIT = 1000
@@ -180,6 +181,7 @@ def write_bundles(pages: DataFrame, folder: str) -> DataFrame:
     original's page_id and payload are all responses.  The index is kept as Parquet in folder/index.
     """
     spark = pages.sparkSession
+    folder = qualified(spark, folder)
     index = plan_records(pages).mapInArrow(_writer(f"{folder}/bundles"), INDEX)
     index.write.option("compression", "zstd").parquet(f"{folder}/index")
     return spark.read.schema(INDEX).parquet(f"{folder}/index")
