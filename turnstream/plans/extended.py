@@ -118,6 +118,13 @@ def _silence_log(seg):
     return seg.select("recording_id", F.explode(F.array(F.struct((F.col("seg_idx") * 2).alias("line_no"), F.concat(F.lit("[x] silence_start: "), F.format_string("%.3f", at)).alias("line")), F.struct((F.col("seg_idx") * 2 + 1).alias("line_no"), F.when(F.col("seg_idx") % 3 != 0, F.concat(F.lit("[x] silence_end: "), F.format_string("%.3f", at + 0.5), F.lit(" | silence_duration: 0.5"))).otherwise("frame= 1").alias("line")))).alias("e")).select("recording_id", "e.*")
 
 
+def _analysis_log(seg):
+    """The log of a recording's analysis: its silences, and how far it was decoded."""
+    us = F.round(F.col("end") * 1_000_000).cast("long").cast("string")
+    progress = seg.select("recording_id", (F.col("seg_idx") * 2 + 1_000_000).alias("line_no"), F.when(F.col("seg_idx") % 4 == 3, "out_time_us=N/A").otherwise(F.concat(F.lit("out_time_us="), us)).alias("line"))
+    return _silence_log(seg).unionByName(progress)
+
+
 _parsed = lambda kind: lambda s, d: payloads.speech_units(_payloads(segments(s, d), kind)).select("recording_id", "unit_idx", "text", "speaker", "start_ms", "end_ms", "error")
 
 
@@ -163,6 +170,7 @@ QUERIES = {
     "q_stitch_turns": _seg(lambda x: folds.stitch_chunks(turn_units(x, 20), _spans(x)).drop("turn", "untimed")),
     "q_stitch_segments": _seg(lambda x: folds.segments_from_units(folds.stitch_chunks(turn_units(x, 20), _spans(x)))),
     "q_chunk_plan_adaptive": _seg(lambda x: folds.adaptive_plan(_totals(x), _silences(x), 40_000, 5_000)),
+    "q_plan_from_log": _seg(lambda x: folds.plan_from_log(_analysis_log(x), 40_000, 5_000)),
     "q_recogniser_segments": _seg(lambda x: folds.segments_from_words(_units(x).select("recording_id", F.col("unit_idx").alias("pos"), F.col("text").alias("word"), (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end")))),
     "q_speech_turns": _parsed("turns"),
     "q_speech_phrases": _parsed("phrases"),
@@ -249,6 +257,9 @@ sil AS (SELECT recording_id, {ms('start')} AS mid FROM seg QUALIFY row_number()
 st AS (SELECT recording_id, total, 0::BIGINT AS chunk_idx, 0::BIGINT AS start_ms, CASE WHEN total <= 40000 THEN NULL ELSE {cutat.format(r='tt.recording_id', s='0', t='total')} END AS mid, -1::BIGINT AS last_end FROM tt WHERE total > 0
 UNION ALL SELECT recording_id, total, chunk_idx + 1, nx, CASE WHEN nx + 40000 > total THEN NULL ELSE {cutat.format(r='q.recording_id', s='nx', t='total')} END, end_ms
   FROM (SELECT *, CASE WHEN start_ms + 40000 > total THEN total ELSE coalesce(mid, start_ms + 40000) END AS end_ms, greatest(CASE WHEN mid IS NULL THEN start_ms + 35000 ELSE mid - 2500 END, 0) AS nx FROM st) q WHERE end_ms < total AND end_ms > last_end)"""
+    planned = lambda adaptive: f"WITH RECURSIVE {seg}, {adaptive}, f AS (SELECT *, CASE WHEN total <= 40000 OR start_ms + 40000 > total THEN 'final' WHEN mid IS NOT NULL THEN 'silence' ELSE 'fixed' END AS kind FROM st) SELECT recording_id, chunk_idx, start_ms, CASE kind WHEN 'final' THEN total WHEN 'silence' THEN mid ELSE start_ms + 40000 END AS end_ms, CASE kind WHEN 'final' THEN 0 WHEN 'silence' THEN 2500 ELSE 5000 END::BIGINT AS overlap_ms, kind AS boundary_type, CASE kind WHEN 'final' THEN 1.0 WHEN 'silence' THEN 0.9 ELSE 0.5 END::DOUBLE AS confidence FROM f"
+    log_tt = f"tt AS (SELECT recording_id, max(CASE WHEN seg_idx % 4 <> 3 THEN round(\"end\" * 1000000)::BIGINT // 1000 ELSE 0 END) AS total FROM seg GROUP BY 1),\nsil AS (SELECT recording_id, trunc(round(start, 3) * 1000)::BIGINT + 250 AS mid FROM seg WHERE seg_idx % 3 <> 0),\n"
+    logged = log_tt + adaptive[adaptive.index("st AS (") :]
     spaces = r"trim(regexp_replace({}, '[\t\n\f\r ]+', ' ', 'g'))"
     marks = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '[\t\n\f\r ]+([,.!?;:])', '\1', 'g'), '([,!?;:])([A-Za-z])', '\1 \2', 'g'), '!!+', '!', 'g'), '\?\?+', '?', 'g'), '\.\.+', '...', 'g')"
     plain = r"regexp_replace(trim(regexp_replace(regexp_replace({}, '(?i)\b(?:um|of|the)\b', '', 'g'), '[\t\n\f\r ]+', ' ', 'g')), '[\t\n\f\r ]+([,.!?;:])', '\1', 'g')"
@@ -318,7 +329,8 @@ UNION ALL SELECT r.recording_id, r.rn, r.word, r.start_ms, CASE WHEN f THEN grp
 SELECT recording_id, grp AS seg_idx, 'Speaker 1' AS speaker, trim(string_agg(CASE WHEN word IN ('.', ',', '!', '?', ';', ':', chr(39), '"', ')', ']', '}}') OR starts_with(word, chr(39)) THEN word ELSE ' ' || word END, '' ORDER BY rn)) AS text,
   format('[{{:02d}}:{{:02d}}:{{:02d}}]', arg_min(start_ms, rn) // 3600000, arg_min(start_ms, rn) // 60000 % 60, arg_min(start_ms, rn) // 1000 % 60) AS timestamp FROM st GROUP BY 1, 2""",
         "q_clean_text": f"WITH a AS (SELECT conv_id, turn, text, {spaces.format('text')} AS s FROM conversations), b AS (SELECT *, {marks.format('s')} AS p FROM a), c AS (SELECT *, {plain.format('p')} AS f FROM b) SELECT conv_id, turn, CASE WHEN trim(f) = '' THEN text ELSE f END AS clean, concat_ws(',', CASE WHEN s <> text THEN 'spaces' END, CASE WHEN p <> text THEN 'punctuation' END, CASE WHEN f <> text THEN 'fillers' END) AS steps FROM c",
-        "q_chunk_plan_adaptive": f"WITH RECURSIVE {seg}, {adaptive}, f AS (SELECT *, CASE WHEN total <= 40000 OR start_ms + 40000 > total THEN 'final' WHEN mid IS NOT NULL THEN 'silence' ELSE 'fixed' END AS kind FROM st) SELECT recording_id, chunk_idx, start_ms, CASE kind WHEN 'final' THEN total WHEN 'silence' THEN mid ELSE start_ms + 40000 END AS end_ms, CASE kind WHEN 'final' THEN 0 WHEN 'silence' THEN 2500 ELSE 5000 END::BIGINT AS overlap_ms, kind AS boundary_type, CASE kind WHEN 'final' THEN 1.0 WHEN 'silence' THEN 0.9 ELSE 0.5 END::DOUBLE AS confidence FROM f",
+        "q_chunk_plan_adaptive": planned(adaptive),
+        "q_plan_from_log": planned(logged),
         "q_speech_turns": f"WITH {seg} SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY start, seg_idx) - 1 AS unit_idx, text, speaker, {ms('start')} AS start_ms, {ms(chr(34) + 'end' + chr(34))} AS end_ms, NULL::VARCHAR AS error FROM seg",
         "q_speech_phrases": f"WITH {seg} SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY start, seg_idx) - 1 AS unit_idx, text, (seg_idx % 2)::VARCHAR AS speaker, {ms('start')} AS start_ms, {ms(chr(34) + 'end' + chr(34))} AS end_ms, NULL::VARCHAR AS error FROM seg",
         "q_silence_log": f"WITH {seg} SELECT recording_id, trunc(round(start, 3) * 1000)::BIGINT AS start_ms, trunc(round(start + 0.5, 3) * 1000)::BIGINT AS end_ms FROM seg WHERE seg_idx % 3 <> 0",
