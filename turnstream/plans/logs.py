@@ -66,6 +66,13 @@ def _pairs(allowed, names) -> DataFrame:
     return query
 
 
+def _guarded(log: DataFrame) -> DataFrame:
+    """A request for each event of the log: to one of the states, some expecting a status, some too large, some not written."""
+    k = F.col("id") + F.col("job_id")
+    to = F.element_at(F.array(*map(F.lit, ("running", "queued", "running", "awaiting_review", "cancel_requested", "succeeded", "canceled"))), ((F.col("id") * 3 + F.col("job_id")) % 7 + 1).cast("int"))
+    return log.select("job_id", F.col("id").alias("seq"), to.alias("status"), F.when(k % 3 == 0, F.when(k % 2 == 0, "running").otherwise("queued")).alias("expected"), (F.col("id") % 4).alias("n_events"), F.when(k % 11 == 5, journal.MOST_EVENT_BYTES + 1).otherwise(9).alias("largest"), (k % 5 != 1).alias("written"))
+
+
 def _followed(spark, d) -> DataFrame:
     """The log, appended to a journal in three batches, one of them twice, and read back."""
     log = events.log(table(spark, d, "events")).select("job_id", "id", "name", "data")
@@ -103,6 +110,7 @@ QUERIES = {
     "q_progress": lambda s, d: segments(s, d).groupBy("recording_id").agg(F.count(F.lit(1)).alias("n")).select("recording_id", F.round(journal.progress(F.col("recording_id") % 3, F.col("n")), 6).alias("fraction")),
     "q_latest_result": _log(lambda x: journal.latest_result(x, "purchase")),
     "q_journal_followed": _followed,
+    "q_guarded_transitions": _log(lambda x: journal.guarded_transitions(_guarded(x))),
     "q_snapshot_versions": _snapshot,
 }
 
@@ -119,6 +127,13 @@ x AS (SELECT job_id, k, error, CASE WHEN error IS NULL THEN least(good, coalesce
     return {
         "q_journal_events": f"WITH {log}, {verdict} SELECT job_id, id, name, data FROM log JOIN x USING (job_id) WHERE error IS NULL AND id <= n_events",
         "q_journal_verdicts": f"WITH {log}, {verdict} SELECT job_id, error, n_events, k = 1 AS torn, CASE WHEN error IS NULL THEN good - n_events END AS dropped, k = 4 AS missing_newline FROM x",
+        "q_guarded_transitions": f"""WITH RECURSIVE {log}, rq AS (SELECT job_id, id AS seq, (['running', 'queued', 'running', 'awaiting_review', 'cancel_requested', 'succeeded', 'canceled'])[(id * 3 + job_id) % 7 + 1] AS status,
+  CASE WHEN (id + job_id) % 3 = 0 THEN CASE WHEN (id + job_id) % 2 = 0 THEN 'running' ELSE 'queued' END END AS expected, id % 4 AS n, (id + job_id) % 11 = 5 AS large, (id + job_id) % 5 <> 1 AS written FROM log),
+st AS (SELECT DISTINCT job_id, 0::BIGINT AS seq, '' AS outcome, '' AS before, 'queued' AS after, NULL::BIGINT AS first_event, 0::BIGINT AS n_events FROM rq
+UNION ALL SELECT job_id, seq, outcome, before, CASE WHEN outcome = 'applied' THEN status ELSE before END, CASE WHEN outcome = 'applied' AND n > 0 THEN n_events + 1 END, CASE WHEN outcome = 'applied' THEN n_events + n ELSE n_events END
+  FROM (SELECT r.*, s.after AS before, s.n_events, CASE WHEN large THEN 'too_large' WHEN expected IS NOT NULL AND expected <> s.after THEN 'unexpected' WHEN NOT list_contains({allowed(journal.NEXT)}, s.after || '>' || status) THEN 'illegal' WHEN written THEN 'applied' ELSE 'rolled_back' END AS outcome
+    FROM st s JOIN rq r ON r.job_id = s.job_id AND r.seq = s.seq + 1))
+SELECT * FROM st WHERE seq > 0""",
         "q_journal_followed": f"WITH {log} SELECT job_id, id, name, data FROM log",
         "q_snapshot_versions": f"WITH {log} SELECT job_id, name, max(id) AS id, arg_max(data, id) AS data, 2 AS version FROM log GROUP BY ALL UNION ALL SELECT job_id, name, max(id), arg_max(data, id), 1 FROM log JOIN sz USING (job_id) WHERE id < n GROUP BY ALL",
         "q_cursor_read": f"WITH {log} SELECT job_id, id, name FROM log WHERE id > job_id % 5 - 1",

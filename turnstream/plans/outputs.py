@@ -126,6 +126,22 @@ def _waves(seg: DataFrame) -> DataFrame:
     return media.wave_sizes(seg.select(key.alias("recording_id"), file.alias("content")))
 
 
+def _dispatched(seg: DataFrame) -> DataFrame:
+    """Each segment as an answer: words with times, a text without them, or segments of a general model."""
+    k = (F.col("recording_id") + F.col("seg_idx")) % 3
+    w = words(seg).withColumn("at", F.col("pos") * 300)
+    stamp = lambda c: F.format_string("%.3fs", c / 1000)
+    one = F.struct(F.lit("word_info").alias("type"), F.col("word").alias("text"), F.when(F.col("pos") % 2 == 0, "x").otherwise("y").alias("speaker"), stamp(F.col("at")).alias("start_offset"), stamp(F.col("at") + 250).alias("end_offset"), F.lit(None).cast("int").alias("start_index"), F.lit(None).cast("int").alias("end_index"))
+    said = w.groupBy("recording_id", "seg_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", one.alias("x")))), lambda v: v["x"]).alias("all"))
+    rows = seg.join(said, ["recording_id", "seg_idx"], "left")
+    content = F.struct(F.lit("text").alias("type"), F.col("text"), F.when(k == 0, F.col("all")).alias("annotations"))
+    step = F.struct(F.lit("model_output").alias("type"), F.array(content).alias("content"))
+    general = F.struct(F.array(F.struct(F.lit("[00:00:05]").alias("timestamp"), F.lit("Ann").alias("speaker"), F.col("text"))).alias("segments"))
+    payload = F.when(k == 2, F.to_json(general)).otherwise(F.to_json(F.struct(F.array(step).alias("steps"))))
+    requests = rows.select("recording_id", F.col("seg_idx").alias("chunk_idx"), (F.col("seg_idx") * 15_000).alias("offset_ms"), payload.alias("payload"))
+    return responses.dispatched_segments(requests, (F.col("recording_id") + F.col("chunk_idx")) % 3 != 2)
+
+
 def _progress(seg: DataFrame) -> DataFrame:
     us = F.round(F.col("end") * 1_000_000).cast("long")
     lines = F.explode(F.array(F.concat(F.lit("out_time_us="), us.cast("string")), F.lit("progress=continue"), F.lit("out_time_us=N/A"))).alias("line")
@@ -260,6 +276,7 @@ QUERIES = {
     "q_recording_metadata": _seg(_metadata),
     "q_silent_chunks": _seg(_volumes),
     "q_wave_sizes": _seg(_waves),
+    "q_dispatched_segments": _seg(_dispatched),
     "q_decoded_durations": _seg(_progress),
     "q_cut_commands": _seg(lambda x: timeline.chunk_plan(x).select("recording_id", "chunk_idx", F.array_join(media.cut_command(F.lit("in.wav"), F.col("start_ms"), F.col("end_ms"), F.concat(F.lit("chunk_"), "chunk_idx", F.lit(".wav"))), " ").alias("command"))),
     "q_transcript_payloads": _seg(_stamped),
@@ -360,6 +377,16 @@ CASE WHEN s_suppkey % 4 = 0 THEN 'EXPECTED LANGUAGES (BCP-47): en-US, nl-NL' ||
         "q_recording_metadata": f"WITH {seg}, {plan}, {probe}, c AS (SELECT recording_id, count(*) AS n FROM plan GROUP BY 1) SELECT recording_id, d / 1000 AS duration, round(recording_id / 1024, 6) AS size_mb, 'wav' AS format, 44100 AS sample_rate, 2 AS channels, n AS chunk_count, n > 1 AS needs_chunking FROM pr JOIN c USING (recording_id) WHERE error IS NULL",
         "q_silent_chunks": f"WITH {seg} SELECT DISTINCT recording_id, CASE WHEN recording_id % 10 <> 1 THEN recording_id % 3 = 0 OR recording_id % 50 + 0.5 > 35 END AS silent FROM seg",
         "q_wave_sizes": f"WITH {seg} SELECT recording_id * 1000 + seg_idx AS recording_id, CASE seg_idx % 5 WHEN 4 THEN NULL WHEN 3 THEN 0 ELSE strlen(text) END AS data_bytes FROM seg",
+        # two voices by turns, word by word: neither is silent for long, so each has a segment until a sentence ends or 20 s have passed
+        "q_dispatched_segments": f"""WITH RECURSIVE {seg}, {word}, dw AS (SELECT recording_id, seg_idx, pos, word, pos % 2 AS v, seg_idx * 15000 + 300 * pos AS s, regexp_matches(word, '[.!?。؟]$') AS closes, (recording_id + seg_idx) % 3 AS k FROM wd),
+st AS (SELECT recording_id, seg_idx, pos, 0::BIGINT AS grp, 1::BIGINT AS n, [CASE WHEN v = 0 AND NOT closes THEN {{'g': 0::BIGINT, 's': s}} END, CASE WHEN v = 1 AND NOT closes THEN {{'g': 0::BIGINT, 's': s}} END] AS open_ FROM dw WHERE pos = 0 AND k = 0
+UNION ALL SELECT recording_id, seg_idx, pos, coalesce(own.g, n), CASE WHEN own IS NULL THEN n + 1 ELSE n END, CASE WHEN v = 0 THEN [CASE WHEN NOT closes THEN {{'g': coalesce(own.g, n), 's': coalesce(own.s, s)}} END, open_[2]] ELSE [open_[1], CASE WHEN NOT closes THEN {{'g': coalesce(own.g, n), 's': coalesce(own.s, s)}} END] END
+  FROM (SELECT d.*, t.n, CASE WHEN d.v = 0 THEN [t.open_[1], CASE WHEN d.s > t_last + 250 THEN NULL ELSE t.open_[2] END] ELSE [CASE WHEN d.s > t_last + 250 THEN NULL ELSE t.open_[1] END, t.open_[2]] END AS open_, CASE WHEN d.s - t.open_[d.v + 1].s < 20000 THEN t.open_[d.v + 1] END AS own
+    FROM (SELECT *, seg_idx * 15000 + 300 * pos + 250 AS t_last FROM st) t JOIN dw d ON d.recording_id = t.recording_id AND d.seg_idx = t.seg_idx AND d.pos = t.pos + 1)),
+sp AS (SELECT st.recording_id, st.seg_idx AS chunk_idx, grp AS seg_idx, min(s) AS s, 'Speaker ' || (any_value(v) + 1) AS speaker, string_agg(word, ' ' ORDER BY st.pos) AS text FROM st JOIN dw USING (recording_id, seg_idx, pos) GROUP BY 1, 2, 3)
+SELECT recording_id, chunk_idx, seg_idx, format('[{{:02d}}:{{:02d}}:{{:02d}}]', s // 3600000, s // 60000 % 60, s // 1000 % 60) AS timestamp, speaker, text, NULL::VARCHAR AS error FROM sp
+UNION ALL SELECT recording_id, seg_idx, 0, format('[{{:02d}}:{{:02d}}:{{:02d}}]', seg_idx * 15 // 3600, seg_idx * 15 // 60 % 60, seg_idx * 15 % 60), 'Untranscribed', '[word timestamps unavailable] ' || trim(text), NULL FROM seg WHERE (recording_id + seg_idx) % 3 = 1
+UNION ALL SELECT recording_id, seg_idx, 0, format('[{{:02d}}:{{:02d}}:{{:02d}}]', (seg_idx * 15 + 5) // 3600, (seg_idx * 15 + 5) // 60 % 60, (seg_idx * 15 + 5) % 60), 'Ann', trim(text), NULL FROM seg WHERE (recording_id + seg_idx) % 3 = 2""",
         "q_decoded_durations": f"""WITH {seg} SELECT recording_id, max(round("end" * 1000000)::BIGINT // 1000) AS duration_ms FROM seg GROUP BY 1""",
         "q_cut_commands": f"WITH {seg}, {plan} SELECT recording_id, chunk_idx, 'ffmpeg -hide_banner -nostdin -y -ss ' || printf('%d.%03d', start_ms // 1000, start_ms % 1000) || ' -t ' || printf('%d.%03d', (end_ms - start_ms) // 1000, (end_ms - start_ms) % 1000) || ' -i in.wav -vn -ac 1 -ar 16000 -c:a pcm_s16le chunk_' || chunk_idx || '.wav' AS command FROM plan",
         "q_transcript_payloads": f"WITH {seg}, r AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY seg_idx) - 1 AS n FROM seg) SELECT recording_id, n AS seg_idx, format('[00:00:{{:02d}}]', seg_idx % 60) AS timestamp, speaker, trim(text) AS text, CASE WHEN seg_idx <= 4 THEN round(seg_idx / 4, 6) END AS confidence, NULL::VARCHAR AS error FROM r WHERE recording_id % 3 < 2 UNION ALL SELECT DISTINCT recording_id, NULL, NULL, NULL, NULL, NULL, 'unreadable' FROM seg WHERE recording_id % 3 = 2",

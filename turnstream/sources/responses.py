@@ -71,6 +71,45 @@ def word_units(responses: DataFrame) -> DataFrame:
     return good.unionByName(failed)
 
 
+#: fixed values: what stands before a text that came without times, and who says it
+UNTIMED, UNTRANSCRIBED = "[word timestamps unavailable] ", "Untranscribed"
+
+
+def timed_units(responses: DataFrame) -> DataFrame:
+    """word_units, with turn and untimed: a response that has text but no word annotations is one untimed unit at its offset instead of an error."""
+    keys = ["recording_id", "chunk_idx"]
+    units = word_units(responses).withColumns({"turn": F.lit(False), "untimed": F.lit(False)})
+    steps = F.coalesce(F.from_json("payload", f"steps {STEPS}")["steps"], F.array().cast(STEPS))
+    said = responses.select(*keys, F.coalesce("offset_ms", F.lit(0)).cast("long").alias("offset"), trimmed(response_text(steps)).alias("said")).where("said != ''")
+    bare = units.where("error = 'no word annotations'").select(*keys).join(said, keys)
+    whole = bare.select(*keys, F.lit(0).cast("long").alias("unit_idx"), F.concat(F.lit(UNTIMED), "said").alias("text"), F.lit(UNTRANSCRIBED).alias("speaker"), F.col("offset").alias("start_ms"), F.col("offset").alias("end_ms"), F.lit(0).cast("long").alias("repaired"), F.lit(None).cast("string").alias("error"), F.lit(True).alias("turn"), F.lit(True).alias("untimed"))
+    kept = units.join(bare.select(*keys), keys, "left_anti")
+    return kept.select(whole.columns).unionByName(whole)
+
+
+def dispatched_segments(responses: DataFrame, direct: Column) -> DataFrame:
+    """recording_id, chunk_idx, seg_idx, timestamp, speaker, text, error: the segments of answers by the kind of their model.
+
+    responses: recording_id, chunk_idx, offset_ms, payload.  direct (a condition on a row): a speech model, whose words
+    are labelled by first appearance and grouped; else a general one, whose answer holds segments with times from the
+    chunk's start, which move to the recording's.  Each answer is a request of its own.
+    """
+    from ..functions.timecode import shift_timestamp
+    from ..operators.folds import one_request_segments
+
+    key = F.struct("recording_id", "chunk_idx")
+    keyed = responses.withColumn("request", F.to_json(key))
+    names = keyed.select("request", "recording_id", "chunk_idx", (F.coalesce("offset_ms", F.lit(0)) / 1000).alias("shift"))
+    speech = timed_units(keyed.where(direct).select("recording_id", "chunk_idx", "offset_ms", "payload")).withColumn("request", F.to_json(key))
+    grouped = one_request_segments(speech.where("error is null").select(F.col("request").alias("recording_id"), "unit_idx", "text", "speaker", "start_ms", "end_ms", "turn", "untimed")).withColumnRenamed("recording_id", "request")
+    general = transcript_segments(keyed.where(~direct).select(F.col("request").alias("recording_id"), "payload")).withColumnRenamed("recording_id", "request")
+    general = general.join(names.select("request", "shift"), "request").withColumn("timestamp", shift_timestamp(F.col("timestamp"), F.col("shift")))
+    none = F.lit(None).cast("string").alias("error")
+    failed = speech.where("error is not null").select("request", F.lit(None).cast("long").alias("seg_idx"), F.lit(None).cast("string").alias("timestamp"), F.lit(None).cast("string").alias("speaker"), F.lit(None).cast("string").alias("text"), "error")
+    every = grouped.select("request", "seg_idx", "timestamp", "speaker", "text", none).unionByName(general.select("request", "seg_idx", "timestamp", "speaker", "text", "error")).unionByName(failed)
+    return every.join(names.drop("shift"), "request").select("recording_id", "chunk_idx", "seg_idx", "timestamp", "speaker", "text", "error")
+
+
 def alignment_errors(source: DataFrame, aligned: DataFrame) -> DataFrame:
     """recording_id, error of an aligner's answer: as many segments, and only timestamps may differ."""
     keys = ["recording_id", "seg_idx"]

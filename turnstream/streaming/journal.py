@@ -208,3 +208,46 @@ def latest_result(log: DataFrame, name: str = "result") -> DataFrame:
     """job_id, id, data of each job's last event of a name whose data holds an object."""
     last = log.where(F.col("name") == name).groupBy("job_id").agg(F.max_by(F.struct("id", "data"), "id").alias("x"))
     return last.where("x.data like '{%'").select("job_id", "x.*")
+
+
+#: fixed value: bytes of the largest event that a journal takes
+MOST_EVENT_BYTES = 64 << 20
+
+
+class _Guarded:
+    """A job's status and number of events; a request changes both or, where a check or the write fails, neither."""
+
+    def __init__(self):
+        self.status, self.events = "queued", 0
+
+    def push(self, row: dict) -> list[tuple]:
+        before, to = self.status, row["status"]
+        if row["largest"] > MOST_EVENT_BYTES:
+            outcome = "too_large"
+        elif row["expected"] is not None and row["expected"] != before:
+            outcome = "unexpected"
+        elif to not in NEXT.get(before, ()):
+            outcome = "illegal"
+        else:
+            outcome = "applied" if row["written"] else "rolled_back"
+        first = None
+        if outcome == "applied":
+            first = self.events + 1 if row["n_events"] else None
+            self.status, self.events = to, self.events + row["n_events"]
+        return [(row["seq"], outcome, before, self.status, first, self.events)]
+
+    def end(self) -> list[tuple]:
+        return []
+
+
+def guarded_transitions(requests: DataFrame) -> DataFrame:
+    """job_id, seq, outcome, before, after, first_event, n_events of requests to change a job's status with a batch of events.
+
+    requests: job_id, seq, status, expected (a status, or null for any), n_events, largest (bytes of the largest event),
+    written (whether the journal and snapshot could be written).  A request is applied as a whole or not at all: not if
+    an event is too large, the job is not as expected, the change is not allowed, or writing fails; the events of
+    one that is rolled back take no ids.  A job begins queued, without events.
+    """
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    rows = requests.select(F.col("job_id").alias("recording_id"), "seq", "status", "expected", zero("n_events"), zero("largest"), F.coalesce("written", F.lit(True)).alias("written"))
+    return ordered_fold(rows, ["seq"], _Guarded, "recording_id long, seq long, outcome string, before string, after string, first_event long, n_events long").withColumnRenamed("recording_id", "job_id")
