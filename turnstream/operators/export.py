@@ -10,8 +10,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, csv_safe
+from ..functions.text import SPACE, csv_safe, trimmed
 from ..functions.timecode import clock, format_timestamp, parse_timestamp, precise_clock
+from ..sources.media import transcript_title
 from . import subtitles
 from .validate import rename_speakers
 
@@ -145,3 +146,52 @@ def export_text(seg: DataFrame, format_name: str, recordings: DataFrame | None =
 def formatted(seg: DataFrame) -> DataFrame:
     """recording_id, seg_idx, line: `[HH:MM:SS] speaker: text` by the precise start."""
     return with_starts(seg).select("recording_id", "seg_idx", F.concat(format_timestamp(F.col("start")), F.lit(" "), "speaker", F.lit(": "), "text").alias("line"))
+
+
+# fixed values: the most names that a download renames, and the most bytes of each
+MOST_NAMES, MOST_NAME_BYTES = 64, 120
+
+
+def format_of(name: Column) -> Column:
+    """The format that a column names, as lookup does; null for an unknown one."""
+    key = F.lower(trimmed(F.regexp_replace(F.coalesce(name, F.lit("")), r"^\.", "")))
+    known = F.create_map(*(F.lit(x) for pair in ({f.name: f.name for f in FORMATS} | ALIASES).items() for x in pair))
+    return F.try_element_at(known, F.when(key == "", "txt").otherwise(key))
+
+
+def downloads(requests: DataFrame, seg: DataFrame, recordings: DataFrame | None = None) -> DataFrame:
+    """request_id, filename, content_type, document (binary), error of requests for documents of recordings.
+
+    requests: request_id (long), recording_id, format (empty: txt), filename, timestamps, speakers (array of
+    `<label>=<name>`).  Too many or unreadable names, an unknown format and a recording without segments are errors.
+    Each request has names of its own: its segments are a copy of the recording's, renamed by a map.
+    """
+    pairs = F.coalesce("speakers", F.array().cast("array<string>"))
+    of = lambda x, k: F.regexp_extract(x, r"(?s)^([^=]*)=(.*)\z", k)
+    bad = F.exists(pairs, lambda x: F.coalesce((F.locate("=", x) == 0) | (trimmed(of(x, 1)) == "") | (F.octet_length(of(x, 1)) > MOST_NAME_BYTES) | (F.octet_length(of(x, 2)) > MOST_NAME_BYTES), F.lit(True)))
+    ready = seg.select("recording_id").distinct().withColumn("ready", F.lit(True))
+    rows = requests.join(ready, "recording_id", "left").withColumns({"kind": format_of(F.col("format")), "title": transcript_title(F.coalesce("filename", F.lit("")))})
+    listed = ", ".join(f.name for f in FORMATS)
+    # fixed values: the messages
+    error = (
+        F.when(F.col("kind").isNull(), F.format_string(f'unsupported export format "%s" (supported: {listed})', "format"))
+        .when(F.col("ready").isNull(), "transcript is not ready")
+        .when(F.size(pairs) > MOST_NAMES, f"at most {MOST_NAMES} speaker names")
+        .when(bad, "speaker must be <label>=<name>")
+    )
+    # of names given twice the last counts
+    names = F.aggregate(F.transform(pairs, lambda x: F.struct(trimmed(of(x, 1)).alias("label"), trimmed(of(x, 2)).alias("name"))), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["label"]), F.map_from_arrays(F.array(x["label"]), F.array(x["name"]))))
+    rows = rows.withColumn("error", error)
+    good = rows.where("error is null").select("request_id", "recording_id", "kind", "title", F.coalesce("timestamps", F.lit(True)).alias("timestamps"), names.alias("names"))
+    made = []
+    for f in FORMATS:
+        for stamped in (True, False) if f.timestamps else (None,):
+            mine = good.where(F.col("kind") == f.name).where(F.lit(True) if stamped is None else F.col("timestamps") == stamped)
+            own = seg.join(mine.select("request_id", "recording_id", "names"), "recording_id").withColumn("recording_id", F.col("request_id"))
+            own = own.withColumn("speaker", F.coalesce(F.nullif(F.try_element_at("names", F.col("speaker")), F.lit("")), "speaker")).select(*seg.columns)
+            known = None if recordings is None else recordings.join(mine.select("request_id", "recording_id"), "recording_id").withColumn("recording_id", F.col("request_id")).select(*recordings.columns)
+            made.append(render(own, f.name, Options(timestamps=stamped is not False), known).select(F.col("recording_id").alias("request_id"), F.col("document").cast("binary").alias("document"), F.lit(f.extension).alias("extension"), F.lit(f.content_type).alias("content_type")))
+    documents = made[0]
+    for x in made[1:]:
+        documents = documents.unionByName(x)
+    return rows.join(documents, "request_id", "left").select("request_id", F.concat_ws(".", "title", "extension").alias("filename"), "content_type", "document", "error")

@@ -35,6 +35,16 @@ def _cells(seg: DataFrame) -> DataFrame:
     return seg.withColumn("text", said)
 
 
+def _downloads(seg: DataFrame) -> DataFrame:
+    """Six requests for each recording, as text: plain, renamed, with too many or unreadable names, unknown, and without a transcript."""
+    r = F.col("recording_id")
+    many = F.transform(F.sequence(F.lit(1), F.lit(65)), lambda i: F.concat(F.lit("s"), i.cast("string"), F.lit("=x")))
+    asked = [(".TXT", F.array()), ("", F.array(F.lit("user=Ann"), F.lit(" user = Bo=b "))), ("text", many), ("csv", F.array(F.lit("=x"))), ("pdf", F.array()), ("txt", F.array(F.lit(f"{'l' * 121}=x")))]
+    one = F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("k"), F.lit(name).alias("format"), names.cast("array<string>").alias("speakers")) for i, (name, names) in enumerate(asked)))).alias("x")
+    rows = seg.select("recording_id").distinct().select("recording_id", one).select((r * 10 + F.col("x.k")).alias("request_id"), "recording_id", "x.format", "x.speakers", F.lit("dir/a talk.mp3").alias("filename"), F.lit(True).alias("timestamps"))
+    return export.downloads(rows, seg.where(r % 7 != 3)).withColumn("document", F.col("document").cast("string"))
+
+
 def _json(seg: DataFrame) -> DataFrame:
     """The documents read back."""
     docs = export.render(seg, "json", recordings=_recordings(seg))
@@ -256,6 +266,7 @@ QUERIES = {
     "q_export_docx": _seg(lambda x: export.render(x, "docx", recordings=_recordings(x)).select("recording_id", (F.substring("document", 1, 2) == F.lit("PK").cast("binary")).alias("zip"))),
     "q_export_srt_lines": _seg(lambda x: export.render(x, "srt")),
     "q_export_vtt_lines": _seg(lambda x: export.render(x, "vtt", export.Options(names={"user": "A&B"}))),
+    "q_downloads": _seg(_downloads),
     "q_export_csv": _seg(lambda x: export.render(_cells(x), "csv")),
     "q_export_json_rows": _seg(_json),
     "q_format_registry": _formats,
@@ -353,6 +364,9 @@ ln AS (SELECT *, CASE WHEN length(text) <= 42 THEN text WHEN h IS NOT NULL THEN
         "q_export_srt_lines": srt,
         "q_export_vtt": vtt("speaker"),
         "q_export_vtt_lines": vtt("CASE speaker WHEN 'user' THEN 'A&amp;B' ELSE speaker END"),
+        "q_downloads": f"""WITH {seg}, dc AS (SELECT recording_id, string_agg(timestamp || ' ' || speaker || ': ' || text || chr(10), '' ORDER BY seg_idx) AS a, string_agg(timestamp || ' ' || CASE speaker WHEN 'user' THEN 'Bo=b' ELSE speaker END || ': ' || text || chr(10), '' ORDER BY seg_idx) AS b FROM seg GROUP BY 1)
+SELECT recording_id * 10 + k AS request_id, CASE WHEN k < 2 AND recording_id % 7 <> 3 THEN 'a talk.txt' ELSE 'a talk' END AS filename, CASE WHEN k < 2 AND recording_id % 7 <> 3 THEN 'text/plain; charset=utf-8' END AS content_type, CASE WHEN recording_id % 7 = 3 THEN NULL WHEN k = 0 THEN a WHEN k = 1 THEN b END AS document,
+  CASE WHEN k = 4 THEN 'unsupported export format "pdf" (supported: txt, md, docx, srt, vtt, csv, json)' WHEN recording_id % 7 = 3 THEN 'transcript is not ready' WHEN k = 2 THEN 'at most 64 speaker names' WHEN k IN (3, 5) THEN 'speaker must be <label>=<name>' END AS error FROM dc, range(0, 6) AS q(k)""",
         "q_export_csv": f"""WITH {seg}, n AS (SELECT *, lead(start) OVER (PARTITION BY recording_id ORDER BY seg_idx) AS nx FROM seg) SELECT recording_id, 'start,end,speaker,text' || chr(10) || string_agg({precise('start', '.')} || ',' || {precise('(' + stop + ')', '.')} || ',' || speaker || ',' || {cell} || chr(10), '' ORDER BY seg_idx) AS document FROM n GROUP BY 1""",
         "q_export_json_rows": f"""WITH {seg}, {rec} SELECT recording_id, round(duration, 3) AS duration, row_number() OVER (PARTITION BY recording_id ORDER BY seg_idx) - 1 AS pos, timestamp, speaker, text, start, "end" FROM seg JOIN rc USING (recording_id)""",
         "q_format_registry": "SELECT * FROM (VALUES ('txt', 'Plain text', 'txt', 'text/plain; charset=utf-8', false, true, '.TXT'), ('md', 'Markdown', 'md', 'text/markdown; charset=utf-8', false, true, 'Markdown'), ('docx', 'Word document', 'docx', 'application/vnd.openxmlformats-officedocument.wordprocessingml.document', true, true, 'word'), ('srt', 'SubRip subtitles', 'srt', 'application/x-subrip; charset=utf-8', false, false, ' subrip'), ('vtt', 'WebVTT subtitles', 'vtt', 'text/vtt; charset=utf-8', false, false, 'WebVTT'), ('csv', 'Spreadsheet (CSV)', 'csv', 'text/csv; charset=utf-8', false, false, '.csv'), ('json', 'JSON', 'json', 'application/json; charset=utf-8', false, false, 'JSON')) t(name, label, extension, content_type, \"binary\", timestamps, asked)",
