@@ -196,7 +196,6 @@ def gap_markers(chunks: DataFrame, segments: DataFrame) -> DataFrame:
 def consistent_speakers(segments: DataFrame, preserve: bool) -> DataFrame:
     """Labels made alike: numbered generic ones stay, names stay if preserve, all others become `Speaker N` by first appearance."""
     name = trimmed(F.coalesce("speaker", F.lit("")))
-    generic = F.startswith(F.lower(name), F.lit("speaker")) & name.rlike("[0-9]")
     rows = segments.withColumns({"speaker": name})
     if preserve:
         return rows
