@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from turnstream import registry
-from turnstream.operators import tools
+from turnstream.operators import export, tools
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,3 +34,16 @@ def test_the_second_pass_touches_named_spans_alone(spark):
     reasons = "; ".join(x.reasons for x in registry.QUERIES["q_rejudged_reviews"](spark, SF).where(F.col("method") != "model").collect())
     for part in ("span_0099 is not a known span", "budget was exhausted", "rejudge rejected: segment 0 timestamp"):
         assert part in reasons
+
+
+def test_downloads_in_every_format(spark):
+    seg = spark.createDataFrame([(1, 0, "A", "hello there", 0.0, 2.0, "[00:00:00]"), (1, 1, "B", "x, y", 2.0, 4.0, "[00:00:02]")], "recording_id long, seg_idx long, speaker string, text string, start double, end double, timestamp string")
+    names = ("txt", "Markdown", " word", ".srt", "WEBVTT", "csv", "json")
+    rows = [(10 + i, 1, n, None if i else "", True, ["A=Ann", "A=Anna"]) for i, n in enumerate(names)] + [(30, 1, "txt", "C:\\x\\b.mp3", False, None), (31, 2, "txt", "c.wav", True, [])]
+    asked = spark.createDataFrame(rows, "request_id long, recording_id long, format string, filename string, timestamps boolean, speakers array<string>")
+    got = {x.request_id: x for x in export.downloads(asked, seg).collect()}
+    assert len(got) == 9 and all(got[10 + i].filename == f"Transcript.{f.extension}" and got[10 + i].content_type == f.content_type and got[10 + i].error is None for i, f in enumerate(export.FORMATS))
+    assert bytes(got[10].document).decode() == "[00:00:00] Anna: hello there\n[00:00:02] B: x, y\n" and bytes(got[12].document)[:2] == b"PK"
+    assert all(b"Anna" in bytes(got[10 + i].document) for i in (1, 3, 4, 5, 6))
+    assert bytes(got[30].document).decode() == "A: hello there\n\nB: x, y\n" and got[30].filename == "b.txt"
+    assert got[31].error == "transcript is not ready" and got[31].document is None
