@@ -29,9 +29,12 @@ def _candidates(seg: DataFrame) -> DataFrame:
     """a: all; b: without some; c: some late by 30 s and some without a speaker."""
     rows = _heard(seg)
     late = F.when(F.col("seg_idx") % 5 == 0, format_timestamp(F.col("start") + 30)).otherwise(F.col("timestamp"))
-    c = rows.withColumn("timestamp", late).withColumn("speaker", F.when(F.col("seg_idx") % 11 == 3, " ").otherwise(F.col("speaker")))
-    named = lambda df, n: df.withColumn("candidate_id", F.lit(n))
-    return named(rows, "a").unionByName(named(rows.where((F.col("recording_id") + F.col("seg_idx")) % 7 != 0), "b")).unionByName(named(c, "c"))
+    blank = F.when(F.col("seg_idx") % 11 == 3, " ").otherwise(F.col("speaker"))
+    heard = lambda n, stamp, speaker: F.struct(F.lit(n).alias("candidate_id"), stamp.alias("timestamp"), speaker.alias("speaker"))
+    plain = (F.col("timestamp"), F.col("speaker"))
+    # one pass over the segments, not a union of three: a join must not rely on how a union of equal parts is partitioned
+    each = F.array_compact(F.array(heard("a", *plain), F.when((F.col("recording_id") + F.col("seg_idx")) % 7 != 0, heard("b", *plain)), heard("c", late, blank)))
+    return rows.withColumn("x", F.explode(each)).select(*(c for c in rows.columns if c not in ("timestamp", "speaker")), "x.*")
 
 
 def _audio(seg: DataFrame) -> DataFrame:
