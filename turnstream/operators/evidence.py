@@ -143,9 +143,10 @@ def timestamp_issues(seg: DataFrame) -> DataFrame:
     q = timestamp_quality(seg).join(facts, "recording_id").join(back, "recording_id", "left")
     one, cover = F.col("n_gaps") == 0, F.col("reach") / F.greatest(F.col("dur"), F.lit(1e-9)) * 100
     steps = F.transform(F.coalesce("back", F.array().cast("array<int>")), lambda i: F.concat(F.lit("Non-monotonic at segment "), i.cast("string")))
+    # rint: halves go to the even number, where %.0f alone takes them up
     others = F.array_compact(F.array(
-        F.when(F.col("irregular") * 5 > F.col("n_gaps"), F.format_string("Irregular gaps: %.0f%% of segments", F.col("irregular") / F.col("n_gaps") * 100)),
-        F.when(cover < 70, F.format_string("Poor coverage: timestamps only reach %.0f%% of audio", cover)).when(cover > 110, "Timestamp drift: timestamps exceed audio duration"),
+        F.when(F.col("irregular") * 5 > F.col("n_gaps"), F.format_string("Irregular gaps: %.0f%% of segments", F.rint(F.col("irregular") / F.col("n_gaps") * 100))),
+        F.when(cover < 70, F.format_string("Poor coverage: timestamps only reach %.0f%% of audio", F.rint(cover))).when(cover > 110, "Timestamp drift: timestamps exceed audio duration"),
     ))
     alone = F.array_compact(F.array(F.when(one, "Single-segment transcript may need forced alignment"), F.when(one & (F.col("reach") <= 2), "Single segment starts at the beginning of a long recording")))
     brief = F.col("dur") < 30
