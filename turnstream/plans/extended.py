@@ -21,13 +21,17 @@ def three_candidates(seg: DataFrame) -> DataFrame:
     return named(seg, "a").unionByName(named(seg.where(k % 7 != 0), "b")).unionByName(named(seg.withColumn("text", misheard), "c"))
 
 
-def chunk_units(seg: DataFrame, jitter: int = 0) -> DataFrame:
-    """The words of each fixed chunk, as that chunk alone would hear them; odd chunks hear them later by jitter."""
+def chunk_units(seg: DataFrame, jitter: int = 0, tail: bool = False) -> DataFrame:
+    """The words of each fixed chunk, as that chunk alone would hear them; odd chunks hear them later by jitter.
+
+    tail: the last chunk, which nothing follows, also hears the words that begin at the recording's end or later.
+    """
     # chunks begin every 15 s and last 20: a word's chunks follow from its start
     last = timeline.chunk_plan(seg).groupBy("recording_id").agg(F.max("chunk_idx").alias("last"), F.max("end_ms").alias("total"))
     first = F.greatest(F.expr("(start_ms - 5000) div 15000") - F.when(F.col("start_ms") < 5000, 1).otherwise(0), F.lit(0))
-    heard = words(seg).join(last, "recording_id").where("start_ms < total").withColumn("chunk_idx", F.explode(F.sequence(first, F.expr("least(start_ms div 15000, last)"))))
-    heard = heard.where((F.col("start_ms") >= F.col("chunk_idx") * 15000) & (F.col("start_ms") < F.col("chunk_idx") * 15000 + 20000))
+    late_words = F.lit(tail) & (F.col("start_ms") >= F.col("total"))
+    heard = words(seg).join(last, "recording_id").where((F.col("start_ms") < F.col("total")) | late_words).withColumn("chunk_idx", F.explode(F.sequence(F.when(late_words, F.col("last")).otherwise(first), F.expr("least(start_ms div 15000, last)"))))
+    heard = heard.where((F.col("start_ms") >= F.col("chunk_idx") * 15000) & (late_words | (F.col("start_ms") < F.col("chunk_idx") * 15000 + 20000)))
     order = Window.partitionBy("recording_id", "chunk_idx").orderBy("start_ms", "seg_idx", "pos")
     late = F.col("chunk_idx") % 2 * jitter
     return heard.withColumn("unit_idx", F.row_number().over(order).cast("long")).select("recording_id", "chunk_idx", "unit_idx", F.col("word").alias("text"), "speaker", (F.col("start_ms") + late).alias("start_ms"), (F.col("end_ms") + late).alias("end_ms"), F.lit(False).alias("turn"), F.lit(False).alias("untimed"))
@@ -166,7 +170,7 @@ QUERIES = {
     "q_playhead": _seg(lambda x: evidence.playhead(x, 20.0)),
     "q_segments_from_units": _seg(lambda x: folds.segments_from_units(_voices(x))),
     "q_one_request_segments": _seg(lambda x: folds.one_request_segments(_voices(x).withColumn("speaker", F.when((F.col("speaker") == "A") & (F.col("recording_id") % 5 == 0), "").otherwise(F.col("speaker"))))),
-    "q_stitch": _seg(lambda x: folds.stitch_chunks(chunk_units(x), _spans(x)).select("recording_id", "chunk_idx", "text", "start_ms")),
+    "q_stitch": _seg(lambda x: folds.stitch_chunks(chunk_units(x, tail=True), _spans(x)).select("recording_id", "chunk_idx", "text", "start_ms")),
     "q_stitch_turns": _seg(lambda x: folds.stitch_chunks(turn_units(x, 20), _spans(x)).drop("turn", "untimed")),
     "q_stitch_segments": _seg(lambda x: folds.segments_from_units(folds.stitch_chunks(turn_units(x, 20), _spans(x)))),
     "q_chunk_plan_adaptive": _seg(lambda x: folds.adaptive_plan(_totals(x), _silences(x), 40_000, 5_000)),
