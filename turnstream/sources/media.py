@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import trimmed
+from .payloads import whole_ms
 
 # fixed values: formats that are read, their media types, those that a speech service takes, and the loudness of silence
 FORMATS = ("mp3", "wav", "m4a", "flac", "ogg")
@@ -50,10 +51,10 @@ def probed(probes: DataFrame) -> DataFrame:
     d = F.from_json("json", _PROBE)
     seconds = d["format"]["duration"].try_cast("double")
     audio = F.filter(F.coalesce(d["streams"], F.array().cast("array<struct<codec_type:string,sample_rate:string,channels:int>>")), lambda s: s["codec_type"] == "audio")
-    rows = probes.select("recording_id", "name", "size_bytes", seconds.alias("seconds"), F.try_element_at(audio, F.lit(1)).alias("a"))
+    rows = probes.select("recording_id", "name", "size_bytes", seconds.alias("seconds"), whole_ms(d["format"]["duration"]).alias("ms"), F.try_element_at(audio, F.lit(1)).alias("a"))
     error = F.when(~F.coalesce(F.col("seconds") > 0, F.lit(False)), "invalid duration").when(F.col("a").isNull(), "no audio stream")
     good = lambda c: F.when(error.isNull(), c)
-    return rows.select("recording_id", good(extension(F.col("name"))).alias("format"), good((F.col("seconds") * 1000).try_cast("long")).alias("duration_ms"), "size_bytes", good(F.coalesce(F.col("a.sample_rate").try_cast("int"), F.lit(0))).alias("sample_rate"), good(F.coalesce("a.channels", F.lit(0))).alias("channels"), error.alias("error"))
+    return rows.select("recording_id", good(extension(F.col("name"))).alias("format"), good(F.col("ms")).alias("duration_ms"), "size_bytes", good(F.coalesce(F.col("a.sample_rate").try_cast("int"), F.lit(0))).alias("sample_rate"), good(F.coalesce("a.channels", F.lit(0))).alias("channels"), error.alias("error"))
 
 
 def metadata(probes: DataFrame, chunks: DataFrame) -> DataFrame:
