@@ -81,7 +81,8 @@ def _voices(seg):
     """Words of two voices: odd segments begin 4 s early, over the other's words; every fourth ends a turn, some begin untimed."""
     early = F.when(F.col("seg_idx") % 2 == 1, F.least(F.lit(4000), F.col("start_ms") - 300 * F.col("pos"))).otherwise(0)
     last = F.col("pos") == F.max("pos").over(Window.partitionBy("recording_id", "seg_idx"))
-    return words(seg).select(
+    # spread anew as words, which take more room than their texts, before they are sorted
+    return words(seg).repartition("recording_id", "seg_idx").select(
         "recording_id", (F.col("seg_idx") * 1_000_000 + F.col("pos")).alias("unit_idx"), F.col("word").alias("text"), F.when(F.col("seg_idx") % 2 == 1, "B").otherwise("A").alias("speaker"),
         (F.col("start_ms") - early).alias("start_ms"), (F.col("end_ms") - early).alias("end_ms"), (last & (F.col("seg_idx") % 4 == 1)).alias("turn"), ((F.col("pos") == 0) & (F.col("seg_idx") % 6 == 5)).alias("untimed"),
     )
