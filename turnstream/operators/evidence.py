@@ -16,6 +16,8 @@ from . import quality
 # fixed values: reach in seconds, and the limits of support, disagreement and acceptance
 REACH, SUPPORTED, TEXTS_DIFFER, CANDIDATES_DIFFER, LEAST_QUALITY, LEAST_TIMES, CONFIDENT = 8, 0.55, 0.72, 0.82, 78, 85, 0.75
 WORD_TOLERANCE_MS, TURN_TOLERANCE_MS = 400, 1000
+#: Time of a bucket of joins in time, in seconds; of overlaps of chunks, in milliseconds.
+BUCKET, LAP_MS = 8 * REACH, 5000
 _KEYS = ["recording_id", "seg_idx"]
 
 
@@ -53,16 +55,7 @@ def best_matches(final: DataFrame, candidates: DataFrame) -> DataFrame:
     Returns recording_id, seg_idx, candidate_id, match_idx, similarity, ws.  Ties go to the nearer, then the earlier
     segment.  Segments whose timestamp cannot be read match nothing; a final one counts as at 0.
     """
-    bucket = lambda c: F.floor(c / REACH)
-    one = numbered_words(final.select(*_KEYS, "timestamp", "text")).select(*_KEYS, F.coalesce(parse_timestamp(F.col("timestamp")), F.lit(0)).alias("t"), F.col("ws").alias("own"))
-    # of the two sides the final one is the smaller: it is sent to the buckets around its own
-    one = one.withColumn("bucket", F.explode(F.sequence(bucket(F.col("t")) - 1, bucket(F.col("t")) + 1)))
-    two = numbered_words(candidates.select(*_KEYS, "candidate_id", "timestamp", "text")).select("recording_id", F.col("seg_idx").alias("match_idx"), "candidate_id", parse_timestamp(F.col("timestamp")).alias("u"), "ws")
-    two = two.where("u is not null").withColumn("bucket", bucket(F.col("u")))
-    near = one.join(two, ["recording_id", "bucket"]).where(F.abs(F.col("t") - F.col("u")) <= REACH)
-    rated = near.withColumn("similarity", bag_similarity(F.col("own"), F.col("ws")))
-    best = F.min_by(F.struct("match_idx", "similarity", "ws"), F.struct(-F.col("similarity"), F.abs(F.col("t") - F.col("u")), "match_idx"))
-    return rated.groupBy(*_KEYS, "candidate_id").agg(best.alias("m")).select(*_KEYS, "candidate_id", "m.*")
+    return _matched(final, candidates).where("candidate_id is not null").drop("bucket")
 
 
 def run_evidence(final: DataFrame, candidates: DataFrame, selected: tuple[str, ...] = ()) -> DataFrame:
@@ -199,29 +192,24 @@ def nearest_units(previous: DataFrame, current: DataFrame, spans: DataFrame, gen
     start_ms, turn, untimed.  spans: recording_id, chunk_idx, start_ms, end_ms.  generic: only `Speaker N` labels of
     previous count.  Returns recording_id, chunk_idx, unit_idx, raw, label, match_idx.
 
-    An as-of merge: the overlaps of both sides are sorted together, once by time and once by time for each text.
+    A join of both overlaps by a time bucket, in which each unit lies once and what may be near it in one or two.
     """
     order = Window.partitionBy("recording_id").orderBy("chunk_idx")
     keys = ["recording_id", "chunk_idx"]
     lap = spans.select(*keys, F.col("start_ms").alias("lo"), F.lag("end_ms").over(order).alias("hi")).where("hi is not null")
     now = current.where("not untimed and speaker != ''").join(lap, keys).where("start_ms >= lo and start_ms < hi")
     was = previous.where(~F.col("untimed") & (is_generic("speaker") if generic else F.lit(True))).withColumn("chunk_idx", F.col("chunk_idx") + 1).join(lap, keys).where((F.col("start_ms") >= F.col("lo") - TURN_TOLERANCE_MS) & (F.col("start_ms") < F.col("hi")))
-    # both sides in one order of time: what is nearest to a unit is the last before it or the next after it
-    row = lambda df, is_unit: df.select(*keys, "unit_idx", "speaker", F.col("start_ms").alias("at"), normalise(F.col("text")).alias("norm"), F.when(F.col("turn"), TURN_TOLERANCE_MS).otherwise(WORD_TOLERANCE_MS).alias("tol"), "lo", F.lit(is_unit).alias("is_unit"))
-    both = row(now, True).unionByName(row(was, False))
-    own = F.struct("at", F.col("unit_idx").alias("match_idx"), F.col("speaker").alias("label"))
-    known = F.when(~F.col("is_unit"), own)
-
-    def sides(name: str, *by: str) -> dict[str, Column]:
-        """The nearest row at or before a row, and at or after it; of equal times the lowest index, which either order has last."""
-        nearest = lambda at: F.last(known, ignorenulls=True).over(Window.partitionBy(*keys, *by).orderBy(at, "is_unit", F.desc("unit_idx")).rowsBetween(Window.unboundedPreceding, 0))
-        return {f"{name}_last": nearest(F.asc("at")), f"{name}_next": nearest(F.desc("at"))}
-
-    found = both.withColumns(sides("any")).withColumns(sides("same", "norm")).where("is_unit")
-    within = lambda x, same: F.when(x.isNotNull() & (F.abs(x["at"] - F.col("at")) <= F.col("tol")) & (x["at"] >= F.col("lo") - F.col("tol")), F.struct(F.lit(not same).alias("other"), F.abs(x["at"] - F.col("at")).alias("far"), x["match_idx"].alias("match_idx"), x["label"].alias("label")))
-    same = lambda c: F.when(F.col("norm") != "", within(F.col(c), True))
-    choices = F.array_compact(F.array(same("same_last"), same("same_next"), within(F.col("any_last"), False), within(F.col("any_next"), False)))
-    return found.withColumn("m", F.array_min(choices)).where("m is not null").select(*keys, "unit_idx", F.col("speaker").alias("raw"), "m.label", "m.match_idx")
+    norm = F.coalesce(normalise(F.col("text")), F.lit("")).alias
+    unit = now.select(*keys, "unit_idx", F.col("speaker").alias("raw"), F.col("start_ms").alias("at"), norm("norm"), F.when(F.col("turn"), TURN_TOLERANCE_MS).otherwise(WORD_TOLERANCE_MS).alias("tol"), "lo").withColumn("bucket", F.floor(F.col("at") / LAP_MS))
+    known = was.select(*keys, F.col("unit_idx").alias("match_idx"), F.col("speaker").alias("label"), F.col("start_ms").alias("heard"), norm("known"))
+    known = known.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("heard") - TURN_TOLERANCE_MS) / LAP_MS), F.floor((F.col("heard") + TURN_TOLERANCE_MS) / LAP_MS))))
+    by = [*keys, "bucket"]
+    far = F.abs(F.col("heard") - F.col("at"))
+    # both sides are cut out of whole chunks: spread anew, they take no room beside what cut them
+    near = unit.repartition(*by).join(known.repartition(*by), by).where((far <= F.col("tol")) & (F.col("heard") >= F.col("lo") - F.col("tol")))
+    other = (F.col("norm") == "") | (F.col("norm") != F.col("known"))
+    best = F.min(F.struct(other.alias("other"), far.alias("far"), "match_idx", "label"))
+    return near.groupBy(*by, "unit_idx").agg(best.alias("m"), F.first("raw").alias("raw")).select(*keys, "unit_idx", "raw", "m.label", "m.match_idx")
 
 
 def speaker_votes(nearest: DataFrame) -> DataFrame:

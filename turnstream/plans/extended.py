@@ -33,6 +33,8 @@ def chunk_units(seg: DataFrame, jitter: int = 0, tail: bool = False) -> DataFram
     heard = words(seg).join(last, "recording_id").where((F.col("start_ms") < F.col("total")) | late_words).withColumn("chunk_idx", F.explode(F.sequence(F.when(late_words, F.col("last")).otherwise(first), F.expr("least(start_ms div 15000, last)"))))
     heard = heard.where((F.col("start_ms") >= F.col("chunk_idx") * 15000) & (late_words | (F.col("start_ms") < F.col("chunk_idx") * 15000 + 20000)))
     order = Window.partitionBy("recording_id", "chunk_idx").orderBy("start_ms", "seg_idx", "pos")
+    # words take more room than the texts they come from: spread anew before they are sorted
+    heard = heard.repartition("recording_id", "chunk_idx")
     late = F.col("chunk_idx") % 2 * jitter
     return heard.withColumn("unit_idx", F.row_number().over(order).cast("long")).select("recording_id", "chunk_idx", "unit_idx", F.col("word").alias("text"), "speaker", (F.col("start_ms") + late).alias("start_ms"), (F.col("end_ms") + late).alias("end_ms"), F.lit(False).alias("turn"), F.lit(False).alias("untimed"))
 
