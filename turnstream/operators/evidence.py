@@ -49,6 +49,24 @@ def bag_similarity(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).otherwise(rate(F.size(F.array_intersect(a, b))))
 
 
+def _matched(final: DataFrame, candidates: DataFrame, *carried: str) -> DataFrame:
+    """best_matches with bucket and the carried columns of final; a segment without a match is one row without candidate_id.
+
+    A final segment lies in one wide bucket, a candidate's in its own and, near the bound, the next: texts are shuffled
+    once, their words are made after that, and all groups of a segment are found where its bucket is.
+    """
+    bucket = lambda c: F.floor(c / BUCKET)
+    one = final.select(*_KEYS, *carried, "text", F.coalesce(parse_timestamp(F.col("timestamp")), F.lit(0)).alias("t")).withColumn("bucket", bucket(F.col("t"))).repartition("recording_id", "bucket")
+    one = numbered_words(one).drop("text").withColumnRenamed("ws", "own")
+    two = candidates.select(F.col("recording_id").alias("of"), F.col("seg_idx").alias("match_idx"), "candidate_id", "text", parse_timestamp(F.col("timestamp")).alias("u")).where("u is not null")
+    two = two.withColumn("home", F.explode(F.sequence(bucket(F.col("u") - REACH), bucket(F.col("u") + REACH)))).repartition("of", "home")
+    two = numbered_words(two).drop("text")
+    near = one.join(two, (F.col("recording_id") == F.col("of")) & (F.col("bucket") == F.col("home")) & (F.abs(F.col("t") - F.col("u")) <= REACH), "left")
+    rated = near.withColumn("similarity", bag_similarity(F.col("own"), F.col("ws")))
+    best = F.min_by(F.struct("match_idx", "similarity", "ws"), F.struct(-F.col("similarity"), F.abs(F.col("t") - F.col("u")), "match_idx"))
+    return rated.groupBy("recording_id", "bucket", "seg_idx", "candidate_id").agg(best.alias("m"), *(F.first(c).alias(c) for c in carried)).select(*_KEYS, "bucket", *carried, "candidate_id", "m.*")
+
+
 def best_matches(final: DataFrame, candidates: DataFrame) -> DataFrame:
     """Per final segment and candidate_id the candidate's segment within REACH seconds that is worded most like it.
 
@@ -65,17 +83,16 @@ def run_evidence(final: DataFrame, candidates: DataFrame, selected: tuple[str, .
     named) is among the sources, else review_required; a segment that is not disputed is adjudicated.
     Candidates are a handful of alternatives for each recording, so those of one segment fit a row.
     """
-    found = best_matches(final, candidates).groupBy(*_KEYS).agg(
-        F.array_sort(F.collect_list(F.when(F.col("similarity") >= SUPPORTED, F.col("candidate_id")))).alias("ids"), F.collect_list("ws").alias("texts")
+    found = _matched(final.withColumn("location", review_location()), candidates, "timestamp", "location").groupBy("recording_id", "bucket", "seg_idx").agg(
+        F.array_sort(F.collect_list(F.when(F.col("similarity") >= SUPPORTED, F.col("candidate_id")))).alias("ids"), F.collect_list("ws").alias("texts"), F.first("timestamp").alias("timestamp"), F.first("location").alias("location")
     )
     later = lambda i: F.slice("texts", i + 2, F.size("texts"))
     pairs = F.flatten(F.transform("texts", lambda x, i: F.transform(later(i), lambda y: bag_similarity(x, y) < TEXTS_DIFFER)))
     differ = F.exists(pairs, lambda x: x)
-    rows = final.select(*_KEYS, "timestamp", "speaker", "text").join(found, _KEYS, "left")
-    ids = F.coalesce("ids", F.array().cast("array<string>"))
+    ids = F.col("ids")
     chosen = F.arrays_overlap(ids, F.array(*map(F.lit, selected))) if selected else F.size(ids) > 0
     disputed = F.coalesce(differ, F.lit(False))
-    return rows.select(*_KEYS, "timestamp", F.array_join(ids, ",").alias("sources"), (F.size(ids) > 0).alias("supported"), disputed.alias("disputed"), F.when(disputed & ~chosen, "review_required").otherwise("adjudicated").alias("status"), review_location().alias("location"))
+    return found.select(*_KEYS, "timestamp", F.array_join(ids, ",").alias("sources"), (F.size(ids) > 0).alias("supported"), disputed.alias("disputed"), F.when(disputed & ~chosen, "review_required").otherwise("adjudicated").alias("status"), "location")
 
 
 def review_location() -> Column:

@@ -17,8 +17,9 @@ def three_candidates(seg: DataFrame) -> DataFrame:
     """Candidate a: all segments; b: some missing; c: some misheard."""
     k = F.col("recording_id") + F.col("seg_idx")
     misheard = F.when(k % 3 == 0, F.translate("text", "e", "a")).otherwise(F.col("text"))
-    named = lambda df, n: df.withColumn("candidate_id", F.lit(n))
-    return named(seg, "a").unionByName(named(seg.where(k % 7 != 0), "b")).unionByName(named(seg.withColumn("text", misheard), "c"))
+    said = lambda n, words: F.struct(F.lit(n).alias("candidate_id"), words.alias("text"))
+    each = F.array_compact(F.array(said("a", F.col("text")), F.when(k % 7 != 0, said("b", F.col("text"))), said("c", misheard)))
+    return seg.withColumn("x", F.explode(each)).select(*(c for c in seg.columns if c != "text"), "x.*")
 
 
 def chunk_units(seg: DataFrame, jitter: int = 0, tail: bool = False) -> DataFrame:
@@ -32,9 +33,9 @@ def chunk_units(seg: DataFrame, jitter: int = 0, tail: bool = False) -> DataFram
     late_words = F.lit(tail) & (F.col("start_ms") >= F.col("total"))
     heard = words(seg).join(last, "recording_id").where((F.col("start_ms") < F.col("total")) | late_words).withColumn("chunk_idx", F.explode(F.sequence(F.when(late_words, F.col("last")).otherwise(first), F.expr("least(start_ms div 15000, last)"))))
     heard = heard.where((F.col("start_ms") >= F.col("chunk_idx") * 15000) & (late_words | (F.col("start_ms") < F.col("chunk_idx") * 15000 + 20000)))
-    order = Window.partitionBy("recording_id", "chunk_idx").orderBy("start_ms", "seg_idx", "pos")
     # words take more room than the texts they come from: spread anew before they are sorted
     heard = heard.repartition("recording_id", "chunk_idx")
+    order = Window.partitionBy("recording_id", "chunk_idx").orderBy("start_ms", "seg_idx", "pos")
     late = F.col("chunk_idx") % 2 * jitter
     return heard.withColumn("unit_idx", F.row_number().over(order).cast("long")).select("recording_id", "chunk_idx", "unit_idx", F.col("word").alias("text"), "speaker", (F.col("start_ms") + late).alias("start_ms"), (F.col("end_ms") + late).alias("end_ms"), F.lit(False).alias("turn"), F.lit(False).alias("untimed"))
 
