@@ -25,8 +25,11 @@ def milliseconds(offset: Column) -> Column:
     shape = r"^-?(?:[0-9]{1,6}h)?(?:[0-9]{1,8}m(?!s))?(?:[0-9]{1,9}(?:\.[0-9]{0,9})?s)?(?:[0-9]{1,9}(?:\.[0-9]{0,9})?ms)?\z"
     part = lambda unit, k: F.coalesce(F.regexp_extract(offset, rf"([0-9]+(?:\.[0-9]*)?){unit}", 1).try_cast("decimal(20,9)"), F.lit(0).cast("decimal(20,9)")) * k
     total = part("h", 3_600_000) + part("m(?!s)", 60_000) + part(r"(?<!m)s", 1000) + part("ms", 1)
-    sized = F.floor(total).cast("long")
-    return F.when(offset.rlike(shape) & offset.rlike("[hms]") & ~offset.rlike("^-?$"), F.when(F.startswith(offset, F.lit("-")), -sized).otherwise(sized))
+    # the common shape of services, seconds alone, needs one reading of the text
+    plain = F.regexp_extract(offset, r"^([0-9]{1,9}(?:\.[0-9]{0,9})?)s\z", 1)
+    sign = F.when(F.startswith(offset, F.lit("-")), -1).otherwise(1)
+    sized = F.when(offset.rlike(shape) & offset.rlike("[hms]") & ~offset.rlike("^-?$"), F.floor(total).cast("long") * sign)
+    return F.when(plain != "", F.floor(plain.try_cast("decimal(20,9)") * 1000).cast("long")).otherwise(sized)
 
 
 def word_units(responses: DataFrame) -> DataFrame:
@@ -43,32 +46,36 @@ def word_units(responses: DataFrame) -> DataFrame:
     keys = ["recording_id", "chunk_idx"]
     steps = F.from_json("payload", f"steps {STEPS}")["steps"]
     rows = responses.select(*keys, F.coalesce("offset_ms", F.lit(0)).cast("long").alias("offset_ms"), F.posexplode_outer(steps).alias("i", "step"))
-    rows = rows.where("step is null or step.type = 'model_output'").select(*keys, "offset_ms", "i", F.posexplode_outer("step.content").alias("j", "content"))
-    rows = rows.where("content is null or content.type = 'text'").select(*keys, "offset_ms", "i", "j", F.col("content.text").alias("whole"), F.posexplode_outer("content.annotations").alias("k", "w"))
+    # what holds no words stays as a row without one, so that every response is read once and has a row
+    rows = rows.select(*keys, "offset_ms", "i", F.posexplode_outer(F.when(F.col("step.type") == "model_output", F.col("step.content"))).alias("j", "content"))
+    rows = rows.select(*keys, "offset_ms", "i", "j", F.col("content.text").alias("whole"), F.posexplode_outer(F.when(F.col("content.type") == "text", F.col("content.annotations"))).alias("k", "w"))
     a, b = F.col("w.start_index"), F.col("w.end_index")
+    word = F.coalesce(F.col("w.type") == "word_info", F.lit(False))
     own = trimmed(F.coalesce("w.text", F.lit("")))
     ranged = (own == "") & (a.isNotNull() | b.isNotNull())
     size = F.octet_length(F.coalesce("whole", F.lit("")))
     bad_range = ranged & ~F.coalesce((a >= 0) & (b >= a) & (b <= size), F.lit(False))
     piece = F.substr(F.col("whole").cast("binary"), F.when(bad_range, 1).otherwise(F.coalesce(a, F.lit(0)) + 1), F.when(bad_range, 0).otherwise(F.coalesce(b - a, F.lit(0))))
     split = ranged & ~bad_range & ~F.is_valid_utf8(piece.cast("string"))
-    rows = rows.withColumns({"text": F.when(ranged & ~bad_range & ~split, trimmed(piece.cast("string"))).otherwise(own), "wrong": F.when(bad_range, "invalid word byte range").when(split, "word byte range splits UTF-8 text")})
-    words = rows.where("w.type = 'word_info'")
-    wrong = words.where("wrong is not null").groupBy(*keys).agg(F.min_by("wrong", F.struct("i", "j", "k")).alias("wrong"))
-    order = Window.partitionBy(*keys).orderBy("i", "j", "k")
-    spoken = words.where("text != ''").withColumns({"a": milliseconds(F.col("w.start_offset")), "b": milliseconds(F.col("w.end_offset"))})
-    spoken = spoken.withColumn("good", F.coalesce(F.col("a") >= 0, F.lit(False))).withColumn("run", F.sum(F.col("good").cast("int")).over(order))
+    wrong = F.when(word, F.when(bad_range, "invalid word byte range").when(split, "word byte range splits UTF-8 text"))
+    said = F.when(word, F.when(ranged & ~bad_range & ~split, trimmed(piece.cast("string"))).otherwise(own)).otherwise("")
+    rows = rows.select(*keys, "offset_ms", "i", "j", "k", said.alias("text"), wrong.alias("wrong"), F.coalesce("w.speaker", F.lit("")).alias("speaker"), F.when(word, milliseconds(F.col("w.start_offset"))).alias("a"), F.when(word, milliseconds(F.col("w.end_offset"))).alias("b"))
+    # words take more room than the payloads they come from: they are spread anew, and all windows then find them in place
+    rows = rows.withColumn("spoken", F.col("text") != "").withColumn("good", F.col("spoken") & F.coalesce(F.col("a") >= 0, F.lit(False))).repartition(*keys)
+    each = Window.partitionBy(*keys)
+    order = each.orderBy("i", "j", "k")
+    rows = rows.withColumns({"run": F.sum(F.col("good").cast("int")).over(order), "nth": F.row_number().over(order)})
     in_run = Window.partitionBy(*keys, "run").orderBy("i", "j", "k")
-    since = F.max(F.greatest("b", F.when(F.col("good"), F.col("a")))).over(in_run.rowsBetween(Window.unboundedPreceding, -1))
-    start = F.when(F.col("good"), F.col("a")).otherwise(F.greatest(F.coalesce(since, F.lit(0)), F.lit(0)))
-    spoken = spoken.withColumn("start", start).withColumn("fixed", ~F.col("good") | F.coalesce(F.col("b") < F.col("start"), F.lit(True)))
-    found = spoken.groupBy(*keys).agg(F.count_if("fixed").alias("repaired"), F.bool_or("good").alias("timed"))
-    verdict = responses.select(*keys).distinct().join(wrong, keys, "left").join(found, keys, "left").withColumn("error", F.coalesce("wrong", F.when(~F.coalesce("timed", F.lit(False)), "no word annotations")))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("start", "i", "j", "k")) - 1
-    units = spoken.withColumn("unit_idx", rank.cast("long")).join(verdict.where("error is null").select(*keys, "repaired"), keys)
-    good = units.select(*keys, "unit_idx", "text", F.coalesce("w.speaker", F.lit("")).alias("speaker"), (F.col("offset_ms") + F.col("start")).alias("start_ms"), (F.col("offset_ms") + F.greatest("start", F.coalesce("b", "start"))).alias("end_ms"), "repaired", F.lit(None).cast("string").alias("error"))
-    failed = verdict.where("error is not null").selectExpr(*keys, "cast(null as bigint) unit_idx", "cast(null as string) text", "cast(null as string) speaker", "cast(null as bigint) start_ms", "cast(null as bigint) end_ms", "cast(null as bigint) repaired", "error")
-    return good.unionByName(failed)
+    since = F.max(F.when(F.col("spoken"), F.greatest("b", F.when(F.col("good"), F.col("a"))))).over(in_run.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("start", F.when(F.col("good"), F.col("a")).otherwise(F.greatest(F.coalesce(since, F.lit(0)), F.lit(0))))
+    fixed = F.col("spoken") & (~F.col("good") | F.coalesce(F.col("b") < F.col("start"), F.lit(True)))
+    rank = F.row_number().over(each.orderBy(F.desc("spoken"), "start", "i", "j", "k")) - 1
+    first_wrong = F.min(F.when(F.col("wrong").isNotNull(), F.struct("i", "j", "k", "wrong"))).over(each)["wrong"]
+    rows = rows.withColumns({"unit_idx": rank.cast("long"), "repaired": F.count_if(fixed).over(each), "error": F.coalesce(first_wrong, F.when(~F.bool_or("good").over(each), "no word annotations"))})
+    bad = F.col("error").isNotNull()
+    kept = rows.where((bad & (F.col("nth") == 1)) | (~bad & F.col("spoken")))
+    of = lambda c, name: F.when(~bad, c).alias(name)
+    return kept.select(*keys, of(F.col("unit_idx"), "unit_idx"), of(F.col("text"), "text"), of(F.col("speaker"), "speaker"), of(F.col("offset_ms") + F.col("start"), "start_ms"), of(F.col("offset_ms") + F.greatest("start", F.coalesce("b", "start")), "end_ms"), of(F.col("repaired"), "repaired"), "error")
 
 
 #: fixed values: what stands before a text that came without times, and who says it
@@ -78,7 +85,7 @@ UNTIMED, UNTRANSCRIBED = "[word timestamps unavailable] ", "Untranscribed"
 def timed_units(responses: DataFrame) -> DataFrame:
     """word_units, with turn and untimed: a response that has text but no word annotations is one untimed unit at its offset instead of an error."""
     keys = ["recording_id", "chunk_idx"]
-    units = word_units(responses).withColumns({"turn": F.lit(False), "untimed": F.lit(False)})
+    units = word_units(responses)
     steps = F.coalesce(F.from_json("payload", f"steps {STEPS}")["steps"], F.array().cast(STEPS))
     said = responses.select(*keys, F.coalesce("offset_ms", F.lit(0)).cast("long").alias("offset"), trimmed(response_text(steps)).alias("said")).where("said != ''")
     bare = units.where("error = 'no word annotations'").select(*keys).join(said, keys)
