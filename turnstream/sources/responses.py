@@ -87,11 +87,15 @@ def timed_units(responses: DataFrame) -> DataFrame:
     keys = ["recording_id", "chunk_idx"]
     units = word_units(responses)
     steps = F.coalesce(F.from_json("payload", f"steps {STEPS}")["steps"], F.array().cast(STEPS))
-    said = responses.select(*keys, F.coalesce("offset_ms", F.lit(0)).cast("long").alias("offset"), trimmed(response_text(steps)).alias("said")).where("said != ''")
-    bare = units.where("error = 'no word annotations'").select(*keys).join(said, keys)
-    whole = bare.select(*keys, F.lit(0).cast("long").alias("unit_idx"), F.concat(F.lit(UNTIMED), "said").alias("text"), F.lit(UNTRANSCRIBED).alias("speaker"), F.col("offset").alias("start_ms"), F.col("offset").alias("end_ms"), F.lit(0).cast("long").alias("repaired"), F.lit(None).cast("string").alias("error"), F.lit(True).alias("turn"), F.lit(True).alias("untimed"))
-    kept = units.join(bare.select(*keys), keys, "left_anti")
-    return kept.select(whole.columns).unionByName(whole)
+    texts = responses.select(F.col("recording_id").alias("of"), F.col("chunk_idx").alias("at"), F.coalesce("offset_ms", F.lit(0)).cast("long").alias("offset"), trimmed(response_text(steps)).alias("said")).where("said != ''")
+    # the text belongs to rows of errors alone
+    rows = units.join(texts, (F.col("recording_id") == F.col("of")) & (F.col("chunk_idx") == F.col("at")) & (F.col("error") == "no word annotations"), "left")
+    bare = F.col("said").isNotNull()
+    of = lambda c, name: F.when(bare, c).otherwise(F.col(name)).alias(name)
+    return rows.select(
+        *keys, of(F.lit(0).cast("long"), "unit_idx"), of(F.concat(F.lit(UNTIMED), "said"), "text"), of(F.lit(UNTRANSCRIBED), "speaker"), of(F.col("offset"), "start_ms"), of(F.col("offset"), "end_ms"), of(F.lit(0).cast("long"), "repaired"),
+        F.when(~bare, F.col("error")).alias("error"), bare.alias("turn"), bare.alias("untimed"),
+    )
 
 
 def dispatched_segments(responses: DataFrame, direct: Column) -> DataFrame:
