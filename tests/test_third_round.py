@@ -114,3 +114,8 @@ def test_cues_are_made_a_slice_at_a_time():
     batch = pa.RecordBatch.from_pydict({"recording_id": [1] * n, "seg_idx": list(range(n)), "speaker": ["A"] * n, "text": ["some words"] * n, "start": [0.0] * n, "stop": [1.0] * n})
     out = list(subtitles._texts(False)(iter([batch])))
     assert len(out) == 4 and [x for b in out for x in b.column("seg_idx").to_pylist()] == list(range(n))
+
+
+def test_cues_round_as_their_sql(spark):
+    rows = spark.createDataFrame([(2.0035,), (128.5836,), (2.0,)], "start double").select(extended._thousandths("start")).collect()
+    assert [x.start for x in rows] == [2.003, 128.584, 2.0]

@@ -155,6 +155,8 @@ def _replaced(c):
 
 
 _seg = lambda f: lambda s, d: f(segments(s, d))
+# round(c, 3) takes the shortest decimal of a double, 2.0035 to 2.004; the SQL takes it times 1000, 2003.4999999999998
+_thousandths = lambda c: (F.round(F.col(c) * 1000) / 1000).alias(c)
 _texts = lambda **cols: lambda s, d: table(s, d, "conversations").select("conv_id", "turn", *(f(F.col("text")).alias(n) for n, f in cols.items()))
 _loose = lambda: F.concat(F.lit(" "), F.col("turn").cast("string"), F.lit(":5:"), (F.col("conv_id") % 100).cast("string"))
 _codes = lambda: F.concat_ws(", ", F.concat(F.col("role"), F.lit("")), F.lit("en-us nl_NL;cmn-hans-cn es-419 EN-US"))
@@ -183,7 +185,7 @@ QUERIES = {
     "q_speech_turns": _parsed("turns"),
     "q_speech_phrases": _parsed("phrases"),
     "q_silence_log": _seg(lambda x: payloads.silence_spans(_silence_log(x))),
-    "q_cues": _seg(lambda x: subtitles.cues(x).select("recording_id", "cue_idx", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "speaker", "text")),
+    "q_cues": _seg(lambda x: subtitles.cues(x).select("recording_id", "cue_idx", _thousandths("start"), _thousandths("end"), "speaker", "text")),
     "q_export_txt": _seg(subtitles.render_text),
     "q_export_turns": _seg(lambda x: subtitles.render_text(x, False)),
     "q_export_srt": _seg(subtitles.render_srt),
