@@ -296,6 +296,34 @@ def test_pairs_of_long_lists_are_those_of_a_plain_search():
     assert unordered == {frozenset((i, j)) for i in range(len(rows)) for j in range(len(rows)) if i != j and fits(i, j)}
 
 
+def _bucket(rows):
+    """Pairs of lines that a bucket of one list of (line, n, spot, before) meets, and its entries that are left: (line, home)."""
+    line, n, spot, before = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+    out = [r for b in line_dedup._bucket_pairs(0, [(np.zeros(len(rows), np.int64), line, n, spot, before, np.ones(len(rows), np.int64))]) for r in b.to_pylist()]
+    return {(r["line"], r["other"]) for r in out if r["other"] is not None}, {(r["line"], r["home"]) for r in out if r["other"] is None}
+
+
+def test_a_long_list_of_lines_that_are_not_near_meets_at_once():
+    r = random.Random(2)
+    rows = [(k, r.randint(64, 2000), r.randint(0, 60), r.choice([0, 0, 3])) for k in range(500)]
+    pairs, left = _bucket(rows)
+    near = lambda a, b: max(abs(a[1] - b[1]), abs(a[2] - b[2])) <= min(a[1], b[1]) // 32
+    assert left == set() and pairs == {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and near(a, b) and (a[3] != b[3] or not a[3])}
+
+
+def test_only_entries_near_too_many_are_left_for_later(monkeypatch):
+    monkeypatch.setattr(line_dedup, "NEAR", 80)
+    rows = [(k, 100, 5, 0) for k in range(90)] + [(90, 103, 6, 0), (91, 300, 5, 0), (92, 301, 5, 0)] + [(100 + k, 1000 + 50 * k, 5, 0) for k in range(20)]
+    pairs, left = _bucket(rows)
+    assert left == {(k, 1) for k in range(90)} | {(90, 0)} and (91, 92) in pairs
+    assert {x for p in pairs for x in p if x < 90} == set(range(90))
+
+
+def test_long_lines_that_are_left_for_later_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "NEAR", 1)
+    test_long_lines_against_brute_force(spark, monkeypatch, 2)
+
+
 @pytest.mark.parametrize("hot", [64, 2])
 def test_many_insertions_at_neighbouring_places_are_one_class(spark, monkeypatch, hot):
     monkeypatch.setattr(line_dedup, "HOT", hot)

@@ -18,18 +18,20 @@ line and the distance to it: two entries that agree in that have met in that gra
 meet are first compared by the counts of their code points in BINS classes (k edits change them by 2 k at most),
 then by banded bit-parallel edit distance.
 
-Where a list holds more than HOT lines - many variants of one long line, or a common phrase - its entries at first
-meet only the most frequent lines of their own and the next cells of length and place; lines that chains of
-links then join are not compared again, and what is left of the list is compared in blocks of like length and
-place.  Short lines in long lists are filed again under one half of the segment that is still open, until lists
+Where more than NEAR entries of a list are as near to one of them in length and place as lines that are alike - many
+variants of one long line - that entry and those near it at first meet only the most frequent lines of their own and
+the next cells of length and place; lines that chains of links then join are not compared again, and what is left is
+compared in blocks of like length and place.  All other entries meet those near them where the list is, however long
+it is: a common phrase stands at any place of lines of any length.  Short lines in long lists are filed again under one half of the segment that is still open, until lists
 are short or closed.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,15 +50,19 @@ LEAST_CHARS = 8
 #: Code points from which two edits or more are allowed.
 LONG = 2 * SHARE
 HOT = 64
-#: The same for lists of long lines.
+#: Entries of a list of long lines up to which all later ones are tried in turn.
 HOT_LONG = 64
+#: Entries near one of a longer list up to which it meets all of them at once.
+NEAR = 512
 #: Code points in a gram of a long line.
 GRAM = 12
 #: Lengths of the shorter line at which the stretch that stays intact is taken anew.
 LEVELS = (LONG, 80, 96, 112, 128, 160, 192, 256, 512)
 #: Entries of a chunk, and of a bucket on average.
-CHUNK_ENTRIES = 2_000_000
-BUCKET_ENTRIES = 2_000_000
+CHUNK_ENTRIES = 1_000_000
+BUCKET_ENTRIES = 1_000_000
+#: Pairs of entries that a task holds.
+PAIRS = 1 << 20
 #: Places of a gram in a block of a long list.
 PLACES = 256
 #: Classes of code points that are counted in each line.
@@ -64,7 +70,8 @@ BINS = 64
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BLOBS = "bucket int, chunk long, body binary"
-_MET = "key long, line long, spot long, other long, node binary, bins binary, n int, before int"
+_MET = "key long, line long, spot long, other long, node binary, bins binary, n int, before int, home int"
+_MET_NAMES = [x.split()[0] for x in _MET.split(", ")]
 _KEYS = "key long, line long, n int, longer boolean, open_from int, open_to int"
 
 
@@ -381,8 +388,63 @@ def _unique_pairs(line: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]])
     return x[new], y[new]
 
 
-def _bucket_pairs(bucket: int, parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    """Pairs of a bucket's lists of up to HOT_LONG entries; of longer lists the entries, each paired with frequent lines near it."""
+def _reach(key: np.ndarray, n: np.ndarray, spot: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Entries i and the ranges lo to hi of those of their list, as long or longer, that are near in length and place.
+
+    Entries are sorted by key, n and spot.  An entry has a range for each length that occurs near its own.
+    """
+    if not len(key):
+        return
+    bits = int(max(n.max(), spot.max()) * 1.04).bit_length() + 1
+    of = np.cumsum(np.r_[False, key[1:] != key[:-1]]).astype(np.int64)
+    sizes = of << np.int64(bits) | n
+    fresh = np.r_[True, sizes[1:] != sizes[:-1]]
+    known = sizes[fresh]
+    # of entries alike in list, length and place the first stands for all
+    place = (np.cumsum(fresh) - 1) << np.int64(bits) | spot
+    alike = np.r_[True, place[1:] != place[:-1]]
+    i = np.flatnonzero(alike)
+    most = n[i] // SHARE
+    for own, size in _ranges(np.searchsorted(known, sizes[i]), np.searchsorted(known, sizes[i] + most, side="right")):
+        at, near = spot[i[own]], most[own]
+        lo = np.searchsorted(place, size << np.int64(bits) | np.maximum(at - near, 0))
+        hi = np.searchsorted(place, size << np.int64(bits) | at + near, side="right")
+        some = hi > lo
+        yield own[some], lo[some], hi[some]
+
+
+def _crowded(key: np.ndarray, n: np.ndarray, spot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether more than NEAR entries are near each one in its list, and whether it is one of those or near one."""
+    place = np.r_[True, (key[1:] != key[:-1]) | (n[1:] != n[:-1]) | (spot[1:] != spot[:-1])][: len(key)]
+    each = np.cumsum(place) - 1
+    count = np.zeros(int(place.sum()), np.int64)
+    for own, lo, hi in _reach(key, n, spot):
+        np.add.at(count, own, hi - lo)
+    crowded = count > NEAR
+    edge = np.zeros(len(key) + 1, np.int64)
+    if crowded.any():
+        for own, lo, hi in _reach(key, n, spot):
+            some = crowded[own]
+            np.add.at(edge, lo[some], 1)
+            np.add.at(edge, hi[some], -1)
+    return crowded[each], crowded[each] | (np.cumsum(edge)[:-1] > 0)
+
+
+def _pair_batches(line: np.ndarray, found: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Rows of _MET of the pairs of entries, each pair of lines once in about PAIRS of them."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for last, (i, j) in chain(((False, f) for f in found), [(True, (line[:0], line[:0]))]):
+        held.append((i, j))
+        if last or sum(len(f[0]) for f in held) >= PAIRS:
+            x, y = _unique_pairs(line, held)
+            zero, none = pa.array(np.zeros(len(x), np.int64)), pa.nulls(len(x), pa.binary())
+            none_here = pa.array(np.zeros(len(x), np.int32))
+            yield pa.RecordBatch.from_arrays([zero, pa.array(x), zero, pa.array(y), none, none, none_here, none_here, none_here], _MET_NAMES)
+            held = []
+
+
+def _bucket_pairs(bucket: int, parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a bucket's lists; of entries that too many are near the entries themselves, paired with frequent lines near them."""
     columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
     order = np.argsort(columns[0])
     same = np.diff(columns[0][order]) == 0
@@ -394,27 +456,25 @@ def _bucket_pairs(bucket: int, parts: list[tuple[np.ndarray, ...]]) -> pa.Record
     size = np.diff(np.r_[start, len(key)])
     of = np.repeat(np.arange(len(start)), size)
     hot = size[of] > HOT_LONG
-    found = list(_sweep(key, n, spot, before, np.flatnonzero(~hot)))
-    much = np.flatnonzero(hot)
+    long = np.flatnonzero(hot)
+    home, around = _crowded(key[long], n[long], spot[long])
+    much = long[around]
+
+    def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        yield from _sweep(key, n, spot, before, np.flatnonzero(~hot))
+        if not home.all():
+            for i, j in _near_pairs(key[long], n[long], spot[long], before[long], ~home):
+                yield long[i], long[j]
+        if len(much):
+            for j in _centres(of[much], line[much], n[much], spot[much], times[much]):
+                ok = _near(n, spot, much, much[j])
+                yield much[ok], much[j][ok]
+
+    yield from _pair_batches(line, found())
     if len(much):
-        for j in _centres(of[much], line[much], n[much], spot[much], times[much]):
-            ok = _near(n, spot, much, much[j])
-            found.append((much[ok], much[j][ok]))
-    x, y = _unique_pairs(line, found)
-    zero, none = np.zeros(len(x), np.int64), len(x) + len(much)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.r_[zero, key[much] + (bucket << 32)]),
-            pa.array(np.r_[x, line[much]]),
-            pa.array(np.r_[zero, spot[much]]),
-            pa.array(np.r_[y, np.zeros(len(much), np.int64)], mask=np.r_[np.zeros(len(x), bool), np.ones(len(much), bool)]),
-            pa.nulls(none, pa.binary()),
-            pa.nulls(none, pa.binary()),
-            pa.array(np.r_[zero, n[much]].astype(np.int32)),
-            pa.array(np.r_[zero, before[much]].astype(np.int32)),
-        ],
-        [x.split()[0] for x in _MET.split(", ")],
-    )
+        none = pa.nulls(len(much), pa.binary())
+        named = [pa.array(key[much] + (bucket << 32)), pa.array(line[much]), pa.array(spot[much]), pa.nulls(len(much), pa.int64()), none, none]
+        yield pa.RecordBatch.from_arrays([*named, *(pa.array(c.astype(np.int32)) for c in (n[much], before[much], home[around]))], _MET_NAMES)
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -425,15 +485,15 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if b < 0:
                 line, nodes, bins, n = _table(chunk, body)
                 none = pa.nulls(len(line), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, pa.array(line), none, none, pa.array(nodes, pa.binary()), pa.array(bins, pa.binary()), pa.array(n.astype(np.int32)), pa.nulls(len(line), pa.int32())], [x.split()[0] for x in _MET.split(", ")])
+                yield pa.RecordBatch.from_arrays([none, pa.array(line), none, none, pa.array(nodes, pa.binary()), pa.array(bins, pa.binary()), pa.array(n.astype(np.int32)), pa.nulls(len(line), pa.int32()), pa.nulls(len(line), pa.int32())], _MET_NAMES)
                 continue
             if b != bucket and held:
-                yield _bucket_pairs(bucket, held)
+                yield from _bucket_pairs(bucket, held)
                 held = []
             bucket = b
             held.append(_entries(chunk, body))
     if held:
-        yield _bucket_pairs(bucket, held)
+        yield from _bucket_pairs(bucket, held)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list]:
@@ -684,12 +744,23 @@ def _md5(line: Column | str) -> Column:
     return F.unhex(F.md5(F.col(line).cast("binary") if isinstance(line, str) else line))
 
 
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs a, b (nodes) of lines that are alike.  texts: node, text of the lines, repeated or not."""
-    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), "line-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    found = possibly_in(texts, "node", wanted, "node").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    found = materialize(found, "line-texts")
+def _pairs(pairs: DataFrame) -> DataFrame:
+    """Each pair a, b (nodes) once."""
+    return materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), "line-pairs")
+
+
+def _texts(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, text of the wanted nodes.  texts: node, text of the lines, repeated or not."""
+    wanted = wanted.distinct()
+    return materialize(possibly_in(texts, "node", wanted, "node").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "line-texts")
+
+
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
+
+
+def _links(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs a, b (nodes) of lines that are alike.  found: node, text of all of them."""
     both = pairs.join(found.toDF("a", "ta"), "a").join(found.toDF("b", "tb"), "b")
     return materialize(both.select("a", "b", "ta", "tb").mapInArrow(_verify, "a binary, b binary"), "line-links")
 
@@ -704,14 +775,19 @@ def long_links(docs: DataFrame, chars: int) -> DataFrame:
     table = found.where("node is not null").select("line", "node", "bins", "n")
     pairs = found.where("other is not null").select(F.col("line").alias("x"), F.col("other").alias("y")).distinct()
     both = pairs.join(table.toDF("x", "a", "abins", "an"), "x").join(table.toDF("y", "b", "bbins", "bn"), "y").where("a != b")
-    links = _links(both.select("a", "b", "an", "bn", "abins", "bbins").mapInArrow(_alike_counts, "a binary, b binary"), texts)
-    hot = found.where("node is null and other is null").select("key", "line", "spot", "n", "before")
-    if hot.isEmpty():
+    pairs = _pairs(both.select("a", "b", "an", "bn", "abins", "bbins").mapInArrow(_alike_counts, "a binary, b binary"))
+    hot = found.where("node is null and other is null").select("key", "line", "spot", "n", "before", "home")
+    none = hot.isEmpty()
+    # texts are read once, for the lines that are compared later too
+    wanted = _nodes(pairs) if none else _nodes(pairs).unionByName(table.join(hot.select("line").distinct(), "line").select("node"))
+    texts = _texts(wanted, texts)
+    links = _links(pairs, texts)
+    if none:
         return links
-    # in long lists, lines that chains join already need not be compared
+    # where too many are near, lines that chains join already need not be compared
     groups = components(links).select("node", F.col("class").alias("group"))
     named = table.drop("n").join(groups, "node", "left").select("line", "node", "bins", F.xxhash64(F.coalesce("group", "node")).alias("group"))
-    entries = hot.join(named, "line").groupBy("key", "n", "spot", "before", "node").agg(F.first("bins").alias("bins"), F.first("group").alias("group"))
+    entries = hot.join(named, "line").groupBy("key", "n", "spot", "before", "node").agg(F.first("bins").alias("bins"), F.first("group").alias("group"), F.max("home").alias("home"))
     entries = materialize(entries, "long-entries")
     mixed = entries.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low != high").select("key")
     # blocks of lengths half as wide as the lengths themselves, and of PLACES places; a line also stands in the blocks
@@ -724,10 +800,10 @@ def long_links(docs: DataFrame, chars: int) -> DataFrame:
         .withColumn("lengths", F.explode(F.array_distinct(F.array(length(F.col("n")), length(F.col("n") - most)))))
         .withColumn("places", F.explode(F.sequence(place(F.col("spot") - most), place(F.col("spot") + most))))
     )
-    home = (F.col("lengths") == length(F.col("n"))) & (F.col("places") == place(F.col("spot")))
+    home = (F.col("home") == 1) & (F.col("lengths") == length(F.col("n"))) & (F.col("places") == place(F.col("spot")))
     blocks = left.select(F.xxhash64("key", "lengths", "places").alias("key"), F.col("n").cast("long").alias("n"), "spot", "group", home.cast("int").alias("home"), F.col("before").cast("long").alias("before"), "node", "bins")
     across = blocks.repartition("key").sortWithinPartitions("key", "n", "spot").mapInArrow(_meet_across, "a binary, b binary")
-    return links.unionByName(_links(across, texts))
+    return links.unionByName(_links(_pairs(across), texts))
 
 
 def short_pairs(lines: DataFrame) -> DataFrame:
@@ -761,7 +837,8 @@ def short_links(lines: DataFrame) -> DataFrame:
     """Links a, b (nodes) of different lines one edit apart.  lines: node, short, text."""
     pairs, named = short_pairs(lines), lines.select("short", "node")
     both = pairs.join(named.toDF("x", "a"), "x").join(named.toDF("y", "b"), "y").select("a", "b")
-    return _links(both, lines.select("node", "text"))
+    found = _pairs(both)
+    return _links(found, _texts(_nodes(found), lines.select("node", "text")))
 
 
 def line_classes(docs: DataFrame) -> DataFrame:
@@ -776,18 +853,18 @@ def line_classes(docs: DataFrame) -> DataFrame:
     as those of a table do.
     """
     node = _md5("line").alias("node")
-    found = lines_of(docs).select(node, "doc_id", "line_no", F.char_length("line").alias("n_chars"))
+    n = F.char_length("line")
+    found = lines_of(docs).select(node, "doc_id", "line_no", n.alias("n_chars"), F.when(n.between(LEAST_CHARS, LONG), F.col("line")).alias("text"))
     rows = materialize(
-        found.groupBy("node").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("occurrences"), F.first("n_chars").alias("n_chars")),
+        found.groupBy("node").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("occurrences"), F.first("n_chars").alias("n_chars"), F.first("text").alias("text")),
         "lines",
     )
     chars = rows.where(F.col("n_chars") >= LONG).agg(F.sum(F.col("n_chars") * F.col("occurrences"))).first()[0] or 0
-    short = lines_of(docs).where(F.char_length("line").between(LEAST_CHARS, LONG)).groupBy("line").agg(F.lit(1))
-    short = materialize(short.select(node, F.xxhash64("line").alias("short"), F.col("line").alias("text")), "short-lines")
+    short = rows.where("text is not null").select("node", F.xxhash64("text").alias("short"), "text")
     links = short_links(short)
     if chars:
         links = links.unionByName(long_links(docs, chars))
-    groups = components(links)
+    groups, rows = components(links), rows.drop("text")
     linked = rows.join(groups, "node")
     heads = linked.groupBy("class").agg(F.min("first").alias("head"), F.count(F.lit(1)).alias("class_lines"))
     classes = materialize(linked.join(heads, "class").select("node", "head", "class_lines"), "line-classes")
