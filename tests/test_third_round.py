@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from turnstream.operators import evidence, folds, subtitles
 from turnstream.plans import extended, spanwise
-from turnstream.sources import media, payloads, responses
+from turnstream.sources import media, payloads, responses, stores
 
 SEG = "recording_id long, seg_idx long, speaker string, text string, start double, end double, timestamp string"
 
@@ -119,3 +119,13 @@ def test_cues_are_made_a_slice_at_a_time():
 def test_cues_round_as_their_sql(spark):
     rows = spark.createDataFrame([(2.0035,), (128.5836,), (2.0,)], "start double").select(extended._thousandths("start")).collect()
     assert [x.start for x in rows] == [2.003, 128.584, 2.0]
+
+
+def test_units_are_made_once_for_all_steps_of_a_stitch(spark, monkeypatch, tmp_path):
+    seg = spark.createDataFrame([(1, i, "AB"[i % 2], f"word {i} and more of it.", i * 7.0, i * 7.0 + 8, "") for i in range(12)], SEG)
+    stitched = lambda: folds.stitch_chunks(extended.turn_units(seg, 20), extended._spans(seg))
+    plain = sorted(map(tuple, stitched().collect()))
+    monkeypatch.setattr(stores, "shared", lambda spark: f"file://{tmp_path}")
+    once = stitched()
+    assert plain and sorted(map(tuple, once.collect())) == plain
+    assert "LogicalRDD" not in plan(once)

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def qualified(spark: SparkSession, path: str) -> str:
@@ -16,9 +16,14 @@ def qualified(spark: SparkSession, path: str) -> str:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
 
 
+def shared(spark: SparkSession) -> str | None:
+    """spark.checkpoint.dir, which driver and executors share."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share; where all is one process it may be unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("turnstream.work.dir", None)
+    base = shared(spark) or spark.conf.get("turnstream.work.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
@@ -27,6 +32,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{qualified(spark, base).rstrip('/')}/turnstream/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder once for all that read it; where spark.checkpoint.dir is unset, df itself."""
+    spark = df.sparkSession
+    if not shared(spark):
+        return df
+    path = scratch(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def open_store(path: str):
     """(file system, path) of a qualified path."""
     import pyarrow.fs as pafs
