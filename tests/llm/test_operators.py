@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 
 from turnstream.llm import decontaminate, exact_dedup, html_extract, line_dedup, near_dedup, packing, sharding, toxicity, url_filter, warc
-from turnstream.llm.common import word_hashes, text_buffer
+from turnstream.llm.common import in_small_batches, word_hashes, text_buffer
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -365,6 +365,36 @@ def test_near_duplicates(spark):
     assert near_dedup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_common_weight_sorts_no_shingles_by_node(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "RUN", 3)  # so that documents take several rows
+    texts = ["a b c d e f g h i j k l", "a b c d e f g h x y z w", "q r s t u v", ""]
+    shingle = near_dedup._shingler(type("Idf", (), {"value": np.ones(1 << near_dedup.CELL_BITS, np.float32)}))
+    batch = pa.RecordBatch.from_arrays([pa.array([b"1", b"2", b"3", b"4"]), pa.array(texts)], ["node", "text"])
+    rows = [r for b in shingle([batch]) for r in b.to_pylist()]
+    assert [(r["node"], len(r["shingles"])) for r in rows] == [(b"1", 3), (b"1", 3), (b"1", 2), (b"2", 3), (b"2", 3), (b"2", 2), (b"3", 2)]
+    tokens = spark.createDataFrame([(bytearray(r["node"]), r["shingles"], r["weights"]) for r in rows], "node binary, shingles array<long>, weights array<double>")
+    classes = spark.createDataFrame([(bytearray(b"1"), bytearray(b"1")), (bytearray(b"2"), bytearray(b"2")), (bytearray(b"3"), bytearray(b"3"))], "node binary, class binary")
+    found = near_dedup.common_weight(classes, tokens)
+    assert {bytes(r.node): r.c for r in found.collect()} == {b"1": 4.0, b"2": 4.0}
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_documents_reach_python_in_small_batches(spark, monkeypatch):
+    seen, key = [], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, count = spark.conf.get(key), near_dedup.sum_tables
+
+    def watched(rows, *rest):
+        seen.append(max(r.n for r in rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()))
+        return count(rows, *rest)
+
+    monkeypatch.setattr(near_dedup, "sum_tables", watched)
+    near_dedup.inverse_frequencies(docs(spark, [(1, "a")]))
+    with pytest.raises(AttributeError):
+        in_small_batches(lambda table: near_dedup.inverse_frequencies(table).missing)(docs(spark, [(i, "a b c") for i in range(2500)]).coalesce(1))
+    assert seen == [1, 1000] and spark.conf.get(key) == before
+    assert near_dedup.near_duplicates.__wrapped__ and toxicity.drop_toxic.__wrapped__
+
+
 def test_sampling_estimates_weighted_jaccard():
     r = np.random.default_rng(1)
     h = np.unique(r.integers(0, 1 << 48, 4000, dtype=np.uint64))

@@ -3,7 +3,8 @@ and byte-level word hashing over Arrow buffers."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a batch that Python gets at once from the operators that run in small batches.
+BATCH_ROWS = 1000
+
+
+def in_small_batches(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The operator with Arrow batches of BATCH_ROWS rows for all jobs that it runs before it returns.
+
+    Whole texts travel in them: a batch of the usual 10,000 rows takes tens of MB outside the heap of an executor, and
+    as much in each of its Python workers, which keep what they once took.
+    """
+
+    @wraps(operator)
+    def run(docs: DataFrame, *rest) -> DataFrame:
+        conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = conf.get(key)
+        if not 0 < int(before) <= BATCH_ROWS:
+            conf.set(key, str(BATCH_ROWS))
+        try:
+            return operator(docs, *rest)
+        finally:
+            conf.set(key, before)
+
+    return run
+
+
 def lower_ascii(c: Column | str) -> Column:
     """Lower-case A-Z only.  The engine's lower() is the same, and faster, where a text is all ASCII."""
     c = F.col(c) if isinstance(c, str) else c

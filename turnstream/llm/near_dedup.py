@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, materialize, mix, possibly_in, row_key, row_slices, sum_tables, table_rows, text_buffer, without, word_hashes
+from .common import in_small_batches, join_groups, materialize, mix, possibly_in, row_key, row_slices, sum_tables, table_rows, text_buffer, without, word_hashes
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -37,6 +37,8 @@ CELL_BITS = 18
 SEED = 20
 #: Documents of a band that are compared with the others in one task.
 BLOCK = 256
+#: Shingles of a document in one row, at most.
+RUN = 4096
 
 
 def shingles(column: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -191,37 +193,53 @@ def _verifier(idf):
     return verify
 
 
-def _exploder(idf):
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each different shingle of each document, with its weight."""
+def _shingler(idf):
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The different shingles of each document with their weights, in rows of RUN at most."""
         for whole in batches:
             _, offsets = text_buffer(whole.column(1))
             for lo, hi in row_slices(offsets):
                 batch = whole.slice(lo, hi - lo)
                 hashes, counts, bounds, _, _ = shingles(batch.column(1))
-                nodes = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), np.diff(bounds))))
                 weights = (counts * idf.value[_cells(hashes)]).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([nodes, pa.array(hashes.astype(np.int64)), pa.array(weights)], ["node", "shingle", "weight"])
+                pieces = -(-np.diff(bounds) // RUN)
+                row = np.repeat(np.arange(batch.num_rows), pieces)
+                start = bounds[row] + (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * RUN
+                cuts = pa.array(np.append(start, len(hashes)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(cuts, x) for x in (pa.array(hashes.astype(np.int64)), pa.array(weights))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *lists], ["node", "shingles", "weights"])
 
-    return explode
+    return shingle
 
 
-def linkable(rows: DataFrame, tokens: DataFrame) -> DataFrame:
+def mixed(rows: DataFrame, key: str) -> DataFrame:
+    """The keys of rows that hold several classes.  Classes are compared by 64-bit hash, which needs no sorting."""
+    name = F.xxhash64("class")
+    return rows.groupBy(key).agg(F.min(name).alias("low"), F.max(name).alias("high")).where("low != high").select(key)
+
+
+def common_weight(classes: DataFrame, tokens: DataFrame) -> DataFrame:
+    """node, c: the weight of a node's shingles that a node of another class has too.  classes: node, class; tokens as in linkable.
+
+    Shingles are joined with the classes as lists and taken apart after that, so that no task sorts them by node.
+    """
+    named = tokens.join(classes.select("node", F.xxhash64("class").alias("class")), "node")
+    spread = named.select("node", "class", F.explode(F.arrays_zip("shingles", "weights")).alias("x")).select("node", "class", F.col("x.shingles").alias("shingle"), F.col("x.weights").alias("weight"))
+    cross = spread.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("shingle")
+    return spread.select("node", "shingle", "weight").join(cross, "shingle").groupBy("node").agg(F.sum("weight").alias("c"))
+
+
+def linkable(rows: DataFrame, tokens: DataFrame, totals: DataFrame) -> DataFrame:
     """The rows (band, node, class and any others) that may link to another class in their band, with c and t.
 
-    tokens: node, shingle, weight of all nodes.  t is a node's weight, c the weight of its shingles that a node
-    of another class in rows has too.  Bands in which one class remains go.
+    tokens: node, shingles, weights (lists, see RUN) of all nodes.  totals: node and its weight t.  c is the weight of
+    a node's shingles that a node of another class in rows has too.  Bands in which one class remains go.
     """
-    classes = rows.select("node", "class").distinct()
-    named = tokens.join(classes, "node")
-    cross = named.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("shingle")
-    common = named.join(cross, "shingle").groupBy("node").agg(F.sum("weight").alias("c"))
-    weights = tokens.groupBy("node").agg(F.sum("weight").alias("t")).join(common, "node")
-    known = materialize(rows.join(weights, "node"), "weights")
+    common = common_weight(rows.select("node", "class").distinct(), tokens)
+    known = materialize(rows.join(common, "node").join(totals.toDF("node", "t"), "node"), "weights")
     least = known.groupBy("band").agg(F.min("t").alias("least"))
     some = known.join(least, "band").where(_bound(F.col("c"), F.col("t"), F.col("least"))).drop("least")
-    left = some.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("band")
-    return some.join(left, "band")
+    return some.join(mixed(some, "band"), "band")
 
 
 def _bound(c: Column, s: Column, t: Column) -> Column:
@@ -262,6 +280,7 @@ def joined(groups: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialize(moved.unionByName(roots.join(groups.select("node"), "node", "left_anti")), "classes")
 
 
+@in_small_batches
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, class_id, class_size, keep_id, kept, n_words, key (see row_key).
 
@@ -279,7 +298,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "signatures",
     )
     full = rows.where("n_words > 0")
-    nodes = materialize(full.groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.first("signature").alias("signature"), F.max("total").alias("total")), "nodes")
+    nodes = materialize(full.groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.first("signature").alias("signature"), F.max("total").alias("total"), F.count(F.lit(1)).alias("copies")), "nodes")
     totals = nodes.select("node", "total")
     bands = materialize(nodes.select("node", "signature").mapInArrow(_bands, "node binary, band long"), "bands")
 
@@ -311,17 +330,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     # bands that still hold several groups, without the documents that cannot link
     grouped = shared.where("n > 2").select("band", "node").join(groups, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    mixed = grouped.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("band")
-    left = materialize(grouped.join(mixed, "band"), "mixed")
-    tokens = materialize(texts_of(left.select("node"), "tokens").mapInArrow(_exploder(idf), "node binary, shingle long, weight double"), "tokens")
-    left = materialize(linkable(left, tokens), "linkable")
+    left = materialize(grouped.join(mixed(grouped, "band"), "band"), "mixed")
+    tokens = materialize(texts_of(left.select("node"), "tokens").mapInArrow(_shingler(idf), "node binary, shingles array<long>, weights array<double>"), "tokens")
+    left = materialize(linkable(left, tokens, totals), "linkable")
     hubs = left.groupBy("band").agg(F.max(F.struct(F.col("c") / F.col("t"), "node", "class", "c", "t")).alias("hub"))
     spokes = left.join(hubs, "band").where((F.col("class") != F.col("hub.class")) & _bound(F.least("c", "hub.c"), F.col("t"), F.col("hub.t")))
     groups = joined(groups, verified(spokes.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct(), "hubs"))
 
     # what remains is compared across groups, in blocks, each pair in the first band that both have
     left = left.select("band", "node").join(groups, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    left = materialize(linkable(left, tokens), "remaining")
+    left = materialize(linkable(left, tokens, totals), "remaining")
     blocks = left.groupBy("band").agg(F.expr(f"cast(ceil(count(1) / {BLOCK}) as int)").alias("blocks"))
     left = left.join(left.groupBy("node").agg(F.collect_set("band").alias("all")), "node").join(blocks, "band")
     near = left.select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.struct("node", "class", "c", "t", "all").alias("y"))
@@ -331,12 +349,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     met = (far["band"] == near["band"]) & (far["block"] == near["block"]) & (F.col("x.class") < F.col("y.class")) & may & first
     classes = joined(groups, verified(far.join(near, met).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), "across"))
 
-    least = nodes.select("node", F.col("first.doc_id").alias("doc_id"))
-    ids = classes.join(least, "node").groupBy("class").agg(F.min("doc_id").alias("class_id"))
-    named = least.join(classes, "node", "left").join(ids, "class", "left").select("node", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class", "node").alias("class"))
-    members = full.select("doc_id", "key", "n_words", "node").join(named, "node")
-    sizes = members.groupBy("class").agg(F.count(F.lit(1)).alias("class_size"))
-    some = members.join(sizes, "class").select("doc_id", "class_id", "class_size", "n_words", "key")
+    # nodes of a class of several nodes are few; all others are classes by themselves
+    least = nodes.select("node", F.col("first.doc_id").alias("doc_id"), "copies")
+    ids = classes.join(least, "node").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
+    named = materialize(classes.join(ids, "class").select("node", "class_id", "class_size"), "named")
+    members = full.select("doc_id", "key", "n_words", "node").join(least.withColumnRenamed("doc_id", "least"), "node").join(named, "node", "left")
+    some = members.select("doc_id", F.coalesce("class_id", "least").alias("class_id"), F.coalesce("class_size", "copies").alias("class_size"), "n_words", "key")
     none = rows.where("n_words = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), "n_words", "key")
     return some.unionByName(none).select("doc_id", "class_id", "class_size", F.col("class_id").alias("keep_id"), F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "n_words", "key")
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key, row_slices, sum_tables, table_rows, text_buffer, without, word_hashes
+from .common import in_small_batches, materialize, row_key, row_slices, sum_tables, table_rows, text_buffer, without, word_hashes
 
 #: Most labelled rows that examples are learnt from: those with the least hash of the id, while their texts
 #: take EXAMPLE_BYTES together at most.  Together they bound the vocabulary and the index.
@@ -422,6 +422,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] =
     )
 
 
+@in_small_batches
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are not predicted toxic, with their columns."""
     scored = score_toxicity(docs.withColumn("__key", row_key(docs)), labels, ("__key",))
