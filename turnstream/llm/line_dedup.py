@@ -1,22 +1,23 @@
 """Line deduplication by a segment-partition edit join.
 
 Different lines are alike if k edits (insertions, deletions or substitutions of a code point) turn one into the
-other, where k is one for each SHARE code points of the shorter line, and at least one.  k edits cut a line into
-k + 1 segments or fewer that stay intact, so the longest has (n - k) / (k + 1) code points at least.
+other, where k is one for each SHARE code points of the shorter line, and at least one.
 
 Where one edit is allowed, a line is split into 2 segments: lines of n code points are filed under n and each
 half, and lines of n or n + 1 probe those lists with their own first and last code points - for one edit the
-intact segment lies at the same distance from the start or from the end.  Where more are allowed, segments of
-either line can shift; so each line is filed under the grams that are least by hash in any stretch as long as
-the longest intact segment must be.  Both lines hold that segment, so both are filed under its least gram, at
-places no further apart than k and with lengths no further apart than k.
+intact segment lies at the same distance from the start or from the end.  Where more are allowed, a line is filed
+under its rarest grams, so many that k edits cannot touch all of them: k + 1 of them do not overlap.  Of two lines
+that are alike, take the one whose grams end at the lower rank: one of these is left in the other line, which is
+filed under all its grams up to a higher rank, so under this one too, at places no further apart than k and with
+lengths no further apart than k.  How rare grams are is told by a sample, which decides only where lines meet.
+Texts of lines are shuffled once, so that each different line is filed once, however often it occurs.
 
 The entries of long lines are many, so they travel packed: a task turns its lines into chunks, numbers the
 lines of a chunk, and sends each bucket of grams one compressed list of (line, place, gram).  What a bucket holds
 does not grow with the data, as the number of buckets does.  An entry also names the gram before it in its
 line and the distance to it: two entries that agree in that have met in that gram's list already.  Pairs that
 meet are first compared by the counts of their code points in BINS classes (k edits change them by 2 k at most),
-then by banded bit-parallel edit distance.
+then by the furthest places that edits reach on each diagonal.
 
 Where more than NEAR entries of a list are as near to one of them in length and place as lines that are alike - many
 variants of one long line - that entry and those near it at first meet only the most frequent lines of their own and
@@ -28,19 +29,17 @@ are short or closed.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterable, Iterator
-from functools import cache
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, materialize, mix, possibly_in, row_slices, text_buffer
+from .common import CHUNK, materialize, mix, possibly_in, row_slices, sum_tables, table_rows, text_buffer
 from .near_dedup import components
 
 #: Code points of the shorter line for each edit that is allowed.
@@ -56,16 +55,21 @@ HOT_LONG = 64
 NEAR = 512
 #: Code points in a gram of a long line.
 GRAM = 12
-#: Lengths of the shorter line at which the stretch that stays intact is taken anew.
-LEVELS = (LONG, 80, 96, 112, 128, 160, 192, 256, 512)
-#: Entries of a chunk, and of a bucket on average.
-CHUNK_ENTRIES = 1_000_000
+#: Bits of a gram's hash that order it among those as frequent, and of both.
+HASH_BITS, RANK_BITS = 28, 32
+#: Code points of the sample that tells how frequent grams are, and cells that they are counted in.
+SAMPLE_CHARS, GRAM_CELLS = 1 << 24, 1 << 21
+#: Code points of a chunk; entries of a code point, about, and of a bucket on average.
+CHUNK_CHARS = 8_000_000
+DENSITY = 0.06
 BUCKET_ENTRIES = 1_000_000
 #: Pairs of entries that a task holds.
 PAIRS = 1 << 20
 #: Places of a gram in a block of a long list.
 PLACES = 256
-#: Classes of code points that are counted in each line.
+#: Edits up to which distances of many pairs are found at once.
+MOST_AT_ONCE = 1024
+#: Classes of code points that are counted in each line, a power of two.
 BINS = 64
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -158,21 +162,9 @@ def edits(n: int) -> int:
     return max(1, n // SHARE) if n >= LEAST_CHARS else 0
 
 
-def _stretch(least: int, below: int) -> int:
-    """Length that the longest intact segment has at least where the shorter line has least to below - 1 code points."""
-    return min(-(-(n - edits(n)) // (edits(n) + 1)) for n in range(least, below))
-
-
-@cache
-def _levels() -> list[tuple[int, float, int]]:
-    """(least length, length of the next level, grams in a stretch); from the last level on stretches only grow."""
-    ends = [*LEVELS[1:], float("inf")]
-    return [(a, b, _stretch(a, int(min(b, a + 2 * SHARE))) - GRAM + 1) for a, b in zip(LEVELS, ends, strict=True)]
-
-
 def gram_hashes(points: np.ndarray) -> np.ndarray:
     """Hash of the GRAM code points from each place on."""
-    power, size, h = _BASE, 1, mix(points.astype(np.uint64) + np.uint64(1))
+    power, size, h = _BASE, 1, points.astype(np.uint64) + np.uint64(1)
     known = {1: h}
     while 2 * size <= GRAM:
         h = h[: len(h) - size] * np.uint64(power & (2**64 - 1)) + h[size:]
@@ -187,32 +179,89 @@ def gram_hashes(points: np.ndarray) -> np.ndarray:
     return mix(h)
 
 
-def least_grams(hashes: np.ndarray, first: np.ndarray, stops: np.ndarray, width: int) -> np.ndarray:
-    """Sorted places of the least of every `width` grams that follow each other in a line.
+def _prefixes(at: np.ndarray, rank: np.ndarray, row: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted places of each row's first grams by rank, so many that `need` of them do not overlap, and the rows that have too few.
 
-    first, stops: the lines' first gram and the end of their grams.  Of equal hashes the first counts.
+    at: sorted places of grams, of which a row has all up to some rank.  Grams of equal rank are taken together.
     """
-    mask, found = np.uint64((1 << 24) - 1), []
-    for lo in range(int(first[0]) if len(first) else 0, int(stops[-1]) if len(stops) else 0, 1 << 20):
-        hi = min(lo + (1 << 20) + width - 1, int(stops[-1]))
-        best = (hashes[lo:hi] & ~mask) | np.arange(hi - lo, dtype=np.uint64)
-        have = 1
-        while have < width:
-            step = min(have, width - have)
-            best = np.minimum(best[: len(best) - step], best[step:])
-            have += step
-        if not len(best):
-            continue
-        a, b = np.maximum(first, lo) - lo, np.minimum(stops - width + 1 - lo, len(best))
-        size = np.maximum(b - a, 0)
-        at = np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())
-        places = (best[at] & mask).astype(np.int64) + lo
-        if len(places):
-            found.append(places[np.r_[True, places[1:] != places[:-1]]])
-    if not found:
-        return np.zeros(0, np.int64)
-    places = np.concatenate(found)  # a later stretch never has an earlier least gram
-    return places[np.r_[True, places[1:] != places[:-1]]]
+    bits = np.uint64(int(at[-1] + 1).bit_length() if len(at) else 1)
+    names = np.sort((row.astype(np.uint64) << np.uint64(RANK_BITS) | rank) << bits | at.astype(np.uint64))
+    place = np.uint64((1 << int(bits)) - 1)
+    count = np.bincount(row, minlength=len(need))
+    first = np.cumsum(count) - count
+    size = np.minimum(count, need + need * 5 // 8 + 1)
+    left, todo = [np.flatnonzero(count < need)], np.flatnonzero(count >= need)
+    while len(todo):
+        _, some = next(_ranges(first[todo], first[todo] + size[todo], 1 << 62))
+        places = np.sort((names[some] & place).astype(np.int64))
+        follow = np.append(np.searchsorted(places, places + GRAM), len(places))
+        end, live, met = np.cumsum(size[todo]), np.arange(len(todo)), np.zeros(len(todo), np.int64)
+        now = end - size[todo]
+        for _ in range(int(need[todo].max())):
+            met[live] += 1
+            now = follow[now]
+            on = now < end[live]
+            now, live = now[on], live[on]
+            if not len(live):
+                break
+        todo = todo[met < need[todo]]
+        left.append(todo[size[todo] == count[todo]])
+        todo = todo[size[todo] < count[todo]]
+        size[todo] = np.minimum(count[todo], size[todo] + np.maximum(1, size[todo] // 8))
+    short = np.concatenate(left)
+    size[short] = 0
+    full = np.flatnonzero(size)
+    if not len(full):
+        return np.zeros(0, np.int64), short
+    last = np.searchsorted(names, names[first[full] + size[full] - 1] | place, side="right")
+    _, some = next(_ranges(first[full], last, 1 << 62))
+    return np.sort((names[some] & place).astype(np.int64)), short
+
+
+def rare_grams(hashes: np.ndarray, bounds: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Sorted places of the rarest grams of each line, so many that the edits allowed in it cannot touch all of them.
+
+    One edit touches none but grams that share a place, so edits(n) + 1 grams that do not overlap are enough.  classes: of
+    each cell of the hashes, how frequent its grams are; then the hash decides.  Any classes give a right result.
+    """
+    n = np.diff(bounds)
+    need = n // SHARE + 1
+    whole = np.ones(len(hashes), bool)
+    for k in range(1, GRAM):
+        whole[bounds[1:-1] - k] = False
+    low = hashes & np.uint64((1 << HASH_BITS) - 1)
+    cell = np.uint64(64 - (len(classes) - 1).bit_length())
+    # nearly always a quarter of the rarest class is enough
+    at = np.flatnonzero(whole & (low < np.uint64(1 << (HASH_BITS - 2))))
+    at = at[classes[(hashes[at] >> cell).astype(np.int64)] == 0]
+    found, short = _prefixes(at, low[at], np.searchsorted(bounds, at, side="right") - 1, need)
+    if not len(short):
+        return found
+    short = np.sort(short)
+    which, at = next(_ranges(bounds[short], bounds[short + 1] - GRAM + 1, 1 << 62))
+    rank = classes[(hashes[at] >> cell).astype(np.int64)].astype(np.uint64) << np.uint64(HASH_BITS) | low[at]
+    more, _ = _prefixes(at, rank, which, need[short])
+    return np.sort(np.concatenate([found, more]))
+
+
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Grams of a task's lines by cell, those that reach from line to line included."""
+    table, lines = np.zeros(GRAM_CELLS, np.int64), 0
+    for batch in batches:
+        points, _ = _code_points(batch.column(0))
+        lines += batch.num_rows
+        for lo in range(0, len(points) - GRAM + 1, CHUNK):
+            np.add.at(table, (gram_hashes(points[lo : lo + CHUNK + GRAM - 1]) >> np.uint64(64 - GRAM_CELLS.bit_length() + 1)).astype(np.int64), 1)
+    yield from table_rows(table, lines)
+
+
+def gram_classes(lines: DataFrame, chars: int) -> np.ndarray:
+    """How frequent the grams of each of GRAM_CELLS cells are in a sample of lines, as powers of two above twice the mean.
+
+    It decides only which grams lines are filed under, not which lines meet.  chars: of all lines.
+    """
+    counts, _ = sum_tables(lines.select("text").sample(False, min(1.0, SAMPLE_CHARS / max(1, chars)), seed=7), _count_grams, GRAM_CELLS)
+    return np.clip(np.floor(np.log2(np.maximum(counts, 1) / max(1.0, 2 * counts.mean()))) + 1, 0, 15).astype(np.uint8)
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -226,48 +275,41 @@ def _from_planes(body: bytes, n: int) -> np.ndarray:
 class _Chunk:
     """Different long lines of one task, by length, and their entries."""
 
-    def __init__(self, number: int, buckets: int):
-        self.number, self.buckets = number, buckets
-        self.lines: dict[bytes, str] = {}
-        self.counts: dict[bytes, int] = {}
+    def __init__(self, number: int, buckets: int, classes: np.ndarray):
+        self.number, self.buckets, self.classes = number, buckets, classes
+        self.lines: list[tuple[bytes, str, int]] = []
         self.chars = 0
 
-    def add(self, line: str) -> None:
-        node = hashlib.md5(line.encode("utf-8", "surrogatepass")).digest()
-        self.counts[node] = self.counts.get(node, 0) + 1
-        if node not in self.lines:
-            self.lines[node] = line
-            self.chars += len(line)
+    def add(self, node: bytes, line: str, times: int) -> None:
+        self.lines.append((node, line, times))
+        self.chars += len(line)
 
     def rows(self) -> Iterator[tuple[int, int, bytes]]:
         """(bucket, chunk, body): the entries of each bucket, and with bucket -1 the lines by number."""
-        order = sorted(self.lines.items(), key=lambda x: len(x[1]))
+        order = sorted(self.lines, key=lambda x: len(x[1]))
         lengths = np.array([len(x[1]) for x in order], np.int64)
-        times = np.minimum([self.counts[x[0]] for x in order], 255).astype(np.uint8)
+        times = np.minimum([x[2] for x in order], 255).astype(np.uint8)
         keys, lines, spots, befores, bins = [], [], [], [], np.zeros((len(order), BINS), np.uint8)
         lo = 0
         ends = np.cumsum(lengths)
         while lo < len(order):
             before = ends[lo - 1] if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(ends, before + CHUNK, side="right")))
+            hi = max(lo + 1, int(np.searchsorted(ends, before + CHUNK // 2, side="right")))
             points = np.frombuffer("".join(x[1] for x in order[lo:hi]).encode("utf-32-le", "surrogatepass"), np.uint32)
             n = lengths[lo:hi]
             bounds = np.concatenate([[0], np.cumsum(n)])
             row = np.repeat(np.arange(hi - lo), n)
-            counts = np.bincount(row * BINS + (points % BINS), minlength=(hi - lo) * BINS)
+            counts = np.bincount(row * BINS + (points & np.uint32(BINS - 1)), minlength=(hi - lo) * BINS)
             bins[lo:hi] = np.minimum(counts, 255).reshape(-1, BINS)
             hashes = gram_hashes(points)
-            for level, (least, below, width) in enumerate(_levels()):
-                a, b = np.searchsorted(n, least), np.searchsorted(n - n // SHARE, below)
-                if a < b:
-                    at = least_grams(hashes, bounds[a:b], bounds[a + 1 : b + 1] - GRAM + 1, width)
-                    key, line = mix(hashes[at] + np.uint64(level + 1)), row[at]
-                    keys.append(key)
-                    lines.append(line + lo)
-                    spots.append(at - bounds[line])
-                    before = np.zeros(len(at), np.uint64)
-                    before[1:] = np.where(line[1:] == line[:-1], mix(key[:-1] + (at[1:] - at[:-1]).astype(np.uint64)) & np.uint64(0xFFFFFF) | np.uint64(1), np.uint64(0))
-                    befores.append(before)
+            at = rare_grams(hashes, bounds, self.classes)
+            key, line = mix(hashes[at] + np.uint64(1)), row[at]
+            keys.append(key)
+            lines.append(line + lo)
+            spots.append(at - bounds[line])
+            before = np.zeros(len(at), np.uint64)
+            before[1:] = np.where(line[1:] == line[:-1], mix(key[:-1] + (at[1:] - at[:-1]).astype(np.uint64)) & np.uint64(0xFFFFFF) | np.uint64(1), np.uint64(0))
+            befores.append(before)
             lo = hi
         if not order:
             return
@@ -285,13 +327,13 @@ class _Chunk:
             yield int(bucket[a]), self.number, zstandard.compress(b"".join(parts), 1)
 
 
-def _pack(buckets: int):
-    most = int(CHUNK_ENTRIES / 0.12)
+def _pack(buckets: int, classes: Broadcast):
+    most = CHUNK_CHARS
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Entries of the long lines of a partition, in chunks; a line is named by partition, chunk and number."""
+        """Entries of the lines node, text, occurrences of a partition, in chunks; a line is named by partition, chunk and number."""
         task, seq = TaskContext.get().partitionId(), 0
-        chunk = _Chunk(task << 16, buckets)
+        chunk = _Chunk(task << 16, buckets, classes.value)
 
         def batch_of(chunk: _Chunk) -> Iterator[pa.RecordBatch]:
             held: list[tuple[int, int, bytes]] = []
@@ -304,14 +346,12 @@ def _pack(buckets: int):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["bucket", "chunk", "body"])
 
         for batch in batches:
-            for text in batch.column(0):
-                for line in (text.as_py() or "").split("\n"):
-                    if len(line) >= LONG and line.strip(" "):
-                        chunk.add(line)
-                        if chunk.chars >= most:
-                            yield from batch_of(chunk)
-                            seq += 1
-                            chunk = _Chunk(task << 16 | seq, buckets)
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                chunk.add(*row)
+                if chunk.chars >= most:
+                    yield from batch_of(chunk)
+                    seq += 1
+                    chunk = _Chunk(task << 16 | seq, buckets, classes.value)
         yield from batch_of(chunk)
 
     return pack
@@ -665,62 +705,90 @@ def edit_distance(a: str, b: str, most: int = 1) -> int:
     return score
 
 
-def edit_distances(pairs: list[tuple[str, str]], most: int) -> np.ndarray:
-    """edit_distance of many pairs at once, for most up to 31: a step of all bands at a time."""
-    out = np.full(len(pairs), most + 1, np.int64)
-    pairs = [(a, b) if len(a) >= len(b) else (b, a) for a, b in pairs]
-    m, n = (np.array([len(p[k]) for p in pairs], np.int64) for k in (0, 1))
-    here = np.flatnonzero(m - n <= most)
+def _joined(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of the texts with a place behind each, their starts and lengths."""
+    points = np.frombuffer(("\0".join(texts) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    return points, np.cumsum(sizes + 1) - sizes - 1, sizes
+
+
+def within(pairs: list[tuple[str, str]], most: np.ndarray) -> np.ndarray:
+    """Whether the edit distance of each pair is `most` at most, by the furthest places that e edits reach on each diagonal.
+
+    e edits reach no diagonal from which the end is out of reach of the rest, so most + 1 diagonals or fewer are held.
+    """
+    out = np.zeros(len(pairs), bool)
+    points, starts, sizes = zip(*(_joined(t) for t in zip(*(sorted(p, key=len) for p in pairs), strict=True)), strict=True)
+    # code points in as few bytes as hold them, beside two values that end the texts of either side
+    kind = np.dtype(next(k for k in ("<u1", "<u2", "<u4") if max(int(p.max(initial=0)) for p in points) + 3 <= np.iinfo(k).max))
+    words = []
+    for k in (0, 1):
+        body = np.zeros(len(points[k]) + 8, kind)
+        body[: len(points[k])] = points[k] + np.uint32(2)
+        body[starts[k] + sizes[k]] = k
+        words.append(np.ndarray((len(points[k]) + 1,), "<u8", body.tobytes(), strides=(kind.itemsize,)).copy())
+    step = int(kind.itemsize).bit_length() + 2  # 8, 16 or 32 bits of a code point, as a power of two
+    m, n = sizes
+    gap = n - m
+    here = np.flatnonzero(gap <= most)
     if not len(here):
         return out
-    width, one = 2 * most + 1, np.uint64(1)
-    rows = np.full((len(here), int(m[here].max()) + width), 0xFFFFFFFF, np.uint32)
-    columns = np.full((len(here), int(n[here].max()) + 1), 0xFFFFFFFE, np.uint32)
-    for r, p in enumerate(here):
-        rows[r, most : most + m[p]] = np.frombuffer(pairs[p][0].encode("utf-32-le", "surrogatepass"), np.uint32)
-        columns[r, : n[p]] = np.frombuffer(pairs[p][1].encode("utf-32-le", "surrogatepass"), np.uint32)
-    band = np.uint64((1 << width) - 1)
-    up, down = np.full(len(here), band & ~np.uint64((1 << most) - 1)), np.zeros(len(here), np.uint64)
-    score, at, last = (m - n)[here], (m - n + most)[here].astype(np.uint64), n[here]
-    bits = np.zeros((len(here), 8), np.uint8)
-    size = -(-width // 8)
-    for j in range(int(last.max())):
-        bits[:, :size] = np.packbits(rows[:, j : j + width] == columns[:, j, None], axis=1, bitorder="little")
-        equal = bits.view("<u8").ravel()
-        flat = ((((equal & up) + up) ^ up) | equal | down) & band
-        rise, fall = down | band & ~(flat | up), flat & up
-        score += (flat >> at & one == 0) & (j < last)
-        half = flat >> one
-        down = half & rise
-        up = fall | band & ~(half | rise)
-        if j % 32 == 31:
-            live = (score <= most) & (j + 1 < last)
-            if live.sum() * 2 < len(live):
-                done = ~live
-                out[here[done]] = np.minimum(score[done], most + 1)
-                if not live.any():
-                    return out
-                here, rows, columns, up, down, score, at, last, bits = (x[live] for x in (here, rows, columns, up, down, score, at, last, bits))
-    out[here] = np.minimum(score, most + 1)
+    # diagonals -slack to gap + slack: an edit off these would need as many back
+    slack = (most[here] - gap[here]) // 2
+    zero, wide = int(slack.max()), int((gap[here] + slack).max() + slack.max()) + 1
+    diagonal = np.arange(-zero, wide - zero, dtype=np.int32)
+    limit = np.minimum(m[here, None], n[here, None] - diagonal).astype(np.int32)
+    limit[(diagonal < -slack[:, None]) | (diagonal > (gap[here] + slack)[:, None])] = -2
+    far = np.full((len(here), wide + 2), -2, np.int32)  # a border on either side
+    for e in range(int(most[here].max()) + 1):
+        lo, hi = max(zero - e, 0), min(zero + e + 1, wide)
+        old = far[:, lo + 1 : hi + 1]
+        if e:
+            reach = np.maximum(old, far[:, lo + 2 : hi + 2]) + np.int32(1)
+            np.maximum(reach, far[:, lo:hi], out=reach)
+            np.minimum(reach, limit[:, lo:hi], out=reach)
+            reach[(reach < 0) | (reach < -diagonal[lo:hi])] = -2
+        else:
+            reach = np.zeros_like(old)
+        row, column = np.nonzero((reach < limit[:, lo:hi]) & (reach > old))
+        i = reach[row, column].astype(np.int64)
+        a, b = starts[0][here[row]] + i, starts[1][here[row]] + i + diagonal[lo + column]
+        begin, some = a.copy(), np.arange(len(row))
+        while len(some):
+            x = words[0][a[some]] ^ words[1][b[some]]
+            same = (np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)) >> step).astype(np.int64)
+            a[some] += same
+            on = same == 64 >> step
+            some = some[on]
+            b[some] += 64 >> step
+        reach[row, column] = i + a - begin
+        far[:, lo + 1 : hi + 1] = reach
+        done = far[np.arange(len(here)), zero + 1 + gap[here]] >= m[here]
+        out[here[done]] = True
+        go = ~done & (most[here] > e)
+        if not go.any():
+            break
+        if not go.all():
+            here, limit, far = here[go], limit[go], far[go]
     return out
 
 
 def alike(pairs: list[tuple[str, str]]) -> np.ndarray:
-    """Whether each pair of lines is alike.  Pairs are taken together whose thresholds fit the same band."""
+    """Whether each pair of lines is alike.  Pairs of about one length are taken together."""
     least = np.array([min(len(a), len(b)) for a, b in pairs], np.int64)
     most = np.array([edits(n) for n in least], np.int64)
     out = np.zeros(len(pairs), bool)
-    for below, band in ((0, 1), (1, 3), (3, 7), (7, 15), (15, 31)):
-        some = np.flatnonzero((most > below) & (most <= band))
-        some = some[np.argsort(least[some], kind="stable")]
-        lo = 0
-        while lo < len(some):  # at most 2^21 code points in each matrix
-            hi = min(len(some), lo + 4096)
-            hi = min(hi, lo + max(1, (1 << 21) // max(1, int(least[some[hi - 1]]))))
-            part = some[lo:hi]
-            out[part] = edit_distances([pairs[i] for i in part], band) <= most[part]
-            lo = hi
-    for i in np.flatnonzero(most > 31):
+    some = np.flatnonzero((most > 0) & (most <= MOST_AT_ONCE))
+    some = some[np.argsort(least[some], kind="stable")]
+    lo, sizes = 0, least[some]
+    ends = np.cumsum(sizes)
+    while lo < len(some):  # of about one length, and so many that the texts and the places reached take some MB
+        hi = min(lo + 2048, int(np.searchsorted(ends, ends[lo] - sizes[lo] + (1 << 19), side="right")), int(np.searchsorted(sizes, sizes[lo] * 5 // 4, side="right")))
+        hi = max(hi, lo + 1)
+        part = some[lo:hi]
+        out[part] = within([pairs[i] for i in part], most[part])
+        lo = hi
+    for i in np.flatnonzero(most > MOST_AT_ONCE):
         out[i] = edit_distance(*pairs[i], int(most[i])) <= most[i]
     return out
 
@@ -746,13 +814,13 @@ def _md5(line: Column | str) -> Column:
 
 def _pairs(pairs: DataFrame) -> DataFrame:
     """Each pair a, b (nodes) once."""
-    return materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), "line-pairs")
+    return materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
 
 
 def _texts(wanted: DataFrame, texts: DataFrame) -> DataFrame:
-    """node, text of the wanted nodes.  texts: node, text of the lines, repeated or not."""
+    """node, text of the wanted nodes.  texts: node, text of each line once."""
     wanted = wanted.distinct()
-    return materialize(possibly_in(texts, "node", wanted, "node").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "line-texts")
+    return materialize(possibly_in(texts, "node", wanted, "node").join(wanted, "node", "left_semi"), "line-texts")
 
 
 def _nodes(pairs: DataFrame) -> DataFrame:
@@ -765,30 +833,29 @@ def _links(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return materialize(both.select("a", "b", "ta", "tb").mapInArrow(_verify, "a binary, b binary"), "line-links")
 
 
-def long_links(docs: DataFrame, chars: int) -> DataFrame:
-    """Links a, b (nodes) of different lines of LONG code points or more; chars: of all such lines, repeats included."""
-    buckets = max(16, -(-int(chars * 0.12) // BUCKET_ENTRIES))
-    texts = lines_of(docs).where(F.char_length("line") >= LONG).select(_md5("line").alias("node"), F.col("line").alias("text"))
-    packed = docs.select("text").mapInArrow(_pack(buckets), _BLOBS)
+def long_links(lines: DataFrame, chars: int) -> DataFrame:
+    """Links a, b (nodes) of different lines of LONG code points or more.  lines: node, text, occurrences; chars: of all of them."""
+    buckets = max(16, -(-int(chars * DENSITY) // BUCKET_ENTRIES))
+    classes = lines.sparkSession.sparkContext.broadcast(gram_classes(lines, chars))
+    packed = lines.select("node", "text", "occurrences").mapInArrow(_pack(buckets, classes), _BLOBS)
     dealt = packed.repartition(buckets, F.when(F.col("bucket") < 0, F.xxhash64("chunk")).otherwise(F.col("bucket").cast("long")))
     found = materialize(dealt.sortWithinPartitions("bucket").mapInArrow(_meet, _MET), "long-lists")
     table = found.where("node is not null").select("line", "node", "bins", "n")
     pairs = found.where("other is not null").select(F.col("line").alias("x"), F.col("other").alias("y")).distinct()
-    both = pairs.join(table.toDF("x", "a", "abins", "an"), "x").join(table.toDF("y", "b", "bbins", "bn"), "y").where("a != b")
-    pairs = _pairs(both.select("a", "b", "an", "bn", "abins", "bbins").mapInArrow(_alike_counts, "a binary, b binary"))
+    both = pairs.join(table.toDF("x", "a", "abins", "an"), "x").join(table.toDF("y", "b", "bbins", "bn"), "y")
+    pairs = materialize(both.select("a", "b", "an", "bn", "abins", "bbins").mapInArrow(_alike_counts, "a binary, b binary"), "line-pairs")
     hot = found.where("node is null and other is null").select("key", "line", "spot", "n", "before", "home")
     none = hot.isEmpty()
     # texts are read once, for the lines that are compared later too
     wanted = _nodes(pairs) if none else _nodes(pairs).unionByName(table.join(hot.select("line").distinct(), "line").select("node"))
-    texts = _texts(wanted, texts)
+    texts = _texts(wanted, lines.select("node", "text"))
     links = _links(pairs, texts)
     if none:
         return links
     # where too many are near, lines that chains join already need not be compared
     groups = components(links).select("node", F.col("class").alias("group"))
     named = table.drop("n").join(groups, "node", "left").select("line", "node", "bins", F.xxhash64(F.coalesce("group", "node")).alias("group"))
-    entries = hot.join(named, "line").groupBy("key", "n", "spot", "before", "node").agg(F.first("bins").alias("bins"), F.first("group").alias("group"), F.max("home").alias("home"))
-    entries = materialize(entries, "long-entries")
+    entries = materialize(hot.join(named, "line").drop("line"), "long-entries")
     mixed = entries.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low != high").select("key")
     # blocks of lengths half as wide as the lengths themselves, and of PLACES places; a line also stands in the blocks
     # next to its own where a shorter one may be that is like it
@@ -849,22 +916,21 @@ def line_classes(docs: DataFrame) -> DataFrame:
     is named by, and keeps, the line that occurs first by (doc_id, line_no), null ids before all others.
     Lines of white space only are left alone and have no row; lines shorter than LEAST_CHARS form classes of
     equal lines only.  Null and empty texts have no lines; a very long line is compared whole.  An empty table
-    gives an empty result.  docs is read more than once, and its partitions must hold the same rows each time,
-    as those of a table do.
+    gives an empty result.  docs is read once.
     """
     node = _md5("line").alias("node")
     n = F.char_length("line")
-    found = lines_of(docs).select(node, "doc_id", "line_no", n.alias("n_chars"), F.when(n.between(LEAST_CHARS, LONG), F.col("line")).alias("text"))
+    found = lines_of(docs).select(node, "doc_id", "line_no", n.alias("n_chars"), F.when(n.between(LEAST_CHARS, LONG), F.col("line")).alias("short"), F.when(n >= LONG, F.col("line")).alias("long"))
     rows = materialize(
-        found.groupBy("node").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("occurrences"), F.first("n_chars").alias("n_chars"), F.first("text").alias("text")),
+        found.groupBy("node").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("occurrences"), F.first("n_chars").alias("n_chars"), F.first("short").alias("short"), F.first("long").alias("long")),
         "lines",
     )
-    chars = rows.where(F.col("n_chars") >= LONG).agg(F.sum(F.col("n_chars") * F.col("occurrences"))).first()[0] or 0
-    short = rows.where("text is not null").select("node", F.xxhash64("text").alias("short"), "text")
+    chars = rows.where(F.col("n_chars") >= LONG).agg(F.sum("n_chars")).first()[0] or 0
+    short = rows.where("short is not null").select("node", F.xxhash64("short").alias("short"), F.col("short").alias("text"))
     links = short_links(short)
     if chars:
-        links = links.unionByName(long_links(docs, chars))
-    groups, rows = components(links), rows.drop("text")
+        links = links.unionByName(long_links(rows.where("long is not null").select("node", F.col("long").alias("text"), "occurrences"), chars))
+    groups, rows = components(links), rows.drop("short", "long")
     linked = rows.join(groups, "node")
     heads = linked.groupBy("class").agg(F.min("first").alias("head"), F.count(F.lit(1)).alias("class_lines"))
     classes = materialize(linked.join(heads, "class").select("node", "head", "class_lines"), "line-classes")
